@@ -7,8 +7,16 @@ import importlib
 from gridloom.llm.runtime import ship
 
 _QUERIES = {
-    "op8_minhash_dedup": ("near_dedup", "OP8_SQL"),
+    "op1_quality_model": ("quality_model", None),
+    "op2_quality_rules": ("quality_rules", None),
+    "op3_decontaminate": ("decontaminate", "OP3_SQL"),
     "op4_mix_sources": ("mixing", "OP4_SQL"),
+    "op5_token_ids": ("token_ids", None),
+    "op6_ngram_score": ("ngram_lm", None),
+    "op7_url_rules": ("url_rules", None),
+    "op8_minhash_dedup": ("near_dedup", "OP8_SQL"),
+    "op9_language_id": ("language_id", None),
+    "op10_warc_revisits": ("warc", "OP10_SQL"),
 }
 
 
