@@ -1,7 +1,62 @@
-"""Corpus pipeline (filled in below)."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicate removal, benchmark decontamination,
+mixing to target weights and token-id output, each stage on all its predecessor kept.
+
+The last stage returns doc_id, start, n_tokens and ids_crc32 of every document it wrote; the
+copies that mixing emits share their document's id and are adjacent in the output."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
+from gridloom.llm.runtime import materialise, ship
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base and the risk-controlled rules."""
+    ship(spark)
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    ship(spark)
+    return near_dedup.keep_first(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    ship(spark)
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or thinned to their source's target."""
+    ship(spark)
+    return mixing.mix(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, read back as one row per document."""
+    ship(spark)
+    return token_ids.read_digests(token_ids.write_shards(docs))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicate removal", near_dedup_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing to target weights", mix_stage),
+    ("token-id output", encode_stage),
+]
+
+#: quality cutoffs are certified by an exact test on labels, beyond SQL; the tests use a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
