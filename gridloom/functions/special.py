@@ -141,7 +141,7 @@ def lattice_line(order: int, n, c):
     inverse = 1 + delta / 2 + s
     swap = np.abs(inverse) < 1
     inverse, s = np.where(swap, 1 + delta / 2 - s, inverse), np.where(swap, -s, s)
-    zero = np.abs(delta) < 1e-13
+    zero = (own == 0)[:, None] & (np.abs(delta) < 1e-8)
     weight = np.where(zero, 0, 1 / np.where(zero, 1, -2 * s * slope))
     out = np.zeros(n.shape)
     for j in range(delta.shape[1]):

@@ -76,7 +76,7 @@ def _slab(grid: GridSpec, last: int, direction: str, derived: bool):
     first = [d for d in (grid.order if direction == "forward" else reversed(grid.order)) if d != last]
     size = {d: (grid.axes[d].n if direction == "forward" else grid.modes[d]) for d in first}
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         comp = int(key[1].as_py())
         a, b = sorted(first)
         x = np.zeros((size[a], size[b]), complex)

@@ -84,7 +84,7 @@ class FieldSolver:
     def _local(self, field: DataFrame) -> DataFrame:
         grid, kernel, equation, diff, alpha = self.grid, self.kernel, self.equation, self.diff, self.alpha
 
-        def run(key, table: pa.Table) -> pa.Table:
+        def run(key, table):
             f = np.zeros((grid.components, *grid.shape))
             f[tuple(np.asarray(table.column(c)) for c in ("comp", *AXES))] = np.asarray(table.column("re"))
             u = dense.solve(grid, f, kernel, equation, diff, alpha)
