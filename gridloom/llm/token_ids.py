@@ -36,8 +36,10 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 ROUNDS, PER_ROUND, MIN_PAIRS = 3, 2048, 8
 SHARD_BYTES = 12 << 20
+#: text encoded at once
+CHUNK_BYTES = 2 << 20
 #: distinct pieces a worker remembers before it starts over (bounds its memory)
-MEMO = 700_000
+MEMO = 400_000
 
 _u64 = np.uint64
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
@@ -55,6 +57,14 @@ def _classes() -> np.ndarray:
     return t
 
 
+def _alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself if printable in
+    Latin-1, else the next of those from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
+
+
 class Encoder:
     """Byte-level BPE through the tokenizers library, with each distinct piece encoded once.
 
@@ -68,6 +78,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.cls = _classes()
+        self.alphabet = _alphabet()
         self._reset()
 
     def _reset(self) -> None:
@@ -78,7 +89,9 @@ class Encoder:
         self.used = 0
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+        # the library's own model, on pieces in its alphabet of bytes
+        tokenize = self.tok.model.tokenize
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(self.alphabet))] for p in pieces]
         total, k = sum(map(len, ids)), len(self.memo)
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -150,10 +163,11 @@ class Encoder:
             np.cumsum((cp.astype(_u64) + _u64(1)) * p[: len(cp)], out=c[1:])
             h = W.mix((c[e] - c[s]) * q[s])
             keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-            if len(self.memo) + len(keys) > MEMO:
-                self._reset()
             listed = keys.tolist()
             new = [k for k, x in enumerate(listed) if x not in self.memo]
+            if len(self.memo) + len(new) > MEMO:
+                self._reset()
+                new = list(range(len(listed)))
             if new:
                 f = first[new]
                 self._learn([listed[k] for k in new], [whole[i:j] for i, j in zip(s[f].tolist(), e[f].tolist())])
@@ -177,32 +191,29 @@ class Encoder:
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = MIN_PAIRS) -> bytes:
     """Re-Pair: each round replaces, from left to right, the most frequent pairs of the shard."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    made, bits = 0, 22
+    made, bits = 0, 20
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 32) | seq[1:]
         # counts by hash bucket bound the counts of pairs from above: only pairs of full buckets are counted exactly
-        bucket = ((key.view(_u64) * _u64(0x9E3779B97F4A7C15)) >> _u64(64 - bits)).astype(np.int32)
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
         load = np.bincount(bucket, minlength=1 << bits)
         top = np.partition(load, len(load) - 2 * per_round)[len(load) - 2 * per_round] if len(load) > 2 * per_round else 0
-        full = load >= max(least, top)
-        pairs, count = np.unique(key[full[bucket]], return_counts=True)
+        where = np.flatnonzero((load >= max(least, top))[bucket])
+        key = (seq[where].astype(np.int64) << 32) | seq[where + 1]
+        pairs, count = np.unique(key, return_counts=True)
         if len(pairs) > per_round:
             cut = np.sort(count)[-per_round]
             pairs, count = pairs[count >= cut], count[count >= cut]
         pairs = pairs[count >= least][: 2 * per_round]
         if not len(pairs):
             break
-        chosen = np.zeros(1 << bits, bool)
-        chosen[((pairs.view(_u64) * _u64(0x9E3779B97F4A7C15)) >> _u64(64 - bits)).astype(np.int32)] = True
-        where = np.flatnonzero(chosen[bucket])
-        rank = np.minimum(np.searchsorted(pairs, key[where]), len(pairs) - 1)
-        same = pairs[rank] == key[where]
+        rank = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        same = pairs[rank] == key
         where, rank = where[same], rank[same]
         # overlapping matches: every other one of a run, from its left end
         run = np.concatenate([[True], np.diff(where) != 1])
@@ -210,7 +221,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
         take = (where - first) % 2 == 0
         where, rank = where[take], rank[take]
         seq[where] = base + made + rank
-        seq = np.delete(seq, where + 1)
+        stay = np.ones(len(seq), bool)
+        stay[where + 1] = False
+        seq = seq[stay]
         left, right = pairs >> 32, pairs & 0xFFFFFFFF
         size = lambda s: np.where(s < base, 1, lengths[np.maximum(s - base, 0)] if len(lengths) else 1)
         lengths = np.concatenate([lengths, size(left) + size(right)])
@@ -290,7 +303,7 @@ def _writer(path: str | None):
             )
 
         for batch in batches:
-            for i, j, data, off in W.chunks(batch.column("text"), SHARD_BYTES // 3):
+            for i, j, data, off in W.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, counts = encoder.encode(batch.column("text").slice(i, j - i))
                 keep.append((batch.column("doc_id").slice(i, j - i), counts, ids))
                 size += len(data)
