@@ -8,7 +8,7 @@ Defined results
   and is linked with nothing.
 * Links need ``100 * |A & B| >= 85 * |A | B|`` on the full sets; shingles are compared by
   64-bit hash.
-* Rows that repeat a ``doc_id`` are one node of the graph.  A null ``doc_id`` is linked with
+* Rows that repeat a ``doc_id`` are one node of the graph, linked by any of their texts.  A null ``doc_id`` is linked with
   nothing: its ``component_id`` is null and it is kept.  Extra input columns are ignored.
 
 Shape of the job
@@ -20,8 +20,9 @@ bucket with another node get their sets materialised.  A node whose *private* sh
 partner and leaves at once; the same counts give an upper bound on the similarity of any
 pair, tested before a pair is ever emitted.  In each bucket every node is confirmed against
 the bucket's best centre; only nodes still outside that centre's component are compared with
-the rest of the bucket, so a group of copies costs links linear in its size, and no link
-that would join two components is lost.
+nodes of other components, through the rare front of their sets (prefix and positional
+filters, both exact), so a group of copies costs links linear in its size, and no link that
+would join two components is lost.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             off = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) for p in parts], out=off[1:])
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["node", "shingles"])
+            fp1 = pa.array([int(p.sum()) for p in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), fp1, lists], names=["node", "fp1", "shingles"])
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -150,6 +152,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components, one of them astray, that can still reach the threshold.
+
+    Shingles are ordered by frequency, rare first.  At the first shingle two sets share, at places i and j,
+    they have at most ``min(n1 - i, n2 - j)`` in common; a pair that links has 85 of 185 parts of ``n1 + n2``.
+    So only the front of each set is compared, and a pair is emitted only where its bound still holds."""
+    rows = sets.join(nodes.select("node", "fp1"), ["node", "fp1"]).select("node", "fp1", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    ordered = rows.join(often, "s").groupBy("node", "fp1").agg(F.sort_array(F.collect_set(F.struct("k", "s"))).alias("all"))
+    front = F.size("all") - F.ceil(F.size("all") * THRESHOLD / 100.0).cast("int") + 1
+    front = ordered.select("node", "fp1", F.posexplode(F.slice("all", F.lit(1), front)).alias("at", "x")).where("x.k > 1")
+    front = materialise(front.select("node", "fp1", "at", "x.s").join(nodes, ["node", "fp1"]), "fronts")
+    left = front.where("astray").select("s", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("at").alias("i"), F.col("component").alias("c1"))
+    right = front.select("s", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("at").alias("j"), F.col("component").alias("c2"))
+    reach = F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j"))
+    found = left.join(right, (left["s"] == right["s"]) & (F.col("c1") != F.col("c2")) & ((100 + THRESHOLD) * reach >= THRESHOLD * (F.col("n1") + F.col("n2"))))
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of an undirected edge table (u, v); component is the
     smallest node reachable.  Alternates large-star and small-star until the edges form stars;
@@ -190,25 +211,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialise(
         linked.groupBy(*key).agg(F.min("doc_id").alias("node"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS))), "nodes"
     )
-    member = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("bucket"))
+    member = nodes.select("node", "fp1", F.col("n_shingles").alias("n"), F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     member = materialise(member.join(shared, "bucket"), "members")
 
-    chosen = member.select("node").distinct()
+    # always by a shuffle of both sides: the number of candidates has no bound
+    chosen = member.select("node").distinct().hint("merge")
     sets = materialise(
-        src.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, f"node {kind}, shingles array<long>"), "sets"
+        src.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, f"node {kind}, fp1 long, shingles array<long>"), "sets"
     )
     private = (
-        sets.select("node", F.explode("shingles").alias("s"))
-        .groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"))
-        .where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("p"))
+        sets.select("node", "fp1", F.explode("shingles").alias("s"))
+        .groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"), F.min("fp1").alias("fp1"))
+        .where("k = 1").groupBy("node", "fp1").agg(F.count(F.lit(1)).alias("p"))
     )
     hopeful = (
-        member.select("node", "n").distinct().join(private, "node", "left")
-        .select("node", "n", F.coalesce("p", F.lit(0)).alias("p"))
+        member.select("node", "fp1", "n").distinct().join(private, ["node", "fp1"], "left")
+        .select("node", "fp1", "n", F.coalesce("p", F.lit(0)).alias("p"))
         .where(100 * (F.col("n") - F.col("p")) >= THRESHOLD * F.col("n"))
     )
-    member = materialise(member.drop("n").join(hopeful, "node"), "hopeful")
+    member = materialise(member.drop("n").join(hopeful, ["node", "fp1"]), "hopeful")
     centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     centre = centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp"))
     star = (
@@ -219,17 +241,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(_confirm(star, sets), "links")
     comp = components(links)
 
-    placed = member.join(comp, "node", "left").select("bucket", "node", "n", "p", F.coalesce("component", "node").alias("component"))
+    placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
     main = placed.select("bucket", "node", "component").join(centre, "bucket").where("node = cu").select("bucket", F.col("component").alias("home"))
-    # what the centre did not gather, against everything in its bucket that lies in another component
-    rest = placed.join(main, "bucket").where("component <> home").drop("home")
-    rest = rest.select("bucket", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("component").alias("c1"))
-    more = (
-        rest.join(placed, "bucket").where("c1 <> component")
-        .where(_may_link(F.col("n1"), F.col("p1"), F.col("n"), F.col("p")))
-        .select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct()
-    )
+    # what a centre did not gather, against everything in its bucket that lies in another component
+    astray = placed.join(main, "bucket").where("component <> home")
+    mixed = placed.join(astray.select("bucket").distinct(), "bucket").select("node", "fp1", "n", "component").distinct()
+    mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
+    more = _prefix_pairs(materialise(mixed, "mixed"), sets)
     extra = materialise(_confirm(more, sets), "links")
     if not extra.isEmpty():
         comp = components(links.unionByName(extra))
@@ -243,8 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; columns unchanged."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gl_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gl_gone"), "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
