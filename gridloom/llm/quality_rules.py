@@ -91,7 +91,7 @@ def _words(text: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` plus one struct column ``_q`` of base and method statistics."""
+    """``docs`` plus one struct column ``__gl_q`` of base and method statistics."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
     line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
@@ -117,7 +117,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             share(r["w"]["n_repeat_words"], n).alias("repeat_share"),
         )
 
-    return docs.withColumn("_q", _let(raw, final))
+    return docs.withColumn("__gl_q", _let(raw, final))
 
 
 def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
@@ -145,7 +145,8 @@ def certify(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     counts = [F.sum((F.col(r) > t).cast("long")).alias(f"{r}_{j}") for r, ts in GRID.items() for j, t in enumerate(ts)]
     per = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(float(t)).alias("t"), F.col(f"{r}_{j}").alias("k")) for r, ts in GRID.items() for j, t in enumerate(ts)))
-    walk = per.select("stratum", "n", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.explode(rows).alias("x")).select("stratum", "n", "strata", "x.*")
+    per = per.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # counted before the rows multiply
+    walk = per.select("stratum", "n", "strata", F.explode(rows).alias("x")).select("stratum", "n", "strata", "x.*")
     walk = walk.withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha))
     ok = (F.col("p") <= F.lit(delta) / (F.col("strata") * len(GRID))).cast("int")
     family = Window.partitionBy("stratum", "rule").orderBy("step")
@@ -154,7 +155,7 @@ def certify(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
 
 
 def verdict(cutoffs: DataFrame, stratum: str = "lang") -> Column:
-    """Column expression over ``_q``: true for texts that pass every certified cutoff of their stratum."""
+    """Column expression over ``__gl_q``: true for texts that pass every certified cutoff of their stratum."""
     found = cutoffs.limit(MAX_STRATA * len(GRID) + 1).collect()
     if len(found) > MAX_STRATA * len(GRID):
         raise ValueError(f"more than {MAX_STRATA} strata: choose a coarser stratum column")
@@ -164,29 +165,29 @@ def verdict(cutoffs: DataFrame, stratum: str = "lang") -> Column:
             of = [r["stratum"] for r in found if r["rule"] == rule and r["cutoff"] == t]
             here = F.col(stratum).isin([s for s in of if s is not None]) if any(s is not None for s in of) else F.lit(False)
             here = F.coalesce(here, F.lit(False)) | (F.col(stratum).isNull() if None in of else F.lit(False))
-            fail = fail | (here & (F.col(f"_q.{rule}") > t))
-    return ~F.col("_q.base_failed") & ~fail
+            fail = fail | (here & (F.col(f"__gl_q.{rule}") > t))
+    return ~F.col("__gl_q.base_failed") & ~fail
 
 
 def _statistics_table(docs: DataFrame) -> DataFrame:
-    narrow = with_statistics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "_q")
+    narrow = with_statistics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "__gl_q")
     return materialise(narrow, "quality-stats")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, base statistics, base_failed and kept for every row."""
     stats = _statistics_table(docs)
-    keep = verdict(certify(stats.select("doc_id", "lang", "_q.*"), labels))
-    q = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    keep = verdict(certify(stats.select("doc_id", "lang", "__gl_q.*"), labels))
+    q = [F.col(f"__gl_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return stats.select("doc_id", *q, keep.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass; columns unchanged.  Cutoffs are certified on this input."""
     stats = _statistics_table(docs)
-    keep = verdict(certify(stats.select("doc_id", "lang", "_q.*"), labels))
+    keep = verdict(certify(stats.select("doc_id", "lang", "__gl_q.*"), labels))
     remove(stats)
-    return with_statistics(docs).where(keep).drop("_q")
+    return with_statistics(docs).where(keep).drop("__gl_q")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
