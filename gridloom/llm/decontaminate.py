@@ -271,11 +271,11 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; columns unchanged.  Rows are told apart by
     (doc_id, text), so repeated ids with different texts are judged by their own text."""
-    tag = "_text_hash"
+    tag = "__gl_hash"
     keyed = docs.withColumn(tag, F.xxhash64("text"))
     verdicts = contamination(keyed.select(F.struct("doc_id", tag).alias("doc_id"), "text"), items)
-    bad = verdicts.where("contaminated").select(F.col("doc_id.doc_id").alias("_id"), F.col(f"doc_id.{tag}").alias("_h")).distinct()
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(tag) == F.col("_h")), "left_anti").drop(tag)
+    bad = verdicts.where("contaminated").select(F.col("doc_id.doc_id").alias("__gl_id"), F.col(f"doc_id.{tag}").alias("__gl_h")).distinct()
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & (F.col(tag) == F.col("__gl_h")), "left_anti").drop(tag)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

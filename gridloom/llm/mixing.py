@@ -105,10 +105,8 @@ def decide(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, same columns."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    names = docs.columns
-    clash = [c for c in ("source_size", "target", "rate", "seed") if c in names]
     table = plan(docs)
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "source") if clash else docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "source")
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source")
     many = F.sequence(F.lit(1), copies(key, F.col("seed")).cast("int"))
     out = _attach(body, table).withColumn("n", copies(key, F.col("seed"))).where("n > 0").withColumn("copy", F.explode(many))
     return out.select("row.*")
