@@ -55,7 +55,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     left = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     level = (F.lit(BUDGET) * F.sum("source_size").over(everything) - before) / left
     per = per.withColumn("level", level)
-    per = per.withColumn("water", F.min(F.when(F.col("full") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+    # the first source that need not be full sets the level; later rows give lower ones
+    per = per.withColumn("water", F.max(F.when(F.col("full") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
     return per.select("source", "source_size", F.least(F.col("full"), F.coalesce(F.col("water") * F.col("weight"), F.col("full"))).alias("target"))
 
 
@@ -126,7 +127,7 @@ q AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(fill) OVER (ORDER BY fill / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY fill / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q
 ), t AS (
-  SELECT source, source_size, least(fill, coalesce((min(CASE WHEN fill >= level * weight THEN level END) OVER ()) * weight, fill)) AS target FROM l
+  SELECT source, source_size, least(fill, coalesce((max(CASE WHEN fill >= level * weight THEN level END) OVER ()) * weight, fill)) AS target FROM l
 ), r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 c AS (
   SELECT d.doc_id, d.size, r.*, s.seed, d.size * CAST(floor(rate) + CASE WHEN

@@ -51,6 +51,19 @@ def test_mixing(docs, corpus):
     assert sum(size(r["text"]) for r in copies.collect()) == taken
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_of_many_sources(spark, seed):
+    """Against the rule's own loop, from even sizes to one source that holds most words."""
+    rng = np.random.default_rng(seed)
+    sizes = {f"s{k}": int(v) for k, v in enumerate(rng.pareto(0.3 + seed, 23) * 100)} | {None: int(rng.integers(0, 500))}
+    if seed == 5:
+        sizes = {f"s{k}": 100 for k in range(20)}
+    want = water(sizes)
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == {s: pytest.approx(t) for s, t in want.items()}
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, "w " * (1 + i * 37 % 200), f"s{min(i % 9, 3)}") for i in range(1500)]
     out = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
