@@ -27,12 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
             spark.conf.set("gridloom.local.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    path, conf = _path(spark, folder)
+    return path.getFileSystem(conf).makeQualified(path).toString().rstrip("/")
+
+
+def _path(spark: SparkSession, uri: str):
+    sc = spark.sparkContext
+    return sc._jvm.org.apache.hadoop.fs.Path(uri), sc._jsc.hadoopConfiguration()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, in this application's own part."""
+    return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application has stored; results that were not yet written are lost with it."""
+    path, conf = _path(spark, f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -45,12 +57,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/gridloom/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path, conf = _path(df.sparkSession, parent)
             path.getFileSystem(conf).delete(path, True)
 
 
