@@ -54,6 +54,23 @@ def e1(x):
     return out
 
 
+def en(n: int, x):
+    """Exponential integral E_n for x > 0, n >= 1, by upward recurrence from E1."""
+    x = np.asarray(x, float)
+    out = e1(x)
+    for k in range(1, n):
+        out = (np.exp(-x) - x * out) / k
+    return out
+
+
+def bessel_i(order: int, x):
+    """I0 or I1: mean of exp(x cos t) cos(order t) over a half circle, which converges geometrically."""
+    x = np.asarray(x, float)
+    n = 64 + int(2 * np.max(np.abs(x), initial=0.0))
+    t = (np.arange(n) + 0.5) * math.pi / n
+    return np.mean([np.exp(x * math.cos(a)) * math.cos(order * a) for a in t], axis=0)
+
+
 def _cisi(x):
     """(Cin, Si): integrals of (1 - cos t)/t and sin t / t from 0 to x >= 0."""
     x = np.asarray(x, float)

@@ -78,3 +78,44 @@ def vortex_tube(spark: SparkSession, grid: GridSpec, axis: int = 2, sigma: float
     turn = 1.0 if (a, b) in ((0, 1), (1, 2)) else -1.0  # (a, b, axis) right-handed or not
     value = {axis: total[0] * -1.0} if which == "rhs" else {a: total[1] * turn, b: total[2] * turn}
     return vector_frame(spark, grid, [lambda *_, d=d: value.get(d, zero) for d in range(3)])
+
+
+def gaussian_blob(spark: SparkSession, grid: GridSpec, sigma: float = 0.05, which: str = "rhs") -> DataFrame:
+    """A Gaussian of unit mass in the middle of an unbounded domain, or the potential it causes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.functions.special import erf
+
+    x = positions(grid)
+    r2 = sum(((c - p.length / 2) * (c - p.length / 2) for c, p in zip(x, grid.axes)), F.lit(0.0))
+    base = index_table(spark, grid.shape).select(F.lit(0).cast("long").alias("rhs_id"), F.lit(0).alias("comp"), *AXES, r2.alias("v"))
+    if which == "rhs":
+        return base.withColumn("v", F.exp(F.col("v") / (-2 * sigma**2)) / (2 * math.pi * sigma**2) ** 1.5)
+
+    def potential(batches):
+        for b in batches:
+            r = np.sqrt(np.asarray(b.column("v")))
+            safe = np.where(r > 0, r, 1.0)
+            v = np.where(r > 0, -erf(safe / (math.sqrt(2) * sigma)) / (4 * math.pi * safe), -math.sqrt(2 / math.pi) / (4 * math.pi * sigma))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rhs_id", "comp", *AXES)), pa.array(v)], names=["rhs_id", "comp", *AXES, "v"])
+
+    return base.mapInArrow(potential, base.schema)
+
+
+def shear_waves(spark: SparkSession, grid: GridSpec, which: str = "rhs") -> DataFrame:
+    """A periodic vector field (sin ky, sin kz, sin kx) and the solution of lap u = curl f, -curl f / k^2."""
+    k = [2 * math.pi / p.length for p in grid.axes]
+    if which == "rhs":
+        return vector_frame(spark, grid, [lambda x, y, z: F.sin(y * k[1]), lambda x, y, z: F.sin(z * k[2]), lambda x, y, z: F.sin(x * k[0])])
+    return vector_frame(spark, grid, [lambda x, y, z: F.cos(z * k[2]) / k[2], lambda x, y, z: F.cos(x * k[0]) / k[0], lambda x, y, z: F.cos(y * k[1]) / k[1]])
+
+
+def wall_waves(spark: SparkSession, grid: GridSpec, which: str = "rhs") -> DataFrame:
+    """A field along the last axis between odd walls of the first two, and the solution of lap u = curl f."""
+    a, b = math.pi / grid.axes[0].length, 2 * math.pi / grid.axes[1].length
+    k2 = a * a + b * b
+    zero = lambda x, y, z: F.lit(0.0)
+    if which == "rhs":
+        return vector_frame(spark, grid, [zero, zero, lambda x, y, z: F.sin(x * a) * F.sin(y * b)])
+    return vector_frame(spark, grid, [lambda x, y, z: F.sin(x * a) * F.cos(y * b) * (-b / k2), lambda x, y, z: F.cos(x * a) * F.sin(y * b) * (a / k2), zero])

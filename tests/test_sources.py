@@ -4,7 +4,8 @@ from gridloom.operators import analysis, dense
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
 from gridloom.sources import files
-from gridloom.sources.generate import field_frame, vortex_tube
+from gridloom.functions import special
+from gridloom.sources.generate import field_frame, gaussian_blob, shear_waves, vortex_tube, wall_waves
 from gridloom.streaming.solve import solve_stream
 
 
@@ -51,3 +52,33 @@ def test_stream(spark, tmp_path):
     for r in f.collect():
         want[0, r["i0"], r["i1"], r["i2"]] = r["v"]
     assert np.allclose(got, dense.solve(g, want, Kernel.CHAT_2), atol=1e-12)
+
+
+def test_gaussian_blob(spark):
+    g = GridSpec.of("444444", 24)
+    rhs, exact = (gaussian_blob(spark, g, 0.1, which=k) for k in ("rhs", "solution"))
+    e = analysis.error_norms(FieldSolver(spark, g, Kernel.LGF_4, strategy="local").solve(rhs), exact, g).first()
+    assert e["err_inf"] < 0.01 * abs(exact.agg({"v": "min"}).first()[0])
+
+
+def test_rotational_fields(spark):
+    g = GridSpec.of("333333", 8, components=3)
+    s = FieldSolver(spark, g, Kernel.CHAT_2, Equation.ROT, Diff.SPE, strategy="slab")
+    assert analysis.error_norms(s.solve(shear_waves(spark, g)), shear_waves(spark, g, "solution"), g).agg({"err_inf": "max"}).first()[0] < 1e-12
+    odd, even, free = (1, 1), (0, 0), (3, 3)
+    g = GridSpec((8, 8, 8), ((even, odd, free), (odd, even, free), (odd, odd, free)), components=3)
+    s = FieldSolver(spark, g, Kernel.CHAT_2, Equation.ROT, Diff.SPE, strategy="pencil")
+    assert analysis.error_norms(s.solve(wall_waves(spark, g)), wall_waves(spark, g, "solution"), g).agg({"err_inf": "max"}).first()[0] < 1e-12
+
+
+def test_integrals_and_bessel():
+    # fixed values of public tables
+    assert np.allclose(special.en(2, [0.5, 1.0]), [0.3266438624, 0.1484955068], rtol=1e-9)
+    assert np.allclose(special.bessel_i(0, [0.0, 1.0, 3.0]), [1.0, 1.2660658778, 4.8807925859], rtol=1e-9)
+    assert np.allclose(special.bessel_i(1, [0.0, 1.0, 3.0]), [0.0, 0.5651591040, 3.9533702174], rtol=1e-9)
+
+
+def test_convergence_report(spark):
+    rows = [("a", 8, 0.4), ("a", 16, 0.1), ("b", 8, 1.0), ("b", 16, 0.5)]
+    got = analysis.convergence(spark.createDataFrame(rows, "kernel string, n int, err double")).where("n = 16").collect()
+    assert {r["kernel"]: round(r["order"], 9) for r in got} == {"a": 2.0, "b": 1.0}
