@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked.groupBy(*key).agg(F.min("doc_id").alias("node"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS))), "nodes"
     )
     member = nodes.select("node", "fp1", F.col("n_shingles").alias("n"), F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    # tables keyed by bucket are stored before they are joined: a join of two plain exchanges can be split where a bucket is hot
+    shared = materialise(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "shared")
     member = materialise(member.join(shared, "bucket"), "members")
 
     # always by a shuffle of both sides: the number of candidates has no bound
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     member = materialise(member.drop("n").join(hopeful, ["node", "fp1"]), "hopeful")
     centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    centre = centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp"))
+    centre = materialise(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
     star = (
         member.join(centre, "bucket").where(F.col("node") != F.col("cu"))
         .where(_may_link(F.col("n"), F.col("p"), F.col("cn"), F.col("cp")))
@@ -244,9 +245,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
     main = placed.select("bucket", "node", "component").join(centre, "bucket").where("node = cu").select("bucket", F.col("component").alias("home"))
+    main = materialise(main, "homes")
     # what a centre did not gather, against everything in its bucket that lies in another component
-    astray = placed.join(main, "bucket").where("component <> home")
-    mixed = placed.join(astray.select("bucket").distinct(), "bucket").select("node", "fp1", "n", "component").distinct()
+    astray = materialise(placed.join(main, "bucket").where("component <> home").select("bucket", "node"), "astray")
+    mixed = placed.join(materialise(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
     mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
     more = _prefix_pairs(materialise(mixed, "mixed"), sets)
     extra = materialise(_confirm(more, sets), "links")
