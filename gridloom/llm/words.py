@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+#: text worked on at once: bounds the memory of a worker (a longer text is a chunk of its own)
+CHUNK_BYTES = 2 << 20
 
 _u64 = np.uint64
 
