@@ -12,12 +12,15 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.runtime import materialise
+
 #: (verdict, host, path)
 RULES = (
     ("block", "com", "/en/"),
@@ -33,8 +36,6 @@ MIN_SUPPORT = 0.004
 MIN_URLS = 30
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 1.5
-#: mined rules carried in the compiled filter, best confidence and support first
-MAX_RULES = 400
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -65,54 +66,60 @@ def tokens(host: Column, path: Column) -> Column:
 
 @dataclass
 class MinedRules:
-    """Token combinations that mark a url as bad, indexed by one token of each."""
-
-    combinations: list[tuple[str, ...]]
-
-    def matches(self, url_tokens: Column) -> Column:
-        if not self.combinations:
-            return F.lit(False)
-        index: dict[str, list[tuple[str, ...]]] = {}
-        frequency: dict[str, int] = {}
-        for c in self.combinations:
-            for t in c:
-                frequency[t] = frequency.get(t, 0) + 1
-        for c in self.combinations:
-            key = min(c, key=lambda t: (frequency[t], t))
-            index.setdefault(key, []).append(tuple(t for t in c if t != key))
-        entries = []
-        for key, rest in sorted(index.items()):
-            entries += [F.lit(key), F.array(*(F.array(*map(F.lit, r)).cast("array<string>") for r in rest))]
-        table = F.create_map(*entries)
-        none = F.array().cast("array<array<string>>")
-        return F.exists(
-            url_tokens, lambda t: F.exists(F.coalesce(table[t], none), lambda rest: F.size(F.array_except(rest, url_tokens)) == 0)
-        )
+    """Token combinations that mark a url as bad: a list of them, or a table ``key, rest`` of any size that
+    holds each one under one of its tokens."""
+
+    combinations: DataFrame | list[tuple[str, ...]]
+
+    def index(self, spark: SparkSession) -> DataFrame:
+        if isinstance(self.combinations, DataFrame):
+            return self.combinations
+        return spark.createDataFrame([(c[0], list(c[1:])) for c in self.combinations], "key string, rest array<string>")
+
+    def matched(self, sets: DataFrame) -> DataFrame:
+        """The distinct token sets of ``sets(_tokens)`` that hold all tokens of some combination."""
+        held = sets.distinct().select("_tokens", F.explode("_tokens").alias("key")).join(self.index(sets.sparkSession), "key")
+        return held.where(F.size(F.array_except("rest", "_tokens")) == 0).select("_tokens").distinct()
+
+
+def _minimal(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``key, rest`` of the combinations ``sets(a)`` that contain no other one; the key is the rarest token."""
+    rarest = sets.select("a", F.explode("a").alias("token")).join(counts, "token").groupBy("a").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
+    index = materialise(rarest.select("key", F.array_remove("a", F.col("key")).alias("rest"), "a"), "url-rules")
+    shorter = index.select("key", F.col("rest").alias("_rest"))
+    inside = index.select("a", F.explode("a").alias("key")).join(shorter, "key")
+    inside = inside.where((F.size("_rest") + 1 < F.size("a")) & (F.size(F.array_except("_rest", "a")) == 0))
+    return index.join(inside.select("a").distinct(), "a", "left_anti").select("key", "rest")
 
 
 def mine(pages: DataFrame, labels: DataFrame) -> MinedRules:
-    """FP-growth over the tokens of labelled urls plus a label item; a page is bad when its label says
-    low quality or toxic.  Keeps rules of enough support, confidence and lift that no shorter rule implies."""
+    """Rules over the tokens of labelled urls; a page is bad when its label says low quality or toxic.  Keeps
+    every rule of enough support, confidence and lift that no shorter rule implies: first those of one token,
+    then FP-growth, with a label item, over the tokens that are in enough bad urls and no rule by themselves."""
     lab = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     lab = lab.select(F.col("doc_id").alias("_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad")).distinct()
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", tokens(host, path).alias("items")).join(lab, F.col("page_id") == F.col("_id"))
-    rows = rows.select(F.when(F.col("bad"), F.array_union("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
-    n = rows.count()
+    rows = pages.select("page_id", tokens(host, path).alias("items")).join(lab, F.col("page_id") == F.col("_id")).where(F.col("bad") | (F.size("items") > 0))
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("id"), "items", "bad"), "url-labels")
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if n < MIN_URLS:
         return MinedRules([])
-    model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_URLS / n), minConfidence=MIN_CONFIDENCE).fit(rows)
-    found = (
-        model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= MIN_LIFT))
-        .select(F.array_sort("antecedent").alias("a"), "confidence", "support")
-        .orderBy(F.col("confidence").desc(), F.col("support").desc(), F.size("a"), F.col("a").cast("string"))
-        .limit(MAX_RULES).collect()
-    )
-    kept: list[tuple[str, ...]] = []
-    for r in sorted(found, key=lambda r: len(r["a"])):
-        if not any(set(k) <= set(r["a"]) for k in kept):
-            kept.append(tuple(r["a"]))
-    return MinedRules(kept)
+    least = max(MIN_URLS, math.ceil(MIN_SUPPORT * n))
+    share = F.col("bad") / F.col("n")
+    marks = (F.col("bad") >= least) & (share >= MIN_CONFIDENCE) & (share * n >= MIN_LIFT * n_bad)
+    exploded = rows.select("id", "bad", F.explode("items").alias("token"))
+    counts = materialise(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= least), "url-tokens")
+    found = counts.where(marks).select(F.col("token").alias("key"), F.array().cast("array<string>").alias("rest"))
+    rest = exploded.join(counts.where(~marks).select("token"), "token").groupBy("id", "bad").agg(F.collect_set("token").alias("items"))
+    rest = materialise(rest.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "url-items")
+    if m := rest.count():
+        # half a url less than the least count: the library rounds its product with the number of rows up
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / m)).fit(rest).freqItemsets
+        sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("a"), F.array_contains("items", BAD).alias("with"), "freq")
+        sets = sets.groupBy("a").agg(F.max(F.when(~F.col("with"), F.col("freq"))).alias("n"), F.max(F.when(F.col("with"), F.col("freq"))).alias("bad"))
+        found = found.unionByName(_minimal(sets.where((F.size("a") > 0) & marks).select("a"), counts.select("token", "n")))
+    found = materialise(found, "url-rules")
+    return MinedRules([] if found.isEmpty() else found)
 
 
 def judge(pages: DataFrame, mined: MinedRules, rules=RULES) -> DataFrame:
@@ -120,7 +127,12 @@ def judge(pages: DataFrame, mined: MinedRules, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    own = F.when(mined.matches(tokens(F.col("host"), F.col("path"))), F.lit("block")).otherwise(F.lit("allow"))
+    own = F.lit("allow")
+    if not isinstance(mined.combinations, list) or mined.combinations:
+        rows = rows.withColumn("_tokens", tokens(F.col("host"), F.col("path")))
+        matched = mined.matched(rows.where("_rule is null").select("_tokens"))
+        rows = rows.join(matched.withColumn("_bad", F.lit(True)), "_tokens", "left")
+        own = F.when(F.col("_bad"), F.lit("block")).otherwise(own)
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))
 
 

@@ -181,3 +181,42 @@ def test_mined_combinations(spark):
     assert got[None] == "allow"
     assert url_rules.mine(pages, labels.limit(0)).combinations == []
     assert url_rules.judge(pages.limit(0), mined).count() == 0
+
+
+def test_no_mined_rule_is_dropped(spark):
+    """More bad hosts than any list of literals would hold, each with enough bad urls of its own."""
+    hosts = 420
+    rows = [(h * 30 + k, f"http://bad{h}x.site{h}.info/a{h}q/{k}", 0) for h in range(hosts) for k in range(30)]
+    rows += [(10**6 + k, f"http://fine{k}.info/b/{k}", 1) for k in range(hosts * 30)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2], None) for r in rows], "doc_id long, quality int, toxic int")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(url_rules, "MIN_SUPPORT", 0.0, raising=False)
+        mined = url_rules.mine(pages, labels)
+    got = url_rules.judge(pages, mined).where("verdict = 'block'").select("page_id").collect()
+    assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows if not r[2])
+
+
+def test_mined_rules_are_all_minimal_ones(spark):
+    """Brute force over all combinations of the tokens of few urls."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        words = [w for w in "abcdef" if rng.random() < 0.5]
+        bad = {"a", "b"} <= set(words) or {"c", "d", "e"} <= set(words) or rng.random() < 0.05
+        rows.append((i, f"http://{rng.choice('xyz')}.info/" + "/".join(words), 0 if bad else 1, None))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    mined = url_rules.mine(pages, spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int"))
+    got = {frozenset([r["key"], *r["rest"]]) for r in mined.index(spark).collect()}
+    sets = [(frozenset(r["t"]), not rows[r["page_id"]][2]) for r in pages.select("page_id", url_rules.tokens(*url_rules.parts(pages.url)).alias("t")).collect()]
+    n_bad, every = sum(b for _, b in sets), {}
+    for t, b in sets:
+        for k in range(1, len(t) + 1):
+            for c in map(frozenset, itertools.combinations(sorted(t), k)):
+                n, m = every.get(c, (0, 0))
+                every[c] = (n + 1, m + b)
+    good = {c for c, (n, m) in every.items() if m >= url_rules.MIN_URLS and m >= 0.7 * n and m * len(sets) >= 1.5 * n * n_bad}
+    assert got == {c for c in good if not any(x < c for x in good)} and any(len(c) == 3 for c in got)
