@@ -1,8 +1,9 @@
 """Language-model scoring with an Elias-Fano n-gram trie (order 3).
 
-Training counts words over all training documents, then word pairs, then triples.  A pair can
-occur twice only if both its words do, and a triple only if both its pairs do, so each level
-counts candidates of the level below and pruning single occurrences stays exact.  Every level
+Training counts words over all training documents, then word pairs, then triples; the query keeps
+them all.  ``train`` can also prune pairs and triples below a least count: a pair can occur so often
+only if both its words do, and a triple only if both its pairs do, so each level counts candidates
+of the level below and pruning stays exact.  Every level
 is split by the hash of the first word into shards; a shard is one file in the shared folder,
 memory-mapped by the workers that score: monotone child pointers and child ids as Elias-Fano
 sequences, 8-bit quantised discounted probabilities, 16-bit backoff weights.  The third word of
@@ -37,6 +38,7 @@ from gridloom.llm import words as W
 from gridloom.llm.language_id import held_out
 from gridloom.llm.runtime import scratch
 
+#: least count of the pairs and triples that ``train`` keeps unless told otherwise
 MIN_COUNT = 2
 #: candidates a task gathers before it passes them on
 GATHER = 4_000_000
@@ -242,6 +244,8 @@ class Trie:
     def __init__(self, uri: str, meta: dict):
         self.uri, self.meta = uri, meta
         self.shift = _u64(64 - int(meta["shards"]).bit_length() + 1)
+        # a triple's key holds the index of a pair above the rank of a word among all words
+        self.rank_bits = _u64(int(meta.get("types", 0)).bit_length())
         self.starts = {k: np.asarray(meta[k], np.int64) for k in ("words", "pairs") if k in meta}
         self._vocabulary: dict[int, dict] = {}
         self._levels: dict[tuple[int, int], _Shard] = {}
@@ -304,7 +308,7 @@ class Trie:
     def pairs(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """For each position that follows another of its text and could be a kept pair with it: the
         position, the pair's index over all shards (or -1), its probability and relative rank."""
-        pos = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & (counts[1:] >= MIN_COUNT) & (counts[:-1] >= MIN_COUNT)) + 1
+        pos = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & (counts[1:] >= self.meta["least"]) & (counts[:-1] >= self.meta["least"])) + 1
         head = np.zeros(len(ids) + 1, bool)
         head[at] = True
         pos = pos[~head[pos]]
@@ -320,7 +324,7 @@ class Trie:
         index, rank = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         index[found["pos"][hit]], rank[found["pos"][hit]] = found["index"][hit], found["rank"][hit]
         pos = np.flatnonzero((index[1:] >= 0) & (index[:-1] >= 0)) + 1
-        return pos, (index[pos - 1].astype(_u64) << _u64(32)) | rank[pos].astype(_u64)
+        return pos, (index[pos - 1].astype(_u64) << self.rank_bits) | rank[pos].astype(_u64)
 
     def log_probabilities(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 p, base log10 p, training count) of each token of texts at ``at``."""
@@ -346,7 +350,7 @@ class Trie:
             p[after] *= self._backoff(3, self.starts["pairs"], own)[back]
             pos, key = self.triples(found, len(h))
             own, back = np.unique(key, return_inverse=True)
-            _, _, q, _ = self._find(3, self.starts["pairs"], (own >> _u64(32)).astype(np.int64), (own & _u64(0xFFFFFFFF)).astype(np.int64))
+            _, _, q, _ = self._find(3, self.starts["pairs"], (own >> self.rank_bits).astype(np.int64), (own & ((_u64(1) << self.rank_bits) - _u64(1))).astype(np.int64))
             p[pos] += q[back]
         return np.log10(p), np.log10(first), counts
 
@@ -367,13 +371,14 @@ def _starts(rows, shards: int) -> list[int]:
     return np.concatenate([[0], np.cumsum([n.get(s, 0) for s in range(shards)])]).tolist()
 
 
-def train(docs: DataFrame) -> tuple[str, dict]:
-    """Build the trie over all rows of ``docs(text)``; returns its folder and directory."""
+def train(docs: DataFrame, least: int = MIN_COUNT) -> tuple[str, dict]:
+    """Build the trie over all rows of ``docs(text)``, without pairs and triples of fewer than ``least``
+    occurrences; returns its folder and directory."""
     spark = docs.sparkSession
     uri = scratch(spark, "ngram-trie")
     text = docs.select("text")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meta: dict = {"shards": 1 << math.ceil(math.log2(width))}
+    meta: dict = {"shards": 1 << math.ceil(math.log2(width)), "least": least}
     shards = meta["shards"]
 
     def words(batches):
@@ -404,7 +409,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
                     ids, counts = trie.lookup(h)
                     head = np.zeros(len(h) + 1, bool)
                     head[at] = True
-                    pos = np.flatnonzero(~head[1 : len(h)] & (counts[1:] >= MIN_COUNT) & (counts[:-1] >= MIN_COUNT)) + 1
+                    pos = np.flatnonzero(~head[1 : len(h)] & (counts[1:] >= least) & (counts[:-1] >= least)) + 1
                     yield (ids[pos - 1].astype(_u64) << _u64(32)) | ids[pos].astype(_u64)
 
         yield from _gathered(keys(), lambda k: np.searchsorted(k, starts.astype(_u64) << _u64(32)))
@@ -418,7 +423,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
         trie = opened(uri, word_meta)
         lo, hi = trie.starts["words"][s : s + 2]
         d = _discount(n)
-        keep = n >= MIN_COUNT
+        keep = n >= least
         k, n = k[keep], n[keep]
         context = trie._words(s)["count"] if hi > lo else np.zeros(0, np.int64)
         level = _level((k >> _u64(32)).astype(np.int64) - lo, (k & _u64(0xFFFFFFFF)).astype(np.int64), n, context, d)
@@ -439,7 +444,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
                     ids, counts = trie.lookup(h)
                     yield trie.triples(trie.pairs(ids, counts, at), len(h))[1]
 
-        yield from _gathered(keys(), lambda k: np.searchsorted(k, starts.astype(_u64) << _u64(32)))
+        yield from _gathered(keys(), lambda k: np.searchsorted(k, starts.astype(_u64) << trie.rank_bits))
 
     def merge_triples(key, table):
         s = key[0].as_py()
@@ -447,9 +452,10 @@ def train(docs: DataFrame) -> tuple[str, dict]:
         trie = opened(uri, pair_meta)
         lo = trie.starts["pairs"][s]
         d = _discount(n)
-        keep = n >= MIN_COUNT
+        keep = n >= least
         k, n = k[keep], n[keep]
-        level = _level((k >> _u64(32)).astype(np.int64) - lo, (k & _u64(0xFFFFFFFF)).astype(np.int64), n, trie.level(2, s).count, d)
+        parent, child = (k >> trie.rank_bits).astype(np.int64) - lo, (k & ((_u64(1) << trie.rank_bits) - _u64(1))).astype(np.int64)
+        level = _level(parent, child, n, trie.level(2, s).count, d)
         save(f"{uri}/level3-{s}.bin", level)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)]), "total": pa.array([int(n.sum())])})
 
@@ -481,6 +487,6 @@ def score(docs: DataFrame, uri: str, meta: dict) -> DataFrame:
 
 def op6_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    uri, meta = train(docs.where(~held_out(1, 5)))
+    uri, meta = train(docs.where(~held_out(1, 5)), least=1)
     out = score(docs, uri, meta)
     return out.select("doc_id", held_out(1, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

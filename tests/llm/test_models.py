@@ -60,6 +60,22 @@ def test_language_model(spark, docs, corpus):
         assert r["score"] < 0
 
 
+def test_whole_language_model(spark, docs, corpus, tmp_path):
+    """The query keeps every pair and triple: a held-out copy of a text that was learned once is credited for it."""
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"v{k}" for k in rng.permutation(300)[:80]) for i in range(40) if not held(i, 1, 5)}
+    copy = next(i for i in range(100, 200) if held(i, 1, 5))
+    rows = [*texts.items(), (copy, next(iter(texts.values()))), (next(i for i in range(200, 300) if held(i, 1, 5)), " ".join(f"v{k}" for k in rng.permutation(300)[:80]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in ngram_lm.op6_ngram_score(spark, str(tmp_path)).collect()}
+    gain = {i: r["score"] - r["base_score"] for i, r in got.items() if r["held_out"]}
+    assert len(gain) == 2 and gain[copy] > 100 > gain[rows[-1][0]] + 20
+    keep = docs.where(~language_id.held_out(1, 5))
+    _, two, three = brute_model([r[1] for r in corpus if not held(r[0], 1, 5)])
+    _, meta = ngram_lm.train(keep, least=1)
+    assert (meta["pairs"][-1], meta["triples"][-1]) == (len(two), len(three))
+
+
 def test_conditional_distributions_sum_to_one(spark, docs, corpus):
     """Over all known words and one unknown word, after one and after two words."""
     import pyarrow as pa
