@@ -12,7 +12,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -31,8 +30,7 @@ RULES = (
 )
 
 BAD = "label:bad"
-MIN_SUPPORT = 0.004
-#: labelled urls that a combination must have at least
+#: bad labelled urls that a combination must have at least, in a table of any size
 MIN_URLS = 30
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 1.5
@@ -104,17 +102,16 @@ def mine(pages: DataFrame, labels: DataFrame) -> MinedRules:
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if n < MIN_URLS:
         return MinedRules([])
-    least = max(MIN_URLS, math.ceil(MIN_SUPPORT * n))
     share = F.col("bad") / F.col("n")
-    marks = (F.col("bad") >= least) & (share >= MIN_CONFIDENCE) & (share * n >= MIN_LIFT * n_bad)
+    marks = (F.col("bad") >= MIN_URLS) & (share >= MIN_CONFIDENCE) & (share * n >= MIN_LIFT * n_bad)
     exploded = rows.select("id", "bad", F.explode("items").alias("token"))
-    counts = materialise(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= least), "url-tokens")
+    counts = materialise(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= MIN_URLS), "url-tokens")
     found = counts.where(marks).select(F.col("token").alias("key"), F.array().cast("array<string>").alias("rest"))
     rest = exploded.join(counts.where(~marks).select("token"), "token").groupBy("id", "bad").agg(F.collect_set("token").alias("items"))
     rest = materialise(rest.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "url-items")
     if m := rest.count():
         # half a url less than the least count: the library rounds its product with the number of rows up
-        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / m)).fit(rest).freqItemsets
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (MIN_URLS - 0.5) / m)).fit(rest).freqItemsets
         sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("a"), F.array_contains("items", BAD).alias("with"), "freq")
         sets = sets.groupBy("a").agg(F.max(F.when(~F.col("with"), F.col("freq"))).alias("n"), F.max(F.when(F.col("with"), F.col("freq"))).alias("bad"))
         found = found.unionByName(_minimal(sets.where((F.size("a") > 0) & marks).select("a"), counts.select("token", "n")))

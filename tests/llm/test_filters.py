@@ -190,9 +190,7 @@ def test_no_mined_rule_is_dropped(spark):
     rows += [(10**6 + k, f"http://fine{k}.info/b/{k}", 1) for k in range(hosts * 30)]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     labels = spark.createDataFrame([(r[0], r[2], None) for r in rows], "doc_id long, quality int, toxic int")
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(url_rules, "MIN_SUPPORT", 0.0, raising=False)
-        mined = url_rules.mine(pages, labels)
+    mined = url_rules.mine(pages, labels)
     got = url_rules.judge(pages, mined).where("verdict = 'block'").select("page_id").collect()
     assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows if not r[2])
 
@@ -220,3 +218,11 @@ def test_mined_rules_are_all_minimal_ones(spark):
                 every[c] = (n + 1, m + b)
     good = {c for c, (n, m) in every.items() if m >= url_rules.MIN_URLS and m >= 0.7 * n and m * len(sets) >= 1.5 * n * n_bad}
     assert got == {c for c in good if not any(x < c for x in good)} and any(len(c) == 3 for c in got)
+
+
+@pytest.mark.parametrize("others", [200, 12_000])
+def test_same_evidence_at_any_size(spark, others):
+    pages = spark.range(others + 35).selectExpr("id as page_id", "if(id < 35, 'http://one.bad.info/x', concat('http://h', id % 50, '.fine.info/y')) as url")
+    labels = pages.selectExpr("page_id as doc_id", "if(page_id < 35, 0, 1) as quality", "cast(null as int) as toxic")
+    got = url_rules.judge(pages, url_rules.mine(pages, labels)).where("verdict = 'block'").select("page_id").collect()
+    assert sorted(r["page_id"] for r in got) == list(range(35))
