@@ -54,12 +54,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: host, its suffixes and labels, and path words with digits folded."""
+    """Distinct tokens of a url: host, its suffixes, its labels and their hyphenated words, and path words with digits folded."""
     labels = F.array_remove(F.split(host, r"\."), "")
     n = F.size(labels)
     suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, n), ".")))).otherwise(F.array())
     words = F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "0"), "[/._\\-]+"), "")
-    return F.array_distinct(F.concat(suffixes, F.transform(words, lambda w: F.concat(F.lit("p:"), w))))
+    names = F.concat(labels, F.array_remove(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), ""))
+    return F.array_distinct(F.concat(suffixes, F.transform(names, lambda x: F.concat(F.lit("l:"), x)), F.transform(words, lambda w: F.concat(F.lit("p:"), w))))
 
 
 @dataclass

@@ -226,3 +226,14 @@ def test_same_evidence_at_any_size(spark, others):
     labels = pages.selectExpr("page_id as doc_id", "if(page_id < 35, 0, 1) as quality", "cast(null as int) as toxic")
     got = url_rules.judge(pages, url_rules.mine(pages, labels)).where("verdict = 'block'").select("page_id").collect()
     assert sorted(r["page_id"] for r in got) == list(range(35))
+
+
+def test_labels_and_their_words_are_tokens(spark):
+    """Bad labels under several domains, each host with too few urls of its own."""
+    bad = [f"http://{h}/p" for k in range(10) for h in (f"spam-farm.a{k}.com", f"x.spam-farm.b{k}.net", f"spam-farm.y.c{k}.org")] + [f"http://very-cheap{k}.d{k}.info/p" for k in range(30)]
+    rows = [(i, u, 0) for i, u in enumerate(bad)] + [(1000 + k, f"http://fine{k}.{'com net org info'.split()[k % 4]}/p", 1) for k in range(200)]
+    labels = spark.createDataFrame([(r[0], r[2], None) for r in rows], "doc_id long, quality int, toxic int")
+    rows += [(2000, "http://z.spam-farm.example.com/q", 0), (2001, "http://very-good.example.com/q", 0), (2002, "http://good.example.com/q", 1)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = url_rules.judge(pages, url_rules.mine(pages, labels)).where("verdict = 'block'").select("page_id").collect()
+    assert sorted(r["page_id"] for r in got) == [r[0] for r in rows if not r[2]]
