@@ -7,7 +7,8 @@ sequence, so any id range decodes without expanding the rest.  Shards are rows o
 table (part, shard, doc_ids, lengths, payload) in the shared folder: Spark's committer makes
 each write whole or absent, and any reader of the cluster can open it.
 
-Payload, little-endian: ``GRP1``, base u32, rules u32, symbols u32, symbol width u32 (2 or 4);
+Payload, little-endian: ``GRP1``, base u32, rules u32, symbols u32, symbol width u32 (2 bytes, or the bits of a
+symbol, 17 to 32, packed from the lowest);
 rules as u32 pairs; expansion length of each rule as u32; the sequence.  Symbol ``base + r`` is rule r.
 
 Defined results
@@ -34,7 +35,7 @@ from gridloom.llm.runtime import materialise
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-ROUNDS, PER_ROUND, MIN_PAIRS = 3, 2048, 8
+PER_ROUND, MIN_PAIRS = 2048, 8
 SHARD_BYTES = 12 << 20
 #: text encoded at once
 CHUNK_BYTES = 2 << 20
@@ -189,21 +190,36 @@ class Encoder:
         return out, out_counts
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = MIN_PAIRS) -> bytes:
-    """Re-Pair: each round replaces, from left to right, the most frequent pairs of the shard."""
+def _pack(seq: np.ndarray, bits: int) -> bytes:
+    out = np.empty((len(seq), bits), np.uint8)
+    for b in range(bits):
+        out[:, b] = (seq >> np.uint32(b)) & np.uint32(1)
+    return np.packbits(out.ravel(), bitorder="little").tobytes()
+
+
+def _unpack(payload: bytes, at: int, n: int, bits: int) -> np.ndarray:
+    raw = np.unpackbits(np.frombuffer(payload, np.uint8, offset=at), count=n * bits, bitorder="little").reshape(n, bits)
+    seq = np.zeros(n, np.uint32)
+    for b in range(bits):
+        seq |= raw[:, b].astype(np.uint32) << np.uint32(b)
+    return seq
+
+
+def compress(ids: np.ndarray, rounds: int | None = None, per_round: int = PER_ROUND, least: int = MIN_PAIRS) -> bytes:
+    """Re-Pair: each round replaces, from left to right, the most frequent pairs of the shard, until no pair
+    occurs ``least`` times (or for ``rounds`` rounds)."""
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     made, bits = 0, 20
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    full = False
+    while len(seq) > 1 and (rounds is None or rounds > 0):
         # counts by hash bucket bound the counts of pairs from above: only pairs of full buckets are counted exactly
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
         load = np.bincount(bucket, minlength=1 << bits)
         top = np.partition(load, len(load) - 2 * per_round)[len(load) - 2 * per_round] if len(load) > 2 * per_round else 0
-        where = np.flatnonzero((load >= max(least, top))[bucket])
+        where = np.flatnonzero((load >= (least if full else max(least, top)))[bucket])
         key = (seq[where].astype(np.int64) << 32) | seq[where + 1]
         pairs, count = np.unique(key, return_counts=True)
         if len(pairs) > per_round:
@@ -211,7 +227,11 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
             pairs, count = pairs[count >= cut], count[count >= cut]
         pairs = pairs[count >= least][: 2 * per_round]
         if not len(pairs):
-            break
+            if full or top <= least:
+                break
+            full = True  # the fullest buckets held rare pairs only: look into all of them
+            continue
+        rounds = None if rounds is None else rounds - 1
         rank = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
         same = pairs[rank] == key
         where, rank = where[same], rank[same]
@@ -229,10 +249,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
         lengths = np.concatenate([lengths, size(left) + size(right)])
         rules.append(np.column_stack([left, right]).astype(np.uint32))
         made += len(pairs)
-    width = 2 if base + made <= 1 << 16 else 4
+    width = 2 if base + made <= 1 << 16 else (base + made - 1).bit_length()
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     head = b"GRP1" + struct.pack("<4I", base, made, len(seq), width)
-    return head + table.tobytes() + lengths.astype(np.uint32).tobytes() + seq.astype("<u2" if width == 2 else "<u4").tobytes()
+    return head + table.tobytes() + lengths.astype(np.uint32).tobytes() + (seq.astype("<u2").tobytes() if width == 2 else _pack(seq, width))
 
 
 class Shard:
@@ -244,7 +264,7 @@ class Shard:
         self.base, made, n, width = struct.unpack_from("<4I", payload, 4)
         self.rules = np.frombuffer(payload, "<u4", 2 * made, 20).reshape(made, 2).astype(np.int64)
         self.lengths = np.frombuffer(payload, "<u4", made, 20 + 8 * made).astype(np.int64)
-        self.seq = np.frombuffer(payload, "<u2" if width == 2 else "<u4", n, 20 + 12 * made)
+        self.seq = np.frombuffer(payload, "<u2", n, 20 + 12 * made) if width == 2 else _unpack(payload, 20 + 12 * made, n, width)
         self._ends = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:

@@ -145,3 +145,12 @@ def test_archives(spark, tmp_path):
     back = [h for f in tmp_path.glob("*.warc.gz") for h, _ in warc.records(f.read_bytes())]
     assert len(back) == len(rows) and all(h["WARC-Type"] in ("response", "revisit") for h in back)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_grammar_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([np.tile(rng.integers(0, 50_000, 4_000), 40), rng.integers(0, 70_000, 3_000)]).astype(np.uint32)
+    s = token_ids.Shard(token_ids.compress(ids))
+    assert (s.ids() == ids).all() and (s.ids(150_000, 162_000) == ids[150_000:162_000]).all()
+    pairs, count = np.unique(s.seq[:-1].astype(np.int64) << 32 | s.seq[1:], return_counts=True)
+    assert count.max() < token_ids.MIN_PAIRS and len(s.seq) < 3_000 + 160_000 // 80
