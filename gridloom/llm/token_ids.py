@@ -13,7 +13,7 @@ rules as u32 pairs; expansion length of each rule as u32; the sequence.  Symbol
 
 Defined results
 ---------------
-* Null and empty texts are just the end id.  Special-token strings inside a text are ordinary text.
+* Null and empty texts are just the end id.  Special-token strings inside a text become the vocabulary's added tokens.
 * Rows that repeat a ``doc_id`` are adjacent, ordered by text; a null ``doc_id`` comes first.
 * An empty table writes no shards and reads back as an empty result; extra columns are ignored.
 """
@@ -70,14 +70,14 @@ class Encoder:
     """Byte-level BPE through the tokenizers library, with each distinct piece encoded once.
 
     The library splits a text into pieces and encodes piece by piece; the split is redone here
-    on whole chunks with array operations for texts of common characters, and all other texts
-    go to the library whole."""
+    on whole chunks with array operations for texts of common characters, and all other texts,
+    and those that hold an added token, go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.cls = _classes()
         self.alphabet = _alphabet()
         self._reset()
@@ -148,6 +148,11 @@ class Encoder:
         unsure = np.zeros(rows, bool)
         bad = np.flatnonzero(cls == _UNSURE)
         unsure[np.unique(np.searchsorted(at, bad, "right") - 1)] = True
+        for token in self.added:
+            place = whole.find(token)
+            while place >= 0:
+                unsure[np.searchsorted(at, place, "right") - 1] = True
+                place = whole.find(token, place + 1)
         direct = {int(r): self.tok.encode(whole[at[r] : at[r + 1]], add_special_tokens=False).ids for r in np.flatnonzero(unsure)}
         if unsure.any():
             live = ~np.repeat(unsure, np.diff(at))

@@ -154,3 +154,18 @@ def test_grammar_runs_until_no_pair_is_frequent():
     assert (s.ids() == ids).all() and (s.ids(150_000, 162_000) == ids[150_000:162_000]).all()
     pairs, count = np.unique(s.seq[:-1].astype(np.int64) << 32 | s.seq[1:], return_counts=True)
     assert count.max() < token_ids.MIN_PAIRS and len(s.seq) < 3_000 + 160_000 // 80
+
+
+def test_added_tokens_as_in_the_untouched_library():
+    import pyarrow as pa
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_ids.VOCABULARY)
+    texts = ["plain", "", "a <|endoftext|> b", "x <|endof", "text|> y", None, "<|endoftext|><|endoftext|>", "é <|endoftext|>", "after all"]
+    ids, counts = token_ids.Encoder(path).encode(pa.array(texts, pa.string()))
+    tok = Tokenizer.from_file(path)
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [token_ids.END_ID] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert want[2] == [64, 220, 50256, 275, token_ids.END_ID]
