@@ -7,6 +7,8 @@ never costs more than the tasks it was running.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import tempfile
 import uuid
@@ -14,6 +16,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: rows that travel to a Python worker at once, where the session has not set another number
+BATCH_ROWS = 1_000
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -63,9 +69,54 @@ def remove(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def open_shared(uri: str):
+    """(file system, path) of a file in the shared folder, for a worker."""
+    from pyarrow import fs
+
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+def mapped(uri: str):
+    """Bytes of a shared file, and how many of them are held in memory: none where the folder is mounted, as the file
+    is mapped then, else all."""
+    import numpy as np
+    from pyarrow import fs
+
+    fs_, path = open_shared(uri)
+    if isinstance(fs_, fs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r").view(np.ndarray), 0
+    with fs_.open_input_file(path) as f:
+        raw = np.frombuffer(f.read(), np.uint8)
+    return raw, len(raw)
+
+
+def released(run):
+    """``run``, an iterator function of a Python worker, with its freed memory handed back to the system at its end:
+    workers live on from stage to stage."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever they start."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # the default: many long texts at once would fill a worker
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -7,6 +7,7 @@ decoding.  Everything here is vectorised over a chunk of whole texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,24 +46,11 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=_u64) + _u64(salt * 1_000_003)) * _u64(0x9E3779B97F4A7C15))
 
 
-_BYTE = seeds(256, 1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_BASE = 0x5851F42D4C957F2D
-_pow: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, cached and grown as needed."""
-    if not _pow or len(_pow[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, _u64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=_u64))
-        _pow[:] = out
-    return _pow[0], _pow[1]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LENGTH = seeds(33, 1)
+#: the low 0 to 8 bytes of a word
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _u64)
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +104,50 @@ def spans(data: np.ndarray, off: np.ndarray, table: np.ndarray, fold: bool = Fal
     return start, end, np.searchsorted(start, off)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct values, first place of each, index of each element's value)."""
+    bits = _u64(len(h).bit_length())
+    # the high bits with the place below them sort in one word, faster than an index does
+    word = (h >> bits << bits) | np.arange(len(h), dtype=_u64)
+    word.sort()
+    order = (word & ((_u64(1) << bits) - _u64(1))).view(np.int64)
+    ranked = h[order]
+    if (ranked[1:] < ranked[:-1]).any():  # values that differ in the low bits only
+        order = np.argsort(h, kind="stable")
+        ranked = h[order]
+    head = np.ones(len(h), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=head[1:])
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(head) - 1
+    return ranked[head], order[head], back
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``data`` on as a little-endian number (zeros beyond the end), without copying each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of each span; with ``fold`` A-Z hash as a-z."""
-    n = len(data)
-    p, q = _powers(n + 1)
-    c = np.empty(n + 1, _u64)
-    c[0] = 0
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * p[:n], out=c[1:])
-    return mix((c[end] - c[start]) * q[start])
+    """64-bit hash of each span; with ``fold`` A-Z hash as a-z.
+
+    Spans of up to 7 bytes all differ.  Longer ones are mixed 8 bytes at a time, and from 33 bytes on
+    they take BLAKE2b, so no family of texts collides by its algebra."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, _u64)
+    if fold:
+        data = _FOLD[data]
+    view = blocks(data)
+    short = size < 8
+    h = view[start] & _MASK[np.minimum(size, 8)]
+    h = mix(np.where(short, h | (size.astype(_u64) << _u64(56)), h ^ _LENGTH[np.minimum(size, 32)]))
+    live, at = np.flatnonzero((size > 8) & (size <= 32)), 8
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] * _u64(0x9E3779B97F4A7C15) ^ (view[start[live] + at] & _MASK[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(size > 32).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
