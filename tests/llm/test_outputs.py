@@ -169,3 +169,59 @@ def test_added_tokens_as_in_the_untouched_library():
     want = [tok.encode(t or "", add_special_tokens=False).ids + [token_ids.END_ID] for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
     assert want[2] == [64, 220, 50256, 275, token_ids.END_ID]
+
+
+def twins(n=1024):
+    """Two words of ``n`` letters with equal sums against the powers of any odd number modulo 2 ** 64."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_algebraic_family_differ(encoder):
+    a, b = twins()
+    texts = [f"x {a} y {b}", a, b, f" {b}", f" {a}"]
+    ids, n = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == reference(encoder, texts)
+
+
+def test_pieces_of_one_hash_are_told_apart(encoder, monkeypatch):
+    """Every piece of 8 bytes or more hashes alike here."""
+    from gridloom.llm import words
+
+    real = words.hashes
+    monkeypatch.setattr(words, "hashes", lambda d, s, e, fold=True: np.where(e - s > 7, np.uint64(5), real(d, s, e, fold)))
+    texts = [" alphabetical betamethasone gammaglobulin alphabetical", "unbelievably betamethasone", "alphabetical" * 9]
+    for part in (texts, texts[::-1]):
+        ids, n = token_ids.Encoder(public_tokenizers.path(token_ids.VOCABULARY)).encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == reference(encoder, part)
+
+
+def test_memo_forgets_within_its_bound(encoder, corpus, monkeypatch):
+    monkeypatch.setattr(token_ids, "MEMO", 60)
+    small = token_ids.Encoder(public_tokenizers.path(token_ids.VOCABULARY))
+    texts = [t for _, t, *_ in corpus if t and len(t) < 2000]
+    for k in range(0, len(texts), 4):
+        ids, n = small.encode(pa.array(texts[k : k + 4]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == reference(encoder, texts[k : k + 4])
+
+
+def test_runs_of_one_symbol():
+    ids = np.array([5] * 100 + [6] + [5] * 9 + [7, 7, 7] * 9, np.uint32)
+    s = token_ids.Shard(token_ids.compress(ids))
+    assert (s.ids() == ids).all() and len(s.rules)
+
+
+def test_text_ids_read_back_as_they_are(spark):
+    ids = ["", "a\r\nb", "100%25", "%0A", " x ", "k: v", None, "é"]
+    pages = spark.createDataFrame([(i, "http://h/100%", "body " * 40) for i in ids], "page_id string, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages), "string").collect()
+    assert sorted(map(repr, (r["page_id"] for r in got))) == sorted(map(repr, ids))
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {""}
+    assert [r["page_id"] for r in got if r["record_type"] == "response"] == [""]
+
+
+def test_broken_archives_are_refused():
+    whole = warc._record("response", "1", "u", "d", 3, b"x" * 70_000, None, warc.DATE)
+    assert [h["X-Page-ID"] for h, _ in warc.records(whole * 3)] == ["1"] * 3
+    with pytest.raises(ValueError):
+        list(warc.records(whole[:-9]))
