@@ -26,13 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
+from gridloom.llm.runtime import released
 
 BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 4
-RATE = 2.0
+#: share of a document's error that one step takes back, at first
+RATE = 0.5
 TRAIN_DOCS = 4_000
 TARGET_ACCURACY = 0.99
+TEMPERATURES = np.geomspace(1e-3, 1e3, 121)
 
 _u64 = np.uint64
 
@@ -114,29 +117,43 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
-    steps, done = EPOCHS * len(learn), 0
-    for _ in range(EPOCHS):
-        for k in rng.permutation(learn):
+    rate, best = RATE, np.inf
+    for epoch in range(EPOCHS):
+        before = emb.copy(), soft.copy(), bias.copy()
+        total = 0.0
+        for done, k in enumerate(rng.permutation(learn)):
             u, f = docs[k]
-            rate = RATE * (1 - done / steps)
-            done += 1
             x = f @ emb[u] if len(u) else np.zeros(DIM, np.float32)
             z = x @ soft + bias
             p = np.exp(z - z.max())
             p /= p.sum()
+            total -= np.log(max(float(p[y[k]]), 1e-12))
             p[y[k]] -= 1
-            back = soft @ p
-            soft -= rate * np.outer(x, p)
-            bias -= 0.1 * rate * p
             # the mean's gradient is spread over few, rarely seen buckets: scaled up by their number
-            emb[u] -= rate * min(len(u), 50) * f[:, None] * back[None, :]
+            wide = min(len(u), 50)
+            # divided by how far a step of this size moves the logits, so that no step overshoots
+            step = rate * (1 - (epoch + done / len(learn)) / EPOCHS) / (0.1 + x @ x + wide * (f @ f) * (soft * soft).sum())
+            back = soft @ p
+            soft -= step * np.outer(x, p)
+            bias -= 0.1 * step * p
+            emb[u] -= step * wide * f[:, None] * back[None, :]
+        if not (np.isfinite(total) and np.isfinite(emb).all() and np.isfinite(soft).all()) or total > 1.5 * best + len(learn) * 0.01:
+            (emb, soft, bias), rate = before, rate / 4  # a pass that made things worse is undone
+        best = min(best, total) if np.isfinite(total) else best
     model = Model(names, (emb @ soft).astype(np.float32), bias.astype(np.float64))
     if len(held):
-        d, o = W.flat(pa.array([texts[k] for k in held]))
-        z, t = model.logits(d, o), y[held]
-        grid = np.geomspace(0.02, 20, 80)
-        loss = [-np.log(np.maximum(softmax(z / g)[np.arange(len(t)), t], 1e-12)).mean() for g in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+        # each held text whole and as a short piece of itself: confidence has to hold for little evidence too
+        at = [(rng.integers(0, max(1, len(texts[k]))), rng.integers(2, 40)) for k in held]
+        d, o = W.flat(pa.array([texts[k] for k in held] + [texts[k][i : i + n] for k, (i, n) in zip(held, at)]))
+        some = has_letter(d, o)
+        z, t = model.logits(d, o)[some], np.tile(y[held], 2)[some]
+        if not len(t):
+            return model
+        # smoothed targets: even where all are right, boundless certainty is not the best fit
+        soft_target = np.full((len(t), len(names)), 1 / (len(t) + 2) / max(1, len(names) - 1))
+        soft_target[np.arange(len(t)), t] = 1 - 1 / (len(t) + 2)
+        loss = [-(soft_target * np.log(np.maximum(softmax(z / g), 1e-300))).sum(axis=1).mean() for g in TEMPERATURES]
+        model.temperature = float(TEMPERATURES[int(np.argmin(loss))])
         p = softmax(z / model.temperature)
         top, right = p.max(axis=1), p.argmax(axis=1) == t
         rank = np.argsort(-top)
@@ -189,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "accepted"],
                 )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    out = docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double, accepted boolean")
     return out.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "accepted")
 
 

@@ -1,24 +1,26 @@
 """Language-model scoring with an Elias-Fano n-gram trie (order 3).
 
-Training counts words over all training documents, then word pairs, then triples; the query keeps
-them all.  ``train`` can also prune pairs and triples below a least count: a pair can occur so often
-only if both its words do, and a triple only if both its pairs do, so each level counts candidates
-of the level below and pruning stays exact.  Every level
-is split by the hash of the first word into shards; a shard is one file in the shared folder,
-memory-mapped by the workers that score: monotone child pointers and child ids as Elias-Fano
-sequences, 8-bit quantised discounted probabilities, 16-bit backoff weights.  The third word of
-a triple is stored relative to its context, as its rank among the successors of the second.
+Training reads the text twice.  The first pass counts words; a word's id is its rank in hash order.  The second counts
+triples by their middle word, so the task that owns a word sees all its successors: it sums the pairs, gives each
+successor its rank within that context, and passes every triple on to the owner of its first word, with the rank in
+place of the third word and with its counts of counts, from which each owner derives the same discounts.  Every level
+is split by the hash of the first word into shards; a shard is a file in the shared folder, memory-mapped by the
+workers that score: monotone child pointers and child ids as Elias-Fano sequences, 8-bit quantised discounted
+probabilities, 16-bit backoff weights.  A query goes down by successor search, the third word as its rank among the
+successors of the second.
 
     p(w) = (c + 1/2) / (N + (V + 1) / 2)
     p(w | h) = q(h w) + backoff(h) * p(w | shorter h),   backoff(h) = 1 - sum of q(h .)
 
-with q the quantised (c - D) / c(h), so every conditional distribution sums to one.
+with q the quantised (c - D) / c(h), so every conditional distribution sums to one.  D is n1 / (n1 + 2 n2) of the
+whole level, so scores do not depend on the number of shards.
 
 Defined results
 ---------------
 * Null and empty texts are the end token alone.  Without training documents every word is unknown and
   N = V = 0, so each token has probability 1.  A null doc_id is not held out and is learned from.
 * Words compare by 64-bit hash.  Repeated rows are counted and scored one by one; extra columns are ignored.
+* Counts are 64-bit; ids take as many bits as the vocabulary needs.
 """
 
 from __future__ import annotations
@@ -30,20 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import elias_fano as EF
 from gridloom.llm import words as W
 from gridloom.llm.language_id import held_out
-from gridloom.llm.runtime import scratch
+from gridloom.llm.runtime import mapped, open_shared, released, scratch
 
-#: least count of the pairs and triples that ``train`` keeps unless told otherwise
-MIN_COUNT = 2
-#: candidates a task gathers before it passes them on
-GATHER = 4_000_000
+#: least count of the pairs and triples that ``train`` keeps unless told otherwise: all of them
+MIN_COUNT = 1
+#: tokens a task gathers before it passes their counts on, and text scored at once
+GATHER = 1_000_000
+SCORE_BYTES = 2 << 20
 #: 8-bit codes are logarithms of probabilities from 1 down to 10 ** -DECADES
 DECADES = 8.0
+#: bytes of shards a worker holds where the shared folder cannot be mapped
+HELD_BYTES = 256 << 20
 
 _u64 = np.uint64
 END = W.seeds(1, 99)
@@ -52,112 +57,97 @@ END = W.seeds(1, 99)
 # -- shared files -----------------------------------------------------------------------------
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri.removeprefix("file:")
-
-
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """Write arrays to one file: a JSON directory, then 8-byte aligned data.  Appears whole or not at all."""
+    from pyarrow import fs
+
     at, directory, body = 0, {}, []
     for name, a in arrays.items():
         a = np.ascontiguousarray(a)
         directory[name] = [a.dtype.str, len(a), at]
-        raw = a.tobytes()
-        raw += b"\0" * (-len(raw) % 8)
-        body.append(raw)
-        at += len(raw)
+        body.append(a)
+        at += a.nbytes + -a.nbytes % 8
     head = json.dumps(directory).encode()
     head += b" " * (-(len(head) + 8) % 8)
-    fs_, path = _open(uri)
+    fs_, path = open_shared(uri)
     fs_.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs_.open_output_stream(part) as out:
         out.write(len(head).to_bytes(8, "little") + head)
-        for raw in body:
-            out.write(raw)
+        for a in body:
+            out.write(a.tobytes() + bytes(-a.nbytes % 8))
     try:
         fs_.move(part, path)
-    except OSError:  # a retried task finds the file of an earlier attempt: the same content
-        fs_.delete_file(path)
-        fs_.move(part, path)
-
+    except OSError:  # where a move cannot replace: an earlier attempt of this task has left the same content
+        if fs_.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        fs_.delete_file(part)
 
-def load(uri: str) -> dict[str, np.ndarray]:
-    """Arrays of a file: memory-mapped where the shared folder is a mounted one, else read."""
-    from pyarrow import fs
 
-    fs_, path = _open(uri)
-    if isinstance(fs_, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        with fs_.open_input_file(path) as f:
-            raw = np.frombuffer(f.read(), np.uint8)
+def load(uri: str) -> tuple[dict[str, np.ndarray], int]:
+    """Arrays of a file, and the bytes they hold in memory: memory-mapped where the shared folder is a mounted one, else read."""
+    raw, held = mapped(uri)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     out = {}
     for name, (kind, length, at) in json.loads(raw[8 : 8 + n].tobytes()).items():
         size = np.dtype(kind).itemsize * length
         out[name] = raw[8 + n + at : 8 + n + at + size].view(kind)
-    return out
+    return out, held
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array by significance: sorted keys then compress well in the shuffle."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+def _squeeze(a: np.ndarray, rising: bool = False) -> bytes:
+    """An array of non-negative numbers as compressed planes of bytes, as differences where it is ascending."""
+    a = np.asarray(a).astype(_u64)
+    if rising and len(a):
+        a = np.concatenate([a[:1], a[1:] - a[:-1]])
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _expand(raw: bytes, rising: bool = False) -> np.ndarray:
+    """The array again, in 32 bits where its numbers fit."""
+    width = raw[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
+    a = np.zeros((planes.shape[1], 4 if width <= 4 and not rising else 8), np.uint8)
+    a[:, :width] = planes.T
+    a = a.view(_u64 if rising or width > 4 else np.uint32).ravel()
+    return _narrow(np.cumsum(a, dtype=_u64)) if rising else a
 
 
-# -- counting ---------------------------------------------------------------------------------
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a
 
 
-def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        k, n = np.unique(keys, return_counts=True)
-        return k, n
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-COUNTED = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+# -- counting ---------------------------------------------------------------------------------
 
 
-def _gathered(parts: Iterator[np.ndarray], cut) -> Iterator[pa.RecordBatch]:
-    """Distinct keys with counts of a task's chunks, as one row per shard; ``cut`` gives the shard
-    bounds within sorted keys."""
-    keys, counts = [], []
+def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before."""
+    out = np.ones(len(sorted_columns[0]), bool)
+    out[1:] = False
+    for c in sorted_columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
-    def emit():
-        k, n = _tally(np.concatenate(keys), np.concatenate(counts))
-        bounds = cut(k)
-        rows = [(s, k[a:b], n[a:b]) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _, _ in rows], pa.int32()), pa.array([_planes(k) for _, k, _ in rows], pa.binary()), pa.array([_planes(n.astype(np.uint32)) for _, _, n in rows], pa.binary())],
-            schema=COUNTED,
-        )
 
-    for part in parts:
-        k, n = _tally(part)
-        keys.append(k)
-        counts.append(n)
-        if sum(map(len, keys)) > GATHER:
-            yield emit()
-            keys, counts = [], []
-    if keys:
-        yield emit()
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order of rows by two non-negative columns."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in (first, second)]
+    if sum(bits) <= 64 and bits[1] < 64:
+        word = first.astype(_u64) << _u64(bits[1])
+        word |= second.astype(_u64)
+        return np.argsort(word)
+    return np.lexsort((second, first))
 
 
-def _sequence(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sequence(batch: pa.RecordBatch, limit: int = W.CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per chunk: word hashes with the end token after each text, and the ranges of the texts."""
-    for i, j, data, off in W.chunks(batch.column("text")):
+    for i, j, data, off in W.chunks(batch.column("text"), limit):
         start, end, rows = W.spans(data, off, W.SPACED)
         at = rows + np.arange(len(rows))
         h = np.empty(at[-1], _u64)
@@ -168,10 +158,19 @@ def _sequence(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         yield i, j, h, at
 
 
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [_from_planes(x.as_py(), _u64) for x in table.column("keys")]
-    counts = [_from_planes(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts")]
-    return _tally(np.concatenate(keys), np.concatenate(counts))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and text starts of about ``GATHER`` tokens at a time."""
+    held, heads, n = [], [], 0
+    for b in batches:
+        for _, _, h, at in _sequence(b):
+            held.append(h)
+            heads.append(at[:-1] + n)
+            n += len(h)
+            if n >= GATHER:
+                yield np.concatenate(held), np.concatenate(heads)
+                held, heads, n = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(heads)
 
 
 def _quantise(p: np.ndarray) -> np.ndarray:
@@ -182,33 +181,36 @@ def _quantise(p: np.ndarray) -> np.ndarray:
 _DECODE = 10.0 ** (-np.arange(256) / 255 * DECADES)
 
 
-def _level(parent: np.ndarray, child: np.ndarray, count: np.ndarray, context: np.ndarray, discount: float) -> dict[str, np.ndarray]:
-    """One shard of a level: parents are 0..len(context)-1, (parent, child) ascending, counts pruned."""
-    n = len(context)
-    pointer = np.searchsorted(parent, np.arange(n + 1))
+def _tree(parent: np.ndarray, child: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Pointers and children of one shard of a level: parents are 0..n-1, (parent, child) ascending."""
+    pointer = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=n))])
     # children of each parent are offset by the last value before them, so the whole sequence is monotone
     last = np.zeros(n, np.int64)
     some = pointer[1:] > pointer[:-1]
-    last[some] = child[pointer[1:][some] - 1] + 1
-    base = np.concatenate([[0], np.cumsum(last)])[:-1]
-    code = _quantise((count - discount) / context[parent])
-    mass = np.zeros(n)
-    np.add.at(mass, parent, _DECODE[code])
+    last[some] = child[pointer[1:][some] - 1].astype(np.int64) + 1
+    base = np.cumsum(last) - last
+    return {f"pointer.{k}": v for k, v in EF.build(pointer).items()} | {f"child.{k}": v for k, v in EF.build(base[parent] + child).items()}
+
+
+def _weights(parent: np.ndarray, count: np.ndarray, context: np.ndarray, discount: float) -> dict[str, np.ndarray]:
+    """Codes of the children and backoff weights of the parents, whose counts are ``context``."""
+    code = np.empty(len(parent), np.uint8)
+    for i in range(0, len(parent), 1 << 18):
+        part = slice(i, i + (1 << 18))
+        code[part] = _quantise((count[part] - discount) / context[parent[part]])
+    total = lambda: np.bincount(parent, _DECODE[code], len(context))
+    mass = total()
     # rounding up may overfill a context: lower its codes until the backoff is positive
-    over = np.flatnonzero(mass > 0.999)
-    while len(over):
-        hit = np.isin(parent, over) & (code < 255)
+    while (over := mass > 0.999).any():
+        hit = over[parent] & (code < 255)
+        if not hit.any():
+            break
         code[hit] += 1
-        mass[over] = 0
-        np.add.at(mass, parent[hit], _DECODE[code[hit]])
-        over = over[mass[over] > 0.999]
-    backoff = np.rint((1 - mass) * 65535).astype(np.uint16)
-    out = {f"pointer.{k}": v for k, v in EF.build(pointer).items()} | {f"child.{k}": v for k, v in EF.build(base[parent] + child).items()}
-    return out | {"code": code, "backoff": np.maximum(backoff, 1), "count": count.astype(np.uint32)}
+        mass = total()
+    return {"code": code, "backoff": np.maximum(np.rint((1 - mass) * 65535), 1).astype(np.uint16)}
 
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = (counts == 1).sum(), (counts == 2).sum()
+def _discount(one: int, two: int) -> float:
     return float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9))
 
 
@@ -218,24 +220,31 @@ def _discount(counts: np.ndarray) -> float:
 class _Shard:
     """One shard of a level, as mapped."""
 
-    def __init__(self, uri: str):
-        a = load(uri)
-        pick = lambda p: {k.split(".", 1)[1]: v for k, v in a.items() if k.startswith(p)}
+    def __init__(self, tree: dict, weights: dict | None = None):
+        pick = lambda p: {k.split(".", 1)[1]: v for k, v in tree.items() if k.startswith(p)}
         self.pointer, self.child = EF.EliasFano(pick("pointer.")), EF.EliasFano(pick("child."))
-        self.code, self.backoff, self.count = a["code"], a["backoff"], a["count"]
+        if weights is not None:
+            self.code, self.backoff = weights["code"], weights["backoff"]
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of each (parent, child) or -1, first index of each parent's children); sorted by parent."""
-        own, back = np.unique(parent, return_inverse=True)
-        lo, hi = (self.pointer.get(own + k).astype(np.int64) for k in (0, 1))
-        base = np.zeros(len(own), _u64)
-        before = np.flatnonzero(lo > 0)
+        head = _heads(parent)
+        back = np.cumsum(head) - 1
+        lo, hi = (x.astype(np.int64) for x in self.pointer.get_two(parent[head]))
+        base = np.zeros(len(lo), _u64)
+        before = np.flatnonzero((lo > 0) & (hi > lo))
         base[before] = self.child.get(lo[before] - 1) + _u64(1)
-        x = base[back] + child.astype(_u64)
-        at = self.child.successor(x)
-        ok = (at >= lo[back]) & (at < hi[back])
-        ok[ok] = self.child.get(at[ok]) == x[ok]
-        return np.where(ok, at, -1), lo[back]
+        lo = lo[back]
+        at = self.child.find(base[back] + child.astype(_u64))
+        return np.where((at >= lo) & (at < hi[back]), at, -1), lo
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(parent, child) of all entries."""
+        pointer = self.pointer.all().astype(np.int64)
+        value = self.child.all()
+        size = np.diff(pointer)
+        base = np.concatenate([[0], value + _u64(1)]).astype(_u64)[pointer[:-1]]
+        return np.repeat(np.arange(len(size)), size), (value - np.repeat(base, size)).astype(np.int64)
 
 
 class Trie:
@@ -244,114 +253,112 @@ class Trie:
     def __init__(self, uri: str, meta: dict):
         self.uri, self.meta = uri, meta
         self.shift = _u64(64 - int(meta["shards"]).bit_length() + 1)
-        # a triple's key holds the index of a pair above the rank of a word among all words
-        self.rank_bits = _u64(int(meta.get("types", 0)).bit_length())
         self.starts = {k: np.asarray(meta[k], np.int64) for k in ("words", "pairs") if k in meta}
-        self._vocabulary: dict[int, dict] = {}
-        self._levels: dict[tuple[int, int], _Shard] = {}
-
-    def _shard_bounds(self, h: np.ndarray) -> np.ndarray:
+        self._open: dict[str, object] = {}
+        self._held = 0
+
+    def _load(self, name: str) -> dict:
+        arrays, held = load(f"{self.uri}/{name}.bin")
+        if self._held + held > HELD_BYTES:  # only where shards are read instead of mapped
+            self._open.clear()
+            self._held = 0
+        self._held += held
+        return arrays
+
+    def shard_bounds(self, h: np.ndarray) -> np.ndarray:
         """Bounds of the shards within ascending hashes."""
         if self.meta["shards"] == 1:
             return np.array([0, len(h)])
         return np.searchsorted(h >> self.shift, np.arange(self.meta["shards"] + 1, dtype=_u64))
 
-    def _words(self, s: int) -> dict:
-        if s not in self._vocabulary:
-            self._vocabulary[s] = load(f"{self.uri}/words-{s}.bin")
-        return self._vocabulary[s]
+    def words(self, s: int) -> dict:
+        key = f"words-{s}"
+        if key not in self._open:
+            self._open[key] = self._load(key)
+        return self._open[key]
 
     def level(self, n: int, s: int) -> _Shard:
-        if (n, s) not in self._levels:
-            self._levels[n, s] = _Shard(f"{self.uri}/level{n}-{s}.bin")
-        return self._levels[n, s]
+        key = f"level{n}-{s}"
+        if key not in self._open:
+            self._open[key] = _Shard(self._load(f"tree{n}-{s}"), self._load(f"weights{n}-{s}"))
+        return self._open[key]
 
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, training count) of each word hash."""
-        own, back = np.unique(h, return_inverse=True)
+    def lookup(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, training count) of ascending word hashes."""
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
-        bounds = self._shard_bounds(own)
-        for s in np.flatnonzero(np.diff(bounds)):
+        bounds = self.shard_bounds(own)
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             if self.starts["words"][s] == self.starts["words"][s + 1]:
                 continue
             a, b = bounds[s], bounds[s + 1]
-            known = self._words(int(s))
+            known = self.words(s)
             at = np.minimum(np.searchsorted(known["hash"], own[a:b]), len(known["hash"]) - 1)
             ok = known["hash"][at] == own[a:b]
             ids[a:b] = np.where(ok, at + self.starts["words"][s], -1)
             counts[a:b] = np.where(ok, known["count"][at], 0)
-        return ids[back], counts[back]
+        return ids, counts
 
     def _find(self, n: int, starts: np.ndarray, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, ...]:
         """For ascending (parent, child): local index or -1, shard, discounted probability, rank among the parent's children."""
-        at, shard = np.full(len(parent), -1, np.int64), np.searchsorted(starts, parent, "right") - 1
+        at, shard = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64)
         q, rank = np.zeros(len(parent)), np.zeros(len(parent), np.int64)
         bounds = np.searchsorted(parent, starts)
-        for s in np.flatnonzero(np.diff(bounds)):
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[s], bounds[s + 1]
-            lv = self.level(n, int(s))
+            lv = self.level(n, s)
             i, lo = lv.find(parent[a:b] - starts[s], child[a:b])
-            hit = i >= 0
-            at[a:b], rank[a:b] = i, i - lo
-            q[a:b][hit] = _DECODE[lv.code[i[hit]]]
+            hit = np.flatnonzero(i >= 0)
+            at[a:b], rank[a:b], shard[a:b] = i, i - lo, s
+            q[a + hit] = _DECODE[lv.code[i[hit]]]
         return at, shard, q, rank
 
     def _backoff(self, n: int, starts: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Backoff weight of ascending contexts."""
         out = np.ones(len(parent))
         bounds = np.searchsorted(parent, starts)
-        for s in np.flatnonzero(np.diff(bounds)):
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[s], bounds[s + 1]
-            out[a:b] = self.level(n, int(s)).backoff[parent[a:b] - starts[s]] / 65535
+            out[a:b] = self.level(n, s).backoff[parent[a:b] - starts[s]] / 65535
         return out
 
-    def pairs(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        """For each position that follows another of its text and could be a kept pair with it: the
-        position, the pair's index over all shards (or -1), its probability and relative rank."""
-        pos = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & (counts[1:] >= self.meta["least"]) & (counts[:-1] >= self.meta["least"])) + 1
-        head = np.zeros(len(ids) + 1, bool)
-        head[at] = True
-        pos = pos[~head[pos]]
-        key = (ids[pos - 1].astype(_u64) << _u64(32)) | ids[pos].astype(_u64)
-        own, back = np.unique(key, return_inverse=True)
-        local, shard, q, rank = self._find(2, self.starts["words"], (own >> _u64(32)).astype(np.int64), (own & _u64(0xFFFFFFFF)).astype(np.int64))
-        index = np.where(local >= 0, local + self.starts["pairs"][shard], -1) if "pairs" in self.starts else local
-        return {"pos": pos, "index": index[back], "q": q[back], "rank": rank[back]}
-
-    def triples(self, found: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions that end two kept pairs in a row, key: index of the first pair, relative rank of the second)."""
-        hit = found["index"] >= 0
-        index, rank = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        index[found["pos"][hit]], rank[found["pos"][hit]] = found["index"][hit], found["rank"][hit]
-        pos = np.flatnonzero((index[1:] >= 0) & (index[:-1] >= 0)) + 1
-        return pos, (index[pos - 1].astype(_u64) << self.rank_bits) | rank[pos].astype(_u64)
+    def _step(self, n: int, starts: np.ndarray, parent: np.ndarray, child: np.ndarray, p: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One level down at ``pos``: weighs ``p`` by the contexts' backoff, adds what is known of (parent, child),
+        and returns (positions of hits, their local index and shard, rank)."""
+        order = _order(parent, child + 1)
+        a, b = parent[order], child[order]
+        head = _heads(a, b)
+        back = np.empty(len(pos), np.int64)
+        back[order] = np.cumsum(head) - 1
+        a, b = a[head], b[head]
+        first = _heads(a)
+        weight = self._backoff(n, starts, a[first])[np.cumsum(first) - 1]
+        index, shard, q, rank = (np.full(len(a), -1, np.int64), np.zeros(len(a), np.int64), np.zeros(len(a)), np.zeros(len(a), np.int64))
+        known = np.flatnonzero(b >= 0)
+        index[known], shard[known], q[known], rank[known] = self._find(n, starts, a[known], b[known])
+        p[pos] = p[pos] * weight[back] + q[back]
+        hit = np.flatnonzero(index[back] >= 0)
+        return pos[hit], (self.starts["pairs"][shard] + index)[back[hit]] if n == 2 else hit, rank[back[hit]]
 
     def log_probabilities(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 p, base log10 p, training count) of each token of texts at ``at``."""
-        ids, counts = self.lookup(h)
+        own, _, back = W.distinct(h)
+        ids, counts = self.lookup(own) if self.meta["types"] else (np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64))
         total = self.meta["tokens"] + 0.5 * (self.meta["types"] + 1)
+        ids, counts = ids[back], counts[back]
         first = (counts + 0.5) / total if self.meta["types"] else np.ones(len(h))
         p = first.copy()
         if self.meta["types"]:
-            head = np.zeros(len(h) + 1, bool)
-            head[at] = True
-            follows = np.flatnonzero(~head[: len(h)])
-            follows = follows[ids[follows - 1] >= 0]
-            own, back = np.unique(ids[follows - 1], return_inverse=True)
-            p[follows] *= self._backoff(2, self.starts["words"], own)[back]
-            found = self.pairs(ids, counts, at)
-            p[found["pos"]] += found["q"]
-            # contexts of two words: every position after a kept pair backs off by that pair's weight
-            hit = found["index"] >= 0
-            index = np.full(len(h), -1, np.int64)
-            index[found["pos"][hit]] = found["index"][hit]
-            after = np.flatnonzero(~head[1 : len(h)] & (index[:-1] >= 0)) + 1
-            own, back = np.unique(index[after - 1], return_inverse=True)
-            p[after] *= self._backoff(3, self.starts["pairs"], own)[back]
-            pos, key = self.triples(found, len(h))
-            own, back = np.unique(key, return_inverse=True)
-            _, _, q, _ = self._find(3, self.starts["pairs"], (own >> self.rank_bits).astype(np.int64), (own & ((_u64(1) << self.rank_bits) - _u64(1))).astype(np.int64))
-            p[pos] += q[back]
+            head = np.zeros(len(h), bool)
+            head[at[:-1]] = True
+            pos = np.flatnonzero(~head)
+            pos = pos[ids[pos - 1] >= 0]
+            pos, index, rank = self._step(2, self.starts["words"], ids[pos - 1], ids[pos], p, pos)
+            # contexts of two words: every position after a kept pair; the next word is known by its rank, -1 where it is no successor
+            pair, order = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
+            pair[pos], order[pos] = index, rank
+            pos = np.flatnonzero(~head[1:] & (pair[:-1] >= 0)) + 1
+            if len(pos):
+                self._step(3, self.starts["pairs"], pair[pos - 1], order[pos], p, pos)
         return np.log10(p), np.log10(first), counts
 
 
@@ -366,102 +373,201 @@ def opened(uri: str, meta: dict) -> Trie:
     return _tries[key]
 
 
-def _starts(rows, shards: int) -> list[int]:
-    n = dict((r["shard"], r["n"]) for r in rows)
-    return np.concatenate([[0], np.cumsum([n.get(s, 0) for s in range(shards)])]).tolist()
+def _starts(rows, shards: int, column: str) -> list[int]:
+    n = dict((r["shard"], r[column]) for r in rows)
+    return np.concatenate([[0], np.cumsum([n.get(s, 0) for s in range(shards)], dtype=np.int64)]).tolist()
 
 
-def train(docs: DataFrame, least: int = MIN_COUNT) -> tuple[str, dict]:
-    """Build the trie over all rows of ``docs(text)``, without pairs and triples of fewer than ``least``
-    occurrences; returns its folder and directory."""
-    spark = docs.sparkSession
-    uri = scratch(spark, "ngram-trie")
-    text = docs.select("text")
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meta: dict = {"shards": 1 << math.ceil(math.log2(width)), "least": least}
-    shards = meta["shards"]
+def _by_shard(table: pa.Table, column: str) -> list:
+    return table.column(column).to_pylist()
 
-    def words(batches):
+
+def _count_words(uri: str, meta: dict):
+    def count(batches):
         trie = Trie(uri, meta)
-        yield from _gathered((h for b in batches for _, _, h, _ in _sequence(b)), trie._shard_bounds)
+        for h, _ in _gathered(batches):
+            h.sort()
+            at = np.flatnonzero(_heads(h))
+            n = np.diff(np.append(at, len(h)))
+            own = h[at]
+            bounds = trie.shard_bounds(own)
+            live = np.flatnonzero(np.diff(bounds)).tolist()
+            cols = [[_squeeze(own[bounds[s] : bounds[s + 1]], True) for s in live], [_squeeze(n[bounds[s] : bounds[s + 1]]) for s in live]]
+            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", "keys", "counts"])
 
-    def merge_words(key, table):
-        k, n = _merge(table)
-        s = key[0].as_py()
-        save(f"{uri}/words-{s}.bin", {"hash": k, "count": n})
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)]), "total": pa.array([int(n.sum())])})
+    return count
 
-    stats = "shard int, n long, total long"
-    counted = "shard int, keys binary, counts binary"
-    rows = text.mapInArrow(words, counted).groupBy("shard").applyInArrow(merge_words, stats).collect()
-    meta |= {"words": _starts(rows, shards), "types": sum(r["n"] for r in rows), "tokens": sum(r["total"] for r in rows)}
-    if not rows:
-        return uri, meta
-    word_meta = dict(meta)
 
-    def pairs(batches):
-        trie = opened(uri, word_meta)
-        starts = trie.starts["words"]
+def _merge_words(uri: str):
+    def merge(key, table):
+        s = key[0].as_py()
+        keys = np.concatenate([_expand(x, True).astype(_u64) for x in _by_shard(table, "keys")])
+        counts = _joined([_expand(x) for x in _by_shard(table, "counts")]).astype(np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(_heads(keys))
+        n = np.add.reduceat(counts[order], at)
+        save(f"{uri}/words-{s}.bin", {"hash": keys[at], "count": n})
+        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(n)]), "total": pa.array([int(n.sum())])})
 
-        def keys():
-            for b in batches:
-                for _, _, h, at in _sequence(b):
-                    ids, counts = trie.lookup(h)
-                    head = np.zeros(len(h) + 1, bool)
-                    head[at] = True
-                    pos = np.flatnonzero(~head[1 : len(h)] & (counts[1:] >= least) & (counts[:-1] >= least)) + 1
-                    yield (ids[pos - 1].astype(_u64) << _u64(32)) | ids[pos].astype(_u64)
+    return merge
 
-        yield from _gathered(keys(), lambda k: np.searchsorted(k, starts.astype(_u64) << _u64(32)))
 
-    # every shard with words gets a file, with or without kept pairs
-    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+def _count_triples(uri: str, meta: dict):
+    """Triples by middle word, third word, first word (plus one; 0 before the text), with their counts."""
 
-    def merge_pairs(key, table):
+    def count(batches):
+        trie = opened(uri, meta)
+        starts = trie.starts["words"]
+        for h, heads in _gathered(batches):
+            own, _, back = W.distinct(h)
+            ids = trie.lookup(own)[0][back]
+            head = np.zeros(len(h), bool)
+            head[heads] = True
+            pos = np.flatnonzero(~head)
+            before = np.where(head[pos - 1], 0, ids[pos - 2] + 1)
+            b, c = ids[pos - 1], ids[pos]
+            order = _order(b, c)
+            b, c, before = b[order], c[order], before[order]
+            pair = _heads(b, c)
+            group = np.cumsum(pair) - 1
+            inner = _order(group, before)
+            group, before = group[inner], before[inner]
+            at = np.flatnonzero(_heads(group, before))
+            n = np.diff(np.append(at, len(group)))
+            group, before, b, c = group[at], before[at], b[pair], c[pair]
+            many = np.bincount(group, minlength=len(b))
+            cut, ends = np.searchsorted(b, starts), np.concatenate([[0], np.cumsum(many)])
+            live = np.flatnonzero(np.diff(cut)).tolist()
+            rows = {"shard": live, "b": [], "c": [], "many": [], "before": [], "counts": []}
+            for s in live:
+                i, j = cut[s], cut[s + 1]
+                x, y = ends[i], ends[j]
+                for name, blob in (("b", _squeeze(b[i:j] - starts[s], True)), ("c", _squeeze(c[i:j])), ("many", _squeeze(many[i:j])), ("before", _squeeze(before[x:y])), ("counts", _squeeze(n[x:y]))):
+                    rows[name].append(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("b", "c", "many", "before", "counts"))], names=list(rows))
+
+    return count
+
+
+_TRIPLES = "shard int, b binary, c binary, many binary, before binary, counts binary"
+_PASSED = "shard int, source int, one2 long, two2 long, one3 long, two3 long, first binary, second binary, rank binary, counts binary, pairs binary, sizes binary"
+
+
+def _merge_by_middle(uri: str, meta: dict, least: int):
+    """The shard of words ``s``: its pairs as a tree, and its triples passed on to the shards of their first words."""
+
+    def merge(key, table):
         s = key[0].as_py()
-        k, n = _merge(table)
-        trie = opened(uri, word_meta)
-        lo, hi = trie.starts["words"][s : s + 2]
-        d = _discount(n)
-        keep = n >= least
-        k, n = k[keep], n[keep]
-        context = trie._words(s)["count"] if hi > lo else np.zeros(0, np.int64)
-        level = _level((k >> _u64(32)).astype(np.int64) - lo, (k & _u64(0xFFFFFFFF)).astype(np.int64), n, context, d)
-        save(f"{uri}/level2-{s}.bin", level)
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)]), "total": pa.array([int(n.sum())])})
-
-    rows = text.mapInArrow(pairs, counted).unionByName(every).groupBy("shard").applyInArrow(merge_pairs, stats).collect()
-    meta["pairs"] = _starts(rows, shards)
-    pair_meta = dict(meta)
-
-    def triples(batches):
-        trie = opened(uri, pair_meta)
-        starts = trie.starts["pairs"]
-
-        def keys():
-            for b in batches:
-                for _, _, h, at in _sequence(b):
-                    ids, counts = trie.lookup(h)
-                    yield trie.triples(trie.pairs(ids, counts, at), len(h))[1]
-
-        yield from _gathered(keys(), lambda k: np.searchsorted(k, starts.astype(_u64) << trie.rank_bits))
-
-    def merge_triples(key, table):
+        trie = opened(uri, meta)
+        starts, shards = trie.starts["words"], trie.meta["shards"]
+        n_words = int(starts[s + 1] - starts[s])
+        read = lambda name, rising=False: _joined([_expand(x, rising) for x in _by_shard(table, name) if x is not None])
+        b, c, many = read("b", True), read("c"), read("many")
+        order = _order(b, c)
+        head = _heads(b[order], c[order])
+        group = np.empty(len(b), np.uint32)
+        group[order] = np.cumsum(head) - 1
+        b, c = b[order][head], c[order][head]
+        group, before = np.repeat(group, many), read("before")
+        order = _order(group, before)
+        n = read("counts")[order].astype(np.int64)
+        group, before = group[order], before[order]
+        del order, many, head
+        at = np.flatnonzero(_heads(group, before))
+        n = np.add.reduceat(n, at) if len(at) else n
+        group, before = group[at], before[at]
+        pairs = np.add.reduceat(n, np.flatnonzero(_heads(group))) if len(at) else n
+        inside = before > 0
+        del at
+        stats = [int((x == k).sum()) for x, k in ((pairs, 1), (pairs, 2), (n[inside], 1), (n[inside], 2))]
+        if least > 1:
+            keep = pairs >= least
+            inside &= (n >= least) & keep[group]
+            group = np.maximum(np.cumsum(keep) - 1, 0).astype(np.uint32)[group]
+            b, c, pairs = b[keep], c[keep], pairs[keep]
+        save(f"{uri}/tree2-{s}.bin", _tree(b, c, n_words))
+        sizes = np.bincount(b, minlength=n_words)
+        rank = _narrow(np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        group, first, n = group[inside], before[inside] - 1, n[inside]
+        order = _order(first, np.arange(len(first), dtype=np.uint32))
+        group, first, n = group[order], first[order], n[order]
+        del order, inside, before
+        cut = np.searchsorted(first, starts)
+        blobs = {k: [] for k in ("first", "second", "rank", "counts")}
+        for t in range(shards):
+            i, j = cut[t], cut[t + 1]
+            g = group[i:j]
+            for name, blob in (("first", _squeeze(first[i:j] - starts[t], True)), ("second", _squeeze(b[g])), ("rank", _squeeze(rank[g])), ("counts", _squeeze(n[i:j]))):
+                blobs[name].append(blob)
+        own = [None] * shards
+        out = {"shard": pa.array(range(shards), pa.int32()), "source": pa.array([s] * shards, pa.int32())}
+        out |= {k: pa.array([x] * shards, pa.int64()) for k, x in zip(("one2", "two2", "one3", "two3"), stats)}
+        out |= {k: pa.array(v, pa.binary()) for k, v in blobs.items()}
+        for name, a in (("pairs", pairs), ("sizes", sizes)):
+            out[name] = pa.array([*own[:s], _squeeze(a), *own[s + 1 :]], pa.binary())
+        return pa.table(out)
+
+    return merge
+
+
+def _merge_by_first(uri: str, meta: dict):
+    """The weights of the pairs of shard ``s`` and its part of the level of triples."""
+
+    def merge(key, table):
         s = key[0].as_py()
-        k, n = _merge(table)
-        trie = opened(uri, pair_meta)
-        lo = trie.starts["pairs"][s]
-        d = _discount(n)
-        keep = n >= least
-        k, n = k[keep], n[keep]
-        parent, child = (k >> trie.rank_bits).astype(np.int64) - lo, (k & ((_u64(1) << trie.rank_bits) - _u64(1))).astype(np.int64)
-        level = _level(parent, child, n, trie.level(2, s).count, d)
-        save(f"{uri}/level3-{s}.bin", level)
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)]), "total": pa.array([int(n.sum())])})
-
-    rows = text.mapInArrow(triples, counted).unionByName(every).groupBy("shard").applyInArrow(merge_triples, stats).collect()
-    meta["triples"] = _starts(rows, shards)
-    return uri, meta
+        trie = opened(uri, meta)
+        starts = trie.starts["words"]
+        seen = {r["source"]: r for r in table.select(["source", "one2", "two2", "one3", "two3", "pairs", "sizes"]).to_pylist()}
+        discounts = [_discount(sum(r[a] for r in seen.values()), sum(r[b] for r in seen.values())) for a, b in (("one2", "two2"), ("one3", "two3"))]
+        n_words = int(starts[s + 1] - starts[s])
+        mine = seen[s]
+        pairs, sizes = (_expand(mine[k]).astype(np.int64) for k in ("pairs", "sizes"))
+        parent = np.repeat(np.arange(n_words), sizes)
+        context = trie.words(s)["count"] if n_words else np.zeros(0, np.int64)
+        save(f"{uri}/weights2-{s}.bin", _weights(parent, pairs, context, discounts[0]))
+        read = lambda name, rising=False: [_expand(x, rising) for x in _by_shard(table, name)]
+        # each triple's pair: its place among the pairs of this shard
+        first = _joined(read("first", True))
+        second = _joined([_narrow(x + starts[k]) for x, k in zip(read("second"), _by_shard(table, "source"))])
+        order = _order(first, second)
+        a, b = first[order], second[order]
+        del first, second
+        head = _heads(a, b)
+        place = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(a[head].astype(np.int64), b[head].astype(np.int64))[0]
+        index = np.empty(len(order), np.uint32 if len(pairs) < 1 << 32 else np.int64)
+        index[order] = place[np.cumsum(head) - 1]
+        del a, b, head, place
+        rank = _joined(read("rank"))
+        order = _order(index, rank)
+        index, rank = index[order], rank[order]
+        save(f"{uri}/tree3-{s}.bin", _tree(index, rank, len(pairs)))
+        del rank
+        n = _joined(read("counts"))[order]
+        save(f"{uri}/weights3-{s}.bin", _weights(index, n, pairs, discounts[1]))
+        return pa.table({"shard": pa.array([s], pa.int32()), "pairs": pa.array([len(pairs)]), "triples": pa.array([len(index)])})
+
+    return merge
+
+
+def train(docs: DataFrame, least: int = MIN_COUNT) -> tuple[str, dict]:
+    """Build the trie over all rows of ``docs(text)``, without pairs and triples of fewer than ``least``
+    occurrences (the query keeps them all); returns its folder and directory."""
+    spark = docs.sparkSession
+    uri = scratch(spark, "ngram-trie")
+    text = docs.select("text")
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meta: dict = {"shards": 1 << math.ceil(math.log2(width))}
+    rows = text.mapInArrow(released(_count_words(uri, meta)), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(_merge_words(uri), "shard int, n long, total long").collect()
+    meta |= {"words": _starts(rows, meta["shards"], "n"), "types": sum(r["n"] for r in rows), "tokens": sum(r["total"] for r in rows)}
+    if not rows:
+        return uri, meta
+    # every shard gets its files, with or without triples
+    every = spark.range(meta["shards"]).selectExpr("cast(id as int) as shard", *(f"cast(null as binary) as {k}" for k in ("b", "c", "many", "before", "counts")))
+    counted = text.mapInArrow(released(_count_triples(uri, dict(meta))), _TRIPLES).unionByName(every)
+    passed = counted.groupBy("shard").applyInArrow(_merge_by_middle(uri, dict(meta), least), _PASSED)
+    rows = passed.groupBy("shard").applyInArrow(_merge_by_first(uri, dict(meta)), "shard int, pairs long, triples long").collect()
+    return uri, meta | {k: _starts(rows, meta["shards"], k) for k in ("pairs", "triples")}
 
 
 def score(docs: DataFrame, uri: str, meta: dict) -> DataFrame:
@@ -471,7 +577,7 @@ def score(docs: DataFrame, uri: str, meta: dict) -> DataFrame:
     def run(batches):
         trie = opened(uri, meta)
         for b in batches:
-            for i, j, h, at in _sequence(b):
+            for i, j, h, at in _sequence(b, SCORE_BYTES):
                 p, base, counts = trie.log_probabilities(h, at)
                 head = at[:-1]
                 n = np.diff(at)
@@ -481,12 +587,12 @@ def score(docs: DataFrame, uri: str, meta: dict) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        released(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
 def op6_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    uri, meta = train(docs.where(~held_out(1, 5)), least=1)
+    uri, meta = train(docs.where(~held_out(1, 5)))
     out = score(docs, uri, meta)
     return out.select("doc_id", held_out(1, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

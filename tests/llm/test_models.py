@@ -44,7 +44,7 @@ def test_language_model(spark, docs, corpus):
     keep = [r for r in corpus if not held(r[0], 1, 5)]
     one, two, three = brute_model([r[1] for r in keep])
     n, v = sum(one.values()), len(one)
-    uri, meta = ngram_lm.train(docs.where(~language_id.held_out(1, 5)))
+    uri, meta = ngram_lm.train(docs.where(~language_id.held_out(1, 5)), least=2)
     assert (meta["tokens"], meta["types"]) == (n, v)
     assert meta["pairs"][-1] == sum(c > 1 for c in two.values())
     assert meta["triples"][-1] == sum(c > 1 and two[k[0], k[1]] > 1 and two[k[1], k[2]] > 1 for k, c in three.items())
@@ -76,6 +76,87 @@ def test_whole_language_model(spark, docs, corpus, tmp_path):
     assert (meta["pairs"][-1], meta["triples"][-1]) == (len(two), len(three))
 
 
+def brute_scores(texts, train):
+    """The same model by dictionaries: quantised discounted probabilities with backoff."""
+    one, two, three = brute_model(train)
+    n, v = sum(one.values()), len(one)
+
+    def level(grams, context):
+        ones, twos = (sum(c == k for c in grams.values()) for k in (1, 2))
+        d = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)
+        code, by = {g: int(ngram_lm._quantise(np.array([(c - d) / context(g)]))[0]) for g, c in grams.items()}, {}
+        for g in grams:
+            by.setdefault(g[:-1], []).append(g)
+        back = {}
+        for h, kids in by.items():
+            while (mass := sum(10.0 ** (-code[g] / 255 * ngram_lm.DECADES) for g in kids)) > 0.999:
+                for g in kids:
+                    code[g] = min(255, code[g] + 1)
+            back[h] = max(1, round((1 - mass) * 65535)) / 65535
+        return {g: 10.0 ** (-c / 255 * ngram_lm.DECADES) for g, c in code.items()}, back
+
+    q2, b2 = level(two, lambda g: one[g[0]])
+    q3, b3 = level(three, lambda g: two[g[:2]])
+    out = []
+    for t in texts:
+        w, total = tokens(t), 0.0
+        for k, x in enumerate(w):
+            p = (one.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))
+            if k and w[k - 1] in one:
+                p = p * b2.get((w[k - 1],), 1.0) + q2.get((w[k - 1], x), 0.0)
+            if k > 1 and (w[k - 2], w[k - 1]) in two:
+                p = p * b3.get((w[k - 2], w[k - 1]), 1.0) + q3.get((w[k - 2], w[k - 1], x), 0.0)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [4, 16])
+def test_scores_equal_the_brute_force_model(spark, docs, corpus, partitions):
+    want = brute_scores([r[1] for r in corpus], [r[1] for r in corpus if not held(r[0], 1, 5)])
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        uri, meta = ngram_lm.train(docs.where(~language_id.held_out(1, 5)))
+        got = {}
+        for r in ngram_lm.score(docs, uri, meta).collect():
+            got.setdefault(r["doc_id"], []).append(r["score"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert meta["shards"] == partitions
+    for (i, *_), x in zip(corpus, want):
+        assert got[i][0] == pytest.approx(x, abs=1e-6 + 1e-6 * abs(x)), i
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    for a in (np.zeros(0), np.array([0]), np.array([2**63, 2**64 - 1], np.uint64), rng.integers(0, 300, 1000)):
+        a = a.astype(np.uint64)
+        assert (ngram_lm._expand(ngram_lm._squeeze(a)) == a).all()
+        a.sort()
+        assert (ngram_lm._expand(ngram_lm._squeeze(a, True), True) == a).all()
+    from gridloom.llm import words
+
+    for h in (rng.integers(0, 50, 999), rng.integers(0, 2**62, 999), np.repeat(rng.integers(0, 2**62, 9), 50) + rng.integers(0, 3, 450)):
+        h = h.astype(np.uint64)
+        keys, first, back = words.distinct(h)
+        want = np.unique(h, return_index=True, return_inverse=True)
+        assert all((x == y).all() for x, y in zip((keys, first, back), want))
+
+
+def test_words_of_one_algebraic_family_have_their_own_hashes():
+    import pyarrow as pa
+    from test_outputs import twins
+
+    from gridloom.llm import words
+
+    texts = [*twins(), *twins(16), *twins(32), "a" * 7, "a" * 8, "a" * 32, "a" * 33, "A" * 33, "\0", "\0\0", "\0" * 8, "\0" * 9]
+    data, off = words.flat(pa.array(texts))
+    h = words.hashes(data, off[:-1], off[1:])
+    assert len(set(h.tolist())) == len(texts) - 1 and h[9] == h[10]
+    s, e, _ = words.spans(data, off, words.SPACED)
+    assert (words.hashes(data, s, e) == h).all()
+
+
 def test_conditional_distributions_sum_to_one(spark, docs, corpus):
     """Over all known words and one unknown word, after one and after two words."""
     import pyarrow as pa
@@ -124,6 +205,16 @@ def test_language_identification(spark):
     assert all(r["held_out"] == held(i, 2, 4) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
+@pytest.mark.parametrize("rate", [0.5, 50.0])
+def test_language_training_stays_finite(spark, monkeypatch, rate):
+    monkeypatch.setattr(language_id, "RATE", rate)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").select("text", "lang").collect()
+    with np.errstate(over="raise", invalid="raise"):
+        model = language_id.train([r["text"] for r in rows] + ["", "a", "zz " * 100_000], [r["lang"] for r in rows] + ["en", "de", "fr"])
+    assert np.isfinite(model.scores).all() and np.isfinite(model.bias).all()
+    assert language_id.TEMPERATURES[0] < model.temperature < language_id.TEMPERATURES[-1] and 0 < model.reject_below < 1
+
+
 def test_language_edges(spark, docs, corpus, empty):
     model = language_id.train(["der die das und " * 9, "the and of a " * 9], ["de", "en"])
     extra = spark.createDataFrame([(900, "123 !?"), (901, "語"), (902, "«»")], "doc_id long, text string")
