@@ -1,5 +1,5 @@
-"""Near-duplicate documents: many universal-hash minima, banding, exact confirmation,
-and connected components by alternating large-star and small-star.
+"""Near-duplicate documents: many universal-hash minima, banding, signature verification, exact
+confirmation, and connected components by alternating large-star and small-star.
 
 Defined results
 ---------------
@@ -18,7 +18,8 @@ Equal sets are collapsed first by a 128-bit set fingerprint (a partially aggrega
 bucket with another node get their sets materialised.  A node whose *private* shingles
 (found in no other candidate) exceed 15 % of its set cannot reach the threshold with any
 partner and leaves at once; the same counts give an upper bound on the similarity of any
-pair, tested before a pair is ever emitted.  In each bucket every node is confirmed against
+pair, tested before a pair is ever emitted.  Of the pairs left, those whose signatures of 64 minima
+agree in too few places go, before full sets are brought together.  In each bucket every node is confirmed against
 the bucket's best centre; only nodes still outside that centre's component are compared with
 nodes of other components, through the rare front of their sets (prefix and positional
 filters, both exact), so a group of copies costs links linear in its size, and no link that
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
-from gridloom.llm.runtime import materialise, remove
+from gridloom.llm.runtime import materialise, released, remove
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -47,6 +48,11 @@ _ADD = W.seeds(BANDS * ROWS, 12)
 _POS = W.seeds(SHINGLE, 13)
 _ROW = W.seeds(ROWS, 14)
 _BAND = W.seeds(BANDS, 15)
+#: minima that must agree, of 64, before full sets are compared: two sets at the threshold fall short with probability
+#: below 1e-11.  Each minimum leaves 14 bits in its document's signature, four to a 60-bit number per band.
+AGREE = 32
+_LANES = sum(0x3FFF << 15 * r for r in range(ROWS))
+_CARRY = sum(1 << 15 * r + 14 for r in range(ROWS))
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +94,28 @@ def _row_shingles(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, sh, sr
 
 
-def _bands(sh: np.ndarray, sr: np.ndarray) -> np.ndarray:
-    """Bucket of each band for each non-empty row, as (rows, BANDS)."""
+def _bands(sh: np.ndarray, sr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each band, and the band's part of the signature, for each non-empty row, as (rows, BANDS)."""
     live = np.flatnonzero(np.diff(sr))
     at = sr[:-1][live]
-    out = np.zeros((len(live), BANDS), _u64)
+    out, sig = np.zeros((len(live), BANDS), _u64), np.zeros((len(live), BANDS), _u64)
     block = 1 << 16
-    for b in range(BANDS):
+    x = np.empty(len(sh), _u64)
+    for b in range(BANDS if len(at) else 0):
         acc = np.zeros(len(live), _u64) + _BAND[b]
         for r in range(ROWS):
-            x = np.empty(len(sh), _u64)
             for s in range(0, len(sh), block):
                 np.multiply(sh[s : s + block], _MUL[b * ROWS + r], out=x[s : s + block])
-            x += _ADD[b * ROWS + r]
-            acc += np.minimum.reduceat(x, at) * _ROW[r] if len(at) else acc
+                x[s : s + block] += _ADD[b * ROWS + r]
+            least = np.minimum.reduceat(x, at)
+            acc += least * _ROW[r]
+            sig[:, b] |= (W.mix(least) & _u64(0x3FFF)) << _u64(15 * r)
         out[:, b] = W.mix(acc)
-    return out
+    return out, sig
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "fp1", "fp2", *(f"b{k}" for k in range(BANDS))]
+    names = ["doc_id", "n_shingles", "fp1", "fp2", *(f"b{k}" for k in range(BANDS)), *(f"g{k}" for k in range(BANDS))]
     for batch in batches:
         for i, j, sh, sr in _row_shingles(batch.column("text")):
             n = np.zeros(j - i, np.int64)
@@ -116,10 +124,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 distinct = np.unique(sh[sr[k] : sr[k + 1]])
                 n[k] = len(distinct)
                 fp[k] = distinct.sum(dtype=_u64), W.mix(distinct).sum(dtype=_u64)
-            bands = np.zeros((j - i, BANDS), _u64)
-            bands[np.diff(sr) > 0] = _bands(sh, sr)
+            bands = np.zeros((2, j - i, BANDS), _u64)
+            bands[:, np.diff(sr) > 0] = _bands(sh, sr)
             cols = [batch.column("doc_id").slice(i, j - i), pa.array(n), _signed(fp[:, 0].copy()), _signed(fp[:, 1].copy())]
-            cols += [_signed(bands[:, k].copy()) for k in range(BANDS)]
+            cols += [_signed(part[:, k].copy()) for part in bands for k in range(BANDS)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
@@ -140,8 +148,26 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return 100 * shared >= THRESHOLD * (n1 + n2 - shared)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold."""
+def _agreement(prefix: str, other: str) -> Column:
+    """Number of minima that two signatures have in common."""
+    total = F.lit(0)
+    for k in range(BANDS):
+        # a lane that differs carries into its top bit
+        differ = (F.col(f"{prefix}{k}").bitwiseXOR(F.col(f"{other}{k}")) + F.lit(_LANES)).bitwiseAND(F.lit(_CARRY))
+        total = total + ROWS - F.bit_count(differ)
+    return total
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose signatures agree well enough to be worth comparing sets."""
+    a = signatures.select(F.col("node").alias("u"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(BANDS)))
+    b = signatures.select(F.col("node").alias("v"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(BANDS)))
+    return pairs.join(a, "u").join(b, "v").where(_agreement("x", "y") >= AGREE).select("u", "v").distinct()
+
+
+def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose signatures agree and whose full sets reach the threshold."""
+    pairs = materialise(_verified(pairs, signatures), "verified")
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
@@ -179,16 +205,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = state.union(state.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored before it is joined: a join of two plain exchanges can be split where a node has most edges
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        remove(low)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").select("v", F.col("m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, "small-star")
         now = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        remove(state)
-        remove(large)
+        for old in (state, large, low):
+            remove(old)
         state = after
         if (now["n"], now["h"]) == before:
             break
@@ -204,12 +232,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text, ...)``."""
     src = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"b{k} long" for k in range(BANDS))
-    base = materialise(src.mapInArrow(_signatures, schema), "signatures")
+    schema = f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{c}{k} long" for c in "bg" for k in range(BANDS))
+    base = materialise(src.mapInArrow(released(_signatures), schema), "signatures")
     linked = base.where("n_shingles > 0 and doc_id is not null")
     key = ["fp1", "fp2", "n_shingles"]
     nodes = materialise(
-        linked.groupBy(*key).agg(F.min("doc_id").alias("node"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS))), "nodes"
+        linked.groupBy(*key).agg(F.min("doc_id").alias("node"), *(F.first(f"{c}{k}").alias(f"{c}{k}") for c in "bg" for k in range(BANDS))), "nodes"
     )
     member = nodes.select("node", "fp1", F.col("n_shingles").alias("n"), F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("bucket"))
     # tables keyed by bucket are stored before they are joined: a join of two plain exchanges can be split where a bucket is hot
@@ -219,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # always by a shuffle of both sides: the number of candidates has no bound
     chosen = member.select("node").distinct().hint("merge")
     sets = materialise(
-        src.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, f"node {kind}, fp1 long, shingles array<long>"), "sets"
+        src.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(released(_sets), f"node {kind}, fp1 long, shingles array<long>"), "sets"
     )
     private = (
         sets.select("node", "fp1", F.explode("shingles").alias("s"))
@@ -231,7 +259,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("node", "fp1", "n", F.coalesce("p", F.lit(0)).alias("p"))
         .where(100 * (F.col("n") - F.col("p")) >= THRESHOLD * F.col("n"))
     )
-    member = materialise(member.drop("n").join(hopeful, ["node", "fp1"]), "hopeful")
+    hopeful = materialise(hopeful, "hopeful")
+    # some texts of a node may be hopeful and others not: the signatures of all of them count
+    signatures = materialise(nodes.join(hopeful.select("node").hint("merge"), "node", "left_semi").select("node", *(f"g{k}" for k in range(BANDS))), "hopeful-signatures")
+    member = materialise(member.drop("n").join(hopeful, ["node", "fp1"]), "members")
     centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     centre = materialise(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
     star = (
@@ -239,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(_may_link(F.col("n"), F.col("p"), F.col("cn"), F.col("cp")))
         .select(F.col("node").alias("u"), F.col("cu").alias("v")).distinct()
     )
-    links = materialise(_confirm(star, sets), "links")
+    links = materialise(_confirm(star, signatures, sets), "links")
     comp = components(links)
 
     placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
@@ -251,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.join(materialise(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
     mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
     more = _prefix_pairs(materialise(mixed, "mixed"), sets)
-    extra = materialise(_confirm(more, sets), "links")
+    extra = materialise(_confirm(more, signatures, sets), "links")
     if not extra.isEmpty():
         comp = components(links.unionByName(extra))
 
