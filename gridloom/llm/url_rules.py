@@ -6,6 +6,7 @@ Defined results
 * Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
   the end.  Null urls and urls without ``://`` have empty host and path, no rule and the verdict of the mined rules on no tokens: allow.
 * Labels that repeat a page count once per distinct label; null labels and unknown pages do not count.
+* The query learns from the fixed rules' own decisions on all urls: patterns that go with blocked urls block others too.
 * Without labels, or when no combination is frequent and confident enough, everything no rule fits is allowed.
 * Repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored.
 """
@@ -91,14 +92,41 @@ def _minimal(sets: DataFrame, counts: DataFrame) -> DataFrame:
     return index.join(inside.select("a").distinct(), "a", "left_anti").select("key", "rest")
 
 
-def mine(pages: DataFrame, labels: DataFrame) -> MinedRules:
-    """Rules over the tokens of labelled urls; a page is bad when its label says low quality or toxic.  Keeps
-    every rule of enough support, confidence and lift that no shorter rule implies: first those of one token,
-    then FP-growth, with a label item, over the tokens that are in enough bad urls and no rule by themselves."""
+def _named(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """``rules(key, rest)`` with each token replaced by each of its ``names``: every choice is a rule."""
+    rules = rules.withColumn("rule", F.monotonically_increasing_id())
+    parts_ = rules.select("rule", F.posexplode(F.concat(F.array("key"), "rest")).alias("at", "token")).join(names, "token")
+    ordered = parts_.groupBy("rule").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "names"))), lambda x: x["names"]).alias("choices"))
+    empty = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("choices", empty, lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda x: F.array_append(d, x)))))
+    return ordered.select(F.explode(every).alias("a")).select(F.col("a")[0].alias("key"), F.expr("slice(a, 2, size(a))").alias("rest"))
+
+
+def decided(pages: DataFrame, rules=RULES) -> DataFrame:
+    """items, bad: the tokens of every url with the label that the fixed rules give it: bad where they block it, else not."""
+    host, path = parts(F.col("url"))
+    bad = F.coalesce(rule_for(host, path, rules)["verdict"] == "block", F.lit(False))
+    return pages.select(tokens(host, path).alias("items"), bad.alias("bad")).where(F.size("items") > 0)
+
+
+def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """items, bad: the tokens of the urls that ``labels`` is about (its ``doc_id`` being a page); a page is bad when its
+    label says low quality or toxic."""
     lab = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     lab = lab.select(F.col("doc_id").alias("_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad")).distinct()
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", tokens(host, path).alias("items")).join(lab, F.col("page_id") == F.col("_id")).where(F.col("bad") | (F.size("items") > 0))
+    return rows.select("items", "bad")
+
+
+def mine(pages: DataFrame, labels: DataFrame | None = None) -> MinedRules:
+    """Rules over the tokens of labelled urls: those of ``labels``, else all, as the fixed rules decide them.  Keeps
+    every rule of enough support, confidence and lift that no shorter rule implies: first those of one token,
+    then FP-growth, with a label item, over the tokens that are in enough bad urls and no rule by themselves.
+
+    Tokens that occur in the same urls (a host and its first label) go through FP-growth as one, and the rules found
+    are written out for each of them, so that names for one thing do not multiply the combinations."""
+    rows = decided(pages) if labels is None else labelled(pages, labels)
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("id"), "items", "bad"), "url-labels")
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if n < MIN_URLS:
@@ -106,16 +134,22 @@ def mine(pages: DataFrame, labels: DataFrame) -> MinedRules:
     share = F.col("bad") / F.col("n")
     marks = (F.col("bad") >= MIN_URLS) & (share >= MIN_CONFIDENCE) & (share * n >= MIN_LIFT * n_bad)
     exploded = rows.select("id", "bad", F.explode("items").alias("token"))
-    counts = materialise(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= MIN_URLS), "url-tokens")
+    # which urls a token is in, as two sums of their hashes
+    prints = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"p{k}") for k in (1, 2)]
+    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), *prints).where(F.col("bad") >= MIN_URLS)
+    counts = materialise(counts, "url-tokens")
     found = counts.where(marks).select(F.col("token").alias("key"), F.array().cast("array<string>").alias("rest"))
-    rest = exploded.join(counts.where(~marks).select("token"), "token").groupBy("id", "bad").agg(F.collect_set("token").alias("items"))
+    same = counts.where(~marks).groupBy("n", "bad", "p1", "p2").agg(F.min("token").alias("token"), F.sort_array(F.collect_set("token")).alias("names"))
+    same = materialise(same, "url-names")
+    rest = exploded.join(same.select("token"), "token").groupBy("id", "bad").agg(F.collect_set("token").alias("items"))
     rest = materialise(rest.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "url-items")
     if m := rest.count():
         # half a url less than the least count: the library rounds its product with the number of rows up
         sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (MIN_URLS - 0.5) / m)).fit(rest).freqItemsets
         sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("a"), F.array_contains("items", BAD).alias("with"), "freq")
         sets = sets.groupBy("a").agg(F.max(F.when(~F.col("with"), F.col("freq"))).alias("n"), F.max(F.when(F.col("with"), F.col("freq"))).alias("bad"))
-        found = found.unionByName(_minimal(sets.where((F.size("a") > 0) & marks).select("a"), counts.select("token", "n")))
+        short = _minimal(sets.where((F.size("a") > 0) & marks).select("a"), counts.select("token", "n"))
+        found = found.unionByName(_named(short, same.select("token", "names")))
     found = materialise(found, "url-rules")
     return MinedRules([] if found.isEmpty() else found)
 
@@ -136,4 +170,4 @@ def judge(pages: DataFrame, mined: MinedRules, rules=RULES) -> DataFrame:
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return judge(pages, mine(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return judge(pages, mine(pages))
