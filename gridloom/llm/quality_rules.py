@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.runtime import materialise, remove
+from gridloom.llm.runtime import materialise
 
 MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of words in repeated 3-word windows
@@ -38,8 +38,8 @@ GRID = {
     "dup_line_share": (0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
     "repeat_share": (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05),
 }
-#: strata whose cutoffs may travel as literals
-MAX_STRATA = 1_000
+#: strata whose cutoffs may be broadcast; beyond it the join shuffles (and AQE splits a hot stratum)
+BROADCAST_STRATA = 10_000
 
 _SPACES = "\t\n\x0b\x0c\r "
 
@@ -154,40 +154,32 @@ def certify(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     return walk.where("ok = 1").groupBy("stratum", "rule").agg(F.min("t").alias("cutoff"))
 
 
-def verdict(cutoffs: DataFrame, stratum: str = "lang") -> Column:
-    """Column expression over ``__gl_q``: true for texts that pass every certified cutoff of their stratum."""
-    found = cutoffs.limit(MAX_STRATA * len(GRID) + 1).collect()
-    if len(found) > MAX_STRATA * len(GRID):
-        raise ValueError(f"more than {MAX_STRATA} strata: choose a coarser stratum column")
-    fail = F.lit(False)
-    for rule in GRID:
-        for t in sorted({r["cutoff"] for r in found if r["rule"] == rule}):
-            of = [r["stratum"] for r in found if r["rule"] == rule and r["cutoff"] == t]
-            here = F.col(stratum).isin([s for s in of if s is not None]) if any(s is not None for s in of) else F.lit(False)
-            here = F.coalesce(here, F.lit(False)) | (F.col(stratum).isNull() if None in of else F.lit(False))
-            fail = fail | (here & (F.col(f"__gl_q.{rule}") > t))
-    return ~F.col("__gl_q.base_failed") & ~fail
-
-
-def _statistics_table(docs: DataFrame) -> DataFrame:
-    narrow = with_statistics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "__gl_q")
-    return materialise(narrow, "quality-stats")
+def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``stats`` (with ``__gl_q``) and a column ``__gl_kept``: true for texts that pass the base rule and every
+    certified cutoff of their stratum."""
+    table = cutoffs.groupBy(F.col("stratum").alias("__gl_s")).agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__gl_{r}") for r in GRID))
+    table = materialise(table, "quality-cutoffs")
+    small = table.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    out = stats.join(F.broadcast(table) if small else table, F.col(stratum).eqNullSafe(F.col("__gl_s")), "left")
+    fail = F.col("__gl_q.base_failed")
+    for r in GRID:
+        fail = fail | F.coalesce(F.col(f"__gl_q.{r}") > F.col(f"__gl_{r}"), F.lit(False))
+    return out.withColumn("__gl_kept", ~fail).drop("__gl_s", *(f"__gl_{r}" for r in GRID))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, base statistics, base_failed and kept for every row."""
-    stats = _statistics_table(docs)
-    keep = verdict(certify(stats.select("doc_id", "lang", "__gl_q.*"), labels))
+    stats = materialise(with_statistics(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", "__gl_q"), "quality-stats")
     q = [F.col(f"__gl_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return stats.select("doc_id", *q, keep.alias("kept"))
+    return verdicts(stats, certify(stats.select("doc_id", "lang", "__gl_q.*"), labels)).select("doc_id", *q, F.col("__gl_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass; columns unchanged.  Cutoffs are certified on this input."""
-    stats = _statistics_table(docs)
-    keep = verdict(certify(stats.select("doc_id", "lang", "__gl_q.*"), labels))
-    remove(stats)
-    return with_statistics(docs).where(keep).drop("__gl_q")
+    """The rows of ``docs`` that pass; columns unchanged.  Cutoffs are certified on this input, whose rows are stored
+    once beside their statistics: those cost far more than a copy does."""
+    stats = materialise(with_statistics(docs), "quality-stats")
+    kept = verdicts(stats, certify(stats.select("doc_id", "lang", "__gl_q.*"), labels)).where("__gl_kept")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
