@@ -11,11 +11,12 @@ import math
 import numpy as np
 
 from gridloom.functions import special as S
+from gridloom.functions.farfield import far
 from gridloom.functions.transforms import green_line
 from gridloom.plans.spec import AxisClass, GridSpec, Kernel
 
-#: lattice tables are integrated up to this offset
-LATTICE_REACH = 160
+#: lattice tables are integrated up to this offset; the far field serves beyond, where its error is below 1e-13
+LATTICE_REACH = 48
 
 #: polynomials in rho of the regularised kernels (fixed values): 3 unbounded axes, odd powers; 2 unbounded axes, even powers
 HEJ_3 = {2: (), 4: (1.0,), 6: (7 / 4, -1 / 4), 8: (19 / 8, -2 / 3, 1 / 24), 10: (187 / 64, -233 / 192, 29 / 192, -1 / 192)}
@@ -159,6 +160,7 @@ class GreenFill:
             raise ValueError("HEJ_0 has no form with one unbounded axis")
         self.eps = hs[0] / math.pi if self.kernel == Kernel.HEJ_0 else alpha * hs[0]
         self.lattice = self.kernel.family in ("LGF", "MEHR")
+        self._table: np.ndarray | None = None
 
     def shape(self) -> tuple[int, int, int]:
         """Points before transformation."""
@@ -191,26 +193,42 @@ class GreenFill:
         r = np.sqrt(sum((a * h[d]) ** 2 for a, d in zip(n, free)))
         if len(free) == 3:
             if self.lattice:
-                t = S.table3(kernel, self._reach(g, free))
-                return -t[tuple(x.astype(int) for x in n)] / h[0]
+                return -self._lattice(n) / h[0]
             return unbounded3(kernel, r, self.eps, h)
         k = np.sqrt(sum(self.wave(d, e[d]) ** 2 for d in bound))
         if len(free) == 2:
             if self.lattice:
-                t = S.table2(kernel, self._reach(g, free))
-                return np.where(k == 0, -t[tuple(x.astype(int) for x in n)], 0.0)
+                return np.where(k == 0, -self._lattice(n), 0.0)
             return unbounded2(kernel, r, k, self.eps, math.sqrt(h[free[0]] * h[free[1]] / math.pi))
         if self.lattice:
             hh = h[free[0]]
             return -hh * S.line(kernel, n[0], self.wave(bound[0], e[bound[0]]) * hh, self.wave(bound[1], e[bound[1]]) * hh)
         return unbounded1(kernel, r, k, self.eps)
 
-    @staticmethod
-    def _reach(g: GridSpec, free) -> int:
-        m = max(int(np.abs(green_line(g.axes[d], g.half(d))).max()) for d in free)
-        if m > LATTICE_REACH:
-            raise ValueError(f"lattice tables reach {LATTICE_REACH} offsets, {m} are needed")
-        return m
+    @property
+    def table(self) -> np.ndarray:
+        """Lattice function at the offsets near the origin; integrated once, and sent along where a fill goes to workers."""
+        if self._table is None:
+            g, free = self.grid, self.grid.unbounded
+            m = max(int(np.abs(green_line(g.axes[d], g.half(d))).max()) for d in free)
+            self._table = (S.table3 if len(free) == 3 else S.table2)(self.kernel, min(m, LATTICE_REACH))
+        return self._table
+
+    def __getstate__(self):
+        if self.lattice and len(self.grid.unbounded) > 1:
+            self.table  # noqa: B018
+        return self.__dict__
+
+    def _lattice(self, n) -> np.ndarray:
+        n = np.broadcast_arrays(*n)
+        t, m = self.table, LATTICE_REACH
+        out = t[tuple(np.minimum(x, len(t) - 1).astype(int) for x in n)]
+        beyond = np.max(n, axis=0) > m
+        if beyond.any():
+            # in the plane the far field lacks a constant: the table's edge has it
+            shift = 0.0 if len(n) == 3 else np.mean([t[m, j] - far(self.kernel, float(m), float(j)) for j in range(m + 1)])
+            out[beyond] = far(self.kernel, *(x[beyond] for x in n)) + shift
+        return out
 
     @property
     def overwrites(self) -> bool:

@@ -452,12 +452,15 @@ def _build() -> dict[str, tuple]:
     return out
 
 
-_ALL = _build()
+def _all() -> dict[str, tuple]:
+    from gridloom import kernel_queries
+
+    return _build() | kernel_queries.build()
 
 
 def queries() -> dict:
-    return {k: run for k, (run, _) in _ALL.items()}
+    return {k: run for k, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
