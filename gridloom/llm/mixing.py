@@ -11,7 +11,9 @@ Defined results
   an empty table gives an empty result.  Extra input columns are ignored.
 * The Bernoulli hash is the md5 of the document id and a seed.  Of ``SEEDS`` fixed seeds each source uses
   the one whose total comes nearest its target, found in one aggregation over (source, size),
-  so that a few long documents do not push a source off its target.
+  so that a few long documents do not push a source off its target.  Under any one seed a copy has exactly
+  the fraction as its probability; the choice keeps that on average over a source of many documents, while a
+  source of a few is in effect rounded to its target.
 """
 
 from __future__ import annotations
@@ -40,24 +42,36 @@ def _uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` in ``order`` with running ``sums`` that include the row itself, without bringing all rows together:
+    ranges of the order are summed side by side, and each takes what the ranges before it hold (one row a range)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    held = placed.groupBy("_range").agg(*(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_range", *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(F.broadcast(held), "_range")  # as many rows as shuffle partitions
+    return out.select(*rows.columns, *((F.sum(v).over(inside) + F.col(f"_{k}")).alias(k) for k, v in sums.items()))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target for (source, size) rows, by filling all sources in
     proportion to their weights until each is full or the budget is spent."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
-    at = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (at + 1).cast("int"))
+    per = _running(per, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("full", CAP * F.col("source_size"))
     # sources fill up in order of full / weight; before the k-th is full, the level is (budget - full ones) / weight of the rest
-    rising = Window.orderBy((F.col("full") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("full").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = (F.lit(BUDGET) * F.sum("source_size").over(everything) - before) / left
-    per = per.withColumn("level", level)
+    rising = [(F.col("full") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    per = _running(per, rising, {"through": F.col("full"), "heavy": F.col("weight")})
+    all_size, all_weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    before, left = F.col("through") - F.col("full"), F.lit(all_weight) - F.col("heavy") + F.col("weight")
+    per = per.withColumn("level", (F.lit(BUDGET * float(all_size or 0)) - before) / left)
     # the first source that need not be full sets the level; later rows give lower ones
-    per = per.withColumn("water", F.max(F.when(F.col("full") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
-    return per.select("source", "source_size", F.least(F.col("full"), F.coalesce(F.col("water") * F.col("weight"), F.col("full"))).alias("target"))
+    water = per.agg(F.max(F.when(F.col("full") >= F.col("level") * F.col("weight"), F.col("level")))).first()[0]
+    target = F.col("full") if water is None else F.least(F.col("full"), F.lit(water) * F.col("weight"))
+    return per.select("source", "source_size", target.alias("target"))
 
 
 def _attach(docs: DataFrame, table: DataFrame) -> DataFrame:
