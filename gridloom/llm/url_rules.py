@@ -162,7 +162,8 @@ def judge(pages: DataFrame, mined: MinedRules, rules=RULES) -> DataFrame:
     own = F.lit("allow")
     if not isinstance(mined.combinations, list) or mined.combinations:
         rows = rows.withColumn("_tokens", tokens(F.col("host"), F.col("path")))
-        matched = mined.matched(rows.where("_rule is null").select("_tokens"))
+        # stored before it is joined: a join of two plain exchanges can be split where one set of tokens has most urls
+        matched = materialise(mined.matched(rows.where("_rule is null").select("_tokens")), "url-matches")
         rows = rows.join(matched.withColumn("_bad", F.lit(True)), "_tokens", "left")
         own = F.when(F.col("_bad"), F.lit("block")).otherwise(own)
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))

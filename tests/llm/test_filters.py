@@ -237,3 +237,31 @@ def test_labels_and_their_words_are_tokens(spark):
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     got = url_rules.judge(pages, url_rules.mine(pages, labels)).where("verdict = 'block'").select("page_id").collect()
     assert sorted(r["page_id"] for r in got) == [r[0] for r in rows if not r[2]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_rules_are_mined_on_the_drivers_tables(spark, sf):
+    """Each against a recount over all urls; hosts and paths that the fixed rules block lead to further rules."""
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("driver tables absent")
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    found = {frozenset([r["key"], *r["rest"]]) for r in url_rules.mine(pages).index(spark).collect()}
+    rows = [(frozenset(r["items"]), r["bad"]) for r in url_rules.decided(pages).collect()]
+    share = sum(b for _, b in rows) / len(rows)
+    assert len(found) >= 3
+    for rule in found:
+        hits = [b for items, b in rows if rule <= items]
+        assert sum(hits) >= url_rules.MIN_URLS and sum(hits) >= 0.7 * len(hits) and sum(hits) / len(hits) >= 1.5 * share
+        assert not any(other < rule for other in found)
+
+
+def test_very_long_urls_and_repeats(spark):
+    long = "http://" + "a." * 300 + "info/" + "b/" * 2000 + "?" + "c" * 100_000
+    rows = [(1, long), (1, long), (2, "http://x.com/en/" + "z" * 50_000), (3, "://"), (4, "http://"), (5, "http://..//--"), (None, "http://q.com/en/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, url_rules.mine(pages)).collect()]
+    want = [(1, None, "allow"), (1, None, "allow"), (2, "com/en/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "allow"), (None, "com/en/", "block")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert url_rules.mine(pages.limit(0)).combinations == []

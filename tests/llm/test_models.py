@@ -237,6 +237,42 @@ def test_quality_model(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held(i, 2, 4) for i, r in got.items())
 
 
+def brute_statistics(t):
+    """One text's statistics, word by word (sizes in bytes)."""
+    import re
+
+    t = t or ""
+    w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    if not w:
+        return [0.0] * len(quality_model.STATISTICS)
+    n, raw = len(w), t.encode()
+    chars = sum(len(x.encode()) for x in w)
+    count = {x: w.count(x) for x in set(w)}
+    lines = [x for x in t.split("\n") if x]
+    folded = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in lines]
+    three = [tuple(w[k : k + 3]) for k in range(n - 2)]
+    among = lambda cs: sum(raw.count(c.encode()) for c in cs) / chars
+    dup = len(lines) - len(set(folded))
+    return [
+        n, chars / n, len(count) / n, max(count.values()) / n, sum(x == y for x, y in zip(w, w[1:])) / n,
+        sum(65 <= c <= 90 for c in raw) / chars, sum(48 <= c <= 57 for c in raw) / chars, among("#*$%&|<>"), among("!?"), among(".,;:'\"()-"),
+        len(lines) / n, dup / max(len(lines), 1), chars / max(len(lines), 1), sum(c >= 128 for c in raw) / chars,
+        sum(len(x.encode()) > 20 for x in w) / n, 1 - len(set(three)) / len(three) if three else 0.0,
+    ]
+
+
+def test_text_statistics(corpus):
+    import pyarrow as pa
+
+    from gridloom.llm import words as W
+
+    texts = [t for _, t, *_ in corpus if t is None or len(t) < 5000] + ["A a A", "x\n\nx\nX y\n", "#1! #2? (é)", "one two three one two three one", "b" * 30 + " c"]
+    d, o = W.flat(pa.array(texts, pa.string()))
+    got = quality_model.statistics(d, o)
+    for t, row in zip(texts, got):
+        assert row.tolist() == pytest.approx(brute_statistics(t)), t
+
+
 def test_quality_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality_model.score(docs, none).collect()} == {0.5}

@@ -73,6 +73,29 @@ def test_mixing_reaches_targets(spark):
         assert sum(r["taken"] for r in part) == pytest.approx(part[0]["target"], rel=0.01)
 
 
+def test_chosen_seeds_keep_the_fraction_on_average(spark):
+    """One source at rate 1.5: half of the documents get a second copy, whatever their size or id."""
+    rows = [(i, "w " * (1 + i * 37 % 200), "s") for i in range(6000)]
+    out = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    twice = np.array([r["taken"] > r["size"] for r in sorted(out, key=lambda r: r["doc_id"])])
+    assert twice.mean() == pytest.approx(0.5, abs=0.03)
+    small = np.array([1 + i * 37 % 200 < 100 for i in range(6000)])
+    assert twice[small].mean() == pytest.approx(twice[~small].mean(), abs=0.05)
+    assert twice[:3000].mean() == pytest.approx(twice[3000:].mean(), abs=0.05)
+
+
+def test_ranks_and_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"s{k:04d}" if k % 50 else None, k) for k in range(1, 800)]
+    df = spark.createDataFrame(rows, "source string, size long").repartition(7)
+    got = mixing._running(df, [F.col("source").asc_nulls_last(), F.col("size")], {"rank": F.lit(1), "total": F.col("size")}).collect()
+    total = 0
+    for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])), 1):
+        total += r[1]
+        assert next((x["rank"], x["total"]) for x in got if (x["source"], x["size"]) == r) == (k, total)
+
+
 def test_mixing_empty(empty, spark):
     assert mixing.decide(empty).count() == 0 and mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
