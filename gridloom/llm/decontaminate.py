@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
-from gridloom.llm.runtime import materialise
+from gridloom.llm.arrays import Shelf, save
+from gridloom.llm.runtime import materialise, released, scratch
 
 WINDOW = 13
 #: a document is contaminated when this many times its hit words reach its words
 SHARE = 20
 #: words of benchmark items compiled into one block of queries; more items make more blocks
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+#: candidate places that a search looks at together (one window's candidates are never split)
+CANDIDATES = 500_000
 
 _u64 = np.uint64
 
@@ -62,7 +65,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """Positional index of ``docs(doc_id, text)``, one row per segment, stored in the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"segment long, doc_ids array<{kind}>, counts array<int>, terms binary, offsets binary, positions binary"
-    return materialise(docs.select("doc_id", "text").mapInArrow(_segments, schema), "positional-index")
+    return materialise(docs.select("doc_id", "text").mapInArrow(released(_segments), schema), "positional-index")
 
 
 class _Segment:
@@ -128,25 +131,34 @@ def find(seg: _Segment, win: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     term, used = term[alive], used[alive]
     df = np.where(used, seg.offsets[np.maximum(term, 0) + 1] - seg.offsets[np.maximum(term, 0)], np.iinfo(np.int64).max)
     order = np.argsort(df, axis=1, kind="stable")
-    line = np.arange(len(alive))
-    who, at = seg.expand(term[line, order[:, 0]])
+    load = np.cumsum(df[np.arange(len(alive)), order[:, 0]])
+    cuts = np.searchsorted(load, np.arange(0, load[-1] + CANDIDATES, CANDIDATES), "right")
+    cuts = np.unique(np.concatenate([[0], cuts, [len(alive)]]))
+    keys, found = seg.keys(), []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        who, at = _intersect(seg, keys, term[lo:hi], used[lo:hi], order[lo:hi])
+        found.append((alive[lo + who], at))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _intersect(seg: _Segment, keys: np.ndarray, term: np.ndarray, used: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) where all terms of a window stand in their places, tried from the rarest term on."""
+    who, at = seg.expand(term[np.arange(len(term)), order[:, 0]])
     at = at - order[who, 0]
     who, at = who[at >= 0], at[at >= 0]
-    keys = None
-    for r in range(1, win.shape[1]):
+    for r in range(1, term.shape[1]):
         if not len(who):
             break
         slot = order[who, r]
         test = np.flatnonzero(used[who, slot])  # short windows are done
         if not len(test):
             continue
-        keys = seg.keys() if keys is None else keys
         want = (term[who[test], slot[test]] << 32) | (at[test] + slot[test])
         hit = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
         stay = np.ones(len(who), bool)
         stay[test] = hit
         who, at = who[stay], at[stay]
-    return alive[who], at
+    return who, at
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Segment]]:
@@ -156,39 +168,51 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Seg
             yield row["segment"], _Segment(row)
 
 
-def phrases(index: DataFrame, texts: list[str], names: list[str], width: int = WINDOW) -> DataFrame:
-    """Exact phrase matches: for each document with any, (segment, row, starts, ends, items):
-    merged ranges of hit words, and the names of the texts with occurring windows."""
+def store_windows(spark: SparkSession, texts: list[str], names: list[str], width: int = WINDOW) -> str:
+    """The windows of named texts as a file in the shared folder; returns its name."""
     win, length, pw, pt = compile_windows(texts, width)
-    bounds = np.searchsorted(pw, np.arange(len(win) + 1))
+    raw = [n.encode() for n in names]
+    uri = scratch(spark, "windows") + ".bin"
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+    save(uri, {"windows": win.ravel(), "length": length, "bounds": np.searchsorted(pw, np.arange(len(win) + 1)), "owner": pt, "names": np.frombuffer(b"".join(raw), np.uint8), "cut": cut, "width": np.array([width])})
+    return uri
+
+
+def phrases(index: DataFrame, blocks: list[str]) -> DataFrame:
+    """Exact phrase matches of stored windows, in one pass over the index: for each document and block with any,
+    (segment, row, starts, ends, items): merged ranges of hit words, and the names of the texts with occurring windows."""
 
     def match(batches):
+        shelf = Shelf()
         for segment, seg in _segment_rows(batches):
-            who, at = find(seg, win, length)
-            if not len(who):
-                continue
-            row = np.searchsorted(seg.base, at, "right") - 1
-            order = np.lexsort((at, row))
-            who, at, row = who[order], at[order], row[order]
-            out = {"segment": [], "row": [], "starts": [], "ends": [], "items": []}
-            for r in np.unique(row):
-                lo, hi = np.searchsorted(row, [r, r + 1])
-                s = at[lo:hi] - seg.base[r]
-                reach = np.maximum.accumulate(s + length[who[lo:hi]])
-                new = np.concatenate([[True], s[1:] > reach[:-1]])
-                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])
-                items = np.unique(np.concatenate([pt[bounds[w] : bounds[w + 1]] for w in np.unique(who[lo:hi])]))
-                out["segment"].append(segment)
-                out["row"].append(int(r))
-                out["starts"].append(s[new].tolist())
-                out["ends"].append(reach[last].tolist())
-                out["items"].append(sorted({names[k] for k in items}))
-            yield pa.RecordBatch.from_pydict(
-                out, schema=pa.schema([("segment", pa.int64()), ("row", pa.int32()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            )
+            for block in blocks:
+                q = shelf.get(block)
+                length, bounds, owner, cut = q["length"], q["bounds"], q["owner"], q["cut"]
+                who, at = find(seg, q["windows"].reshape(len(length), int(q["width"][0])), length)
+                if not len(who):
+                    continue
+                row = np.searchsorted(seg.base, at, "right") - 1
+                order = np.lexsort((at, row))
+                who, at, row = who[order], at[order], row[order]
+                out = {"segment": [], "row": [], "starts": [], "ends": [], "items": []}
+                for r in np.unique(row):
+                    lo, hi = np.searchsorted(row, [r, r + 1])
+                    s = at[lo:hi] - seg.base[r]
+                    reach = np.maximum.accumulate(s + length[who[lo:hi]])
+                    new = np.concatenate([[True], s[1:] > reach[:-1]])
+                    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])
+                    items = np.unique(np.concatenate([owner[bounds[w] : bounds[w + 1]] for w in np.unique(who[lo:hi])]))
+                    out["segment"].append(segment)
+                    out["row"].append(int(r))
+                    out["starts"].append(s[new].tolist())
+                    out["ends"].append(reach[last].tolist())
+                    out["items"].append(sorted({q["names"][cut[k] : cut[k + 1]].tobytes().decode() for k in items}))
+                yield pa.RecordBatch.from_pydict(
+                    out, schema=pa.schema([("segment", pa.int64()), ("row", pa.int32()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+                )
 
     return index.select("segment", "counts", "terms", "offsets", "positions").mapInArrow(
-        match, "segment long, row int, starts array<long>, ends array<long>, items array<string>"
+        released(match), "segment long, row int, starts array<long>, ends array<long>, items array<string>"
     )
 
 
@@ -224,8 +248,8 @@ def near(index: DataFrame, query: str, distance: int) -> DataFrame:
 
 
 def item_blocks(items: DataFrame) -> Iterator[tuple[list[str], list[str]]]:
-    """(texts, names) of the benchmark in blocks of about ``BLOCK_WORDS`` words."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), "text").where("text is not null")
+    """(texts, names) of the distinct benchmark items in blocks of about ``BLOCK_WORDS`` words."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("k"), "text").where("text is not null").distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // (BLOCK_WORDS * 6)))
     for b in range(blocks):
@@ -236,10 +260,7 @@ def item_blocks(items: DataFrame) -> Iterator[tuple[list[str], list[str]]]:
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
     index = build_index(docs)
-    found = None
-    for texts, names in item_blocks(items):
-        part = phrases(index, texts, names)
-        found = part if found is None else found.unionByName(part)
+    found = phrases(index, [store_windows(docs.sparkSession, *block) for block in item_blocks(items)])
     merged = found.groupBy("segment", "row").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

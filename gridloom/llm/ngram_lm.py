@@ -25,9 +25,7 @@ Defined results
 
 from __future__ import annotations
 
-import json
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import elias_fano as EF
 from gridloom.llm import words as W
+from gridloom.llm.arrays import HELD_BYTES, load, save
 from gridloom.llm.language_id import held_out
-from gridloom.llm.runtime import mapped, open_shared, released, scratch
+from gridloom.llm.runtime import released, scratch
 
 #: least count of the pairs and triples that ``train`` keeps unless told otherwise: all of them
 MIN_COUNT = 1
@@ -47,54 +46,11 @@ GATHER = 1_000_000
 SCORE_BYTES = 2 << 20
 #: 8-bit codes are logarithms of probabilities from 1 down to 10 ** -DECADES
 DECADES = 8.0
-#: bytes of shards a worker holds where the shared folder cannot be mapped
-HELD_BYTES = 256 << 20
 
 _u64 = np.uint64
 END = W.seeds(1, 99)
 
 
-# -- shared files -----------------------------------------------------------------------------
-
-
-def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays to one file: a JSON directory, then 8-byte aligned data.  Appears whole or not at all."""
-    from pyarrow import fs
-
-    at, directory, body = 0, {}, []
-    for name, a in arrays.items():
-        a = np.ascontiguousarray(a)
-        directory[name] = [a.dtype.str, len(a), at]
-        body.append(a)
-        at += a.nbytes + -a.nbytes % 8
-    head = json.dumps(directory).encode()
-    head += b" " * (-(len(head) + 8) % 8)
-    fs_, path = open_shared(uri)
-    fs_.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs_.open_output_stream(part) as out:
-        out.write(len(head).to_bytes(8, "little") + head)
-        for a in body:
-            out.write(a.tobytes() + bytes(-a.nbytes % 8))
-    try:
-        fs_.move(part, path)
-    except OSError:  # where a move cannot replace: an earlier attempt of this task has left the same content
-        if fs_.get_file_info(path).type == fs.FileType.NotFound:
-            raise
-        fs_.delete_file(part)
-
-
-def load(uri: str) -> tuple[dict[str, np.ndarray], int]:
-    """Arrays of a file, and the bytes they hold in memory: memory-mapped where the shared folder is a mounted one, else read."""
-    raw, held = mapped(uri)
-    n = int.from_bytes(raw[:8].tobytes(), "little")
-    out = {}
-    for name, (kind, length, at) in json.loads(raw[8 : 8 + n].tobytes()).items():
-        size = np.dtype(kind).itemsize * length
-        out[name] = raw[8 + n + at : 8 + n + at + size].view(kind)
-    return out, held
-
-
 def _squeeze(a: np.ndarray, rising: bool = False) -> bytes:
     """An array of non-negative numbers as compressed planes of bytes, as differences where it is ascending."""
     a = np.asarray(a).astype(_u64)

@@ -140,6 +140,22 @@ def test_blocks_of_items_agree(spark, docs, corpus, monkeypatch):
     assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == one
 
 
+def test_search_in_small_parts_agrees(corpus, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in corpus if t][:40] + ["the a the a the " * 50, "the"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    row = next(decontaminate._segments(iter([batch])))
+    seg = decontaminate._Segment({c: row.column(c)[0].as_py() for c in ("counts", "terms", "offsets", "positions")})
+    win, length, _, _ = decontaminate.compile_windows(texts)
+    whole = sorted(zip(*(x.tolist() for x in decontaminate.find(seg, win, length))))
+    for limit in (1, 97, 1000):
+        monkeypatch.setattr(decontaminate, "CANDIDATES", limit)
+        assert sorted(zip(*(x.tolist() for x in decontaminate.find(seg, win, length)))) == whole
+    assert len(whole) > 100 and not np.array(decontaminate.find(seg, win[:0], length[:0])).size
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the red fox and the lazy dog"), (2, "dog fox"), (3, "fox " + "x " * 9 + "dog"), (4, "fox"), (5, "dog")], "doc_id long, text string")
     index = decontaminate.build_index(docs.coalesce(1))
