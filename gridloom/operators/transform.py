@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridloom.functions import transforms as T
+from gridloom.functions.kernels import GreenFill
 from gridloom.operators import dense
 from gridloom.operators.layout import AXES, KEYS, SPECTRUM, to_lines
-from gridloom.plans.spec import GridSpec
+from gridloom.plans.spec import GridSpec, Kernel
 
 _TYPES = {"rhs_id": pa.int64(), "comp": pa.int32(), "i0": pa.int32(), "i1": pa.int32(), "i2": pa.int32()}
 _ARROW = pa.schema([*_TYPES.items(), ("re", pa.float64()), ("im", pa.float64())])
 
 
 def _lines(batches: Iterator[pa.RecordBatch], axis: int, transform, width) -> Iterator[pa.RecordBatch]:
-    """Apply ``transform(component, lines)`` to batches of line rows; emits long rows."""
+    """Apply ``transform(component, lines, keys)`` to batches of line rows; emits long rows."""
     rest = [k for k in KEYS if k != AXES[axis]]
     for batch in batches:
         pts = batch.column("pts")
@@ -32,7 +33,7 @@ def _lines(batches: Iterator[pa.RecordBatch], axis: int, transform, width) -> It
         for c in np.unique(keys["comp"]):
             rows = np.flatnonzero(keys["comp"] == c)
             lines = x[rows]
-            y = np.asarray(transform(int(c), lines))
+            y = np.asarray(transform(int(c), lines, {k: v[rows] for k, v in keys.items()}))
             n = y.shape[1]
             cols = {k: np.repeat(keys[k][rows], n) for k in rest}
             cols[AXES[axis]] = np.tile(np.arange(n, dtype=np.int32), len(rows))
@@ -44,22 +45,23 @@ def _map_lines(df: DataFrame, axis: int, transform, width: int) -> DataFrame:
     return to_lines(df, axis).mapInArrow(lambda it: _lines(it, axis, transform, width), SPECTRUM)
 
 
+def _real_before(grid: GridSpec, axis: int) -> bool:
+    """Data stay real up to the axis that turns them complex."""
+    return grid.half(axis) or grid.half_axis is None or grid.order.index(axis) < grid.order.index(grid.half_axis)
+
+
 def forward_axis(grid: GridSpec, df: DataFrame, axis: int) -> DataFrame:
     """Transform along one axis: one exchange, then Arrow batches of whole lines."""
     half = grid.half(axis)
 
-    def run(c, x):
-        # data stay real up to the axis that turns them complex
-        real = half or grid.half_axis is None or grid.order.index(axis) < grid.order.index(grid.half_axis)
-        return T.forward(grid.plan(axis, c), x.real if real else x, half)
-
-    return _map_lines(df, axis, run, grid.axes[axis].n)
+    real = _real_before(grid, axis)
+    return _map_lines(df, axis, lambda c, x, _: T.forward(grid.plan(axis, c), x.real if real else x, half), grid.axes[axis].n)
 
 
 def backward_axis(grid: GridSpec, df: DataFrame, axis: int, derived: bool = False) -> DataFrame:
     half = grid.half(axis)
 
-    def run(c, y):
+    def run(c, y, _):
         p = grid.plan(axis, c)
         return T.backward(p.derived() if derived else p, y, half)
 
@@ -68,7 +70,21 @@ def backward_axis(grid: GridSpec, df: DataFrame, axis: int, derived: bool = Fals
 
 def green_axis(grid: GridSpec, df: DataFrame, axis: int, width: int) -> DataFrame:
     p, half = grid.axes[axis], grid.half(axis)
-    return _map_lines(df, axis, lambda c, x: T.green_forward(p, x.real, half), width)
+    return _map_lines(df, axis, lambda c, x, _: T.green_forward(p, x.real, half), width)
+
+
+def through_axis(grid: GridSpec, df: DataFrame, axis: int, kernel: Kernel, alpha: float) -> DataFrame:
+    """There and back along the last axis to be transformed, with the Green's function in between: the lines stay
+    where they are.  For grids whose Green's function is known in wave space along every axis."""
+    half, real = grid.half(axis), _real_before(grid, axis)
+    fill = GreenFill(grid, kernel, alpha)
+
+    def run(c, x, keys):
+        y = T.forward(grid.plan(axis, c), x.real if real else x, half)
+        e = [np.arange(y.shape[1])[None, :] if d == axis else keys[a][:, None] for d, a in enumerate(AXES)]
+        return T.backward(grid.plan(axis, c), y * fill.sample(*e) * grid.normfact, half)
+
+    return _map_lines(df, axis, run, grid.axes[axis].n)
 
 
 def _slab(grid: GridSpec, last: int, direction: str, derived: bool):
@@ -86,7 +102,7 @@ def _slab(grid: GridSpec, last: int, direction: str, derived: bool):
             p = p.derived() if derived else p
             axis = 0 if d == a else 1
             if direction == "forward":
-                real = half or grid.half_axis is None or grid.order.index(d) < grid.order.index(grid.half_axis)
+                real = _real_before(grid, d)
                 x = dense.along(lambda y: T.forward(p, y.real if real else y, half), x, axis)  # noqa: B023
             else:
                 x = dense.along(lambda y: T.backward(p, y, half), x, axis)  # noqa: B023
@@ -122,3 +138,19 @@ def backward(grid: GridSpec, df: DataFrame, slabs: bool = False, derived: bool =
         if grid.axes[axis].kind.name != "EMPTY":
             df = backward_axis(grid, df, axis, derived)
     return df
+
+
+def solve_spectral(grid: GridSpec, df: DataFrame, kernel: Kernel, alpha: float, slabs: bool = False) -> DataFrame:
+    """Forward, Green's function and backward with one exchange less than one after the other."""
+    axes = [a for a in grid.order if grid.axes[a].kind.name != "EMPTY"]
+    last = axes[-1]
+    if slabs:
+        planes = df.groupBy("rhs_id", "comp", AXES[last]).applyInArrow(_slab(grid, last, "forward", False), SPECTRUM)
+        inner = through_axis(grid, planes, last, kernel, alpha)
+        return inner.groupBy("rhs_id", "comp", AXES[last]).applyInArrow(_slab(grid, last, "backward", False), SPECTRUM)
+    for axis in axes[:-1]:
+        df = forward_axis(grid, df, axis)
+    df = through_axis(grid, df, last, kernel, alpha)
+    for axis in reversed(axes[:-1]):
+        df = backward_axis(grid, df, axis)
+    return df

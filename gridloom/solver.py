@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import dense, multiply, transform
 from gridloom.operators.layout import AXES, FIELD, normalise
-from gridloom.plans.spec import Diff, Equation, GridSpec, Kernel
+from gridloom.plans.spec import AxisClass, Diff, Equation, GridSpec, Kernel
 
 #: points (times components) that one task solves at once
 LOCAL_POINTS = 1 << 22
@@ -78,9 +78,16 @@ class FieldSolver:
         """Solution field; ``spectral(k0, k1, k2, re, im)`` may filter it in wave space (not with "local")."""
         if self.strategy == "local" and spectral is None:
             return self._local(field)
+        if spectral is None and self.equation == Equation.STD and not self.grid.unbounded and len(self._planes()) == 3:
+            out = transform.solve_spectral(self.grid, normalise(field), self.kernel, self.alpha, self.strategy != "pencil")
+            return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
         y = self.multiply(self.forward(field))
         return self.backward(y if spectral is None else self.apply_spectral(y, spectral))
 
+    def _planes(self) -> list[int]:
+        """Axes that have sides."""
+        return [d for d, p in enumerate(self.grid.axes) if p.kind != AxisClass.EMPTY]
+
     def _local(self, field: DataFrame) -> DataFrame:
         grid, kernel, equation, diff, alpha = self.grid, self.kernel, self.equation, self.diff, self.alpha
 

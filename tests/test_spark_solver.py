@@ -86,3 +86,31 @@ def test_generated_field_is_the_manufactured_one(spark):
     x = np.meshgrid(*[(np.arange(p.n) + 0.5) * p.h for p in g.axes], indexing="ij")
     want = fields.manufactured(g, x, np)[0]
     assert np.allclose(as_array(field_frame(spark, g, "rhs"), g)[0], want, atol=1e-12)
+
+
+@pytest.mark.parametrize("code,center", [("001101", Center.CELL), ("330010", Center.NODE), ("113333", Center.CELL), ("000000", Center.NODE)])
+def test_there_and_back_in_one_pass(spark, code, center):
+    """The last axis is transformed, multiplied and transformed back on the same lines: one exchange for each other way."""
+    g = GridSpec.of(code, 4, center)
+    f = np.random.default_rng(8).normal(size=(1, *g.shape))
+    for strategy, exchanges in (("pencil", 5), ("slab", 3)):
+        out = FieldSolver(spark, g, Kernel.HEJ_4, strategy=strategy).solve(frame(spark, f))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == exchanges
+        assert np.allclose(as_array(out, g), dense.solve(g, f, Kernel.HEJ_4), atol=1e-12)
+
+
+def test_box_and_shift(spark):
+    from gridloom.operators import layout
+
+    df = layout.index_table(spark, (4, 3, 2)).withColumn("v", layout.collapsed((4, 3, 2), *(layout.F.col(a) for a in layout.AXES)))
+    got = {(r["i0"], r["i1"], r["i2"]): r["v"] for r in layout.shift(layout.box(df, (1, 0, 1), (2, 1, 1)), (-1, 5, 0)).collect()}
+    assert got == {(i - 1, j + 5, 1): i + 4 * (j + 3) for i in (1, 2) for j in (0, 1)}
+    assert layout.box(df, (3, 0, 0), (2, 9, 9)).count() == 0
+
+
+def test_relative_error(spark):
+    g = GridSpec.of("333333", 3)
+    f = field_frame(spark, g)
+    double = f.withColumn("v", f.v * 2)
+    assert analysis.relative_error(double, f).first()["rel_l2"] == pytest.approx(1.0)
+    assert analysis.relative_error(f, f).first()["rel_l2"] == 0.0
