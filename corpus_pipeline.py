@@ -2,14 +2,25 @@
 mixing to target weights and token-id output, each stage on all its predecessor kept.
 
 The last stage returns doc_id, start, n_tokens and ids_crc32 of every document it wrote; the
-copies that mixing emits share their document's id and are adjacent in the output."""
+copies that mixing emits share their document's id and are adjacent in the output.
+
+Defined results
+---------------
+* Null and empty texts fail the base quality rule (no words) and go in the first stage; null languages and sources are
+  a stratum and a source of their own; a document with a null id is near no other one and is kept if it is good.
+* Ties: of a group of near copies the smallest id stays, with every row that has it; repeated rows are judged alike in
+  each stage, and mixing takes each of them as often as it takes the document.
+* Without labels only the base rule rejects; without benchmark items nothing is contaminated.
+* Columns beyond those of ``documents`` are carried along and clash with no helper column.
+* An empty table passes through all stages and writes no shard: the result is empty, with its columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
-from gridloom.llm.runtime import materialise, ship
+from gridloom.llm.runtime import materialise, remove, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +68,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            remove(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
