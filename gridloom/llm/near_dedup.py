@@ -162,20 +162,18 @@ def _verified(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (u, v) whose signatures agree well enough to be worth comparing sets."""
     a = signatures.select(F.col("node").alias("u"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(BANDS)))
     b = signatures.select(F.col("node").alias("v"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(BANDS)))
-    return pairs.join(a, "u").join(b, "v").where(_agreement("x", "y") >= AGREE).select("u", "v").distinct()
+    # made distinct only after it is stored: an aggregation on top would keep a hub's join from being split
+    return materialise(pairs.join(a, "u").join(b, "v").where(_agreement("x", "y") >= AGREE).select("u", "v"), "verified").distinct()
 
 
 def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose signatures agree and whose full sets reach the threshold."""
-    pairs = materialise(_verified(pairs, signatures), "verified")
+    """Pairs (u, v) whose signatures agree and whose full sets reach the threshold, some of them repeated; stored."""
+    pairs = materialise(_verified(pairs, signatures), "candidates")
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return (
-        pairs.join(a, "u").join(b, "v")
-        .where(100 * both >= THRESHOLD * (F.size("su") + F.size("sv") - both))
-        .select("u", "v").distinct()
-    )
+    found = pairs.join(a, "u").join(b, "v").where(100 * both >= THRESHOLD * (F.size("su") + F.size("sv") - both))
+    return materialise(found.select("u", "v"), "links")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,22 +229,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text, ...)``."""
     src = docs.select("doc_id", "text")
+    spent: list[DataFrame] = []
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialise(df, name))
+        return spent[-1]
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{c}{k} long" for c in "bg" for k in range(BANDS))
     base = materialise(src.mapInArrow(released(_signatures), schema), "signatures")
     linked = base.where("n_shingles > 0 and doc_id is not null")
     key = ["fp1", "fp2", "n_shingles"]
-    nodes = materialise(
+    nodes = store(
         linked.groupBy(*key).agg(F.min("doc_id").alias("node"), *(F.first(f"{c}{k}").alias(f"{c}{k}") for c in "bg" for k in range(BANDS))), "nodes"
     )
     member = nodes.select("node", "fp1", F.col("n_shingles").alias("n"), F.explode(F.array(*(F.col(f"b{k}") for k in range(BANDS)))).alias("bucket"))
     # tables keyed by bucket are stored before they are joined: a join of two plain exchanges can be split where a bucket is hot
-    shared = materialise(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "shared")
-    member = materialise(member.join(shared, "bucket"), "members")
+    shared = store(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "shared")
+    member = store(member.join(shared, "bucket"), "members")
 
     # always by a shuffle of both sides: the number of candidates has no bound
     chosen = member.select("node").distinct().hint("merge")
-    sets = materialise(
+    sets = store(
         src.join(chosen, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(released(_sets), f"node {kind}, fp1 long, shingles array<long>"), "sets"
     )
     private = (
@@ -259,34 +263,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("node", "fp1", "n", F.coalesce("p", F.lit(0)).alias("p"))
         .where(100 * (F.col("n") - F.col("p")) >= THRESHOLD * F.col("n"))
     )
-    hopeful = materialise(hopeful, "hopeful")
+    hopeful = store(hopeful, "hopeful")
     # some texts of a node may be hopeful and others not: the signatures of all of them count
-    signatures = materialise(nodes.join(hopeful.select("node").hint("merge"), "node", "left_semi").select("node", *(f"g{k}" for k in range(BANDS))), "hopeful-signatures")
-    member = materialise(member.drop("n").join(hopeful, ["node", "fp1"]), "members")
+    signatures = store(nodes.join(hopeful.select("node").hint("merge"), "node", "left_semi").select("node", *(f"g{k}" for k in range(BANDS))), "hopeful-signatures")
+    member = store(member.drop("n").join(hopeful, ["node", "fp1"]), "members")
     centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    centre = materialise(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
+    centre = store(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
     star = (
         member.join(centre, "bucket").where(F.col("node") != F.col("cu"))
         .where(_may_link(F.col("n"), F.col("p"), F.col("cn"), F.col("cp")))
         .select(F.col("node").alias("u"), F.col("cu").alias("v")).distinct()
     )
-    links = materialise(_confirm(star, signatures, sets), "links")
+    links = _confirm(star, signatures, sets)
     comp = components(links)
 
     placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
-    placed = materialise(placed, "placed")
+    placed = store(placed, "placed")
     main = placed.select("bucket", "node", "component").join(centre, "bucket").where("node = cu").select("bucket", F.col("component").alias("home"))
-    main = materialise(main, "homes")
+    main = store(main, "homes")
     # what a centre did not gather, against everything in its bucket that lies in another component
-    astray = materialise(placed.join(main, "bucket").where("component <> home").select("bucket", "node"), "astray")
-    mixed = placed.join(materialise(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
+    astray = store(placed.join(main, "bucket").where("component <> home").select("bucket", "node"), "astray")
+    mixed = placed.join(store(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
     mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
-    more = _prefix_pairs(materialise(mixed, "mixed"), sets)
-    extra = materialise(_confirm(more, signatures, sets), "links")
+    more = _prefix_pairs(store(mixed, "mixed"), sets)
+    extra = _confirm(more, signatures, sets)
     if not extra.isEmpty():
         comp = components(links.unionByName(extra))
 
     named = nodes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    named = materialise(named, "components")  # a plain side, so that the join of many exact copies can be split
+    for table in (*spent, links, extra):
+        remove(table)
     out = linked.select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", "component_id")
     lone = base.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.unionByName(lone)
@@ -295,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; columns unchanged."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gl_gone")).distinct()
+    gone = materialise(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gl_gone")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id") == F.col("__gl_gone"), "left_anti")
 
 
