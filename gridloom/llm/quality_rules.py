@@ -41,7 +41,8 @@ GRID = {
 #: strata whose cutoffs may be broadcast; beyond it the join shuffles (and AQE splits a hot stratum)
 BROADCAST_STRATA = 10_000
 
-_SPACES = "\t\n\x0b\x0c\r "
+_SPACES = r"[ \t\n\x0B\f\r]+"
+_WORD = r"[^ \t\n\x0B\f\r]"
 
 
 def _let(value: Column, body) -> Column:
@@ -49,15 +50,16 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, characters: str) -> Column:
+    """Number of characters of a class in a text."""
+    return F.regexp_count(text, F.lit(characters)).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more (windows compare by 64-bit hash)."""
 
     def covered(keys: Column) -> Column:
-        ordered = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def runs(k: Column) -> Column:
             last = F.size(k) - 1
@@ -71,7 +73,7 @@ def _repeat_words(words: Column) -> Column:
                 lambda i: i.isNotNull(),
             )
             return F.aggregate(
-                F.array_sort(twin),
+                F.sort_array(twin),
                 F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
                 lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")),
             )["n"]
@@ -81,32 +83,30 @@ def _repeat_words(words: Column) -> Column:
     def of(w: Column) -> Column:
         n = F.size(w)
         keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.struct(n.cast("long").alias("n_words"), F.when(n < 3, F.lit(0)).otherwise(_let(keys, covered)).cast("long").alias("n_repeat_words"))
+        return F.struct(n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.when(n < 3, F.lit(0)).otherwise(_let(keys, covered)).cast("long").alias("n_repeat_words"))
 
     return _let(words, of)
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+    return F.array_remove(F.split(text, _SPACES), "")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` plus one struct column ``__gl_q`` of base and method statistics."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))
     line_counts = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    chars = F.length(text)
     raw = F.struct(
         _repeat_words(_words(text)).alias("w"),
         line_counts.alias("l"),
-        _without(text, _SPACES).cast("long").alias("word_chars"),
-        (chars - _without(text, "#*$%&|<>")).cast("long").alias("n_symbols"),
-        (chars - _without(text, "!?")).cast("long").alias("n_marks"),
-        (chars - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
+        _count(text, r"[#*$%&|<>]").alias("n_symbols"),
+        _count(text, r"[!?]").alias("n_marks"),
+        _count(text, r"[A-Z]").alias("n_upper"),
     )
 
     def final(r: Column) -> Column:
-        n, chars_ = r["w"]["n_words"], r["word_chars"]
+        n, chars_ = r["w"]["n_words"], r["w"]["word_chars"]
         share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
         return F.struct(
             n.alias("n_words"), chars_.alias("word_chars"), r["n_symbols"].alias("n_symbols"), r["l"]["dup"].alias("n_dup_lines"),
