@@ -65,6 +65,13 @@ class AxisField:
         return total
 
 
+def gaussian(x, lib, centre: float, sigma: float, second: bool = False):
+    """A Gaussian of unit height along one axis, or its second derivative."""
+    u = (x - centre) / sigma
+    f = lib.exp(u * u * -0.5)
+    return f * (u * u - 1.0) / (sigma * sigma) if second else f
+
+
 def axis_fields(grid: GridSpec, component: int = 0) -> list[AxisField]:
     return [AxisField(grid.plan(d, component), FREQUENCY[d]) for d in range(3)]
 

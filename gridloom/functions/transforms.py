@@ -91,10 +91,8 @@ def forward(plan: AxisPlan, x: np.ndarray, half: bool = False) -> np.ndarray:
         return x
     if plan.complex:
         n = plan.padded
-        x = x[..., :n]  # a periodic node line repeats its first point
-        if x.shape[-1] < n:
-            x = np.concatenate([x, np.zeros((*x.shape[:-1], n - x.shape[-1]), x.dtype)], -1)
-        return np.fft.rfft(x) if half else np.fft.fft(x)
+        x = x[..., :n]  # a periodic node line repeats its first point; a shorter one is padded
+        return np.fft.rfft(x, n) if half else np.fft.fft(x, n)
     f, _, (p0, pn, m0, mn) = _symmetric(plan)
     line = np.zeros((*x.shape[:-1], max(plan.padded, plan.offset + plan.n)), x.dtype)
     line[..., plan.offset : plan.offset + plan.n] = x
@@ -109,10 +107,10 @@ def backward(plan: AxisPlan, y: np.ndarray, half: bool = False) -> np.ndarray:
         return y
     if plan.complex:
         n = plan.padded
-        x = np.fft.irfft(y, n) * n if half else np.fft.ifft(y) * n
+        x = np.fft.irfft(y, n, norm="forward") if half else np.fft.ifft(y, norm="forward")
         if plan.kind == AxisClass.PERPER and not plan.cell:
             return np.concatenate([x, x[..., :1]], -1)
-        return x[..., : plan.n]
+        return x[..., : plan.n].copy() if plan.n < n else x  # a view would hold on to the padding
     _, b, (p0, pn, m0, mn) = _symmetric(plan)
     line = np.zeros((*y.shape[:-1], max(plan.padded, plan.offset + plan.n)), y.dtype)
     line[..., p0 : p0 + pn] = _real(b, y[..., m0 : m0 + mn])
@@ -131,5 +129,8 @@ def green_forward(plan: AxisPlan, x: np.ndarray, half: bool) -> np.ndarray:
     """Transform of a Green's function along an unbounded axis (its lines are even, so the result is real if x is)."""
     if plan.kind == AxisClass.MIXUNB:
         return _real(dct1, x)
-    y = np.fft.fft(x)[..., : plan.modes(half)]
-    return y if np.iscomplexobj(x) else y.real
+    if np.iscomplexobj(x):
+        return np.fft.fft(x)[..., : plan.modes(half)]
+    n = x.shape[-1]
+    y = np.fft.rfft(x).real
+    return y.copy() if plan.modes(half) <= n // 2 + 1 else np.concatenate([y, y[..., 1 : n // 2][..., ::-1]], -1)

@@ -19,6 +19,7 @@ from gridloom.operators import analysis, layout
 from gridloom.operators.layout import AXES
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
+from gridloom.sources.generate import field_frame, gaussian_blob, gaussian_line, shear_waves, vortex_tube, wall_waves
 
 N, H, EPS = Q.N, 1 / Q.N, 2 / Q.N
 HEJ = (Kernel.HEJ_2, Kernel.HEJ_4, Kernel.HEJ_6, Kernel.HEJ_8, Kernel.HEJ_10)
@@ -301,7 +302,7 @@ UNION ALL SELECT {n} + m, 2 * pi() * m, 2.0::DOUBLE / {n}, i, sin(2 * pi() * m *
 
 def _node_solve(code: str, kernel: Kernel, strategy: str):
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of(code, N, Center.NODE), kernel, strategy=strategy)
+        s = FieldSolver(spark, GridSpec.of(code, N, Center.NODE), kernel, strategy=strategy, keep_green=False)
         return s.solve(Q._gridded(spark, sf)).select(*AXES, Q._round("v", 5).alias("v"))
 
     b = [_node_basis(int(code[2 * d]), int(code[2 * d + 1])) for d in range(3)]
@@ -324,7 +325,7 @@ def _images(code: str, center: Center, images: str, strategy: str = "local"):
     """Unbounded solves as direct sums over sources and their images (SQL rows i0, i1, i2, v from f)."""
 
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of(code, N, center), Kernel.CHAT_2, strategy=strategy)
+        s = FieldSolver(spark, GridSpec.of(code, N, center), Kernel.CHAT_2, strategy=strategy, keep_green=False)
         return s.solve(Q._gridded(spark, sf)).select(*AXES, Q._round("v", 5).alias("v"))
 
     n = N + (center == Center.NODE)
@@ -377,6 +378,86 @@ def _summary(spark, sf):
 _SUMMARY_SQL = f"WITH f AS ({Q._lineitem_sql()}) SELECT {', '.join(f'{Q._sql_round(e, 6)} AS {c}' for c, e in (('v_min', 'min(v)'), ('v_max', 'max(v)'), ('v_mean', 'avg(v)'), ('integral', f'sum(v) * {H ** 3!r}::DOUBLE')))} FROM f"
 
 
+# -- generated fields -------------------------------------------------------------------------
+
+_CELLS = f"SELECT a, b, c, (a + 0.5::DOUBLE) / {N} AS x, (b + 0.5::DOUBLE) / {N} AS y, (c + 0.5::DOUBLE) / {N} AS z FROM range({N}) r0(a), range({N}) r1(b), range({N}) r2(c)"
+
+
+def _product(code: str, which: str, value: str, waves: tuple[str, ...]):
+    """A manufactured field of plain waves: its Laplacian is a multiple of it."""
+    grid = GridSpec.of(code, (N, N, 1) if code.endswith("99") else N)
+
+    def run(spark, sf):
+        return field_frame(spark, grid, which).select(*AXES, Q._round("v", 7).alias("v"))
+
+    factor = "1.0::DOUBLE" if which == "solution" else "-(" + " + ".join(f"pow({k}, 2)" for k in waves) + ")"
+    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f'{factor} * {value}', 7)} AS v FROM ({_CELLS}) WHERE {'c = 0' if code.endswith('99') else 'true'}"
+
+
+def _bump(x: str, second: bool) -> str:
+    """The compact bump and its second derivative at distance ``x`` from its centre, half width 1/2."""
+    q = f"pow(({x}) / 0.5, 2)"
+    f = f"exp(10 * (1 - 1 / (1 - least({q}, 0.999999::DOUBLE))))"
+    f = f"{f} * 20 * (18 * {q} + 3 * {q} * {q} - 1) / pow({q} - 1, 4) / 0.25" if second else f
+    return f"CASE WHEN {q} < 1 THEN {f} ELSE 0 END"
+
+
+def _bump_images(which: str):
+    """A bump and its mirror image behind a wall, times a bump in free space, times a wave."""
+    grid = GridSpec.of("044433", N)
+
+    def run(spark, sf):
+        return field_frame(spark, grid, which).select(*AXES, Q._round("v", 7).alias("v"))
+
+    f = [f"({_bump('x - 0.3', s)} + {_bump('x + 0.3', s)})" for s in (False, True)]
+    g = [f"({_bump('y - 0.5', s)})" for s in (False, True)]
+    wave, k2 = "sin(8 * pi() * z)", "64 * pi() * pi()"
+    value = f"{f[0]} * {g[0]} * {wave}"
+    total = value if which == "solution" else f"({f[1]} * {g[0]} + {f[0]} * {g[1]} - {k2} * {f[0]} * {g[0]}) * {wave}"
+    return run, f"SELECT {Q._INDEX}, {Q._sql_round(total, 7)} AS v FROM ({_CELLS})"
+
+
+def _compact_vortex(which: str):
+    def run(spark, sf):
+        df = vortex_tube(spark, GridSpec.of("444433", N, components=3), 2, radius=0.4, which=which)
+        return df.select("comp", *AXES, Q._round("v", 7).alias("v"))
+
+    q = "least(r2 / 0.16::DOUBLE, 1)"
+    w = f"4 / (pi() * 0.16) * pow(1 - {q}, 3)"
+    u = f"(1 - pow(1 - {q}, 4)) / (2 * pi() * r2)"  # no cell centre lies on the axis
+    v = f"CASE WHEN comp = 2 THEN -{w} ELSE 0 END" if which == "rhs" else f"CASE comp WHEN 0 THEN -(y - 0.5) * {u} WHEN 1 THEN (x - 0.5) * {u} ELSE 0 END"
+    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(v, 7)} AS v FROM (SELECT *, pow(x - 0.5, 2) + pow(y - 0.5, 2) AS r2 FROM ({_CELLS}), range(3) t(comp))"
+
+
+def _vectors(make, which: str, values: tuple[str, str, str], code: str = "333333"):
+    def run(spark, sf):
+        return make(spark, GridSpec.of(code, N, components=3), which).select("comp", *AXES, Q._round("v", 7).alias("v"))
+
+    body = " ".join(f"WHEN {c} THEN {v}" for c, v in enumerate(values))
+    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(f'CASE comp {body} END', 7)} AS v FROM ({_CELLS}), range(3) t(comp)"
+
+
+def _blob(which: str):
+    def run(spark, sf):
+        return gaussian_blob(spark, GridSpec.of("444444", N), 0.1, which).select(*AXES, Q._round("v", 7).alias("v"))
+
+    # the potential of a Gaussian as an integral over widths: Simpson's rule for erf(r / (sqrt(2) sigma)) / r
+    weight = "CASE WHEN m = 0 OR m = 400 THEN 1 WHEN m % 2 = 1 THEN 4 ELSE 2 END"
+    erf = f"sum({weight} * exp(-r2 * pow(m / 400.0::DOUBLE, 2) / 0.02)) / 1200 * 2 / sqrt(pi()) / (sqrt(2) * 0.1)"
+    r2 = f"SELECT a, b, c, pow(x - 0.5, 2) + pow(y - 0.5, 2) + pow(z - 0.5, 2) AS r2 FROM ({_CELLS})"
+    if which == "rhs":
+        return run, f"SELECT {Q._INDEX}, {Q._sql_round('exp(r2 / -0.02) / pow(2 * pi() * 0.01, 1.5)', 7)} AS v FROM ({r2})"
+    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f'-{erf} / (4 * pi())', 7)} AS v FROM ({r2}), range(401) t(m) GROUP BY a, b, c"
+
+
+def _gaussian(which: str):
+    def run(spark, sf):
+        return gaussian_line(spark, GridSpec.of("334433", N), 1, 0.1, which).select(*AXES, Q._round("v", 7).alias("v"))
+
+    f = "exp(-pow((y - 0.5) / 0.1, 2) / 2)" + (" * (pow((y - 0.5) / 0.1, 2) - 1) / 0.01" if which == "rhs" else "")
+    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f, 7)} AS v FROM ({_CELLS})"
+
+
 def build() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
     for kernel in (*HEJ, Kernel.HEJ_0):
@@ -408,4 +489,16 @@ def build() -> dict[str, tuple]:
     out["field_moved"] = (_moved, _MOVED_SQL)
     out["field_relative_error"] = (_relative, _RELATIVE_SQL)
     out["field_summary"] = (_summary, _SUMMARY_SQL)
+    for which in ("rhs", "solution"):
+        out[f"field_walls_{which}"] = _product("000111", which, "cos(pi() * x) * cos(2.5 * pi() * y) * sin(8 * pi() * z)", ("pi()", "2.5 * pi()", "8 * pi()"))
+        out[f"field_plane_{which}"] = _product("100099", which, "sin(1.5 * pi() * x) * cos(2 * pi() * y)", ("1.5 * pi()", "2 * pi()"))
+        out[f"field_bump_image_{which}"] = _bump_images(which)
+        out[f"vortex_compact_{which}"] = _compact_vortex(which)
+        out[f"field_blob_{which}"] = _blob(which)
+        out[f"field_gaussian_{which}"] = _gaussian(which)
+    two = "2 * pi()"
+    out["shear_rhs"] = _vectors(shear_waves, "rhs", (f"sin({two} * y)", f"sin({two} * z)", f"sin({two} * x)"))
+    out["shear_solution"] = _vectors(shear_waves, "solution", (f"cos({two} * z) / ({two})", f"cos({two} * x) / ({two})", f"cos({two} * y) / ({two})"))
+    out["wall_waves_rhs"] = _vectors(wall_waves, "rhs", ("0", "0", "sin(pi() * x) * sin(2 * pi() * y)"))
+    out["wall_waves_solution"] = _vectors(wall_waves, "solution", ("-sin(pi() * x) * cos(2 * pi() * y) * 2 / (5 * pi())", "cos(pi() * x) * sin(2 * pi() * y) / (5 * pi())", "0"))
     return out

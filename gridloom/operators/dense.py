@@ -17,12 +17,14 @@ def along(f, x: np.ndarray, axis: int) -> np.ndarray:
 def green(grid: GridSpec, kernel: Kernel, alpha: float = 2.0) -> np.ndarray:
     """Green's function on the spectral grid, scaled to the transforms."""
     fill = GreenFill(grid, kernel, alpha)
-    g = np.asarray(fill.sample(*np.indices(fill.shape())))
+    shape = fill.shape()
+    g = np.array(np.broadcast_to(fill.sample(*np.ogrid[tuple(map(slice, shape))]), shape))
     for d in grid.order:
         p = grid.axes[d]
         if p.unbounded:
             g = along(lambda x, p=p, d=d: T.green_forward(p, x, grid.half(d)), g, d)
-    return fill.overwrite(*np.indices(grid.modes), g * grid.volfact)
+    g *= grid.volfact
+    return fill.overwrite(*np.ogrid[tuple(map(slice, grid.modes))], g)
 
 
 def forward(grid: GridSpec, f: np.ndarray) -> np.ndarray:
@@ -33,7 +35,7 @@ def forward(grid: GridSpec, f: np.ndarray) -> np.ndarray:
         for d in grid.order:
             x = along(lambda y, d=d: T.forward(grid.plan(d, c), y, grid.half(d)), x, d)
         out.append(x)
-    return np.stack(out)
+    return np.stack(out) if len(out) > 1 else out[0][None]
 
 
 def backward(grid: GridSpec, y: np.ndarray, derived: bool = False) -> np.ndarray:
@@ -45,7 +47,7 @@ def backward(grid: GridSpec, y: np.ndarray, derived: bool = False) -> np.ndarray
             p = grid.plan(d, c)
             x = along(lambda z, p=p, d=d: T.backward(p.derived() if derived else p, z, grid.half(d)), x, d)
         out.append(x.real)
-    return np.stack(out)
+    return np.stack(out) if len(out) > 1 else out[0][None]
 
 
 #: finite-difference symbols of the first derivative: weights of sin(m k h) (fixed values)
@@ -86,7 +88,8 @@ def solve(grid: GridSpec, f: np.ndarray, kernel: Kernel, equation: Equation = Eq
     y = forward(grid, f)
     if equation == Equation.ROT:
         y = curl(grid, GreenFill(grid, kernel, alpha), y, diff)
-    y = y * (g * grid.normfact)
+    y *= g  # in place: these arrays are the memory of a solve
+    y *= grid.normfact
     if spectral is not None:
         y = spectral(y)
     return backward(grid, y, equation == Equation.ROT)

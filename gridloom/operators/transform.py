@@ -42,7 +42,8 @@ def _lines(batches: Iterator[pa.RecordBatch], axis: int, transform, width) -> It
 
 
 def _map_lines(df: DataFrame, axis: int, transform, width: int) -> DataFrame:
-    return to_lines(df, axis).mapInArrow(lambda it: _lines(it, axis, transform, width), SPECTRUM)
+    lines = df if "pts" in df.columns else to_lines(df, axis)  # lines that a user has gathered need no exchange
+    return lines.mapInArrow(lambda it: _lines(it, axis, transform, width), SPECTRUM)
 
 
 def _real_before(grid: GridSpec, axis: int) -> bool:
@@ -116,7 +117,8 @@ def _slab(grid: GridSpec, last: int, direction: str, derived: bool):
 
 
 def forward(grid: GridSpec, df: DataFrame, slabs: bool = False) -> DataFrame:
-    """All transforms of a field, in the grid's order.  Slabs need the plane of the first two axes of
+    """All transforms of a field, in the grid's order.  ``df`` may hold lines along the first axis of that order already
+    (``layout.to_lines``), unless slabs are asked for.  Slabs need the plane of the first two axes of
     that order to fit a task and save one exchange."""
     if slabs:
         last = grid.order[2]

@@ -258,7 +258,7 @@ def _gridded(spark, sf, measures=("l_quantity",)):
 
 def _solve(code: str, kernel: Kernel, strategy: str, spectral=None, factor: str = "1.0"):
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of(code, N), kernel, strategy=strategy)
+        s = FieldSolver(spark, GridSpec.of(code, N), kernel, strategy=strategy, keep_green=False)
         return s.solve(_gridded(spark, sf), spectral).select(*AXES, _round("v", 5).alias("v"))
 
     return run, _expansion_sql(code, kernel, factor)
@@ -266,7 +266,7 @@ def _solve(code: str, kernel: Kernel, strategy: str, spectral=None, factor: str
 
 def _free(strategy: str):
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of("444444", N), Kernel.CHAT_2, strategy=strategy)
+        s = FieldSolver(spark, GridSpec.of("444444", N), Kernel.CHAT_2, strategy=strategy, keep_green=False)
         return s.solve(_gridded(spark, sf)).select(*AXES, _round("v", 5).alias("v"))
 
     sql = f"""
@@ -298,7 +298,7 @@ MEASURES = ("l_quantity", "l_discount", "l_tax")
 
 def _rotational(diff: Diff, strategy: str):
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of("333333", N, components=3), Kernel.CHAT_2, Equation.ROT, diff, strategy=strategy)
+        s = FieldSolver(spark, GridSpec.of("333333", N, components=3), Kernel.CHAT_2, Equation.ROT, diff, strategy=strategy, keep_green=False)
         return s.solve(_gridded(spark, sf, MEASURES)).select("comp", *AXES, _round("v", 5).alias("v"))
 
     weights = {Diff.SPE: None, Diff.FD2: (1.0,), Diff.FD4: (4 / 3, -1 / 6), Diff.FD6: (3 / 2, -3 / 10, 1 / 30)}[diff]

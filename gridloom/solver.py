@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import dense, multiply, transform
-from gridloom.operators.layout import AXES, FIELD, normalise
+from gridloom.operators.layout import AXES, FIELD, checked, normalise
 from gridloom.plans.spec import AxisClass, Diff, Equation, GridSpec, Kernel
 
 #: points (times components) that one task solves at once
@@ -22,9 +22,9 @@ class FieldSolver:
 
     ``strategy``: "local" solves each ``rhs_id`` in one task (one exchange), "slab" and "pencil"
     distribute a single field; "auto" picks by the grid's size.  Use as a context manager, or call
-    ``close``, to release the cached Green's table."""
+    ``close``, to release the cached Green's table; with ``keep_green`` off none is cached."""
 
-    def __init__(self, spark: SparkSession, grid: GridSpec, kernel: Kernel = Kernel.CHAT_2, equation: Equation = Equation.STD, diff: Diff = Diff.NOD, alpha: float = 2.0, strategy: str = "auto"):
+    def __init__(self, spark: SparkSession, grid: GridSpec, kernel: Kernel = Kernel.CHAT_2, equation: Equation = Equation.STD, diff: Diff = Diff.NOD, alpha: float = 2.0, strategy: str = "auto", keep_green: bool = True):
         if equation == Equation.ROT and (grid.components != 3 or diff == Diff.NOD):
             raise ValueError("the rotational equation needs three components and a derivative")
         self.spark, self.grid, self.kernel, self.equation, self.diff, self.alpha = spark, grid, Kernel(kernel), equation, diff, alpha
@@ -34,7 +34,7 @@ class FieldSolver:
             strategy = "local" if padded <= LOCAL_POINTS else "slab" if a * b <= SLAB_POINTS else "pencil"
         if strategy not in ("local", "slab", "pencil"):
             raise ValueError(f"unknown strategy {strategy}")
-        self.strategy = strategy
+        self.strategy, self.keep_green = strategy, keep_green
         self._green: DataFrame | None = None
 
     def __enter__(self) -> FieldSolver:
@@ -52,7 +52,9 @@ class FieldSolver:
         return self.grid.spectral_info()
 
     def green(self) -> DataFrame:
-        """Green's table on the spectral grid, computed once and reused by later solves."""
+        """Green's table on the spectral grid, computed once and reused by later solves (unless ``keep_green`` is off)."""
+        if not self.keep_green:
+            return multiply.green_table(self.spark, self.grid, self.kernel, self.alpha)
         if self._green is None:
             self._green = multiply.green_table(self.spark, self.grid, self.kernel, self.alpha).persist()
         return self._green
@@ -60,6 +62,11 @@ class FieldSolver:
     # the stages, for users who put work between them
 
     def forward(self, field: DataFrame) -> DataFrame:
+        """Spectrum of a field, or of lines gathered along the first axis of the grid's order (strategy "pencil")."""
+        if "pts" in field.columns:
+            if self.strategy != "pencil":
+                raise ValueError("gathered lines are transformed as pencils")
+            return transform.forward(self.grid, field)
         return transform.forward(self.grid, normalise(field), self.strategy != "pencil")
 
     def multiply(self, spectrum: DataFrame) -> DataFrame:
@@ -74,11 +81,14 @@ class FieldSolver:
         out = transform.backward(self.grid, spectrum, self.strategy != "pencil", self.equation == Equation.ROT)
         return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
 
-    def solve(self, field: DataFrame, spectral=None) -> DataFrame:
-        """Solution field; ``spectral(k0, k1, k2, re, im)`` may filter it in wave space (not with "local")."""
+    def solve(self, field: DataFrame, spectral=None, check: bool = False) -> DataFrame:
+        """Solution field; ``spectral(k0, k1, k2, re, im)`` may filter it in wave space (not with "local"); ``check``
+        makes the job fail on a value that is not a number.  With strategy "pencil" the field may be lines, as in ``forward``."""
+        if check and "pts" not in field.columns:
+            field = checked(field)
         if self.strategy == "local" and spectral is None:
             return self._local(field)
-        if spectral is None and self.equation == Equation.STD and not self.grid.unbounded and len(self._planes()) == 3:
+        if "pts" not in field.columns and spectral is None and self.equation == Equation.STD and not self.grid.unbounded and len(self._planes()) == 3:
             out = transform.solve_spectral(self.grid, normalise(field), self.kernel, self.alpha, self.strategy != "pencil")
             return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
         y = self.multiply(self.forward(field))

@@ -80,6 +80,13 @@ def vortex_tube(spark: SparkSession, grid: GridSpec, axis: int = 2, sigma: float
     return vector_frame(spark, grid, [lambda *_, d=d: value.get(d, zero) for d in range(3)])
 
 
+def gaussian_line(spark: SparkSession, grid: GridSpec, axis: int = 0, sigma: float = 0.1, which: str = "rhs") -> DataFrame:
+    """A solution that varies along one unbounded axis only, as a Gaussian in its middle ("solution"), or its Laplacian ("rhs")."""
+    x = positions(grid)[axis]
+    v = fields.gaussian(x, _Columns, grid.axes[axis].length / 2, sigma, which == "rhs")
+    return index_table(spark, grid.shape).select(F.lit(0).cast("long").alias("rhs_id"), F.lit(0).alias("comp"), *AXES, v.alias("v"))
+
+
 def gaussian_blob(spark: SparkSession, grid: GridSpec, sigma: float = 0.05, which: str = "rhs") -> DataFrame:
     """A Gaussian of unit mass in the middle of an unbounded domain, or the potential it causes."""
     import numpy as np

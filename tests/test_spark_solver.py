@@ -114,3 +114,53 @@ def test_relative_error(spark):
     double = f.withColumn("v", f.v * 2)
     assert analysis.relative_error(double, f).first()["rel_l2"] == pytest.approx(1.0)
     assert analysis.relative_error(f, f).first()["rel_l2"] == 0.0
+
+
+def test_gathered_lines_need_no_exchange(spark):
+    from gridloom.operators import layout
+
+    g = GridSpec.of("003311", 4)
+    f = np.random.default_rng(9).normal(size=(1, *g.shape))
+    s = FieldSolver(spark, g, strategy="pencil")
+    lines = layout.to_lines(layout.normalise(frame(spark, f)), g.order[0])
+    assert np.allclose(as_array(s.solve(lines), g), dense.solve(g, f, Kernel.CHAT_2), atol=1e-12)
+    stored = spark.createDataFrame(lines.collect(), lines.schema)
+    assert s.forward(stored)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    with pytest.raises(ValueError):
+        FieldSolver(spark, g, strategy="slab").forward(lines)
+
+
+def test_not_a_number_is_refused_where_asked(spark):
+    g = GridSpec.of("333333", 4)
+    df = spark.createDataFrame([(0, 0, 0, float("nan")), (1, 0, 0, 1.0)], "i0 int, i1 int, i2 int, v double")
+    with pytest.raises(Exception, match="holds NaN"):
+        FieldSolver(spark, g).solve(df, check=True).collect()
+    assert FieldSolver(spark, g).solve(df.where("i0 = 1"), check=True).count() == 64
+
+
+def test_profile_and_exchanges(spark):
+    from gridloom.operators import report
+
+    g = GridSpec.of("443333", 4)
+    with FieldSolver(spark, g, strategy="pencil") as s:
+        rows = {r["stage"]: r for r in report.profile(s, field_frame(spark, g)).collect()}
+        assert list(rows) == ["input", "green", "forward", "multiply", "backward"] and rows["backward"]["rows"] == 64
+        assert rows["forward"]["exchanges"] == 3 and all(r["seconds"] > 0 for r in rows.values())
+    assert report.exchanges(field_frame(spark, g)) == []
+
+
+def test_gaussian_along_one_axis(spark):
+    from gridloom.sources.generate import gaussian_line
+
+    g = GridSpec.of("443333", (32, 2, 2))
+    u = FieldSolver(spark, g, Kernel.CHAT_2).solve(gaussian_line(spark, g, sigma=0.08))
+    e = analysis.error_norms(u, gaussian_line(spark, g, sigma=0.08, which="solution"), g).first()
+    assert e["err_inf"] < 0.02
+
+
+def test_show(spark, capsys):
+    from gridloom.sources import files
+
+    files.show(field_frame(spark, GridSpec.of("333333", 2)), 3)
+    out = capsys.readouterr().out
+    assert "rhs_id" in out and "only showing top 3 rows" in out
