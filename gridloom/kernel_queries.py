@@ -249,6 +249,77 @@ def _far_field(kernel: Kernel):
     return run, "SELECT id * 1000000 AS r, 1.0::DOUBLE AS scaled FROM range(1, 9) t(id)"
 
 
+def _heat_sql(kernel: Kernel, axes: int, reach: int) -> str:
+    """CTE ``near(x, y[, z], g)``: a separable lattice kernel as an integral over time of products of heat kernels of one
+    axis each, by the trapezoidal rule in the logarithm of time."""
+    symbol = " + ".join(f"4 * ({c!r}::DOUBLE) * pow(sin({m} * u / 2.0::DOUBLE), 2)" for m, c in enumerate(S.SECOND[kernel.order], 1))
+    times = "time AS (SELECT i, exp(0.15::DOUBLE * i) AS t FROM range(-200, 320) r(i))"
+    early = f"SELECT i, n, sum(exp(-t * ({symbol})) * cos(n * u)) / 96 AS w FROM (SELECT i, t, pi() * (p + 0.5::DOUBLE) / 96 AS u FROM time, range(96) r(p) WHERE t < 30), range({reach + 1}) q(n) GROUP BY i, n"
+    late = f"SELECT i, n, sum(CASE WHEN u = 0 THEN 0.5 ELSE 1 END * exp(-t * ({symbol})) * cos(n * u)) * 0.2 / (pi() * sqrt(any_value(t))) AS w FROM (SELECT i, t, 0.2::DOUBLE * p / sqrt(t) AS u FROM time, range(46) r(p) WHERE t >= 30), range({reach + 1}) q(n) GROUP BY i, n"
+    heat = f"heat AS ({early} UNION ALL {late})"
+    if axes == 3:
+        near = f"near AS (SELECT a.n AS x, b.n AS y, c.n AS z, -sum(0.15::DOUBLE * t * a.w * b.w * c.w) / {H!r}::DOUBLE AS g FROM time JOIN heat a USING (i) JOIN heat b USING (i) JOIN heat c USING (i) GROUP BY a.n, b.n, c.n)"
+    else:
+        near = "near AS (SELECT a.n AS x, b.n AS y, -sum(0.15::DOUBLE * t * (a.w * b.w - o.w * o.w)) AS g FROM time JOIN heat a USING (i) JOIN heat b USING (i) JOIN heat o USING (i) WHERE o.n = 0 AND b.n <= 8 GROUP BY a.n, b.n)"
+    return f"{times}, {heat}, {near}"
+
+
+def _compact_sql(kernel: Kernel, axes: int, reach: int) -> str:
+    """The same for a compact stencil: its function along one axis in closed form, integrated over the wave numbers of the
+    others by the doubly exponential rule."""
+    nodes = "node AS (SELECT j, pi() / (1 + exp(-pi() * sinh(0.05::DOUBLE * j))) AS k, 0.05::DOUBLE * pi() * pi() * cosh(0.05::DOUBLE * j) * exp(-pi() * sinh(0.05::DOUBLE * j)) / pow(1 + exp(-pi() * sinh(0.05::DOUBLE * j)), 2) AS wt FROM range(-64, 65) r(j))"
+    if axes == 3:
+        at = "SELECT a.j AS j0, b.j AS j1, pow(sin(a.k / 2), 2) AS y0, pow(sin(b.k / 2), 2) AS y1 FROM node a, node b"
+    else:
+        at = "SELECT j AS j0, 0 AS j1, pow(sin(k / 2), 2) AS y0, 0.0::DOUBLE AS y1 FROM node"
+    cross, product = ("0", "8 / 3.0::DOUBLE") if kernel.order == 4 else ("8 * y0 * y1 / 15", "1.6::DOUBLE")
+    pole = f"SELECT *, 2 * (y0 + y1) / 3 - 1 - {cross} AS a1, 2 + 8 * (y0 + y1) / 3 - {product} * y0 * y1 AS a0, 4 * (y0 + y1) - 8 * y0 * y1 / 3 AS rest FROM ({at})"
+    gap = f"SELECT *, CASE WHEN abs(a1) < 1e-13 THEN 1 WHEN a1 < 0 THEN rest / (-2 * a1) ELSE a0 / (2 * a1) - 1 END AS d FROM ({pole})"
+    left = f"SELECT j0, j1, y0, y1, n, CASE WHEN abs(a1) < 1e-13 THEN CASE n WHEN 0 THEN 1 / a0 ELSE 0 END ELSE CASE WHEN a1 > 0 AND n % 2 = 1 THEN -1 ELSE 1 END * pow(1 + d + sqrt(d * (d + 2)), -n) / (2 * abs(a1) * sqrt(d * (d + 2))) END AS t FROM ({gap}), range({reach + 3}) q(n)"
+    line = f"lft AS ({left})"
+    if kernel.name.endswith("L"):
+        line += ", line AS (SELECT j0, j1, n, t FROM lft)"
+    else:
+        if kernel.order == 4:
+            b = ("5 / 6.0::DOUBLE - (y0 + y1) / 3", "1 / 12.0::DOUBLE", "0")
+        else:
+            b = ("97 / 120.0::DOUBLE - 11 * (y0 + y1) / 45 + 8 * y0 * y1 / 45 - (y0 * y0 + y1 * y1) / 15", "0.1::DOUBLE - 2 * (y0 + y1) / 45", "-1 / 240.0::DOUBLE")
+        moves = "(VALUES (0, 0), (1, 1), (-1, 1), (2, 2), (-2, 2)) s(step, kind)"
+        weight = f"CASE kind WHEN 0 THEN {b[0]} WHEN 1 THEN {b[1]} ELSE {b[2]} END"
+        line += f", line AS (SELECT j0, j1, m AS n, sum(t * {weight}) AS t FROM range({reach + 1}) p(m), {moves} JOIN lft ON lft.n = abs(m + step) GROUP BY j0, j1, m)"
+    if axes == 3:
+        one = f"one AS (SELECT j0, n, b, sum(t * wt * cos(b * k)) / pi() AS t FROM line JOIN node ON j = j1, range({reach + 1}) q(b) WHERE n <= {reach} GROUP BY j0, n, b)"
+        near = f"near AS (SELECT n AS x, b AS y, a AS z, -sum(t * wt * cos(a * k)) / pi() / {H!r}::DOUBLE AS g FROM one JOIN node ON j = j0, range({reach + 1}) q(a) GROUP BY n, b, a)"
+        return f"{nodes}, {line}, {one}, {near}"
+    near = f"near AS (SELECT l.n AS x, b AS y, -sum(wt * (l.t * cos(b * k) - o.t)) / pi() AS g FROM line l JOIN line o ON o.j0 = l.j0 AND o.n = 0 JOIN node ON j = l.j0, range(9) q(b) WHERE l.n <= {reach} GROUP BY l.n, b)"
+    return f"{nodes}, {line}, {near}"
+
+
+def _near_sql(kernel: Kernel, axes: int, reach: int) -> str:
+    return (_heat_sql if kernel.family == "LGF" else _compact_sql)(kernel, axes, reach)
+
+
+def _lattice_free_table(kernel: Kernel) -> str:
+    s0 = f"s0 AS (SELECT m AS a, y AS b, z AS c, sum(g * {_even('x', 8, 'm')}) AS v FROM near, range(9) t(m) GROUP BY m, y, z)"
+    s1 = f"s1 AS (SELECT a, m AS b, c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(16) t(m) GROUP BY a, m, c)"
+    s2 = f"s2 AS (SELECT a, b, m AS c, sum(v * {_even('c', 8, 'm')}) AS v FROM s1, range(16) t(m) GROUP BY a, b, m)"
+    return f"WITH {_near_sql(kernel, 3, 8)}, {s0}, {s1}, {s2} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H ** 3!r}::DOUBLE', 8)} AS g FROM s2"
+
+
+def _lattice_mixed_table(kernel: Kernel) -> str:
+    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 8, 'm')}) AS v FROM near, range(16) t(m) GROUP BY m, y)"
+    s1 = f"s1 AS (SELECT a, m AS b, sum(v * {_even('b', 8, 'm')}) * {H * H!r}::DOUBLE AS v FROM s0, range(16) t(m) GROUP BY a, m)"
+    k = [f"pi() * CASE WHEN {x} > 8 THEN {x} - 16 ELSE {x} END AS k{d}" for d, x in enumerate("ab")]
+    waves = f"SELECT a, b, c, v, {k[0]}, {k[1]}, 2 * pi() * greatest(c, 0.25::DOUBLE) AS k2 FROM s1, range(5) z(c)"
+    return f"WITH {_near_sql(kernel, 2, 8)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'CASE WHEN c = 0 THEN v ELSE {_spectral(kernel)} END', 8)} AS g FROM ({waves})"
+
+
+def _lattice_plane_table(kernel: Kernel) -> str:
+    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 16, 'm')}) AS v FROM near, range(17) t(m) GROUP BY m, y)"
+    s1 = f"s1 AS (SELECT a, m AS b, 0 AS c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(9) t(m) GROUP BY a, m)"
+    return f"WITH {_near_sql(kernel, 2, 16)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H * H!r}::DOUBLE', 8)} AS g FROM s1"
+
+
 # -- special functions ------------------------------------------------------------------------
 
 
@@ -475,6 +546,9 @@ def build() -> dict[str, tuple]:
         out[f"lattice_plane_{name}"] = _residual("444499", kernel)
         out[f"lattice_line_{name}"] = _line_residual(kernel)
         out[f"lattice_far_{name}"] = _far_field(kernel)
+        out[f"green_table_free_{name}"] = (Q._kernel_table("444444", kernel), _lattice_free_table(kernel))
+        out[f"green_table_mixed_{name}"] = (Q._kernel_table("444433", kernel), _lattice_mixed_table(kernel))
+        out[f"green_table_plane_{name}"] = (Q._kernel_table("044499", kernel), _lattice_plane_table(kernel))
     out["special_functions"] = (_special, _SPECIAL_SQL)
     for name, code, kernel, strategy in (("walls", "001101", Kernel.CHAT_2, "pencil"), ("mixed_walls", "330010", Kernel.LGF_4, "slab"), ("periodic", "333333", Kernel.CHAT_2, "slab"), ("compact", "113333", Kernel.MEHR_6F, "local")):
         out[f"solve_{name}_node"] = _node_solve(code, kernel, strategy)
