@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from gridloom.plans.spec import BC, AxisClass, AxisPlan
+from gridloom.plans.spec import AxisClass, AxisPlan
 
 
 def _twist(n: int, sign: float, quarter: float = 1.0) -> np.ndarray:

@@ -529,6 +529,36 @@ def _gaussian(which: str):
     return run, f"SELECT {Q._INDEX}, {Q._sql_round(f, 7)} AS v FROM ({_CELLS})"
 
 
+def _curl_waves(make, grid: GridSpec, diff: Diff, strategy: str, values: tuple[str, str, str]):
+    """A rotational solve of waves whose solution is known in closed form."""
+
+    def run(spark, sf):
+        s = FieldSolver(spark, grid, Kernel.CHAT_2, Equation.ROT, diff, strategy=strategy, keep_green=False)
+        return s.solve(make(spark, grid)).select("comp", *AXES, Q._round("v", 7).alias("v"))
+
+    body = " ".join(f"WHEN {c} THEN {v}" for c, v in enumerate(values))
+    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(f'CASE comp {body} END', 7)} AS v FROM ({_CELLS}), range(3) t(comp)"
+
+
+def _wall_curl(diff: Diff, strategy: str):
+    odd, even, free = (1, 1), (0, 0), (3, 3)
+    grid = GridSpec((N, N, N), ((even, odd, free), (odd, even, free), (odd, odd, free)), components=3)
+    weights = {Diff.SPE: None, Diff.FD2: (1.0,), Diff.FD4: (4 / 3, -1 / 6), Diff.FD6: (3 / 2, -3 / 10, 1 / 30)}[diff]
+    slope = lambda m: f"{m} * pi()" if weights is None else "(" + " + ".join(f"({w!r}::DOUBLE) * sin({m * j} * pi() / {N})" for j, w in enumerate(weights, 1)) + f") * {N}"
+    values = (f"-sin(pi() * x) * cos(2 * pi() * y) * {slope(2)} / (5 * pi() * pi())", f"cos(pi() * x) * sin(2 * pi() * y) * {slope(1)} / (5 * pi() * pi())", "0")
+    return _curl_waves(wall_waves, grid, diff, strategy, values)
+
+
+def _orders(spark, sf):
+    """Errors that fall as a known power of the resolution."""
+    rows = spark.range(1, 5).select(F.concat(F.lit("p"), "id").alias("kernel"), F.col("id").alias("p"), F.explode(F.array(*(F.lit(8 << j) for j in range(4)))).alias("n"))
+    rows = rows.withColumn("err", 3.0 * F.pow(F.col("n").cast("double"), -F.col("p")))
+    return analysis.convergence(rows.select("kernel", "n", "err")).select("kernel", "n", Q._round(F.col("err") * 1e6, 6).alias("err"), Q._round("order", 9).alias("order"))
+
+
+_ORDERS_SQL = "SELECT 'p' || p AS kernel, CAST(8 << j AS INTEGER) AS n, round(3e6 * pow(8 << j, -p), 6) + 0.0 AS err, CASE WHEN j > 0 THEN CAST(p AS DOUBLE) END AS order FROM range(1, 5) a(p), range(4) b(j)".replace("AS order", 'AS "order"')
+
+
 def build() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
     for kernel in (*HEJ, Kernel.HEJ_0):
@@ -575,4 +605,8 @@ def build() -> dict[str, tuple]:
     out["shear_solution"] = _vectors(shear_waves, "solution", (f"cos({two} * z) / ({two})", f"cos({two} * x) / ({two})", f"cos({two} * y) / ({two})"))
     out["wall_waves_rhs"] = _vectors(wall_waves, "rhs", ("0", "0", "sin(pi() * x) * sin(2 * pi() * y)"))
     out["wall_waves_solution"] = _vectors(wall_waves, "solution", ("-sin(pi() * x) * cos(2 * pi() * y) * 2 / (5 * pi())", "cos(pi() * x) * sin(2 * pi() * y) / (5 * pi())", "0"))
+    out["solve_shear_waves"] = _curl_waves(shear_waves, GridSpec.of("333333", N, components=3), Diff.SPE, "slab", (f"cos({two} * z) / ({two})", f"cos({two} * x) / ({two})", f"cos({two} * y) / ({two})"))
+    for diff, strategy in ((Diff.SPE, "pencil"), (Diff.FD2, "local"), (Diff.FD4, "slab"), (Diff.FD6, "local")):
+        out[f"solve_wall_waves_{diff.name.lower()}"] = _wall_curl(diff, strategy)
+    out["orders_of_errors"] = (_orders, _ORDERS_SQL)
     return out

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import transforms as T
 
-REAL = ("dct1", "dct2", "dct3", "dct4", "dst1", "dst2", "dst3", "dst4")
-
 
 def _matrix(column) -> np.ndarray:
     """Lines of one length as a matrix."""
@@ -66,7 +64,8 @@ def idft(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def basis_transform(line: Column, n: int, basis) -> Column:
-    """The same sums as Column arithmetic, for short lines: ``basis(k, j)`` gives the weights."""
+    """The same sums as Column arithmetic: ``basis(k, j)`` gives the weights.  n^2 interpreted steps a line, so a
+    demonstration for short lines; ``transform`` is the way for data."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda k: F.aggregate(
