@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 
 _u64 = np.uint64
-_BITS = (np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8)) & 1
 #: place of the r-th set bit of each byte value
 _PLACE = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
 _1, _2, _4, _8, _64 = (_u64(k) for k in (1, 2, 4, 8, 64))
