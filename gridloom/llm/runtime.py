@@ -42,9 +42,30 @@ def _path(spark: SparkSession, uri: str):
     return sc._jvm.org.apache.hadoop.fs.Path(uri), sc._jsc.hadoopConfiguration()
 
 
+_noted: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, in this application's own part."""
-    return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noted():
+    """The paths that are handed out meanwhile."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    path, conf = _path(spark, uri)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
@@ -65,8 +86,7 @@ def remove(df: DataFrame) -> None:
     """Delete the files behind a materialised table that no later plan reads."""
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/gridloom/" in parent:
-            path, conf = _path(df.sparkSession, parent)
-            path.getFileSystem(conf).delete(path, True)
+            discard(df.sparkSession, parent)
 
 
 def open_shared(uri: str):

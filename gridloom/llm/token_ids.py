@@ -341,6 +341,7 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
             break
         place = where[order[np.repeat(often, count)]]
         pairs, count = ranked[edge[often]], count[often]
+        del order, ranked, edge  # the largest arrays of a worker
         own = np.repeat(np.arange(len(pairs)), count)
         rank = np.empty(len(pairs), np.uint32)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(pairs) + 1)
@@ -353,6 +354,7 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         follows[1:] = (after[twin[:-1]] if linked else twin[:-1] + 1) == twin[1:]
         odd = twin[(at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 1]
         height[odd + 1] = 0
+        del twin, at, follows
         won = (mine > height[before[place] + 1 if linked else place]) & (mine > height[after[place] + 1 if linked else place + 2])
         height[place + 1] = 0
         times = np.bincount(own[won], minlength=len(pairs))
@@ -361,6 +363,7 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         won &= used[own]
         new = place[won]
         seq[new] = (base + made - 1 + np.cumsum(used)[own[won]]).astype(np.uint32)
+        del mine, own, won
         dead = after[new] if linked else new + 1
         # next: the new symbols and what precedes them, and the losers that still begin a pair
         live = np.zeros(len(seq) + 1, bool)

@@ -75,3 +75,83 @@ def test_run(spark, stages):
 
     assert rows(p.run(spark, DATA)) == rows(stages[5])
     assert [n for n, _ in p.STAGES] and p.ORACLE_SQL is None
+
+
+def brute_quality(rows, labels):
+    """Rows that pass the base rule and every cutoff that the labels certify, computed row by row."""
+    from test_filters import tail
+
+    from gridloom.llm import quality_rules as q
+
+    def shares(t):
+        t = t or ""
+        n, chars, symbols, dup, rep, _ = base_statistics(t)
+        lines = [x for x in t.split("\n") if any(c not in " \t\n\x0b\x0c\r" for c in x)]
+        share = lambda a, b: a / b if b else 0.0
+        upper, marks = sum("A" <= c <= "Z" for c in t), sum(c in "!?" for c in t)
+        return {"symbol_share": share(symbols, chars), "mark_share": share(marks, chars), "upper_share": share(upper, chars), "dup_line_share": share(dup, len(lines)), "repeat_share": share(rep, n)}
+
+    good = {i for i, quality in labels if quality == 1 and i is not None}
+    stats = [(r, shares(r[1])) for r in rows]
+    held = {}
+    for r, s in stats:
+        if r[0] in good:
+            held.setdefault(r[2], []).append(s)
+    alpha, cut = q.RISK / len(q.GRID), {}
+    for lang, texts in held.items():
+        for rule, grid in q.GRID.items():
+            for t in grid:
+                k, n = sum(s[rule] > t for s in texts), len(texts)
+                if k >= n * alpha or tail(k, n, alpha) > q.DELTA / (len(held) * len(q.GRID)):
+                    break
+                cut[lang, rule] = t
+    return [r for r, s in stats if not base_statistics(r[1])[5] and not any(s[rule] > cut.get((r[2], rule), 2.0) for rule in q.GRID)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_stage_equals_brute_force(spark, sf):
+    import corpus_pipeline as p
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("driver tables absent")
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()]
+    want = brute_quality(rows(docs), labels)
+    assert rows(p.quality(spark, docs, f"/root/testdata/{sf}")) == want
+    if sf == "sf0.1":  # enough labels: some documents that pass the base rule are rejected by certified cutoffs
+        assert len(want) < sum(not base_statistics(r[1])[5] for r in rows(docs))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def small(spark, path, documents, labels=(), items=()):
+    spark.createDataFrame(documents, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    out = p.run(spark, small(spark, tmp_path, []))
+    assert out.count() == 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_run_on_nulls_ties_and_long_texts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    text = lambda k, n=80: " ".join(f"w{k}x{i}" for i in range(n))
+    documents = [
+        (1, None, "en", "a", 0), (2, "", None, None, None), (3, text(3), None, None, None), (4, text(4), "en", "a", 0), (5, text(4), "de", "a", 0),
+        (4, text(4), "en", "a", 0), (None, text(6), "en", None, 0), (7, text(7, 30_000), "en", "a", 0), (8, text(8) + " " + text(9), "en", "a", 0), (10, " \n\t ", "en", "a", 0),
+    ]
+    sf = small(spark, tmp_path, documents, [(3, 1, 0), (None, 1, None), (4, None, 1)], [(1, text(8)), (2, None), (None, "...")])
+    got = sorted(map(tuple, p.run(spark, sf).collect()), key=lambda r: r[1])
+    ids = {r[0] for r in got}
+    assert ids <= {3, 4, None, 7}  # 5 is a copy of 4, and 8 holds a benchmark item
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = p.decontaminate_stage(spark, p.near_dedup_stage(spark, p.quality(spark, docs, sf), sf), sf)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "4", "7", "None"]
