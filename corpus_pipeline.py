@@ -17,39 +17,63 @@ Defined results
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
-from gridloom.llm.runtime import materialise, remove, ship
+from gridloom.llm.runtime import discard, materialise, noted, remove, ship
+
+#: what the stages have stored for themselves and may still be read through the last one's result
+_left: list[str] = []
+
+
+def _stage(run):
+    """A stage that first removes what earlier ones stored for themselves, but for what its input still reads: their
+    results have been written by then, as STAGES has it."""
+
+    @functools.wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+        for path in [p for p in _left if p.rsplit("/", 1)[-1] not in read]:
+            discard(spark, path)
+            _left.remove(path)
+        with noted() as paths:
+            out = run(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return wrapped
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the risk-controlled rules."""
-    ship(spark)
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    ship(spark)
     return near_dedup.keep_first(docs)
 
 
+@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    ship(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or thinned to their source's target."""
-    ship(spark)
     return mixing.mix(docs)
 
 
+@_stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all documents, read back as one row per document."""
-    ship(spark)
     return token_ids.read_digests(token_ids.write_shards(docs))
 
 
