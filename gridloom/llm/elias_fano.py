@@ -157,7 +157,7 @@ class EliasFano:
             less = _unpack(self.low, mid, self.width) < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
+            live = live.compress(lo[live] < hi[live])
         return lo, end, want
 
     def successor(self, x: np.ndarray) -> np.ndarray:
@@ -170,5 +170,6 @@ class EliasFano:
         hit = np.flatnonzero(at < end)
         out = np.full(len(at), -1, np.int64)
         same = _unpack(self.low, at[hit], self.width) == want[hit]
-        out[hit[same]] = at[hit[same]]
+        hit = hit.compress(same)
+        out[hit] = at[hit]
         return out

@@ -76,7 +76,7 @@ def shingles(h: np.ndarray, rows: np.ndarray, k: int = SHINGLE) -> tuple[np.ndar
         # windows of rows shorter than k never survive: each of their starts is cut
         target = np.ones(len(out), bool)
         target[out_rows[:-1][short]] = False
-        out[target] = roll[picked]
+        out[np.flatnonzero(target)] = roll[picked]
     for i in np.flatnonzero(short):
         part = h[rows[i] : rows[i + 1]]
         out[out_rows[i]] = W.mix((part * _POS[: len(part)]).sum(dtype=_u64) + _u64(len(part)))

@@ -110,7 +110,7 @@ def _sequence(batch: pa.RecordBatch, limit: int = W.CHUNK_BYTES) -> Iterator[tup
         h[:] = END[0]
         words = np.ones(len(h), bool)
         words[at[1:] - 1] = False
-        h[words] = W.hashes(data, start, end)
+        h[np.flatnonzero(words)] = W.hashes(data, start, end)
         yield i, j, h, at
 
 
@@ -185,8 +185,8 @@ class _Shard:
     def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of each (parent, child) or -1, first index of each parent's children); sorted by parent."""
         head = _heads(parent)
-        back = np.cumsum(head) - 1
-        lo, hi = (x.astype(np.int64) for x in self.pointer.get_two(parent[head]))
+        back = W.ranks(head)
+        lo, hi = (x.astype(np.int64) for x in self.pointer.get_two(parent.compress(head)))
         base = np.zeros(len(lo), _u64)
         before = np.flatnonzero((lo > 0) & (hi > lo))
         base[before] = self.child.get(lo[before] - 1) + _u64(1)
@@ -284,10 +284,10 @@ class Trie:
         a, b = parent[order], child[order]
         head = _heads(a, b)
         back = np.empty(len(pos), np.int64)
-        back[order] = np.cumsum(head) - 1
-        a, b = a[head], b[head]
+        back[order] = W.ranks(head)
+        a, b = a.compress(head), b.compress(head)
         first = _heads(a)
-        weight = self._backoff(n, starts, a[first])[np.cumsum(first) - 1]
+        weight = self._backoff(n, starts, a.compress(first))[W.ranks(first)]
         index, shard, q, rank = (np.full(len(a), -1, np.int64), np.zeros(len(a), np.int64), np.zeros(len(a)), np.zeros(len(a), np.int64))
         known = np.flatnonzero(b >= 0)
         index[known], shard[known], q[known], rank[known] = self._find(n, starts, a[known], b[known])
@@ -307,7 +307,7 @@ class Trie:
             head = np.zeros(len(h), bool)
             head[at[:-1]] = True
             pos = np.flatnonzero(~head)
-            pos = pos[ids[pos - 1] >= 0]
+            pos = pos.compress(ids[pos - 1] >= 0)
             pos, index, rank = self._step(2, self.starts["words"], ids[pos - 1], ids[pos], p, pos)
             # contexts of two words: every position after a kept pair; the next word is known by its rank, -1 where it is no successor
             pair, order = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
@@ -386,12 +386,12 @@ def _count_triples(uri: str, meta: dict):
             order = _order(b, c)
             b, c, before = b[order], c[order], before[order]
             pair = _heads(b, c)
-            group = np.cumsum(pair) - 1
+            group = W.ranks(pair)
             inner = _order(group, before)
             group, before = group[inner], before[inner]
             at = np.flatnonzero(_heads(group, before))
             n = np.diff(np.append(at, len(group)))
-            group, before, b, c = group[at], before[at], b[pair], c[pair]
+            group, before, b, c = group[at], before[at], b.compress(pair), c.compress(pair)
             many = np.bincount(group, minlength=len(b))
             cut, ends = np.searchsorted(b, starts), np.concatenate([[0], np.cumsum(many)])
             live = np.flatnonzero(np.diff(cut)).tolist()
@@ -423,8 +423,8 @@ def _merge_by_middle(uri: str, meta: dict, least: int):
         order = _order(b, c)
         head = _heads(b[order], c[order])
         group = np.empty(len(b), np.uint32)
-        group[order] = np.cumsum(head) - 1
-        b, c = b[order][head], c[order][head]
+        group[order] = W.ranks(head)
+        b, c = b[order].compress(head), c[order].compress(head)
         group, before = np.repeat(group, many), read("before")
         order = _order(group, before)
         n = read("counts")[order].astype(np.int64)
@@ -445,7 +445,7 @@ def _merge_by_middle(uri: str, meta: dict, least: int):
         save(f"{uri}/tree2-{s}.bin", _tree(b, c, n_words))
         sizes = np.bincount(b, minlength=n_words)
         rank = _narrow(np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-        group, first, n = group[inside], before[inside] - 1, n[inside]
+        group, first, n = group.compress(inside), before.compress(inside) - 1, n.compress(inside)
         order = _order(first, np.arange(len(first), dtype=np.uint32))
         group, first, n = group[order], first[order], n[order]
         del order, inside, before
@@ -490,9 +490,9 @@ def _merge_by_first(uri: str, meta: dict):
         a, b = first[order], second[order]
         del first, second
         head = _heads(a, b)
-        place = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(a[head].astype(np.int64), b[head].astype(np.int64))[0]
+        place = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(a.compress(head).astype(np.int64), b.compress(head).astype(np.int64))[0]
         index = np.empty(len(order), np.uint32 if len(pairs) < 1 << 32 else np.int64)
-        index[order] = place[np.cumsum(head) - 1]
+        index[order] = place[W.ranks(head)]
         del a, b, head, place
         rank = _joined(read("rank"))
         order = _order(index, rank)

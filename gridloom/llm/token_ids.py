@@ -209,7 +209,7 @@ class Encoder:
         # the last of a run of spaces goes with what follows if it is a blank, else stands alone
         b = np.flatnonzero((cls[1:] != _SPACE) & (cls[:-1] == _SPACE) & ~head[1:]) + 1
         start[b - 1] = True
-        start[b[data[b - 1] == 32]] = False
+        start[b.compress(data[b - 1] == 32)] = False
         # contractions: a piece that begins with an apostrophe, before a letter
         a = np.flatnonzero((data[:-1] == 39) & start[:-1] & (cls[1:] == _LETTER) & ~head[1:])
         if len(a):
@@ -339,8 +339,8 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         often = count >= least
         if not often.any():
             break
-        place = where[order[np.repeat(often, count)]]
-        pairs, count = ranked[edge[often]], count[often]
+        place = where[order.compress(np.repeat(often, count))]
+        pairs, count = ranked[edge.compress(often)], count.compress(often)
         del order, ranked, edge  # the largest arrays of a worker
         own = np.repeat(np.arange(len(pairs)), count)
         rank = np.empty(len(pairs), np.uint32)
@@ -348,7 +348,7 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         mine = rank[own]
         height[place + 1] = mine
         # of overlapping occurrences of a pair (in a run of one symbol) every other one can win, from the left
-        twin = where[left == right]
+        twin = where.compress(left == right)
         at = np.arange(len(twin))
         follows = np.zeros(len(twin), bool)
         follows[1:] = (after[twin[:-1]] if linked else twin[:-1] + 1) == twin[1:]
@@ -357,10 +357,11 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         del twin, at, follows
         won = (mine > height[before[place] + 1 if linked else place]) & (mine > height[after[place] + 1 if linked else place + 2])
         height[place + 1] = 0
+        won = np.flatnonzero(won)
         times = np.bincount(own[won], minlength=len(pairs))
         left, right = (pairs >> _u64(32)).astype(np.int64), (pairs & _u64(0xFFFFFFFF)).astype(np.int64)
         used = times >= np.where(left == right, -(-least // 2), least)
-        won &= used[own]
+        won = won.compress(used[own[won]])
         new = place[won]
         seq[new] = (base + made - 1 + np.cumsum(used)[own[won]]).astype(np.uint32)
         del mine, own, won
@@ -375,11 +376,11 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
             before[after[new]] = new
             live[before[new]] = True
             where = np.flatnonzero(live[:-1])
-            where = where[after[where] < len(seq)]
+            where = where.compress(after[where] < len(seq))
         else:
             live[new - 1] = True
             stay = ~gone
-            seq, where = seq[stay], np.flatnonzero(live[:-1][stay][:-1])
+            seq, where = seq.compress(stay), np.flatnonzero(live[:-1].compress(stay)[:-1])
             gone = np.zeros(len(seq), bool)
             if linked := len(where) < len(seq) // 16:
                 after, before = np.arange(1, len(seq) + 1), np.arange(-1, len(seq))
@@ -387,7 +388,7 @@ def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> bytes:
         rules.append(table)
         made += len(table)
         known = np.concatenate([known, known[np.maximum(table - base + 1, 0)].sum(axis=1)])
-    seq = seq[~gone]
+    seq = seq.compress(~gone)
     width = 2 if base + made <= 1 << 16 else (base + made - 1).bit_length()
     head = b"GRP1" + struct.pack("<4I", base, made, len(seq), width)
     table = np.concatenate(rules).astype("<u4")
@@ -417,9 +418,10 @@ class Shard:
         out = np.empty(int(size.sum()), np.uint32)
         while len(symbol):  # ids go to their place; what a rule stands for takes the next turn
             rule = symbol >= self.base
-            out[at[~rule]] = symbol[~rule]
-            at = at[rule]
-            pair = self.rules[symbol[rule] - self.base]
+            plain = np.flatnonzero(~rule)
+            out[at[plain]] = symbol[plain]
+            at = at.compress(rule)
+            pair = self.rules[symbol.compress(rule) - self.base]
             symbol = np.concatenate([pair[:, 0], pair[:, 1]])
             at = np.concatenate([at, at + self._size(pair[:, 0])])
         return out
@@ -430,9 +432,10 @@ class Shard:
         flat = np.concatenate([np.arange(self.base, dtype=np.uint32), rules])
         start = np.concatenate([[self.base], self.base + np.cumsum(self.lengths)])[:-1]
         symbol = self.seq.astype(np.int64)
-        rule = symbol >= self.base
+        size = self._size(symbol)
+        rule = np.flatnonzero(symbol >= self.base)
         symbol[rule] = start[symbol[rule] - self.base]
-        return _gather(flat, symbol, self._size(self.seq.astype(np.int64)))
+        return _gather(flat, symbol, size)
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids start..end; only the symbols that cover them are expanded."""

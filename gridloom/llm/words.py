@@ -104,6 +104,11 @@ def spans(data: np.ndarray, off: np.ndarray, table: np.ndarray, fold: bool = Fal
     return start, end, np.searchsorted(start, off)
 
 
+def ranks(head: np.ndarray) -> np.ndarray:
+    """Number of the group of each element, where ``head`` marks the first of each (32 bits: much the fastest sum)."""
+    return np.cumsum(head.view(np.int8), dtype=np.int32 if len(head) < 1 << 31 else np.int64) - 1
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ascending distinct values, first place of each, index of each element's value)."""
     bits = _u64(len(h).bit_length())
@@ -118,8 +123,8 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = np.ones(len(h), bool)
     np.not_equal(ranked[1:], ranked[:-1], out=head[1:])
     back = np.empty(len(h), np.int64)
-    back[order] = np.cumsum(head) - 1
-    return ranked[head], order[head], back
+    back[order] = ranks(head)
+    return ranked.compress(head), order.compress(head), back
 
 
 def blocks(data: np.ndarray) -> np.ndarray:
