@@ -13,7 +13,7 @@ import numpy as np
 _u64 = np.uint64
 #: place of the r-th set bit of each byte value
 _PLACE = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
-_1, _2, _4, _8, _64 = (_u64(k) for k in (1, 2, 4, 8, 64))
+_1, _2, _4, _8, _63, _64 = (_u64(k) for k in (1, 2, 4, 8, 63, 64))
 _ONES, _TOPS = _u64(0x0101010101010101), _u64(0x8080808080808080)
 _M5, _M3, _MF = _u64(0x5555555555555555), _u64(0x3333333333333333), _u64(0x0F0F0F0F0F0F0F0F)
 
@@ -61,10 +61,8 @@ def _unpack(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(len(index), _u64)
     at = index * width
     word, shift = at >> 6, (at & 63).astype(_u64)
-    out = words[word] >> shift
-    high = words[word + 1] << ((_u64(64) - shift) & _u64(63))
-    out = np.where(shift > 0, out | high, out)
-    return out & _u64((1 << width) - 1)
+    # the part of the next word, moved in two steps because a shift by 64 is none
+    return ((words[word] >> shift) | ((words[word + 1] << _1) << (_63 - shift))) & _u64((1 << width) - 1)
 
 
 def build(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -94,12 +92,11 @@ class EliasFano:
         return 64 * w + _select(self.high[w], index - self.rank[w])
 
     def _window(self, at: np.ndarray) -> np.ndarray:
-        """The 64 high bits from each place on, zeros beyond the end."""
-        w, shift = at >> 6, (at & 63).astype(_u64)
+        """The 64 high bits from each place on.  The sequence ends in zeros, so what stands beyond is never looked at."""
         last = len(self.high) - 1
-        here = np.where(w <= last, self.high[np.minimum(w, last)], _u64(0))
-        after = np.where(w < last, self.high[np.minimum(w + 1, last)], _u64(0))
-        return (here >> shift) | np.where(shift > 0, after << ((_64 - shift) & _u64(63)), _u64(0))
+        at = np.minimum(at, 64 * last + 63)
+        w, shift = at >> 6, (at & 63).astype(_u64)
+        return (self.high[w] >> shift) | ((self.high[np.minimum(w + 1, last)] << _1) << (_63 - shift))
 
     def _value(self, index: np.ndarray, at: np.ndarray) -> np.ndarray:
         return ((at - index).astype(_u64) << _u64(self.width)) | _unpack(self.low, index, self.width)
@@ -130,10 +127,16 @@ class EliasFano:
         """First index whose high part is at least ``h``: the place after the h-th zero, less the zeros before it."""
         if self._zeros is None:
             self._zeros = 64 * np.arange(len(self.rank), dtype=np.int64) - self.rank
-        r = np.clip(h, 1, self._zeros[-1]) - 1
+        top = int(self._zeros[-1])
+        low, high = (int(h.min()), int(h.max())) if len(h) else (1, 1)
+        r = (h if low > 0 and high <= top else np.clip(h, 1, top)) - 1
         w = np.searchsorted(self._zeros, r, "right") - 1
         first = 64 * w + _select(~self.high[w], r - self._zeros[w]) - r
-        return np.minimum(np.where(h == 0, 0, np.where(h > self._zeros[-1], self.n, first)), self.n)
+        if low <= 0:
+            first = np.where(h <= 0, 0, first)
+        if high > top:
+            first = np.where(h > top, self.n, first)
+        return np.minimum(first, self.n)
 
     def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First index whose high part is at least ``h``, and the number of values with that high part."""
@@ -152,12 +155,14 @@ class EliasFano:
         want, end = x & _u64((1 << self.width) - 1), hi.copy()
         # the values of one high part are few: binary search between the bounds
         live = np.flatnonzero(run > 0)
+        l, r, x = lo[live], hi[live], want[live]
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = _unpack(self.low, mid, self.width) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live.compress(lo[live] < hi[live])
+            mid = (l + r) >> 1
+            less = _unpack(self.low, mid, self.width) < x
+            l, r = np.where(less, mid + 1, l), np.where(less, r, mid)
+            lo[live] = l
+            more = l < r
+            live, l, r, x = (v.compress(more) for v in (live, l, r, x))
         return lo, end, want
 
     def successor(self, x: np.ndarray) -> np.ndarray:
