@@ -17,6 +17,9 @@ _QUERIES = {
     "op8_minhash_dedup": ("near_dedup", "OP8_SQL"),
     "op9_language_id": ("language_id", None),
     "op10_warc_revisits": ("warc", "OP10_SQL"),
+    "op11_pack_sequences": ("packing", None),
+    "op12_filter_audit": ("filter_audit", "OP12_SQL"),
+    "op13_whiten": ("whitening", None),
 }
 
 
