@@ -73,8 +73,10 @@ def phase(grid: GridSpec, axis: int, component: int, target: int) -> complex:
     return 1.0 if p.odd else -1.0
 
 
-def curl(grid: GridSpec, fill: GreenFill, y: np.ndarray, diff: Diff) -> np.ndarray:
-    k = [derivative_factor(diff, fill.wave(d, np.arange(grid.modes[d])), grid.h[d]) for d in range(3)]
+def curl(grid: GridSpec, fill: GreenFill, y: np.ndarray, diff: Diff, index=None) -> np.ndarray:
+    """Curl of three components at the modes ``index`` of each axis (all of them by default)."""
+    index = index or [np.arange(n) for n in grid.modes]
+    k = [derivative_factor(diff, fill.wave(d, index[d]), grid.h[d]) for d in range(3)]
     k = [np.reshape(x, [-1 if a == d else 1 for a in range(3)]) for d, x in enumerate(k)]
     d = lambda axis, c, to: phase(grid, axis, c, to) * k[axis] * y[c]
     return np.stack([d(1, 2, 0) - d(2, 1, 0), d(2, 0, 1) - d(0, 2, 1), d(0, 1, 2) - d(1, 0, 2)])

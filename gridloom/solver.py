@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import dense, multiply, transform
+from gridloom.operators import blocks, dense, multiply, transform
 from gridloom.operators.layout import AXES, FIELD, checked, normalise
 from gridloom.plans.spec import AxisClass, Diff, Equation, GridSpec, Kernel
 
@@ -36,6 +36,7 @@ class FieldSolver:
             raise ValueError(f"unknown strategy {strategy}")
         self.strategy, self.keep_green = strategy, keep_green
         self._green: DataFrame | None = None
+        self._octant: DataFrame | None = None
 
     def __enter__(self) -> FieldSolver:
         return self
@@ -44,9 +45,10 @@ class FieldSolver:
         self.close()
 
     def close(self) -> None:
-        if self._green is not None:
-            self._green.unpersist()
-            self._green = None
+        for table in (self._green, self._octant):
+            if table is not None:
+                table.unpersist()
+        self._green = self._octant = None
 
     def spectral_info(self) -> dict[str, tuple]:
         return self.grid.spectral_info()
@@ -81,23 +83,29 @@ class FieldSolver:
         out = transform.backward(self.grid, spectrum, self.strategy != "pencil", self.equation == Equation.ROT)
         return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
 
+    def octant(self) -> DataFrame | None:
+        """The folded Green's table of a solve in blocks, kept like ``green``; None where no table is needed."""
+        make = lambda: blocks.green_blocks(self.spark, self.grid, self.kernel, self.alpha, self.strategy == "slab")
+        if not self.keep_green:
+            return make()
+        if self._octant is None and (table := make()) is not None:
+            self._octant = table.persist()
+        return self._octant
+
     def solve(self, field: DataFrame, spectral=None, check: bool = False) -> DataFrame:
         """Solution field; ``spectral(k0, k1, k2, re, im)`` may filter it in wave space (not with "local"); ``check``
-        makes the job fail on a value that is not a number.  With strategy "pencil" the field may be lines, as in ``forward``."""
-        if check and "pts" not in field.columns:
+        makes the job fail on a value that is not a number.  "slab" and "pencil" move blocks (``blocks.solve``), and a
+        field of blocks is solved in blocks; with a filter, or with lines as in ``forward``, they move rows."""
+        lines = "pts" in field.columns
+        if check and not lines and "values" not in field.columns:
             field = checked(field)
         if self.strategy == "local" and spectral is None:
             return self._local(field)
-        if "pts" not in field.columns and spectral is None and self.equation == Equation.STD and not self.grid.unbounded and len(self._planes()) == 3:
-            out = transform.solve_spectral(self.grid, normalise(field), self.kernel, self.alpha, self.strategy != "pencil")
-            return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
+        if spectral is None and not lines:
+            return blocks.solve(self.grid, field, self.kernel, self.equation, self.diff, self.alpha, self.strategy == "slab", self.octant())
         y = self.multiply(self.forward(field))
         return self.backward(y if spectral is None else self.apply_spectral(y, spectral))
 
-    def _planes(self) -> list[int]:
-        """Axes that have sides."""
-        return [d for d, p in enumerate(self.grid.axes) if p.kind != AxisClass.EMPTY]
-
     def _local(self, field: DataFrame) -> DataFrame:
         grid, kernel, equation, diff, alpha = self.grid, self.kernel, self.equation, self.diff, self.alpha
 
