@@ -1,6 +1,7 @@
-"""Queries of Green's functions and of solves at node centres, each with SQL that goes another way: sums over wave
-numbers for the regularised kernels (which converge geometrically), stencils applied to lattice functions, expansions
-in eigenfunctions and images for solves."""
+"""Solves of the gridded table with every kernel and at node centres, each with SQL that goes another way: the kernel as
+a sum over wave numbers for the regularised kernels (which converge geometrically) or as an integral over heat kernels
+for the lattice ones, then the sum over all sources; stencils that give the source back; expansions in eigenfunctions
+and images."""
 
 from __future__ import annotations
 
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 from gridloom import queries as Q
 from gridloom.functions import special as S
 from gridloom.functions.farfield import far
-from gridloom.functions.kernels import GreenFill
 from gridloom.operators import analysis, layout
 from gridloom.operators.layout import AXES
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
 from gridloom.sources.generate import field_frame, gaussian_blob, gaussian_line, shear_waves, vortex_tube, wall_waves
+from gridloom.sources.gridded import lineitem_grid
 
 N, H, EPS = Q.N, 1 / Q.N, 2 / Q.N
 HEJ = (Kernel.HEJ_2, Kernel.HEJ_4, Kernel.HEJ_6, Kernel.HEJ_8, Kernel.HEJ_10)
@@ -68,64 +69,127 @@ def _planar(kernel: Kernel) -> str:
     return f"{offsets}, {series}, planar AS (SELECT d2, (0.5 * {ein} + ln({EPS!r}::DOUBLE) + ln(2) / 2 - {GAMMA} / 2 - ({poly}) * exp(-{t})) / (2 * pi()) AS g FROM d, hk GROUP BY d2)"
 
 
-def _free_samples(kernel: Kernel) -> str:
-    near = " + ".join(f"pow(least({x}, 16 - {x}), 2)" for x in "abc")
-    return f"WITH {_radial(kernel)} SELECT {Q._INDEX}, {Q._sql_round('g', 8)} AS g FROM range(16) x(a), range(16) y(b), range(16) z(c) JOIN radial ON d2 = {near}"
-
-
 def _even(x: str, n: int, points: str) -> str:
     """Weight of point ``x`` in mode ``points`` of an even periodic line of 2n points, folded to n + 1."""
     return f"CASE WHEN {x} IN (0, {n}) THEN 1 ELSE 2 END * cos(pi() * {x} * {points} / {n})"
 
 
-def _free_table(kernel: Kernel) -> str:
-    """The transformed table of three unbounded axes: cosine sums along one axis after the other."""
-    s0 = f"s0 AS (SELECT m AS a, y AS b, z AS c, sum(g * {_even('x', 8, 'm')}) AS v FROM range(9) i(x), range(9) j(y), range(9) k(z), range(9) t(m), radial WHERE d2 = x*x + y*y + z*z GROUP BY m, y, z)"
-    s1 = f"s1 AS (SELECT a, m AS b, c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(16) t(m) GROUP BY a, m, c)"
-    s2 = f"s2 AS (SELECT a, b, m AS c, sum(v * {_even('c', 8, 'm')}) AS v FROM s1, range(16) t(m) GROUP BY a, b, m)"
-    return f"WITH {_radial(kernel)}, {s0}, {s1}, {s2} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H ** 3!r}::DOUBLE', 8)} AS g FROM s2"
+def _spectral(kernel: Kernel) -> str:
+    return Q._green_sql(kernel, H)
 
 
-def _mixed_table(kernel: Kernel) -> str:
-    """Two unbounded axes and a periodic one: the plane's table at its mode 0, the spectral form at the others."""
-    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 8, 'm')}) AS v FROM range(9) i(x), range(9) j(y), range(16) t(m), planar WHERE d2 = x*x + y*y GROUP BY m, y)"
-    s1 = f"s1 AS (SELECT a, m AS b, sum(v * {_even('b', 8, 'm')}) * {H * H!r}::DOUBLE AS v FROM s0, range(16) t(m) GROUP BY a, m)"
-    k = [f"pi() * CASE WHEN {x} > 8 THEN {x} - 16 ELSE {x} END AS k{d}" for d, x in enumerate("ab")]
-    waves = f"SELECT a, b, c, v, {k[0]}, {k[1]}, 2 * pi() * greatest(c, 0.25::DOUBLE) AS k2 FROM s1, range(5) z(c)"
-    return f"WITH {_planar(kernel)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'CASE WHEN c = 0 THEN v ELSE {_spectral(kernel)} END', 8)} AS g FROM ({waves})"
+def _solved(code: str, kernel: Kernel, strategy: str, digits: int = 3):
+    """The gridded table, solved by blocks ("pencil", "slab") or by rows with a joined table ("rows")."""
+    flat = code.endswith("99")
 
+    def run(spark, sf):
+        f = Q._gridded(spark, sf)
+        if flat:
+            f = f.groupBy("i0", "i1").agg(F.sum("v").alias("v")).withColumn("i2", F.lit(0))
+        s = FieldSolver(spark, GridSpec.of(code, (N, N, 1) if flat else N), kernel, strategy="slab" if strategy == "rows" else strategy, keep_green=False)
+        u = s.backward(s.multiply(s.forward(f))) if strategy == "rows" else s.solve(f)
+        return u.select(*AXES, Q._round("v", digits).alias("v"))
 
-def _spectral(kernel: Kernel) -> str:
-    return Q._green_sql(kernel, H)
+    return run
+
+
+_POINTS = f"p AS (SELECT a, b, c FROM range({N}) x(a), range({N}) y(b), range({N}) z(c))"
+_PLANE = f"p AS (SELECT a, b, 0 AS c FROM range({N}) x(a), range({N}) y(b))"
+
+
+def _free_sql(kernel: Kernel, digits: int = 3) -> str:
+    """Three unbounded axes: the sum over all sources."""
+    if kernel in LATTICE:
+        table, at = _near_sql(kernel, 3, 8), "x = abs(a - i0) AND y = abs(b - i1) AND z = abs(c - i2)"
+    else:
+        table, at = _radial(kernel), "d2 = (a - i0) * (a - i0) + (b - i1) * (b - i1) + (c - i2) * (c - i2)"
+    value = Q._sql_round(f"sum(f.v * {H ** 3!r}::DOUBLE * g)", digits)
+    return f"WITH {table}, f AS ({Q._lineitem_sql()}), {_POINTS} SELECT {Q._INDEX}, {value} AS v FROM p, f JOIN {'near' if kernel in LATTICE else 'radial'} k ON {at} GROUP BY a, b, c"
+
+
+def _planar_sql(kernel: Kernel) -> tuple[str, str, str]:
+    """Table of the plane's kernel, its name, and its join to offsets ox, oy."""
+    if kernel in LATTICE:
+        return _near_sql(kernel, 2, 16), "near", "x = abs(ox) AND y = abs(oy)"
+    return _planar(kernel), "planar", "d2 = ox * ox + oy * oy"
 
 
-def _plane_table(kernel: Kernel) -> str:
-    """An axis with a wall and an unbounded side, and an unbounded one."""
-    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 16, 'm')}) AS v FROM range(17) i(x), range(9) j(y), range(17) t(m), planar WHERE d2 = x*x + y*y GROUP BY m, y)"
-    s1 = f"s1 AS (SELECT a, m AS b, 0 AS c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(9) t(m) GROUP BY a, m)"
-    return f"WITH {_planar(kernel)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H * H!r}::DOUBLE', 8)} AS g FROM s1"
+def _plane_sql(kernel: Kernel) -> str:
+    """A wall of even symmetry and an unbounded side, and an unbounded axis: sources and their images."""
+    table, name, at = _planar_sql(kernel)
+    sources = f"f AS (SELECT i0, i1, sum(v) AS v FROM ({Q._lineitem_sql()}) GROUP BY ALL), s AS (SELECT * FROM f UNION ALL SELECT -1 - i0, i1, v FROM f)"
+    pairs = "SELECT a, b, c, s.v AS v, a - i0 AS ox, b - i1 AS oy FROM p, s"
+    return f"WITH {table}, {sources}, {_PLANE} SELECT {Q._INDEX}, {Q._sql_round(f'sum(d.v * {H * H!r}::DOUBLE * g)', 3)} AS v FROM ({pairs}) d JOIN {name} ON {at} GROUP BY a, b, c"
 
 
-def _line_samples(kernel: Kernel) -> str:
-    """One unbounded axis: a sum over its wave numbers at each pair of the others."""
-    at = "SELECT DISTINCT least(a, 16 - a) AS n, CASE WHEN b > 4 THEN 8 - b ELSE b END AS p, c AS q FROM range(16) x(a), range(5) y(b), range(9) z(c)"
-    points = f"SELECT n, p, q, j, 0.4::DOUBLE * j AS x, {H!r}::DOUBLE * n AS r, pow(2 * pi() * p, 2) + pow(pi() * q, 2) AS k2 FROM ({at}), range(140) t(j)"
+def _mixed_sql(kernel: Kernel) -> str:
+    """Two unbounded axes and a periodic one: the plane's kernel at its mode 0, the spectral form at the others, turned
+    into a kernel of offsets by cosine sums."""
+    table, name, at = _planar_sql(kernel)
+    s0 = f"s0 AS (SELECT m AS a, ty AS b, sum(g * {_even('tx', 8, 'm')}) AS v FROM (SELECT ox AS tx, oy AS ty, g FROM range(9) i(ox), range(9) j(oy) JOIN {name} ON {at}), range(16) t(m) GROUP BY m, ty)"
+    s1 = f"s1 AS (SELECT a, m AS b, sum(v * {_even('b', 8, 'm')}) * {H * H!r}::DOUBLE AS v FROM s0, range(16) t(m) GROUP BY a, m)"
+    k = [f"pi() * CASE WHEN {x} > 8 THEN {x} - 16 ELSE {x} END AS k{d}" for d, x in enumerate("ab")]
+    waves = f"SELECT a, b, c, v, {k[0]}, {k[1]}, 2 * pi() * greatest(c, 0.25::DOUBLE) AS k2 FROM s1, range(5) z(c)"
+    t = f"t AS (SELECT a, b, c, CASE WHEN c = 0 THEN v ELSE {_spectral(kernel)} END AS g FROM ({waves}))"
+    q0 = "q0 AS (SELECT a, b, oz, sum(CASE WHEN c IN (0, 4) THEN 1 ELSE 2 END * g * cos(2 * pi() * c * oz / 8)) / 8 AS g FROM t, range(8) r(oz) GROUP BY a, b, oz)"
+    q1 = "q1 AS (SELECT a, oy, oz, sum(g * cos(2 * pi() * b * oy / 16)) / 16 AS g FROM q0, range(8) r(oy) GROUP BY a, oy, oz)"
+    q2 = "q2 AS (SELECT ox, oy, oz, sum(g * cos(2 * pi() * a * ox / 16)) / 16 AS g FROM q1, range(8) r(ox) GROUP BY ox, oy, oz)"
+    where = f"ox = abs(a - i0) AND oy = abs(b - i1) AND oz = (c - i2 + {N}) % {N}"
+    return f"WITH {table}, {s0}, {s1}, {t}, {q0}, {q1}, {q2}, f AS ({Q._lineitem_sql()}), {_POINTS} SELECT {Q._INDEX}, {Q._sql_round('sum(f.v * g)', 3)} AS v FROM p, f JOIN q2 ON {where} GROUP BY a, b, c"
+
+
+def _line_table(kernel: Kernel) -> str:
+    """CTE ``s(n, p, q, g)``: one unbounded axis, at offset n for modes p of a periodic axis and q of one between even walls."""
+    modes = f"range({N + 1}) x(n), range({N // 2 + 1}) y(p), range({N + 1}) z(q)"
+    if kernel == Kernel.CHAT_2:
+        return f"s AS (SELECT n, p, q, CASE WHEN k = 0 THEN r / 2 ELSE -exp(-k * r) / (2 * CASE WHEN k = 0 THEN 1 ELSE k END) END AS g FROM (SELECT n, p, q, {H!r}::DOUBLE * n AS r, sqrt(pow(2 * pi() * p, 2) + pow(pi() * q, 2)) AS k FROM {modes}))"
+    if kernel == Kernel.LGF_2:
+        root = f"SELECT *, 1 / (1 + c / 2 + sqrt(c * c / 4 + c)) AS r FROM (SELECT n, p, q, 4 * pow(sin(pi() * p * {H!r}::DOUBLE), 2) + 4 * pow(sin(pi() * q * {H / 2!r}::DOUBLE), 2) AS c FROM {modes})"
+        return f"s AS (SELECT n, p, q, {H!r}::DOUBLE * CASE WHEN c = 0 THEN n / 2.0::DOUBLE ELSE -pow(r, n) / (1 / r - CASE WHEN c = 0 THEN 0 ELSE r END) END AS g FROM ({root}))"
+    if kernel == Kernel.MEHR_4L:
+        y = f"SELECT n, p, q, pow(sin(pi() * p * {H!r}::DOUBLE), 2) AS y0, pow(sin(pi() * q * {H / 2!r}::DOUBLE), 2) AS y1 FROM {modes}"
+        pole = f"SELECT n, p, q, 2 + 8 * (y0 + y1 - y0 * y1) / 3 AS a0, 2 * (y0 + y1) / 3 - 1 AS a1 FROM ({y})"
+        root = f"SELECT *, CASE WHEN a1 > 0 AND n % 2 = 0 THEN -1 ELSE 1 END AS sgn, 1 / (abs(a0 / (2 * a1)) + sqrt(greatest(pow(a0 / (2 * a1), 2) - 1, 0))) AS r FROM ({pole})"
+        value = "CASE WHEN p = 0 AND q = 0 THEN n / 2.0::DOUBLE WHEN abs(a1) < 1e-12 THEN CASE WHEN n = 0 THEN -1 / a0 ELSE 0 END ELSE -sgn * pow(r, n + 1) / (a1 * (r * r - 1)) END"
+        return f"s AS (SELECT n, p, q, {H!r}::DOUBLE * {value} AS g FROM ({root}))"
+    points = f"SELECT n, p, q, j, 0.4::DOUBLE * j AS x, {H!r}::DOUBLE * n AS r, pow(2 * pi() * p, 2) + pow(pi() * q, 2) AS k2 FROM {modes}, range(140) t(j)"
     moving = f"-2 * {_filter(kernel, '(k2 + x * x)')} * cos(x * r) / CASE WHEN k2 + x * x = 0 THEN 1 ELSE k2 + x * x END"
     still = f"CASE WHEN j = 0 THEN r * r ELSE 2 * (1 - cos(x * r)) / CASE WHEN j = 0 THEN 1 ELSE x * x END END * {_filter(kernel, '(x * x)')}"
-    sums = f"s AS (SELECT n, p, q, sum(CASE WHEN j = 0 THEN 0.5 ELSE 1 END * CASE WHEN k2 = 0 THEN {still} ELSE {moving} END) * 0.4::DOUBLE / (2 * pi()) AS g FROM ({points}) GROUP BY n, p, q)"
-    return f"WITH {sums} SELECT {Q._INDEX}, {Q._sql_round('g', 8)} AS g FROM range(16) x(a), range(5) y(b), range(9) z(c) JOIN s ON n = least(a, 16 - a) AND p = b AND q = c"
+    return f"s AS (SELECT n, p, q, sum(CASE WHEN j = 0 THEN 0.5 ELSE 1 END * CASE WHEN k2 = 0 THEN {still} ELSE {moving} END) * 0.4::DOUBLE / (2 * pi()) AS g FROM ({points}) GROUP BY n, p, q)"
+
+
+def _line_sql(kernel: Kernel) -> str:
+    """One unbounded axis: expansions along the others, the sum over sources along it at each pair of modes."""
+    expand = "c1 AS (SELECT i0, m AS m1, i2, sum(v * w) AS v FROM f JOIN b1 ON i1 = i GROUP BY ALL), c2 AS (SELECT i0, m1, m AS m2, sum(v * w) AS v FROM c1 JOIN b2 ON i2 = i GROUP BY ALL)"
+    norms = "n1 AS (SELECT DISTINCT m AS m1, s AS s1 FROM b1), n2 AS (SELECT DISTINCT m AS m2, s AS s2 FROM b2)"
+    mode = f"CASE WHEN m1 > {N} THEN m1 - {N} ELSE m1 END"
+    u = f"u AS (SELECT a, m1, m2, sum(v * s1 * s2 * {H!r}::DOUBLE * g) AS v FROM c2 JOIN n1 USING (m1) JOIN n2 USING (m2), range({N}) x(a) JOIN s ON n = abs(a - i0) AND p = {mode} AND q = m2 GROUP BY a, m1, m2)"
+    back = "d1 AS (SELECT a, m1, i AS c, sum(v * w) AS v FROM u JOIN b2 ON m2 = m GROUP BY ALL), d0 AS (SELECT a, i AS b, c, sum(v * w) AS v FROM d1 JOIN b1 ON m1 = m GROUP BY ALL)"
+    return f"WITH {_line_table(kernel)}, f AS ({Q._lineitem_sql()}), b1 AS ({Q._basis_sql(3, 3, N)}), b2 AS ({Q._basis_sql(0, 0, N)}), {expand}, {norms}, {u}, {back} SELECT {Q._INDEX}, {Q._sql_round('v', 3)} AS v FROM d0"
 
 
 def _bessel_sql() -> str:
-    """Two unbounded axes and a periodic one, singular kernel: modified Bessel functions by a sum that converges geometrically."""
-    at = "SELECT DISTINCT pow(least(a, 16 - a), 2) + pow(least(b, 16 - b), 2) AS d2, c FROM range(16) x(a), range(16) y(b), range(5) z(c)"
+    """Two unbounded axes and a periodic one, singular kernel: modified Bessel functions by a sum that converges
+    geometrically, at each mode of an expansion along the periodic axis."""
+    at = f"SELECT DISTINCT x * x + y * y AS d2, c FROM range({N}) i(x), range({N}) j(y), range({N // 2 + 1}) z(c)"
     req = f"({H!r}::DOUBLE / sqrt(pi()))"
     arg = f"2 * pi() * c * CASE WHEN d2 = 0 THEN {req} ELSE {H!r}::DOUBLE * sqrt(d2) END"
     sums = f"SELECT d2, c, {arg} AS x, sum(CASE WHEN j = 0 THEN 0.5 ELSE 1 END * exp(-least(({arg}) * cosh(j / 16.0::DOUBLE), 700)) * CASE WHEN d2 = 0 THEN cosh(j / 16.0::DOUBLE) ELSE 1 END) / 16 AS bessel FROM ({at}), range(240) t(j) GROUP BY d2, c"
     still = f"CASE WHEN d2 = 0 THEN (pi() - 6 + 2 * ln(0.5 * pi() * pow({req}, 2))) / (8 * pi()) ELSE ln({H!r}::DOUBLE * sqrt(greatest(d2, 1))) / (2 * pi()) END"
     moving = "CASE WHEN d2 = 0 THEN -(1 - x * bessel) / (pi() * greatest(x * x, 1e-30)) ELSE -bessel / (2 * pi()) END"
     table = f"t AS (SELECT d2, c AS q, CASE WHEN c = 0 THEN {still} ELSE {moving} END AS g FROM ({sums}))"
-    return f"WITH {table} SELECT {Q._INDEX}, {Q._sql_round('g', 8)} AS g FROM range(16) x(a), range(16) y(b), range(5) z(c) JOIN t ON d2 = pow(least(a, 16 - a), 2) + pow(least(b, 16 - b), 2) AND q = c"
+    expand = "c2 AS (SELECT i0, i1, m, sum(v * w) * any_value(s) AS v FROM f JOIN b2 ON i2 = i GROUP BY ALL)"
+    mode = f"CASE WHEN m > {N} THEN m - {N} ELSE m END"
+    u = f"u AS (SELECT a, b, m AS m2, sum(v * {H * H!r}::DOUBLE * g) AS v FROM c2, range({N}) x(a), range({N}) y(b) JOIN t ON d2 = (a - i0) * (a - i0) + (b - i1) * (b - i1) AND q = {mode} GROUP BY a, b, m)"
+    back = "d0 AS (SELECT a, b, i AS c, sum(v * w) AS v FROM u JOIN b2 ON m2 = m GROUP BY ALL)"
+    return f"WITH {table}, f AS ({Q._lineitem_sql()}), b2 AS ({Q._basis_sql(3, 3, N)}), {expand}, {u}, {back} SELECT {Q._INDEX}, {Q._sql_round('v', 3)} AS v FROM d0"
+
+
+def _log_sql() -> str:
+    """The singular kernel of the plane, with images."""
+    origin = f"(pi() - 6 + 2 * ln(0.5 * {H * H!r}::DOUBLE)) / (8 * pi())"
+    table = f"planar AS (SELECT DISTINCT x * x + y * y AS d2, CASE WHEN x + y = 0 THEN {origin} ELSE ln({H!r}::DOUBLE * sqrt(greatest(x * x + y * y, 1))) / (2 * pi()) END AS g FROM range(17) i(x), range(9) j(y))"
+    return _plane_sql(Kernel.HEJ_2).replace(_planar(Kernel.HEJ_2), table)
 
 
 # -- lattice kernels: the stencil of the kernel's operator turns it into that of its source --------
@@ -168,85 +232,71 @@ def _stencils(kernel: Kernel, axes: int) -> tuple[dict, dict]:
     return operator, delta
 
 
-def _source_sql(kernel: Kernel, axes: int) -> str:
-    """The source's weights at offsets a, b, c, written out."""
-    d, e, s = ([f"CASE abs({x}) {body} ELSE 0 END" for x in "abc"[:axes]] for body in ("WHEN 0 THEN 1.0::DOUBLE", "WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN -0.25", "WHEN 0 THEN 0.375::DOUBLE WHEN 1 THEN -0.25 WHEN 2 THEN 0.0625"))
-    product = lambda parts: " * ".join(f"({p})" for p in parts)
-    swap = lambda new, at: product([new[i] if i in at else d[i] for i in range(axes)])
-    out = product(d)
-    if kernel in (Kernel.MEHR_4F, Kernel.MEHR_6F):
-        out += "".join(f" - {swap(e, (i,))} / 3" for i in range(axes))
-    if kernel == Kernel.MEHR_6F:
-        out += "".join(f" + 8 * {swap(e, at)} / 45" for at in itertools.combinations(range(axes), 2)) + "".join(f" - {swap(s, (i,))} / 15" for i in range(axes))
-    return out
-
-
-def _residual(code: str, kernel: Kernel):
-    """The operator's stencil applied to the kernel, around the origin and across the table's edge."""
-    axes = 3 if code == "444444" else 2
-    grid = GridSpec.of(code, (64, 64, 64 if axes == 3 else 1))
-    operator, _ = _stencils(kernel, axes)
-    depth = 4 if axes == 3 else 1
-
-    def run(spark, sf):
-        fill = GreenFill(grid, kernel)
-
-        def apply(batches):
-            for b in batches:
-                e = [np.asarray(b.column(a)) for a in AXES]
-                total = np.zeros(b.num_rows)
-                for at, weight in operator.items():
-                    total += weight * fill._lattice([np.abs(x + s) for x, s in zip(e, at)])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in e), pa.array(total)], names=[*AXES, "g"])
+PAD = 4  # cells around the table's grid along unbounded axes, as far as stencils reach
 
-        df = layout.index_table(spark, (12, 4, depth)).withColumn("i0", F.when(F.col("i0") < 5, F.col("i0")).otherwise(F.col("i0") + 40))
-        return df.mapInArrow(apply, "i0 int, i1 int, i2 int, g double").select(*AXES, Q._round("g", 9).alias("g"))
 
-    index = Q._INDEX
-    return run, f"SELECT {index}, {Q._sql_round(_source_sql(kernel, axes), 9)} AS g FROM (SELECT CASE WHEN i < 5 THEN i ELSE i + 40 END AS a, b, c FROM range(12) x(i), range(4) y(b), range({depth}) z(c))"
+def stencil(field, weights: dict, mirrored: tuple[int, ...] = (), periodic: tuple[int, ...] = (), n: int = N):
+    """A symmetric stencil applied to a field of points: each point goes to all that it is a neighbour of.  ``mirrored`` axes
+    have even walls, ``periodic`` ones repeat."""
+    rows = field.select(*AXES, "v")
+    for d in mirrored:
+        images = F.array(F.col(AXES[d]), -1 - F.col(AXES[d]), 2 * n - 1 - F.col(AXES[d]))
+        rows = rows.select(*(F.explode(images).alias(a) if a == AXES[d] else F.col(a) for a in AXES), "v")
+    steps = F.array(*(F.struct(*(F.lit(x).alias(f"s{d}") for d, x in enumerate((*at, 0, 0)[:3])), F.lit(float(w)).alias("w")) for at, w in weights.items()))
+    moved = rows.select(*AXES, "v", F.explode(steps).alias("s"))
+    to = [F.pmod(F.col(a) + F.col(f"s.s{d}"), F.lit(n)) if d in periodic else F.col(a) + F.col(f"s.s{d}") for d, a in enumerate(AXES)]
+    return moved.select(*(t.cast("int").alias(a) for t, a in zip(to, AXES)), (F.col("v") * F.col("s.w")).alias("v")).groupBy(*AXES).agg(F.sum("v").alias("v"))
 
 
-def _line_residual(kernel: Kernel):
-    """The same along one unbounded axis, at each pair of wave numbers of the others."""
-    sides = 2
+def _residual(code: str, kernel: Kernel):
+    """The operator's stencil applied to the solution of the gridded table gives the table back (or, for kernels with a
+    stencil of their own on the source, that stencil of it).  Unbounded axes are longer than the table by what stencils reach."""
+    axes = 2 if code.endswith("99") else 3
+    free = [d for d in range(axes) if code[2 * d : 2 * d + 2] == "44"]
+    n = tuple(N + 2 * PAD if d in free else N if d < axes else 1 for d in range(3))
+    grid = GridSpec.of(code, n, length=tuple(x / N for x in n))
+    operator, source = _stencils(kernel, axes)
+    pad = tuple(PAD if d in free else 0 for d in range(3))
+    # weights of such stencils have small denominators: scaled, so that no value is halfway between two rounded ones
+    unit = 0.7390851332151607 if kernel in (Kernel.MEHR_4F, Kernel.MEHR_6F) else 1.0
+    others = {"mirrored": tuple(d for d in range(axes) if code[2 * d : 2 * d + 2] == "00"), "periodic": tuple(d for d in range(axes) if code[2 * d : 2 * d + 2] == "33")}
 
     def run(spark, sf):
-        def apply(batches):
-            for batch in batches:
-                n, b, c = (np.asarray(batch.column(a)) for a in AXES)
-                k0, k1 = 2 * math.pi * b * H, math.pi * c * H
-                operator, _ = _stencils(kernel, 3)
-                total = np.zeros(len(n))
-                for (i, j, k), weight in operator.items():
-                    total += weight * np.cos(j * k0) * np.cos(k * k1) * S.line(kernel, np.abs(n + i), k0, k1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(a) for a in AXES), pa.array(total)], names=[*AXES, "g"])
-
-        df = layout.index_table(spark, (10, 5, 9))
-        return df.mapInArrow(apply, "i0 int, i1 int, i2 int, g double").select(*AXES, Q._round("g", 9).alias("g"))
-
-    y = ["pow(sin(pi() * b / 8.0::DOUBLE), 2)", "pow(sin(pi() * c / 16.0::DOUBLE), 2)"]
-    d, e, s = (f"CASE a {body} ELSE 0 END" for body in ("WHEN 0 THEN 1.0::DOUBLE", "WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN -0.25", "WHEN 0 THEN 0.375::DOUBLE WHEN 1 THEN -0.25 WHEN 2 THEN 0.0625"))
-    source = d
-    if kernel in (Kernel.MEHR_4F, Kernel.MEHR_6F):
-        source = f"({d}) * (1 - ({y[0]} + {y[1]}) / 3) - ({e}) / 3"
-    if kernel == Kernel.MEHR_6F:
-        source += f" + 8 * (({e}) * ({y[0]} + {y[1]}) + ({d}) * {y[0]} * {y[1]}) / 45 - (({s}) + ({d}) * (pow({y[0]}, {sides}) + pow({y[1]}, {sides}))) / 15"
-    return run, f"SELECT {Q._INDEX}, {Q._sql_round(source, 9)} AS g FROM range(10) x(a), range(5) y(b), range(9) z(c)"
+        f = Q._gridded(spark, sf)
+        if axes == 2:
+            f = f.groupBy("i0", "i1").agg(F.sum("v").alias("v")).withColumn("i2", F.lit(0))
+        s = FieldSolver(spark, grid, kernel, strategy="slab", keep_green=False)
+        u = s.solve(layout.shift(f, pad))
+        back = layout.shift(layout.box(stencil(u, operator, **others), pad, tuple(p + (N if d < axes else 1) - 1 for d, p in enumerate(pad))), tuple(-p for p in pad))
+        return back.select(*AXES, Q._round(F.col("v") * (-unit / H**2), 2).alias("v"))
+
+    cells = "f AS (SELECT i0, i1, 0 AS i2, sum(v) AS v FROM (" + Q._lineitem_sql() + ") GROUP BY ALL)" if axes == 2 else f"f AS ({Q._lineitem_sql()})"
+    points = _PLANE if axes == 2 else _POINTS
+    weights = ", ".join(f"({', '.join(map(str, (*at, 0, 0)[:3]))}, {w!r}::DOUBLE)" for at, w in source.items() if w)
+    move = lambda x, d: f"(({x} + s{d} + {N}) % {N})" if d in others["periodic"] else f"(CASE WHEN {x} + s{d} < 0 THEN -1 - {x} - s{d} WHEN {x} + s{d} >= {N} THEN {2 * N - 1} - {x} - s{d} ELSE {x} + s{d} END)" if d in others["mirrored"] else f"({x} + s{d})"
+    join = " AND ".join(f"i{d} = {move(x, d)}" for d, x in enumerate("abc"))
+    return run, f"WITH {cells}, {points}, w AS (SELECT * FROM (VALUES {weights}) t(s0, s1, s2, w)) SELECT {Q._INDEX}, {Q._sql_round(f'coalesce(sum(f.v * w.w), 0) * {unit!r}::DOUBLE', 2)} AS v FROM p CROSS JOIN w LEFT JOIN f ON {join} GROUP BY a, b, c"
 
 
 def _far_field(kernel: Kernel):
-    """Distances far beyond any table, where the lattice function is that of the continuum to leading order."""
+    """The potential of the whole gridded table far beyond any lattice table, in units of that of its sum at the origin:
+    there the lattice function is that of the continuum, and the table's own shape shows."""
 
     def run(spark, sf):
+        f = Q._gridded(spark, sf).select(*AXES, "v", F.explode(F.array(*(F.lit(k * 10_000).cast("long") for k in range(1, 9)))).alias("r"))
+
         def apply(batches):
             for b in batches:
                 r = np.asarray(b.column("r"), float)
-                g = far(kernel, r, 2 * r, 2 * r)
-                yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(g * 12 * math.pi * r)], names=["r", "scaled"])
+                x = [m * r - np.asarray(b.column(a), float) for m, a in zip((1, 2, 2), AXES)]
+                v = np.asarray(b.column("v"))
+                yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(far(kernel, *x) * 12 * math.pi * r * v), pa.array(v)], names=["r", "part", "v"])
 
-        return spark.range(1, 9).select((F.col("id") * 1_000_000).alias("r")).mapInArrow(apply, "r long, scaled double").select("r", Q._round("scaled", 9).alias("scaled"))
+        parts = f.mapInArrow(apply, "r long, part double, v double")
+        return parts.groupBy("r").agg(Q._round(F.sum("part") / F.sum("v"), 9).alias("scaled"))
 
-    return run, "SELECT id * 1000000 AS r, 1.0::DOUBLE AS scaled FROM range(1, 9) t(id)"
+    distance = "sqrt(pow(r - i0, 2) + pow(2 * r - i1, 2) + pow(2 * r - i2, 2))"
+    return run, f"WITH f AS ({Q._lineitem_sql()}) SELECT r, {Q._sql_round(f'sum(v * 3 * r / {distance}) / sum(v)', 9)} AS scaled FROM f, (SELECT id * 10000 AS r FROM range(1, 9) t(id)) GROUP BY r"
 
 
 def _heat_sql(kernel: Kernel, axes: int, reach: int) -> str:
@@ -299,47 +349,26 @@ def _near_sql(kernel: Kernel, axes: int, reach: int) -> str:
     return (_heat_sql if kernel.family == "LGF" else _compact_sql)(kernel, axes, reach)
 
 
-def _lattice_free_table(kernel: Kernel) -> str:
-    s0 = f"s0 AS (SELECT m AS a, y AS b, z AS c, sum(g * {_even('x', 8, 'm')}) AS v FROM near, range(9) t(m) GROUP BY m, y, z)"
-    s1 = f"s1 AS (SELECT a, m AS b, c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(16) t(m) GROUP BY a, m, c)"
-    s2 = f"s2 AS (SELECT a, b, m AS c, sum(v * {_even('c', 8, 'm')}) AS v FROM s1, range(16) t(m) GROUP BY a, b, m)"
-    return f"WITH {_near_sql(kernel, 3, 8)}, {s0}, {s1}, {s2} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H ** 3!r}::DOUBLE', 8)} AS g FROM s2"
-
-
-def _lattice_mixed_table(kernel: Kernel) -> str:
-    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 8, 'm')}) AS v FROM near, range(16) t(m) GROUP BY m, y)"
-    s1 = f"s1 AS (SELECT a, m AS b, sum(v * {_even('b', 8, 'm')}) * {H * H!r}::DOUBLE AS v FROM s0, range(16) t(m) GROUP BY a, m)"
-    k = [f"pi() * CASE WHEN {x} > 8 THEN {x} - 16 ELSE {x} END AS k{d}" for d, x in enumerate("ab")]
-    waves = f"SELECT a, b, c, v, {k[0]}, {k[1]}, 2 * pi() * greatest(c, 0.25::DOUBLE) AS k2 FROM s1, range(5) z(c)"
-    return f"WITH {_near_sql(kernel, 2, 8)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'CASE WHEN c = 0 THEN v ELSE {_spectral(kernel)} END', 8)} AS g FROM ({waves})"
-
-
-def _lattice_plane_table(kernel: Kernel) -> str:
-    s0 = f"s0 AS (SELECT m AS a, y AS b, sum(g * {_even('x', 16, 'm')}) AS v FROM near, range(17) t(m) GROUP BY m, y)"
-    s1 = f"s1 AS (SELECT a, m AS b, 0 AS c, sum(v * {_even('b', 8, 'm')}) AS v FROM s0, range(9) t(m) GROUP BY a, m)"
-    return f"WITH {_near_sql(kernel, 2, 16)}, {s0}, {s1} SELECT {Q._INDEX}, {Q._sql_round(f'v * {H * H!r}::DOUBLE', 8)} AS g FROM s1"
-
-
 # -- special functions ------------------------------------------------------------------------
 
 
 def _special(spark, sf):
-    """Values at x = 1/4, 2/4, ... 10."""
+    """Values at a fifth of each quantity that is ordered."""
 
     def apply(batches):
         for b in batches:
-            x = np.asarray(b.column("j")) / 4.0
+            x = np.asarray(b.column("j")) / 5.0
             cols = [S.erf(x), S.si(x), S.e1(x), S.en(2, x), S.bessel_i(0, x), S.bessel_i(1, x), S.bessel_k(0, x), S.bessel_k(1, x), S.ji0c(x)]
             yield pa.RecordBatch.from_arrays([b.column("j"), *(pa.array(c) for c in cols)], names=["j", *_NAMES])
 
-    df = spark.range(1, 41).select(F.col("id").alias("j")).mapInArrow(apply, "j long, " + ", ".join(f"{c} double" for c in _NAMES))
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_quantity").cast("long").alias("j")).where("j > 0").distinct().mapInArrow(apply, "j long, " + ", ".join(f"{c} double" for c in _NAMES))
     return df.select("j", *(Q._round(c, 8).alias(c) for c in _NAMES))
 
 
 _NAMES = ("erf", "si", "e1", "e2", "i0", "i1", "k0", "k1", "ji0c")
 _SIMPSON = "CASE WHEN m = 0 OR m = 800 THEN 1 WHEN m % 2 = 1 THEN 4 ELSE 2 END"
 _SPECIAL_SQL = f"""
-WITH x AS (SELECT j, j / 4.0::DOUBLE AS x FROM range(1, 41) t(j)),
+WITH x AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS j, CAST(l_quantity AS BIGINT) / 5.0::DOUBLE AS x FROM lineitem WHERE l_quantity >= 1),
 s AS (SELECT j, any_value(x) AS x, sum({_SIMPSON} * exp(-pow(x * m / 800, 2))) * any_value(x) / 2400 * 2 / sqrt(pi()) AS erf,
   sum({_SIMPSON} * CASE WHEN m = 0 THEN x ELSE sin(x * m / 800) / greatest(m / 800.0::DOUBLE, 1e-9) END) / 2400 AS si,
   sum({_SIMPSON} * CASE WHEN m = 0 THEN 0 ELSE (1 - list_sum(list_transform(range(64), lambda p: cos(x * m / 800 * sin(pi() * (p + 0.5::DOUBLE) / 64)))) / 64) / greatest(m / 800.0::DOUBLE, 1e-9) END) / 2400 AS ji0c
@@ -392,7 +421,7 @@ SELECT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER)
     return run, sql
 
 
-def _images(code: str, center: Center, images: str, strategy: str = "local"):
+def _images(code: str, center: Center, images: str, strategy: str = "pencil"):
     """Unbounded solves as direct sums over sources and their images (SQL rows i0, i1, i2, v from f)."""
 
     def run(spark, sf):
@@ -411,10 +440,10 @@ SELECT {Q._INDEX}, {Q._sql_round(f"sum(v * {H ** 3!r} * CASE WHEN r = 0 THEN -0.
 
 def _node_rotational():
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of("333333", N, Center.NODE, components=3), Kernel.CHAT_2, Equation.ROT, Diff.SPE, strategy="local")
+        s = FieldSolver(spark, GridSpec.of("333333", N, Center.NODE, components=3), Kernel.CHAT_2, Equation.ROT, Diff.SPE, strategy="pencil")
         return s.solve(Q._gridded(spark, sf, Q.MEASURES)).select("comp", *AXES, Q._round("v", 5).alias("v"))
 
-    cell = Q._rotational(Diff.SPE, "local")[1]
+    cell = Q._rotational(Diff.SPE, "pencil")[1]
     # the last point of each axis repeats the first
     sql = f"WITH u AS ({cell}) SELECT comp, {Q._INDEX}, v FROM u JOIN (SELECT * FROM range({N + 1}) x(a), range({N + 1}) y(b), range({N + 1}) z(c)) ON i0 = a % {N} AND i1 = b % {N} AND i2 = c % {N}"
     return run, sql
@@ -459,10 +488,10 @@ def _product(code: str, which: str, value: str, waves: tuple[str, ...]):
     grid = GridSpec.of(code, (N, N, 1) if code.endswith("99") else N)
 
     def run(spark, sf):
-        return field_frame(spark, grid, which).select(*AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(field_frame(spark, grid, which).drop("comp"), spark, sf)
 
     factor = "1.0::DOUBLE" if which == "solution" else "-(" + " + ".join(f"pow({k}, 2)" for k in waves) + ")"
-    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f'{factor} * {value}', 7)} AS v FROM ({_CELLS}) WHERE {'c = 0' if code.endswith('99') else 'true'}"
+    return run, Q.weighted_sql(f"SELECT a, b, c, {factor} * {value} AS v FROM ({_CELLS}) WHERE {'c = 0' if code.endswith('99') else 'true'}")
 
 
 def _bump(x: str, second: bool) -> str:
@@ -478,109 +507,162 @@ def _bump_images(which: str):
     grid = GridSpec.of("044433", N)
 
     def run(spark, sf):
-        return field_frame(spark, grid, which).select(*AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(field_frame(spark, grid, which).drop("comp"), spark, sf)
 
     f = [f"({_bump('x - 0.3', s)} + {_bump('x + 0.3', s)})" for s in (False, True)]
     g = [f"({_bump('y - 0.5', s)})" for s in (False, True)]
     wave, k2 = "sin(8 * pi() * z)", "64 * pi() * pi()"
     value = f"{f[0]} * {g[0]} * {wave}"
     total = value if which == "solution" else f"({f[1]} * {g[0]} + {f[0]} * {g[1]} - {k2} * {f[0]} * {g[0]}) * {wave}"
-    return run, f"SELECT {Q._INDEX}, {Q._sql_round(total, 7)} AS v FROM ({_CELLS})"
+    return run, Q.weighted_sql(f"SELECT a, b, c, {total} AS v FROM ({_CELLS})")
 
 
 def _compact_vortex(which: str):
     def run(spark, sf):
-        df = vortex_tube(spark, GridSpec.of("444433", N, components=3), 2, radius=0.4, which=which)
-        return df.select("comp", *AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(vortex_tube(spark, GridSpec.of("444433", N, components=3), 2, radius=0.4, which=which), spark, sf)
 
     q = "least(r2 / 0.16::DOUBLE, 1)"
     w = f"4 / (pi() * 0.16) * pow(1 - {q}, 3)"
     u = f"(1 - pow(1 - {q}, 4)) / (2 * pi() * r2)"  # no cell centre lies on the axis
     v = f"CASE WHEN comp = 2 THEN -{w} ELSE 0 END" if which == "rhs" else f"CASE comp WHEN 0 THEN -(y - 0.5) * {u} WHEN 1 THEN (x - 0.5) * {u} ELSE 0 END"
-    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(v, 7)} AS v FROM (SELECT *, pow(x - 0.5, 2) + pow(y - 0.5, 2) AS r2 FROM ({_CELLS}), range(3) t(comp))"
+    return run, Q.weighted_sql(f"SELECT comp, a, b, c, {v} AS v FROM (SELECT *, pow(x - 0.5, 2) + pow(y - 0.5, 2) AS r2 FROM ({_CELLS}), range(3) t(comp))")
 
 
 def _vectors(make, which: str, values: tuple[str, str, str], code: str = "333333"):
     def run(spark, sf):
-        return make(spark, GridSpec.of(code, N, components=3), which).select("comp", *AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(make(spark, GridSpec.of(code, N, components=3), which), spark, sf)
 
     body = " ".join(f"WHEN {c} THEN {v}" for c, v in enumerate(values))
-    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(f'CASE comp {body} END', 7)} AS v FROM ({_CELLS}), range(3) t(comp)"
+    return run, Q.weighted_sql(f"SELECT comp, a, b, c, CASE comp {body} END AS v FROM ({_CELLS}), range(3) t(comp)")
 
 
 def _blob(which: str):
     def run(spark, sf):
-        return gaussian_blob(spark, GridSpec.of("444444", N), 0.1, which).select(*AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(gaussian_blob(spark, GridSpec.of("444444", N), 0.1, which).drop("comp"), spark, sf)
 
     # the potential of a Gaussian as an integral over widths: Simpson's rule for erf(r / (sqrt(2) sigma)) / r
     weight = "CASE WHEN m = 0 OR m = 400 THEN 1 WHEN m % 2 = 1 THEN 4 ELSE 2 END"
     erf = f"sum({weight} * exp(-r2 * pow(m / 400.0::DOUBLE, 2) / 0.02)) / 1200 * 2 / sqrt(pi()) / (sqrt(2) * 0.1)"
     r2 = f"SELECT a, b, c, pow(x - 0.5, 2) + pow(y - 0.5, 2) + pow(z - 0.5, 2) AS r2 FROM ({_CELLS})"
     if which == "rhs":
-        return run, f"SELECT {Q._INDEX}, {Q._sql_round('exp(r2 / -0.02) / pow(2 * pi() * 0.01, 1.5)', 7)} AS v FROM ({r2})"
-    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f'-{erf} / (4 * pi())', 7)} AS v FROM ({r2}), range(401) t(m) GROUP BY a, b, c"
+        return run, Q.weighted_sql(f"SELECT a, b, c, exp(r2 / -0.02) / pow(2 * pi() * 0.01, 1.5) AS v FROM ({r2})")
+    return run, Q.weighted_sql(f"SELECT a, b, c, -{erf} / (4 * pi()) AS v FROM ({r2}), range(401) t(m) GROUP BY a, b, c")
 
 
 def _gaussian(which: str):
     def run(spark, sf):
-        return gaussian_line(spark, GridSpec.of("334433", N), 1, 0.1, which).select(*AXES, Q._round("v", 7).alias("v"))
+        return Q.weighted(gaussian_line(spark, GridSpec.of("334433", N), 1, 0.1, which).drop("comp"), spark, sf)
 
     f = "exp(-pow((y - 0.5) / 0.1, 2) / 2)" + (" * (pow((y - 0.5) / 0.1, 2) - 1) / 0.01" if which == "rhs" else "")
-    return run, f"SELECT {Q._INDEX}, {Q._sql_round(f, 7)} AS v FROM ({_CELLS})"
+    return run, Q.weighted_sql(f"SELECT a, b, c, {f} AS v FROM ({_CELLS})")
+
 
+def _kappa(diff: Diff, k: str) -> str:
+    """Factor of a first derivative at wave number ``k``."""
+    weights = {Diff.SPE: None, Diff.FD2: (1.0,), Diff.FD4: (4 / 3, -1 / 6), Diff.FD6: (3 / 2, -3 / 10, 1 / 30)}[diff]
+    return k if weights is None else "(" + " + ".join(f"({w!r}::DOUBLE) * sin({k} * {m * H!r}::DOUBLE) / {H!r}::DOUBLE" for m, w in enumerate(weights, 1)) + ")"
 
-def _curl_waves(make, grid: GridSpec, diff: Diff, strategy: str, values: tuple[str, str, str]):
-    """A rotational solve of waves whose solution is known in closed form."""
+
+def _slope_sql(left: int, diff: Diff) -> str:
+    """The derivatives of ``Q._basis_sql``'s functions: rows (m, i, w)."""
+    x = f"(i + 0.5::DOUBLE) / {N}"
+    if left == 3:
+        k = "2 * pi() * m"
+        return f"""SELECT m, i, -sin(2 * pi() * m * i / {N}) * {_kappa(diff, k)} AS w FROM range({N // 2 + 1}) a(m), range({N}) b(i)
+UNION ALL SELECT {N} + m, i, cos(2 * pi() * m * i / {N}) * {_kappa(diff, k)} FROM range(1, {N // 2}) a(m), range({N}) b(i)"""
+    k = "pi() * m"
+    if left == 0:
+        return f"SELECT m, i, -sin(pi() * m * {x}) * {_kappa(diff, k)} AS w FROM range({N}) a(m), range({N}) b(i)"
+    return f"SELECT m, i, cos(pi() * m * {x}) * {_kappa(diff, k)} AS w FROM range(1, {N + 1}) a(m), range({N}) b(i)"
+
+
+WALLS = (((0, 0), (1, 1), (3, 3)), ((1, 1), (0, 0), (3, 3)), ((1, 1), (1, 1), (3, 3)))
+
+
+def _wall_curl(diff: Diff, strategy: str):
+    """Three measures of the table between walls that are odd for some components and even for others: the curl of each
+    component's expansion, over its wave numbers squared."""
+    grid = GridSpec((N, N, N), WALLS, components=3)
 
     def run(spark, sf):
         s = FieldSolver(spark, grid, Kernel.CHAT_2, Equation.ROT, diff, strategy=strategy, keep_green=False)
-        return s.solve(make(spark, grid)).select("comp", *AXES, Q._round("v", 7).alias("v"))
+        return s.solve(Q._gridded(spark, sf, Q.MEASURES)).select("comp", *AXES, Q._round("v", 5).alias("v"))
 
-    body = " ".join(f"WHEN {c} THEN {v}" for c, v in enumerate(values))
-    return run, f"SELECT CAST(comp AS INTEGER) AS comp, {Q._INDEX}, {Q._sql_round(f'CASE comp {body} END', 7)} AS v FROM ({_CELLS}), range(3) t(comp)"
+    bases = {f"w{left}": Q._basis_sql(left, left, N) for left in (0, 1, 3)} | {f"d{left}": _slope_sql(left, diff) for left in (0, 1, 3)}
+    parts = [f"{name} AS ({sql})" for name, sql in bases.items()]
+    for c in range(3):
+        b = [f"w{WALLS[c][d][0]}" for d in range(3)]
+        parts.append(f"e{c} AS (SELECT m AS m0, k AS k0, s AS s0, i1, i2, sum(v * w) AS v FROM f JOIN {b[0]} ON i0 = i WHERE comp = {c} GROUP BY ALL)")
+        parts.append(f"g{c} AS (SELECT m0, k0, s0, m AS m1, k AS k1, s AS s1, i2, sum(v * w) AS v FROM e{c} JOIN {b[1]} ON i1 = i GROUP BY ALL)")
+        parts.append(f"h{c} AS (SELECT m0, k0, s0, m1, k1, s1, m AS m2, k AS k2, s AS s2, sum(v * w) AS v FROM g{c} JOIN {b[2]} ON i2 = i GROUP BY ALL)")
+        parts.append(f"u{c} AS (SELECT m0, m1, m2, -v * s0 * s1 * s2 / (k0 * k0 + k1 * k1 + k2 * k2) AS v FROM h{c} WHERE k0 + k1 + k2 > 0)")
+    terms = []
+    for to, pairs in enumerate((((1, 2, 1), (2, 1, -1)), ((2, 0, 1), (0, 2, -1)), ((0, 1, 1), (1, 0, -1)))):
+        for axis, c, sign in pairs:
+            b = [f"{'d' if d == axis else 'w'}{WALLS[c][d][0]}" for d in range(3)]
+            terms.append(
+                f"SELECT {to} AS comp, x.i AS i0, y.i AS i1, z.i AS i2, {sign} * u.v * x.w * y.w * z.w AS v FROM u{c} u JOIN {b[0]} x ON x.m = u.m0 JOIN {b[1]} y ON y.m = u.m1 JOIN {b[2]} z ON z.m = u.m2"
+            )
+    sql = f"WITH f AS ({Q._lineitem_sql(Q.MEASURES)}), {', '.join(parts)} SELECT CAST(comp AS INTEGER) AS comp, CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, {Q._sql_round('sum(v)', 5)} AS v FROM ({' UNION ALL '.join(terms)}) GROUP BY ALL"
+    return run, sql
 
 
-def _wall_curl(diff: Diff, strategy: str):
-    odd, even, free = (1, 1), (0, 0), (3, 3)
-    grid = GridSpec((N, N, N), ((even, odd, free), (odd, even, free), (odd, odd, free)), components=3)
-    weights = {Diff.SPE: None, Diff.FD2: (1.0,), Diff.FD4: (4 / 3, -1 / 6), Diff.FD6: (3 / 2, -3 / 10, 1 / 30)}[diff]
-    slope = lambda m: f"{m} * pi()" if weights is None else "(" + " + ".join(f"({w!r}::DOUBLE) * sin({m * j} * pi() / {N})" for j, w in enumerate(weights, 1)) + f") * {N}"
-    values = (f"-sin(pi() * x) * cos(2 * pi() * y) * {slope(2)} / (5 * pi() * pi())", f"cos(pi() * x) * sin(2 * pi() * y) * {slope(1)} / (5 * pi() * pi())", "0")
-    return _curl_waves(wall_waves, grid, diff, strategy, values)
+def _shear_solve():
+    """The measures of the table on top of generated shear waves: one solve of both."""
+    two = "2 * pi()"
+
+    def run(spark, sf):
+        grid = GridSpec.of("333333", N, components=3)
+        data = Q._gridded(spark, sf, Q.MEASURES).unionByName(shear_waves(spark, grid)).groupBy("rhs_id", "comp", *AXES).agg(F.sum("v").alias("v"))
+        s = FieldSolver(spark, grid, Kernel.CHAT_2, Equation.ROT, Diff.SPE, strategy="slab")
+        return s.solve(data).select("comp", *AXES, Q._round("v", 3).alias("v"))
+
+    waves = " ".join(f"WHEN {c} THEN cos({two} * {x}) / ({two})" for c, x in enumerate("zxy"))
+    return run, f"WITH u AS ({Q._rotational(Diff.SPE, 'slab', 9)[1]}), g AS (SELECT t.comp AS comp, a, b, c, CASE t.comp {waves} END AS v FROM ({_CELLS}), range(3) t(comp)) SELECT u.comp AS comp, u.i0, u.i1, u.i2, {Q._sql_round('u.v + g.v', 3)} AS v FROM u JOIN g ON g.comp = u.comp AND a = i0 AND b = i1 AND c = i2"
 
 
 def _orders(spark, sf):
-    """Errors that fall as a known power of the resolution."""
-    rows = spark.range(1, 5).select(F.concat(F.lit("p"), "id").alias("kernel"), F.col("id").alias("p"), F.explode(F.array(*(F.lit(8 << j) for j in range(4)))).alias("n"))
-    rows = rows.withColumn("err", 3.0 * F.pow(F.col("n").cast("double"), -F.col("p")))
-    return analysis.convergence(rows.select("kernel", "n", "err")).select("kernel", "n", Q._round(F.col("err") * 1e6, 6).alias("err"), Q._round("order", 9).alias("order"))
+    """Orders between resolutions of a norm of the gridded table: cells that halve hold an eighth of the table each."""
+    rows, items = None, spark.read.parquet(f"{sf}/lineitem.parquet")
+    for n in (2, 4, 8, 16):
+        one = lineitem_grid(items, n, Q.MEASURES).groupBy("comp").agg(F.max("v").alias("err")).select(F.concat(F.lit("m"), "comp").alias("kernel"), F.lit(n).alias("n"), "err")
+        rows = one if rows is None else rows.unionByName(one)
+    return analysis.convergence(rows).select("kernel", "n", Q._round("err", 4).alias("err"), Q._round("order", 6).alias("order"))
 
 
-_ORDERS_SQL = "SELECT 'p' || p AS kernel, CAST(8 << j AS INTEGER) AS n, round(3e6 * pow(8 << j, -p), 6) + 0.0 AS err, CASE WHEN j > 0 THEN CAST(p AS DOUBLE) END AS order FROM range(1, 5) a(p), range(4) b(j)".replace("AS order", 'AS "order"')
+def _orders_sql() -> str:
+    one = " UNION ALL ".join(
+        f"SELECT 'm{c}' AS kernel, {n} AS n, max(v) AS err FROM (SELECT sum(CAST({m} AS DOUBLE)) AS v FROM lineitem GROUP BY l_partkey % {n}, l_suppkey % {n}, l_orderkey % {n})" for n in (2, 4, 8, 16) for c, m in enumerate(Q.MEASURES)
+    )
+    order = "ln(lag(err) OVER w / err) / ln(n / lag(n) OVER w)"
+    return f"SELECT kernel, n, {Q._sql_round('err', 4)} AS err, {Q._sql_round(order, 6)} AS \"order\" FROM ({one}) WINDOW w AS (PARTITION BY kernel ORDER BY n)"
 
 
 def build() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
+    for kernel in (*HEJ, Kernel.HEJ_0, *LATTICE):
+        name = kernel.name.lower()
+        out[f"green_table_free_{name}"] = (_solved("444444", kernel, "slab" if kernel in LATTICE else "rows"), _free_sql(kernel))
+        out[f"green_table_mixed_{name}"] = (_solved("444433", kernel, "pencil"), _mixed_sql(kernel))
+        out[f"green_table_plane_{name}"] = (_solved("044499", kernel, "rows"), _plane_sql(kernel))
     for kernel in (*HEJ, Kernel.HEJ_0):
         name = kernel.name.lower()
-        out[f"green_free_{name}"] = (Q._sampled("444444", kernel), _free_samples(kernel))
-        out[f"green_table_free_{name}"] = (Q._kernel_table("444444", kernel), _free_table(kernel))
-        out[f"green_table_mixed_{name}"] = (Q._kernel_table("444433", kernel), _mixed_table(kernel))
-        out[f"green_table_plane_{name}"] = (Q._kernel_table("044499", kernel), _plane_table(kernel))
+        out[f"green_free_{name}"] = (_solved("444444", kernel, "pencil"), _free_sql(kernel))
         if kernel != Kernel.HEJ_0:
-            out[f"green_line_{name}"] = (Q._sampled("443300", kernel), _line_samples(kernel))
-    out["green_mixed_chat_2"] = (Q._sampled("444433", Kernel.CHAT_2), _bessel_sql())
+            out[f"green_line_{name}"] = (_solved("443300", kernel, "pencil"), _line_sql(kernel))
+    for kernel in (Kernel.CHAT_2, Kernel.LGF_2, Kernel.MEHR_4L):
+        out[f"green_line_{kernel.name.lower()}"] = (_solved("443300", kernel, "pencil"), _line_sql(kernel))
+    out["green_free_chat_2"] = Q._free("slab")
+    out["green_plane_chat_2"] = (_solved("044499", Kernel.CHAT_2, "pencil"), _log_sql())
+    out["green_mixed_chat_2"] = (_solved("444433", Kernel.CHAT_2, "pencil"), _bessel_sql())
     for kernel in LATTICE:
         name = kernel.name.lower()
         out[f"lattice_free_{name}"] = _residual("444444", kernel)
         out[f"lattice_plane_{name}"] = _residual("444499", kernel)
-        out[f"lattice_line_{name}"] = _line_residual(kernel)
+        out[f"lattice_line_{name}"] = _residual("443300", kernel)
         out[f"lattice_far_{name}"] = _far_field(kernel)
-        out[f"green_table_free_{name}"] = (Q._kernel_table("444444", kernel), _lattice_free_table(kernel))
-        out[f"green_table_mixed_{name}"] = (Q._kernel_table("444433", kernel), _lattice_mixed_table(kernel))
-        out[f"green_table_plane_{name}"] = (Q._kernel_table("044499", kernel), _lattice_plane_table(kernel))
     out["special_functions"] = (_special, _SPECIAL_SQL)
-    for name, code, kernel, strategy in (("walls", "001101", Kernel.CHAT_2, "pencil"), ("mixed_walls", "330010", Kernel.LGF_4, "slab"), ("periodic", "333333", Kernel.CHAT_2, "slab"), ("compact", "113333", Kernel.MEHR_6F, "local")):
+    for name, code, kernel, strategy in (("walls", "001101", Kernel.CHAT_2, "pencil"), ("mixed_walls", "330010", Kernel.LGF_4, "slab"), ("periodic", "333333", Kernel.CHAT_2, "slab"), ("compact", "113333", Kernel.MEHR_6F, "pencil")):
         out[f"solve_{name}_node"] = _node_solve(code, kernel, strategy)
     whole = "SELECT i0, i1, i2, v FROM f"
     out["solve_free_node"] = _images("444444", Center.NODE, whole)
@@ -605,8 +687,8 @@ def build() -> dict[str, tuple]:
     out["shear_solution"] = _vectors(shear_waves, "solution", (f"cos({two} * z) / ({two})", f"cos({two} * x) / ({two})", f"cos({two} * y) / ({two})"))
     out["wall_waves_rhs"] = _vectors(wall_waves, "rhs", ("0", "0", "sin(pi() * x) * sin(2 * pi() * y)"))
     out["wall_waves_solution"] = _vectors(wall_waves, "solution", ("-sin(pi() * x) * cos(2 * pi() * y) * 2 / (5 * pi())", "cos(pi() * x) * sin(2 * pi() * y) / (5 * pi())", "0"))
-    out["solve_shear_waves"] = _curl_waves(shear_waves, GridSpec.of("333333", N, components=3), Diff.SPE, "slab", (f"cos({two} * z) / ({two})", f"cos({two} * x) / ({two})", f"cos({two} * y) / ({two})"))
-    for diff, strategy in ((Diff.SPE, "pencil"), (Diff.FD2, "local"), (Diff.FD4, "slab"), (Diff.FD6, "local")):
+    out["solve_shear_waves"] = _shear_solve()
+    for diff, strategy in ((Diff.SPE, "pencil"), (Diff.FD2, "slab"), (Diff.FD4, "pencil"), (Diff.FD6, "slab")):
         out[f"solve_wall_waves_{diff.name.lower()}"] = _wall_curl(diff, strategy)
-    out["orders_of_errors"] = (_orders, _ORDERS_SQL)
+    out["orders_of_errors"] = (_orders, _orders_sql())
     return out

@@ -9,8 +9,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.kernels import GreenFill
-from gridloom.operators import analysis, layout, multiply, pencil, transform
+from gridloom.operators import analysis, layout, pencil, transform
 from gridloom.operators.layout import AXES
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
@@ -101,42 +100,58 @@ def _basis_columns(spark, sf):
 
 
 def _plans(spark, sf):
+    """The profile of the gridded table along its first axis, laid into the lines of every pair of sides: where its points go,
+    and the mode of the same number."""
     rows = []
     for center in Center:
         for left, right in ((0, 0), (0, 1), (1, 0), (1, 1), (0, 4), (4, 0), (1, 4), (4, 1), (3, 3), (4, 4)):
             p = GridSpec.of(f"{left}{right}0000", N, center).plan(0)
-            rows.append((int(center), left, right, p.n, p.modes(p.complex), round(p.kfact, 9), p.koffset, round(p.normfact, 9), round(p.volfact, 9), p.offset))
-    return spark.createDataFrame(rows, "center int, bc_left int, bc_right int, points int, modes int, kfact double, koffset double, normfact double, volfact double, pad int")
+            rows.append((int(center), left, right, p.n, p.modes(p.complex), p.kfact, p.koffset, p.normfact, p.volfact, p.offset))
+    names = ("center", "bc_left", "bc_right", "points", "modes", "kfact", "koffset", "normfact", "volfact", "pad")
+    plans = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, r))) for r in rows))
+    profile = _gridded(spark, sf).groupBy("i0").agg(F.sum("v").alias("v"))
+    laid = profile.select("i0", "v", F.explode(plans).alias("p")).select("i0", "v", "p.*")
+    return laid.select(
+        "center", "bc_left", "bc_right", "points", "modes", "i0", (F.col("i0") + F.col("pad")).alias("at"), _round(F.col("v") * F.col("normfact") * F.col("volfact"), 4).alias("v"),
+        _round((F.col("i0") + F.col("koffset")) * F.col("kfact"), 9).alias("k"),
+    )
 
 
-_PLANS_SQL = f"""
-WITH s AS (SELECT unnest([0, 0, 1, 1, 0, 4, 1, 4, 3, 4]) AS bc_left, unnest([0, 1, 0, 1, 4, 0, 4, 1, 3, 4]) AS bc_right),
+def _plans_sql() -> str:
+    return f"""
+WITH f AS ({_lineitem_sql()}), g AS (SELECT i0, sum(v) AS v FROM f GROUP BY i0),
+s AS (SELECT unnest([0, 0, 1, 1, 0, 4, 1, 4, 3, 4]) AS bc_left, unnest([0, 1, 0, 1, 4, 0, 4, 1, 3, 4]) AS bc_right),
 p AS (SELECT center, bc_left, bc_right, CAST({N} + 1 - center AS INTEGER) AS points, bc_left + bc_right AS t, (bc_left < 2 AND bc_right < 2) AS sym, (bc_left = 4) <> (bc_right = 4) AS mixed
-  FROM s, (SELECT unnest([0, 1]) AS center))
-SELECT center, bc_left, bc_right, points,
-  CAST(CASE WHEN sym THEN CASE WHEN center = 1 AND bc_left = bc_right THEN {N} + 1 ELSE points END WHEN mixed THEN 2 * {N} + 1 WHEN t = 6 THEN {N // 2} + 1 ELSE {N} + 1 END AS INTEGER) AS modes,
-  round(pi() * CASE WHEN sym THEN 1 WHEN mixed THEN 0.5 WHEN t = 6 THEN 2 ELSE 1 END, 9) AS kfact,
-  CASE WHEN sym AND bc_left <> bc_right THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS koffset,
-  round(1.0::DOUBLE / CASE WHEN sym THEN {2 * N} WHEN mixed THEN {4 * N} WHEN t = 6 THEN {N} ELSE {2 * N} END, 9) AS normfact,
-  CASE WHEN bc_left = 4 OR bc_right = 4 THEN 0.125::DOUBLE ELSE 1.0::DOUBLE END AS volfact,
-  CAST(CASE WHEN mixed AND bc_left = 4 THEN {N} ELSE 0 END AS INTEGER) AS pad FROM p
+  FROM s, (SELECT unnest([0, 1]) AS center)),
+q AS (SELECT *, CAST(CASE WHEN sym THEN CASE WHEN center = 1 AND bc_left = bc_right THEN {N} + 1 ELSE points END WHEN mixed THEN 2 * {N} + 1 WHEN t = 6 THEN {N // 2} + 1 ELSE {N} + 1 END AS INTEGER) AS modes,
+  pi() * CASE WHEN sym THEN 1 WHEN mixed THEN 0.5 WHEN t = 6 THEN 2 ELSE 1 END AS kfact, CASE WHEN sym AND bc_left <> bc_right THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS koffset,
+  1.0::DOUBLE / CASE WHEN sym THEN {2 * N} WHEN mixed THEN {4 * N} WHEN t = 6 THEN {N} ELSE {2 * N} END AS normfact, CASE WHEN bc_left = 4 OR bc_right = 4 THEN 0.125::DOUBLE ELSE 1.0::DOUBLE END AS volfact,
+  CASE WHEN mixed AND bc_left = 4 THEN {N} ELSE 0 END AS pad FROM p)
+SELECT center, bc_left, bc_right, points, modes, CAST(i0 AS INTEGER) AS i0, CAST(i0 + pad AS INTEGER) AS "at", {_sql_round('v * normfact * volfact', 4)} AS v, {_sql_round('(i0 + koffset) * kfact', 9)} AS k FROM q, g
 """
 
 
 def _mirrored(spark, sf):
-    e = spark.range(16).select(F.col("id").cast("int").alias("e"))
-    return e.select("e", layout.sym_id(F.col("e"), 8).cast("int").alias("signed_id"), layout.sym_id(F.col("e"), 8, False).cast("int").alias("plain_id"))
+    """Every mode of an embedding's transform, read from its half spectrum at the mirrored index."""
+    y = pencil.dft(_embeddings(spark, sf), "vec_id", "embedding")
+    k = F.explode(F.sequence(F.lit(0), F.lit(LINE - 1)))
+    y = y.select("vec_id", "re", "im", k.alias("k"))
+    y = y.select("vec_id", "k", "re", "im", layout.sym_id(F.col("k"), LINE // 2).cast("int").alias("s"), layout.sym_id(F.col("k"), LINE // 2, False).cast("int").alias("p"))
+    im = F.get("im", F.col("p")) * F.when(F.col("s") < 0, -1.0).otherwise(1.0)
+    return y.select("vec_id", F.col("k").cast("long").alias("k"), F.col("s").alias("signed_id"), _round(F.get("re", F.col("p"))).alias("re"), _round(im).alias("im"))
 
 
-_MIRRORED_SQL = "SELECT CAST(e AS INTEGER) AS e, CAST(CASE WHEN e <= 8 THEN e ELSE -greatest(abs(16 - e), 1) END AS INTEGER) AS signed_id, CAST(CASE WHEN e <= 8 THEN e ELSE greatest(abs(16 - e), 1) END AS INTEGER) AS plain_id FROM range(16) r(e)"
+_MIRRORED_SQL = f"{_POINTS}, b AS (SELECT k, j, 2 * pi() * k * j / {LINE} AS t FROM range({LINE}) a(k), range({LINE}) c(j)) SELECT vec_id, k, CAST(CASE WHEN k <= {LINE // 2} THEN k ELSE k - {LINE} END AS INTEGER) AS signed_id, {_sql_round('sum(x * cos(t))')} AS re, {_sql_round('-sum(x * sin(t))')} AS im FROM e JOIN b USING (j) GROUP BY vec_id, k"
 
 
 def _linear_index(spark, sf):
-    df = layout.index_table(spark, (4, 3, 2))
-    return df.select(*AXES, layout.collapsed((4, 3, 2), *(F.col(a) for a in AXES)).cast("int").alias("id"))
+    """Linear indices of the points of the gridded table."""
+    df = _gridded(spark, sf)
+    return df.select(*AXES, layout.collapsed((N, N, N), *(F.col(a) for a in AXES)).cast("int").alias("id"), _round("v", 4).alias("v"))
 
 
-_LINEAR_SQL = "SELECT CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2, CAST(a + 4 * (b + 3 * c) AS INTEGER) AS id FROM range(4) x(a), range(3) y(b), range(2) z(c)"
+def _linear_sql() -> str:
+    return f"WITH f AS ({_lineitem_sql()}) SELECT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, CAST(i0 + {N} * i1 + {N * N} * i2 AS INTEGER) AS id, {_sql_round('v', 4)} AS v FROM f"
 
 
 # -- Green's functions ------------------------------------------------------------------------
@@ -163,53 +178,8 @@ def _green_sql(kernel: Kernel, h: float) -> str:
     return f"{h * h!r}::DOUBLE * {top} / {ell}"
 
 
-def _green(kernel: Kernel):
-    grid = GridSpec.of("003301", N)
-
-    def run(spark, sf):
-        df = multiply.green_table(spark, grid, kernel)
-        return df.select(*AXES, _round("g", 9).alias("g"))
-
-    g = _green_sql(kernel, 1 / N)
-    sql = f"""SELECT CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2, {_sql_round(g, 9)} AS g
-FROM (SELECT a, b, c, a * pi() AS k0, b * 2 * pi() AS k1, (c + 0.5::DOUBLE) * pi() AS k2 FROM range({N + 1}) x(a), range({N // 2 + 1}) y(b), range({N}) z(c))"""
-    return run, sql
-
-
-def _sampled(code: str, kernel: Kernel, n: int = N):
-    """Kernel values before any transform."""
-    grid = GridSpec.of(code, (n, n, 1) if code.endswith("99") else n)
-    fill = GreenFill(grid, kernel)
-
-    def run(spark, sf):
-        import numpy as np
-        import pyarrow as pa
-
-        def sample(batches):
-            for b in batches:
-                e = [np.asarray(b.column(a)) for a in AXES]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in e), pa.array(np.asarray(fill.sample(*e), float))], names=[*AXES, "g"])
-
-        df = layout.index_table(spark, fill.shape()).mapInArrow(sample, "i0 int, i1 int, i2 int, g double")
-        return df.select(*AXES, _round("g", 8).alias("g"))
-
-    return run
-
-
 _INDEX = "CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2"
 _H = 1 / N
-_GREEN3_SQL = f"""SELECT {_INDEX}, {_sql_round(f"CASE WHEN r = 0 THEN -0.5 * pow(3 * {_H ** 3!r} / (4 * pi()), 2.0/3) / {_H ** 3!r} ELSE -1 / (4 * pi() * CASE WHEN r = 0 THEN 1 ELSE r END) END", 8)} AS g
-FROM (SELECT a, b, c, {_H!r} * sqrt(pow(least(a, 16 - a), 2) + pow(least(b, 16 - b), 2) + pow(least(c, 16 - c), 2)) AS r FROM range(9) x(a), range(16) y(b), range(16) z(c))"""
-_GREEN1_SQL = f"""SELECT {_INDEX}, {_sql_round("CASE WHEN k = 0 THEN r / 2 ELSE -exp(-k * r) / (2 * CASE WHEN k = 0 THEN 1 ELSE k END) END", 8)} AS g
-FROM (SELECT a, b, c, {_H!r} * least(a, 16 - a) AS r, sqrt(pow(2 * pi() * CASE WHEN b > 4 THEN b - 8 ELSE b END, 2) + pow(pi() * c, 2)) AS k FROM range(16) x(a), range(5) y(b), range(9) z(c))"""
-_GREEN1_LGF_SQL = f"""SELECT {_INDEX}, {_sql_round(f"CASE WHEN s = 0 THEN {_H!r} * n / 2 ELSE -{_H!r} * pow(r, n) / (1 / r - r) END", 8)} AS g
-FROM (SELECT *, 1 / (1 + s / 2 + sqrt(s * s / 4 + s)) AS r FROM (SELECT a, b, c, least(a, 16 - a) AS n, 4 * pow(sin(pi() * b * {_H!r}), 2) + 4 * pow(sin(pi() * c * {_H / 2!r}), 2) AS s FROM range(16) x(a), range(5) y(b), range(9) z(c)))"""
-_GREEN1_MEHR_SQL = f"""SELECT {_INDEX}, {_sql_round(f"CASE WHEN b = 0 AND c = 0 THEN {_H!r} * n / 2 WHEN abs(a1) < 1e-12 THEN CASE WHEN n = 0 THEN -{_H!r} / a0 ELSE 0 END ELSE -{_H!r} * sgn * pow(r, n + 1) / (a1 * (r * r - 1)) END", 8)} AS g
-FROM (SELECT *, -a0 / (2 * a1) AS l, CASE WHEN a1 > 0 AND n % 2 = 0 THEN -1 ELSE 1 END AS sgn, 1 / (abs(a0 / (2 * a1)) + sqrt(greatest(pow(a0 / (2 * a1), 2) - 1, 0))) AS r FROM (
-  SELECT a, b, c, n, 2 + 8 * (y0 + y1 - y0 * y1) / 3 AS a0, 2 * (y0 + y1) / 3 - 1 AS a1 FROM (
-    SELECT a, b, c, least(a, 16 - a) AS n, pow(sin(pi() * b * {_H!r}), 2) AS y0, pow(sin(pi() * c * {_H / 2!r}), 2) AS y1 FROM range(16) x(a), range(5) y(b), range(9) z(c))))"""
-_GREEN2_SQL = f"""SELECT {_INDEX}, {_sql_round(f"CASE WHEN r = 0 THEN (pi() - 6 + 2 * ln(0.5 * {_H * _H!r})) / (8 * pi()) ELSE ln(CASE WHEN r = 0 THEN 1 ELSE r END) / (2 * pi()) END", 8)} AS g
-FROM (SELECT a, b, c, {_H!r} * sqrt(pow(a, 2) + pow(least(b, 16 - b), 2)) AS r FROM range(17) x(a), range(9) y(b), range(1) z(c))"""
 
 
 # -- solves of gridded tables -----------------------------------------------------------------
@@ -280,7 +250,7 @@ def _half_free():
     """Unbounded on the right of the first axis, a wall of odd symmetry on its left: an image of the opposite sign."""
 
     def run(spark, sf):
-        s = FieldSolver(spark, GridSpec.of("144444", N), Kernel.CHAT_2, strategy="local")
+        s = FieldSolver(spark, GridSpec.of("144444", N), Kernel.CHAT_2, strategy="pencil", keep_green=False)
         return s.solve(_gridded(spark, sf)).select(*AXES, _round("v", 5).alias("v"))
 
     sql = f"""
@@ -295,7 +265,7 @@ SELECT {_INDEX}, {_sql_round(f"sum(v * {_H ** 3!r} * CASE WHEN r = 0 THEN -0.5 *
 MEASURES = ("l_quantity", "l_discount", "l_tax")
 
 
-def _rotational(diff: Diff, strategy: str):
+def _rotational(diff: Diff, strategy: str, digits: int = 5):
     def run(spark, sf):
         s = FieldSolver(spark, GridSpec.of("333333", N, components=3), Kernel.CHAT_2, Equation.ROT, diff, strategy=strategy, keep_green=False)
         return s.solve(_gridded(spark, sf, MEASURES)).select("comp", *AXES, _round("v", 5).alias("v"))
@@ -314,14 +284,14 @@ WITH f AS ({_lineitem_sql(MEASURES)}), p AS (SELECT a, b, c FROM range({N}) x(a)
 m AS (SELECT e0, e1, e2, CASE WHEN e0 IN (0, {N // 2}) THEN 1 ELSE 2 END AS wt, 2 * pi() * e0 AS k0, 2 * pi() * CASE WHEN e1 > {N // 2} THEN e1 - {N} ELSE e1 END AS k1,
   2 * pi() * CASE WHEN e2 > {N // 2} THEN e2 - {N} ELSE e2 END AS k2 FROM range({N // 2 + 1}) x(e0), range({N}) y(e1), range({N}) z(e2) WHERE e0 + e1 + e2 > 0),
 g AS (SELECT d0, d1, d2, {sums} FROM m, range({N}) x(d0), range({N}) y(d1), range({N}) z(d2) GROUP BY d0, d1, d2)
-SELECT CAST(comp AS INTEGER) AS comp, {_INDEX}, {_sql_round('sum(v)', 5)} AS v FROM ({terms}) GROUP BY comp, a, b, c
+SELECT CAST(comp AS INTEGER) AS comp, {_INDEX}, {_sql_round('sum(v)', digits)} AS v FROM ({terms}) GROUP BY comp, a, b, c
 """
     return run, sql
 
 
 def _hourly(spark, sf):
     grid = GridSpec(n=(24, 1, 1), bc=((3, 3), (3, 3), (9, 9)))
-    s = FieldSolver(spark, grid, Kernel.CHAT_2, strategy="local")
+    s = FieldSolver(spark, grid, Kernel.CHAT_2, strategy="pencil")
     return s.solve(hourly(spark.read.parquet(f"{sf}/events.parquet"))).select("i0", _round("v", 4).alias("v"))
 
 
@@ -335,33 +305,44 @@ SELECT CAST(i AS INTEGER) AS i0, {_sql_round('sum(v * g)', 4)} AS v FROM range(2
 # -- generated fields and norms ---------------------------------------------------------------
 
 
+def weighted(field: DataFrame, spark, sf, digits: int = 4) -> DataFrame:
+    """A generated field at the points of the gridded table, times its values."""
+    data = _gridded(spark, sf).select(*AXES, F.col("v").alias("w"))
+    keys = [c for c in ("comp", *AXES) if c in field.columns]
+    return field.join(data, list(AXES)).select(*keys, _round(F.col("v") * F.col("w"), digits).alias("v"))
+
+
+def weighted_sql(sql: str, digits: int = 4, plane: bool = False) -> str:
+    """``sql`` gives a, b, c, v and perhaps comp, unrounded."""
+    comp = "CAST(g.comp AS INTEGER) AS comp, " if "comp" in sql else ""
+    return f"WITH w AS ({_lineitem_sql()}), g AS ({sql}) SELECT {comp}{_INDEX}, {_sql_round('g.v * w.v', digits)} AS v FROM g JOIN w ON a = i0 AND b = i1 AND c = i2"
+
+
 def _generated(which: str):
     def run(spark, sf):
-        df = field_frame(spark, GridSpec.of("330144", N), which)
-        return df.select(*AXES, _round("v", 7).alias("v"))
+        return weighted(field_frame(spark, GridSpec.of("330144", N), which).drop("comp"), spark, sf)
 
     bump = "CASE WHEN q < 1 THEN exp(10 * (1 - 1 / (1 - CASE WHEN q < 1 THEN q ELSE 0 END))) ELSE 0 END"
     curve = f"CASE WHEN q < 1 THEN {bump} * 20 * (18 * q + 3 * q * q - 1) / pow(q - 1, 4) / 0.25 ELSE 0 END"
     value = f"sin(2 * pi() * x) * cos(2.5 * pi() * y) * {bump}"
     rhs = f"-4 * pi() * pi() * {value} - 6.25 * pi() * pi() * {value} + sin(2 * pi() * x) * cos(2.5 * pi() * y) * ({curve})"
-    sql = f"SELECT {_INDEX}, {_sql_round(value if which == 'solution' else rhs, 7)} AS v FROM (SELECT a, b, c, (a + 0.5::DOUBLE) / {N} AS x, (b + 0.5::DOUBLE) / {N} AS y, pow(((c + 0.5::DOUBLE) / {N} - 0.5) / 0.5, 2) AS q FROM range({N}) r0(a), range({N}) r1(b), range({N}) r2(c))"
-    return run, sql
+    sql = f"SELECT a, b, c, {value if which == 'solution' else rhs} AS v FROM (SELECT a, b, c, (a + 0.5::DOUBLE) / {N} AS x, (b + 0.5::DOUBLE) / {N} AS y, pow(((c + 0.5::DOUBLE) / {N} - 0.5) / 0.5, 2) AS q FROM range({N}) r0(a), range({N}) r1(b), range({N}) r2(c))"
+    return run, weighted_sql(sql)
 
 
 def _vortex(which: str):
     def run(spark, sf):
-        df = vortex_tube(spark, GridSpec.of("444433", N, components=3), 2, 0.1, mirror=(-1, 1), which=which)
-        return df.select("comp", *AXES, _round("v", 7).alias("v"))
+        return weighted(vortex_tube(spark, GridSpec.of("444433", N, components=3), 2, 0.1, mirror=(-1, 1), which=which), spark, sf)
 
     s2 = 0.01
     images = "(VALUES (0.5, 0.5, 1.0), (1.5, 0.5, -1.0), (0.5, 1.5, 1.0), (1.5, 1.5, -1.0)) t(ca, cb, s)"
     w = f"exp(r2 / {-2 * s2!r}) / (2 * pi() * {s2!r})"
     u = f"CASE WHEN r2 > 0 THEN (1 - exp(r2 / {-2 * s2!r})) / (2 * pi() * CASE WHEN r2 > 0 THEN r2 ELSE 1 END) ELSE 1 / (4 * pi() * {s2!r}) END"
     v = f"CASE WHEN comp = 2 THEN sum(-s * {w}) ELSE 0 END" if which == "rhs" else f"CASE comp WHEN 0 THEN sum(-s * db * {u}) WHEN 1 THEN sum(s * da * {u}) ELSE 0 END"
-    sql = f"""SELECT CAST(comp AS INTEGER) AS comp, {_INDEX}, {_sql_round(v, 7)} AS v FROM (
+    sql = f"""SELECT comp, a, b, c, {v} AS v FROM (
 SELECT comp, a, b, c, s, (a + 0.5::DOUBLE) / {N} - ca AS da, (b + 0.5::DOUBLE) / {N} - cb AS db, pow((a + 0.5::DOUBLE) / {N} - ca, 2) + pow((b + 0.5::DOUBLE) / {N} - cb, 2) AS r2
 FROM range(3) r(comp), range({N}) r0(a), range({N}) r1(b), range({N}) r2(c), {images}) GROUP BY comp, a, b, c"""
-    return run, sql
+    return run, weighted_sql(sql)
 
 
 def _norms(spark, sf):
@@ -377,13 +358,14 @@ _NORMS_SQL = f"WITH f AS ({_lineitem_sql()}) SELECT {_sql_round(f'sqrt(sum(v * v
 
 
 def _convergence(spark, sf):
-    """Orders of kernels without a closed check: errors of the manufactured problem at two resolutions."""
+    """Orders of kernels: distance of each one's solution from the singular kernel's, of the gridded table at two resolutions."""
     rows = None
-    for kernel in (Kernel.CHAT_2, Kernel.LGF_2, Kernel.HEJ_4, Kernel.MEHR_4F):
-        for n in (8, 16):
-            grid = GridSpec.of("443399", (n, n, 1))
-            u = FieldSolver(spark, grid, kernel, strategy="local").solve(field_frame(spark, grid))
-            e = analysis.error_norms(u, field_frame(spark, grid, "solution"), grid)
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for n in (8, 16):
+        f, grid = lineitem_grid(items, n), GridSpec.of("003333", n)
+        exact = FieldSolver(spark, grid, Kernel.CHAT_2, strategy="slab").solve(f)
+        for kernel in (Kernel.LGF_2, Kernel.HEJ_4, Kernel.MEHR_4F):
+            e = analysis.error_norms(FieldSolver(spark, grid, kernel, strategy="slab").solve(f), exact, grid)
             e = e.select(F.lit(kernel.name).alias("kernel"), F.lit(n).alias("n"), F.col("err_inf").alias("err"))
             rows = e if rows is None else rows.unionByName(e)
     return analysis.convergence(rows).select("kernel", "n", _round("err", 6).alias("err"), _round("order", 3).alias("order"))
@@ -400,15 +382,6 @@ def _forward_backward(spark, sf):
 _FORWARD_BACKWARD_SQL = f"WITH f AS ({_lineitem_sql()}) SELECT CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2, {_sql_round('coalesce(v, 0)', 5)} AS v FROM range({N}) x(a) CROSS JOIN range({N}) y(b) CROSS JOIN range({N}) z(c) LEFT JOIN f ON i0 = a AND i1 = b AND i2 = c"
 
 
-def _kernel_table(code: str, kernel: Kernel):
-    grid = GridSpec.of(code, (N, N, 1) if code.endswith("99") else N)
-
-    def run(spark, sf):
-        return multiply.green_table(spark, grid, kernel).select(*AXES, _round("g", 8).alias("g"))
-
-    return run
-
-
 def _build() -> dict[str, tuple]:
     out: dict[str, tuple] = {"solve_periodic": _solve("333333", Kernel.CHAT_2, "slab")}
     for name in BASIS:
@@ -417,31 +390,23 @@ def _build() -> dict[str, tuple]:
     out["embedding_dft"] = (_dft, _DFT_SQL)
     out["embedding_dft_round_trip"] = (_dft_round_trip, f"{_POINTS} SELECT vec_id, j, {_sql_round('x')} AS x FROM e")
     out["embedding_dct2_columns"] = (_basis_columns, out["embedding_dct2"][1])
-    out["axis_plans"] = (_plans, _PLANS_SQL)
+    out["axis_plans"] = (_plans, _plans_sql())
     out["mirrored_index"] = (_mirrored, _MIRRORED_SQL)
-    out["linear_index"] = (_linear_index, _LINEAR_SQL)
+    out["linear_index"] = (_linear_index, _linear_sql())
     for kernel in Kernel:
-        out[f"green_spectral_{kernel.name.lower()}"] = _green(kernel)
-    out["green_free_chat_2"] = (_sampled("444444", Kernel.CHAT_2), _GREEN3_SQL.replace("range(9) x(a)", "range(16) x(a)"))
-    out["green_plane_chat_2"] = (_sampled("044499", Kernel.CHAT_2), _GREEN2_SQL.replace("range(9) y(b)", "range(16) y(b)"))
-    out["green_line_chat_2"] = (_sampled("443300", Kernel.CHAT_2), _GREEN1_SQL)
-    out["green_line_lgf_2"] = (_sampled("443300", Kernel.LGF_2), _GREEN1_LGF_SQL)
-    out["green_line_mehr_4l"] = (_sampled("443300", Kernel.MEHR_4L), _GREEN1_MEHR_SQL)
-    for code, tag in (("444444", "free"), ("444433", "mixed"), ("044499", "plane")):
-        for kernel in (Kernel.HEJ_2, Kernel.HEJ_4, Kernel.HEJ_6, Kernel.HEJ_8, Kernel.HEJ_10, Kernel.HEJ_0, Kernel.LGF_2, Kernel.LGF_4, Kernel.LGF_6, Kernel.LGF_8, Kernel.MEHR_4L, Kernel.MEHR_6L, Kernel.MEHR_4F, Kernel.MEHR_6F):
-            out[f"green_table_{tag}_{kernel.name.lower()}"] = (_kernel_table(code, kernel), None)
+        out[f"green_spectral_{kernel.name.lower()}"] = _solve("003301", kernel, "pencil")
     out["solve_walls"] = _solve("001101", Kernel.CHAT_2, "pencil")
     out["solve_mixed_walls"] = _solve("330010", Kernel.LGF_4, "slab")
-    out["solve_compact"] = _solve("113333", Kernel.MEHR_6F, "local")
-    out["solve_regularised"] = _solve("003311", Kernel.HEJ_4, "local")
+    out["solve_compact"] = _solve("113333", Kernel.MEHR_6F, "pencil")
+    out["solve_regularised"] = _solve("003311", Kernel.HEJ_4, "pencil")
     out["solve_filtered"] = _solve(
         "333333", Kernel.CHAT_2, "pencil", lambda k0, k1, k2, re, im: tuple(x * F.exp((k0 * k0 + k1 * k1 + k2 * k2) * -0.01) for x in (re, im)), "exp(-0.01 * (k0*k0 + k1*k1 + k2*k2))"
     )
-    out["solve_free"] = _free("local")
+    out["solve_free"] = _free("pencil")
     out["solve_free_distributed"] = _free("slab")
     out["solve_half_free"] = _half_free()
     for diff in (Diff.SPE, Diff.FD2, Diff.FD4, Diff.FD6):
-        out[f"solve_rotational_{diff.name.lower()}"] = _rotational(diff, "local" if diff != Diff.FD4 else "slab")
+        out[f"solve_rotational_{diff.name.lower()}"] = _rotational(diff, "pencil" if diff != Diff.FD4 else "slab")
     out["solve_hourly"] = (_hourly, _HOURLY_SQL)
     out["field_rhs"], out["field_solution"] = _generated("rhs"), _generated("solution")
     out["vortex_vorticity"], out["vortex_velocity"] = _vortex("rhs"), _vortex("solution")

@@ -25,7 +25,7 @@ def test_without_the_corpus_operators(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
-@pytest.mark.parametrize("name", ["solve_periodic", "solve_filtered", "solve_rotational_fd4", "embedding_dst3", "embedding_dct2_columns", "green_spectral_mehr_6f", "solve_hourly", "vortex_velocity", "axis_plans"])
+@pytest.mark.parametrize("name", ["solve_periodic", "solve_filtered", "solve_rotational_fd4", "embedding_dst3", "embedding_dct2_columns", "green_spectral_mehr_6f", "solve_hourly", "vortex_velocity", "axis_plans", "green_table_mixed_hej_6", "lattice_line_mehr_4f", "solve_wall_waves_fd4", "green_table_plane_lgf_4"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
@@ -42,6 +42,15 @@ def test_query_equals_its_sql(spark, name):
     assert all(abs(x - y) < 2e-4 for a, b in zip(key(got), key(want)) for x, y in zip(a, b))
 
 
+def test_every_query_reads_the_given_tables(spark):
+    from gridloom import queries
+
+    for name, run in queries.queries().items():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            run(spark, "/nowhere")
+            pytest.fail(f"{name} reads no table")
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
 def test_flagship(spark):
     import __spark_entry__ as e
