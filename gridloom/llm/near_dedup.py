@@ -8,7 +8,7 @@ Defined results
   and is linked with nothing.
 * Links need ``100 * |A & B| >= 85 * |A | B|`` on the full sets; shingles are compared by
   64-bit hash.
-* Rows that repeat a ``doc_id`` are one node of the graph, linked by any of their texts.  A null ``doc_id`` is linked with
+* Rows that repeat a ``doc_id`` are one document, linked by any of their texts: edges tie all its sets together.  A null ``doc_id`` is linked with
   nothing: its ``component_id`` is null and it is kept.  Extra input columns are ignored.
 
 Shape of the job
@@ -195,13 +195,25 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _ties(linked: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (u, v) from each ``doc_id`` that has several sets to the node of each of them; stored."""
+    ends = linked.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi")
+    # plain sides, so that the join of an id with many rows can be split
+    several = materialise(ends.select("doc_id"), "several")
+    held = materialise(linked.select("doc_id", *key).join(several, "doc_id"), "sets-of-several").distinct()
+    ties = materialise(held.join(nodes.select(*key, "node"), key).select(F.col("doc_id").alias("u"), F.col("node").alias("v")), "ties")
+    for table in (several, held):
+        remove(table)
+    return ties
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of an undirected edge table (u, v); component is the
     smallest node reachable.  Alternates large-star and small-star until the edges form stars;
     each round is written to the shared folder."""
     state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = state.union(state.select("v", "u"))
         # stored before it is joined: a join of two plain exchanges can be split where a node has most edges
         low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
@@ -219,8 +231,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (now["n"], now["h"]) == before:
             break
         before = (now["n"], now["h"])
-    else:
-        raise RuntimeError("components did not settle")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
@@ -275,7 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("node").alias("u"), F.col("cu").alias("v")).distinct()
     )
     links = _confirm(star, signatures, sets)
-    comp = components(links)
+    ties = _ties(linked, nodes, key)
+    spent += [links, ties]
+    comp = components(links.unionByName(ties))
 
     placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
     placed = store(placed, "placed")
@@ -283,16 +295,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = store(main, "homes")
     # what a centre did not gather, against everything in its bucket that lies in another component
     astray = store(placed.join(main, "bucket").where("component <> home").select("bucket", "node"), "astray")
-    mixed = placed.join(store(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
-    mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
-    more = _prefix_pairs(store(mixed, "mixed"), sets)
-    extra = _confirm(more, signatures, sets)
-    if not extra.isEmpty():
-        comp = components(links.unionByName(extra))
+    if not astray.isEmpty():
+        mixed = placed.join(store(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
+        mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
+        more = _prefix_pairs(store(mixed, "mixed"), sets)
+        spent.append(_confirm(more, signatures, sets))
+        if not spent[-1].isEmpty():  # the components so far are stars: only they and the new links are joined up
+            comp = components(spent[-1].unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     named = nodes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     named = materialise(named, "components")  # a plain side, so that the join of many exact copies can be split
-    for table in (*spent, links, extra):
+    for table in spent:
         remove(table)
     out = linked.select("doc_id", *key).join(named, key).select("doc_id", "n_shingles", "component_id")
     lone = base.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

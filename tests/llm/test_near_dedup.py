@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from gridloom.llm import near_dedup
 
@@ -56,6 +57,24 @@ def test_dense_group_of_near_copies(spark):
     assert 1 < len(set(want.values())) < 120
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_of_several_texts(spark, seed):
+    """The texts of one id are one document, whatever the smallest id of each text's copies."""
+    rng = random.Random(seed)
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(8)]
+    near = [t.replace("w0 ", "x ") for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (9, texts[1])] if seed == 0 else [(rng.randrange(14), rng.choice(texts + near)) for _ in range(26)]
+    rows += [(20, "short"), (20, None), (20, texts[7]), (None, texts[0])]
+    want, _ = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).where("doc_id is not null").collect()
+    for r in got:
+        assert (r["component_id"], r["kept"]) == ((want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"]) if r["n_shingles"] else (r["doc_id"], True)), r
+    if seed == 0:
+        assert {r["component_id"] for r in got if r["doc_id"] in (3, 5, 9)} == {3}
+        assert sorted(r["doc_id"] for r in near_dedup.keep_first(df).where("doc_id < 10").collect()) == [3]
+
+
 def test_kept_rows(docs, corpus):
     want, _ = brute(corpus)
     kept = near_dedup.keep_first(docs)
