@@ -6,7 +6,9 @@ Defined results
 * Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
   the end.  Null urls and urls without ``://`` have empty host and path, no rule and the verdict of the mined rules on no tokens: allow.
 * Labels that repeat a page count once per distinct label; null labels and unknown pages do not count.
-* The query learns from the fixed rules' own decisions on all urls: patterns that go with blocked urls block others too.
+* The query learns from the fixed rules' own decisions, block against allow, on the urls that they decide, and judges
+  the others: a host most of whose decided urls are blocked is blocked for the rest of its urls too.  Tokens that the
+  fixed rules are made of are left out, as those rules say already when they count.
 * Without labels, or when no combination is frequent and confident enough, everything no rule fits is allowed.
 * Repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored.
 """
@@ -35,6 +37,9 @@ BAD = "label:bad"
 MIN_URLS = 30
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 1.5
+#: lift over the share of blocked urls among decided ones: that share is high, as fixed rules block more than they allow,
+#: so no rule could reach ``MIN_LIFT``
+DECIDED_LIFT = 1.1
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -103,10 +108,12 @@ def _named(rules: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def decided(pages: DataFrame, rules=RULES) -> DataFrame:
-    """items, bad: the tokens of every url with the label that the fixed rules give it: bad where they block it, else not."""
+    """items, bad: the tokens of every url that a fixed rule decides, and whether it blocks it."""
     host, path = parts(F.col("url"))
-    bad = F.coalesce(rule_for(host, path, rules)["verdict"] == "block", F.lit(False))
-    return pages.select(tokens(host, path).alias("items"), bad.alias("bad")).where(F.size("items") > 0)
+    rule = rule_for(host, path, rules)
+    own = F.array_distinct(F.flatten(F.array(*(tokens(F.lit(h), F.lit(p)) for _, h, p in rules)))) if rules else F.array().cast("array<string>")
+    rows = pages.select(F.array_except(tokens(host, path), own).alias("items"), (rule["verdict"] == "block").alias("bad"))
+    return rows.where(F.col("bad").isNotNull() & (F.size("items") > 0))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,19 +127,19 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine(pages: DataFrame, labels: DataFrame | None = None) -> MinedRules:
-    """Rules over the tokens of labelled urls: those of ``labels``, else all, as the fixed rules decide them.  Keeps
+    """Rules over the tokens of labelled urls: those of ``labels``, else those that the fixed rules decide.  Keeps
     every rule of enough support, confidence and lift that no shorter rule implies: first those of one token,
     then FP-growth, with a label item, over the tokens that are in enough bad urls and no rule by themselves.
 
     Tokens that occur in the same urls (a host and its first label) go through FP-growth as one, and the rules found
     are written out for each of them, so that names for one thing do not multiply the combinations."""
-    rows = decided(pages) if labels is None else labelled(pages, labels)
+    rows, lift = (decided(pages), DECIDED_LIFT) if labels is None else (labelled(pages, labels), MIN_LIFT)
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("id"), "items", "bad"), "url-labels")
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if n < MIN_URLS:
         return MinedRules([])
     share = F.col("bad") / F.col("n")
-    marks = (F.col("bad") >= MIN_URLS) & (share >= MIN_CONFIDENCE) & (share * n >= MIN_LIFT * n_bad)
+    marks = (F.col("bad") >= MIN_URLS) & (share >= MIN_CONFIDENCE) & (share * n >= lift * n_bad)
     exploded = rows.select("id", "bad", F.explode("items").alias("token"))
     # which urls a token is in, as two sums of their hashes
     prints = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"p{k}") for k in (1, 2)]

@@ -3,6 +3,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, quality_rules, url_rules
 
@@ -263,14 +264,29 @@ def test_rules_are_mined_on_the_drivers_tables(spark, sf):
     if not os.path.isdir(f"/root/testdata/{sf}"):
         pytest.skip("driver tables absent")
     pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
-    found = {frozenset([r["key"], *r["rest"]]) for r in url_rules.mine(pages).index(spark).collect()}
+    mined = url_rules.mine(pages)
+    found = {frozenset([r["key"], *r["rest"]]) for r in mined.index(spark).collect()}
     rows = [(frozenset(r["items"]), r["bad"]) for r in url_rules.decided(pages).collect()]
     share = sum(b for _, b in rows) / len(rows)
-    assert len(found) >= 3
     for rule in found:
         hits = [b for items, b in rows if rule <= items]
-        assert sum(hits) >= url_rules.MIN_URLS and sum(hits) >= 0.7 * len(hits) and sum(hits) / len(hits) >= 1.5 * share
+        assert sum(hits) >= url_rules.MIN_URLS and sum(hits) >= 0.7 * len(hits) and sum(hits) / len(hits) >= url_rules.DECIDED_LIFT * share
         assert not any(other < rule for other in found)
+    # they decide urls that no fixed rule does, and only those with a combination
+    judged = url_rules.judge(pages, mined).where("rule is null")
+    judged = judged.select("verdict", url_rules.tokens(F.col("host"), F.col("path")).alias("items")).collect()
+    assert all((r["verdict"] == "block") == any(rule <= set(r["items"]) for rule in found) for r in judged)
+    if sf == "sf0.1":
+        assert found and 0 < sum(r["verdict"] == "block" for r in judged) < len(judged)
+
+
+def test_hosts_that_fixed_rules_block_mostly_are_blocked_wholly(spark):
+    urls = [f"http://bad.com/en/{i}x" for i in range(10, 60)] + [f"http://bad.com/fr/{i}" for i in range(20)]
+    urls += [f"http://good.net/de/{i}" for i in range(1000, 1060)] + [f"http://good.net/fr/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(pages, url_rules.mine(pages)).collect()}
+    assert all(got[i] == (None, "block") for i in range(50, 70)) and all(got[i] == (None, "allow") for i in range(130, 150))
+    assert {got[i] for i in range(50)} == {("com/en/", "block")} and {got[i] for i in range(70, 130)} == {("net/de/", "allow")}
 
 
 def test_very_long_urls_and_repeats(spark):
