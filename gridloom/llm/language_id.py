@@ -8,7 +8,8 @@ multiply out to one score vector per bucket, so prediction is a gather and a sum
 Defined results
 ---------------
 * Learning uses rows with a text, a language and a doc_id whose crc32 mod 4 is not 2: a hash
-  sample of about ``TRAIN_DOCS`` of them, spread evenly over the languages (a documented bound of a classifier).
+  sample of about ``TRAIN_DOCS`` ids and ``TRAIN_BYTES``, spread evenly over the ``TRAIN_LANGS`` most frequent languages,
+  of texts of up to ``TEXT_BYTES``, the least text of each id (documented bounds of a classifier).
 * Null texts and texts without a letter are ``und`` with score 0 and not accepted; so is everything
   if there is nothing to learn from.  A null doc_id is not held out and not learned from.
 * ``accepted`` is false where the calibrated probability stays below the rejection threshold, fitted on
@@ -34,6 +35,8 @@ EPOCHS = 4
 #: share of a document's error that one step takes back, at first
 RATE = 0.5
 TRAIN_DOCS = 4_000
+#: bytes of the sample, of a text that may be in it, and languages that are learned, the most frequent ones
+TRAIN_BYTES, TEXT_BYTES, TRAIN_LANGS = 64 << 20, 1 << 20, 1_000
 TARGET_ACCURACY = 0.99
 TEMPERATURES = np.geomspace(1e-3, 1e3, 121)
 
@@ -163,15 +166,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def fit(docs: DataFrame, total: int = TRAIN_DOCS) -> Model | None:
-    """Train on a hash sample of ``docs(doc_id, text, lang)``, even over the languages."""
+    """Train on a hash sample of ``docs(doc_id, text, lang)``, even over the languages, of about ``total`` ids and
+    ``TRAIN_BYTES``, one text an id."""
     usable = docs.where(~held_out(2, 4) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, total / len(count) / n))).otherwise(share)
+    usable = usable.select("doc_id", "text", "lang", F.octet_length("text").alias("_size")).where(F.col("_size") <= TEXT_BYTES)
+    count = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).collect()
+    if not count:
+        return train([], [])
+    share = {r["lang"]: min(1.0, total / len(count) / r["n"], TRAIN_BYTES / len(count) / max(1, r["size"])) for r in count}
+    known = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = usable.where(u < share).select("doc_id", "text", "lang").collect() if count else []
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
+    rows = usable.where(u < F.coalesce(F.try_element_at(known, F.col("lang")), F.lit(0.0))).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

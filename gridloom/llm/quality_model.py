@@ -235,7 +235,10 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensemble
     lab = lab.where(~held_out(2, 4, F.col("_id")))
     n = lab.count()
     u = F.conv(F.substring(F.md5(F.concat(F.lit("quality:"), F.col("_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    data = stats.join(lab.where(u < min(1.0, rows / max(1, n))), F.col("doc_id") == F.col("_id")).select("_id", "y", *STATISTICS).toPandas()
+    found = stats.join(lab.where(u < min(1.0, rows / max(1, n))), F.col("doc_id") == F.col("_id"))
+    # one row an id and label, however often the table has it: the sample is bounded by its ids
+    found = found.groupBy("_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    data = found.select("_id", "y", *(F.col(f"s.{c}").alias(c) for c in STATISTICS)).toPandas()
     data = data.sort_values(list(data.columns)).reset_index(drop=True)
     return fit_rules(data[list(STATISTICS)].to_numpy(float), data["y"].to_numpy(float))
 

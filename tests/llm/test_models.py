@@ -294,3 +294,21 @@ def test_compiled_rules_are_the_ensemble(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in quality_model.STATISTICS))
     got = [r["s"] for r in df.select(model.column().alias("s")).collect()]
     assert got == pytest.approx(model.score(x).tolist()) and ((np.array(got) > 0.5) == (y > 0.5)).all()
+
+
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    """Ids that repeat, many times or with many texts, are one row of a classifier's sample."""
+    from gridloom.llm import language_id, quality_model
+
+    text = "some words of a text that is labelled "
+    rows = [(1, text * (k % 5 + 1), "en", "a") for k in range(3000)] + [(i, text + str(i), "en" if i % 2 else "de", "a") for i in range(2, 60)]
+    rows.append((60, "x" * (language_id.TEXT_BYTES + 1), "en", "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: seen.append((len(texts), max(map(len, texts)))))
+    language_id.fit(docs, 10_000)
+    assert seen[0][0] <= 60 and seen[0][1] <= language_id.TEXT_BYTES
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_model, "fit_rules", lambda x, y: seen.append(len(y)))
+    quality_model.fit(quality_model.statistics_table(docs), labels)
+    assert 30 < seen[1] <= 60
