@@ -22,26 +22,27 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
-from gridloom.llm.runtime import discard, materialise, noted, remove, ship
+from gridloom.llm.runtime import discard, materialise, noted, ship
 
-#: what the stages have stored for themselves and may still be read through the last one's result
-_left: list[str] = []
+def _unread(spark: SparkSession, paths: list[str], result: DataFrame) -> list[str]:
+    """Delete the stored tables that ``result`` does not read; returns the others."""
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in result.inputFiles()}
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    for path in set(paths) - set(kept):
+        discard(spark, path)
+    return kept
 
 
 def _stage(run):
-    """A stage that first removes what earlier ones stored for themselves, but for what its input still reads: their
-    results have been written by then, as STAGES has it."""
+    """A stage that removes what it has stored for itself, but for what its result still reads: a result that was
+    returned stays readable, whatever runs after it."""
 
     @functools.wraps(run)
     def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
-        for path in [p for p in _left if p.rsplit("/", 1)[-1] not in read]:
-            discard(spark, path)
-            _left.remove(path)
         with noted() as paths:
             out = run(spark, docs, sf_dir)
-        _left.extend(paths)
+        _unread(spark, paths, out)
         return out
 
     return wrapped
@@ -90,12 +91,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    """All stages over documents, each written as Parquet and read again as the next one's input.  Runs share nothing:
+    what a run has stored goes when the run itself needs it no more, except for what its result reads."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        if before is not None:
-            remove(before)
-        before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with noted() as paths:
+            docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        held = _unread(spark, [*held, *paths], docs)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _unread(spark, held, out)
+    return out

@@ -172,7 +172,7 @@ def store_windows(spark: SparkSession, texts: list[str], names: list[str], width
     """The windows of named texts as a file in the shared folder; returns its name."""
     win, length, pw, pt = compile_windows(texts, width)
     raw = [n.encode() for n in names]
-    uri = scratch(spark, "windows") + ".bin"
+    uri = scratch(spark, "windows") + "/windows.bin"
     cut = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
     save(uri, {"windows": win.ravel(), "length": length, "bounds": np.searchsorted(pw, np.arange(len(win) + 1)), "owner": pt, "names": np.frombuffer(b"".join(raw), np.uint8), "cut": cut, "width": np.array([width])})
     return uri
@@ -296,6 +296,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = docs.withColumn(tag, F.xxhash64("text"))
     verdicts = contamination(keyed.select(F.struct("doc_id", tag).alias("doc_id"), "text"), items)
     bad = verdicts.where("contaminated").select(F.col("doc_id.doc_id").alias("__gl_id"), F.col(f"doc_id.{tag}").alias("__gl_h")).distinct()
+    bad = materialise(bad, "contaminated")  # all that the result needs of the index
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & (F.col(tag) == F.col("__gl_h")), "left_anti").drop(tag)
 
 

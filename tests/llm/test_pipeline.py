@@ -77,6 +77,17 @@ def test_run(spark, stages):
     assert [n for n, _ in p.STAGES] and p.ORACLE_SQL is None
 
 
+def test_two_runs_can_both_be_read(spark, stages):
+    import corpus_pipeline as p
+
+    first, second = p.run(spark, DATA), p.run(spark, DATA)
+    assert rows(first) == rows(second) == rows(stages[5])
+    a = p.near_dedup_stage(spark, stages[1], DATA)
+    b = p.decontaminate_stage(spark, stages[2], DATA)
+    p.mix_stage(spark, stages[3], DATA)
+    assert rows(a) == rows(stages[2]) and rows(b) == rows(stages[3]) and rows(first) == rows(stages[5])
+
+
 def brute_quality(rows, labels):
     """Rows that pass the base rule and every cutoff that the labels certify, computed row by row."""
     from test_filters import tail
