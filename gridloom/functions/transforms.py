@@ -85,10 +85,52 @@ def _symmetric(plan: AxisPlan):
     return (dct3, dct2, (0, n - 1, 0, n - 1)) if even else (dst3, dst2, (1, n - 1, 0, n - 1))
 
 
+def _turn(n: int, sign: float) -> np.ndarray:
+    """Half a step of the circle of n points, for each point."""
+    return np.exp(sign * 1j * np.pi * np.arange(n) / n)
+
+
+def padded_forward(x: np.ndarray, n: int, half: bool) -> np.ndarray:
+    """Modes of lines of up to n + 1 points, padded to 2n by zeros that are never stored: modes of even number are those of
+    the n points, modes of odd number those of the points turned by half a step; a point n changes sign with them."""
+    out = np.empty((*x.shape[:-1], n + 1 if half else 2 * n), complex)
+    end = x[..., n:] if x.shape[-1] > n else None
+    x = x[..., :n]
+    if x.shape[-1] < n:
+        x = np.concatenate([x, np.zeros((*x.shape[:-1], n - x.shape[-1]), x.dtype)], -1)
+    even, odd = out[..., 0::2], out[..., 1::2]
+    even[...] = np.fft.rfft(x)[..., : even.shape[-1]] if half else np.fft.fft(x)
+    odd[...] = np.fft.fft(x * _turn(n, -1))[..., : odd.shape[-1]]
+    if end is not None:
+        even += end
+        odd -= end
+    return out
+
+
+def padded_backward(y: np.ndarray, n: int, points: int, half: bool) -> np.ndarray:
+    """The first ``points`` (up to n + 1) of the 2n points of lines of modes, not normalised: two transforms of n."""
+
+    def modes(first: int) -> np.ndarray:
+        if not half:
+            return y[..., first::2]
+        q = np.arange(first, 2 * n, 2)
+        z = y[..., np.minimum(q, 2 * n - q)]
+        return np.conj(z, out=z, where=q > n)  # beyond the half, modes are conjugates
+
+    even, odd = modes(0), modes(1)
+    x = np.fft.ifft(even, norm="forward") + np.fft.ifft(odd, norm="forward") * _turn(n, 1)
+    if points > n:
+        x = np.concatenate([x, even.sum(-1, keepdims=True) - odd.sum(-1, keepdims=True)], -1)
+    x = x[..., :points] if points < n else x
+    return x.real.copy() if half else x
+
+
 def forward(plan: AxisPlan, x: np.ndarray, half: bool = False) -> np.ndarray:
     """Lines of user points to lines of modes (last axis)."""
     if plan.kind == AxisClass.EMPTY:
         return x
+    if plan.kind == AxisClass.UNBUNB:
+        return padded_forward(x, plan.padded // 2, half)
     if plan.complex:
         n = plan.padded
         x = x[..., :n]  # a periodic node line repeats its first point; a shorter one is padded
@@ -105,12 +147,14 @@ def backward(plan: AxisPlan, y: np.ndarray, half: bool = False) -> np.ndarray:
     """Lines of modes to lines of user points, not normalised."""
     if plan.kind == AxisClass.EMPTY:
         return y
+    if plan.kind == AxisClass.UNBUNB:
+        return padded_backward(y, plan.padded // 2, plan.n, half)
     if plan.complex:
         n = plan.padded
         x = np.fft.irfft(y, n, norm="forward") if half else np.fft.ifft(y, norm="forward")
         if plan.kind == AxisClass.PERPER and not plan.cell:
             return np.concatenate([x, x[..., :1]], -1)
-        return x[..., : plan.n].copy() if plan.n < n else x  # a view would hold on to the padding
+        return x
     _, b, (p0, pn, m0, mn) = _symmetric(plan)
     line = np.zeros((*y.shape[:-1], max(plan.padded, plan.offset + plan.n)), y.dtype)
     line[..., p0 : p0 + pn] = _real(b, y[..., m0 : m0 + mn])
