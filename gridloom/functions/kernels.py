@@ -209,11 +209,19 @@ class GreenFill:
     def table(self) -> np.ndarray:
         """Lattice function at the offsets near the origin; integrated once, and sent along where a fill goes to workers."""
         if self._table is None:
-            g, free = self.grid, self.grid.unbounded
-            m = max(int(np.abs(green_line(g.axes[d], g.half(d))).max()) for d in free)
-            self._table = (S.table3 if len(free) == 3 else S.table2)(self.kernel, min(m, LATTICE_REACH))
+            self._table = (S.table3 if len(self.grid.unbounded) == 3 else S.table2)(self.kernel, self.reach)
         return self._table
 
+    @property
+    def reach(self) -> int:
+        """Largest offset that the table has to hold."""
+        g = self.grid
+        return min(max(int(np.abs(green_line(g.axes[d], g.half(d))).max()) for d in g.unbounded), LATTICE_REACH)
+
+    def load(self, table: np.ndarray) -> None:
+        """Take a table that was made elsewhere."""
+        self._table = table
+
     def __getstate__(self):
         if self.lattice and len(self.grid.unbounded) > 1:
             self.table  # noqa: B018

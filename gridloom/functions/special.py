@@ -217,32 +217,39 @@ def line(kernel: Kernel, n, k0, k1):
     return mehrstellen_line(kernel, n, np.sin(np.asarray(k0) / 2) ** 2, np.sin(np.asarray(k1) / 2) ** 2)
 
 
+def node_count(m: int) -> int:
+    """Quadrature nodes for offsets up to ``m``."""
+    return 100 + 4 * m
+
+
+@lru_cache(maxsize=8)
 def _nodes(m: int) -> tuple[np.ndarray, np.ndarray]:
     """Gauss nodes on (0, pi), graded towards 0 as the fifth power."""
-    t, w = np.polynomial.legendre.leggauss(100 + 4 * m)
+    t, w = np.polynomial.legendre.leggauss(node_count(m))
     t, w = (t + 1) / 2, w / 2
     return math.pi * t**5, 5 * math.pi * t**4 * w
 
 
+def partial_plane(kernel: Kernel, axes: int, m: int, n: int, part: slice = slice(None)) -> np.ndarray:
+    """What the nodes ``part`` of one axis give to the table at offset ``n`` of the last axis and 0..m of the others: an
+    inverse transform over all axes but that one of the one-axis function.  In the plane the table is 0 at the origin."""
+    k, w = _nodes(m)
+    c = np.cos(np.arange(m + 1)[:, None] * k)
+    if axes == 3:
+        c = c * w / math.pi
+        k0, k1 = np.meshgrid(k[part], k, indexing="ij")
+        return c[:, part] @ line(kernel, float(n), k0, k1) @ c.T
+    k = k[part]
+    return ((c[:, part] * line(kernel, float(n), k, 0.0) - line(kernel, 0.0, k, 0.0)) * w[part]).sum(-1) / math.pi
+
+
 @lru_cache(maxsize=32)
 def table3(kernel: Kernel, m: int) -> np.ndarray:
-    """T[n0, n1, n2] for offsets 0..m of an unbounded lattice: an inverse transform over two axes of the one-axis function."""
-    k, w = _nodes(m)
-    c = np.cos(np.arange(m + 1)[:, None] * k) * w / math.pi
-    out = np.empty((m + 1, m + 1, m + 1))
-    k0, k1 = np.meshgrid(k, k, indexing="ij")
-    for n in range(m + 1):
-        out[:, :, n] = c @ line(kernel, float(n), k0, k1) @ c.T
-    return out
+    """T[n0, n1, n2] for offsets 0..m of an unbounded lattice."""
+    return np.stack([partial_plane(kernel, 3, m, n) for n in range(m + 1)], -1)
 
 
 @lru_cache(maxsize=32)
 def table2(kernel: Kernel, m: int) -> np.ndarray:
     """T[n0, n1] for offsets 0..m of an unbounded plane, 0 at the origin."""
-    k, w = _nodes(m)
-    origin = line(kernel, 0.0, k, 0.0)
-    c = np.cos(np.arange(m + 1)[:, None] * k)
-    out = np.empty((m + 1, m + 1))
-    for n in range(m + 1):
-        out[:, n] = ((c * line(kernel, float(n), k, 0.0) - origin) * w).sum(-1) / math.pi
-    return out
+    return np.stack([partial_plane(kernel, 2, m, n) for n in range(m + 1)], -1)

@@ -284,10 +284,16 @@ def _inner(plan: BlockPlan, fill: GreenFill, equation: Equation, diff: Diff, tab
 # -- the Green's table -------------------------------------------------------------------------
 
 
+def _sampler(spark: SparkSession, grid: GridSpec, kernel: Kernel, alpha: float) -> GreenFill:
+    from gridloom.operators import lattice  # which gathers its own sums by the functions here
+
+    return lattice.fill(spark, grid, kernel, alpha)
+
+
 def green_blocks(spark: SparkSession, grid: GridSpec, kernel: Kernel, alpha: float = 2.0, slabs: bool = False, box_points: int | None = None) -> DataFrame | None:
     """Octant of the Green's function, transformed along the unbounded axes of all steps but the last, as blocks of
     component -1; None where the last step can sample what it needs by itself."""
-    plan, fill = BlockPlan(grid, slabs, box_points), GreenFill(grid, kernel, alpha)
+    plan, fill = BlockPlan(grid, slabs, box_points), _sampler(spark, grid, kernel, alpha)
     steps = [s for s, group in enumerate(plan.groups[:-1]) if any(grid.axes[d].unbounded for d in group)]
     octant, df = plan.octant(), None
     for s in steps:
@@ -378,6 +384,7 @@ def solve(
     if green is None:
         green = green_blocks(field.sparkSession, grid, kernel, alpha, slabs, box_points)
     if green is not None:  # the table's blocks sort before the field's
+        fill.load(np.empty(0))  # nothing is sampled any more
         state = green.withColumn("data", F.lit(0)).unionByName(state.withColumn("data", F.lit(1)))
         state = _gathered(state, tiles, ["data", "rhs_id", "comp"])
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import GreenFill, spectral
+from gridloom.operators import lattice
 from gridloom.operators.dense import derivative_factor, phase
 from gridloom.operators.layout import AXES, index_table, wave_number
 from gridloom.operators.transform import green_axis
@@ -28,7 +29,7 @@ def spectral_green(grid: GridSpec, kernel: Kernel, alpha: float = 2.0) -> Column
 
 def green_table(spark: SparkSession, grid: GridSpec, kernel: Kernel, alpha: float = 2.0) -> DataFrame:
     """i0, i1, i2, g on the spectral grid: sampled in Arrow batches, then transformed along the unbounded axes."""
-    fill = GreenFill(grid, kernel, alpha)
+    fill = lattice.fill(spark, grid, kernel, alpha)
     if not grid.unbounded:
         return index_table(spark, grid.modes).withColumn("g", spectral_green(grid, kernel, alpha))
     shape = fill.shape()

@@ -5,16 +5,19 @@ expansions, unbounded solves as direct sums over all sources."""
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import analysis, layout, pencil, transform
+from gridloom.operators import analysis, blocks, layout, longline, pencil, transform
 from gridloom.operators.layout import AXES
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
 from gridloom.sources.generate import field_frame, vortex_tube
-from gridloom.sources.gridded import hourly, lineitem_grid
+from gridloom.sources import raw
+from gridloom.sources.gridded import by_minute, hourly, lineitem_grid
 
 LINE = 64  # length of an embedding
 N = 8  # cells along each axis of gridded fields
@@ -302,6 +305,37 @@ SELECT CAST(i AS INTEGER) AS i0, {_sql_round('sum(v * g)', 4)} AS v FROM range(2
 """
 
 
+def _minutes(spark, sf):
+    """Half of the modes of all events by minute: one line of tens of thousands of points, in two short transforms."""
+    line, n = by_minute(spark.read.parquet(f"{sf}/events.parquet"))
+    y = longline.dft(line, n, panel=1 << 13).where(F.col("k") <= n // 2)
+    return y.select("k", _round("re", 3).alias("re"), _round("im", 3).alias("im"))
+
+
+_MINUTES_SQL = f"""
+WITH s AS (SELECT date_trunc('day', min(ts)) AS first, 1440 * (1 + date_diff('day', min(ts), max(ts))) AS n FROM events),
+f AS (SELECT CAST(floor(epoch(ts - first) / 60) AS BIGINT) AS j, any_value(n) AS n, sum(value) AS v FROM events, s GROUP BY 1),
+k AS (SELECT unnest(range(n // 2 + 1)) AS k FROM s),
+t AS (SELECT k, v, 2 * pi() * ((k * j) % n) / n AS t FROM k, f)
+SELECT k, {_sql_round('sum(v * cos(t))', 3)} AS re, {_sql_round('-sum(v * sin(t))', 3)} AS im FROM t GROUP BY k
+"""
+
+
+def _raw_round_trip(spark, sf):
+    """The gridded table in a raw file of parts on the shared folder, and read back in byte ranges."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    path = f"{folder.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/raw-{uuid.uuid4().hex}"
+    raw.write(_gridded(spark, sf), path, (N, N, N), part_bytes=N * N * 16)
+    return raw.read(spark, path, split_bytes=1000).select(*AXES, _round("v", 4).alias("v"))
+
+
+def _blocks_round_trip(spark, sf):
+    """A solve from blocks to blocks."""
+    grid = GridSpec.of("001101", N)
+    field = blocks.to_blocks(_gridded(spark, sf), grid)
+    return blocks.from_blocks(blocks.solve(grid, field, Kernel.CHAT_2), grid).select(*AXES, _round("v", 5).alias("v"))
+
+
 # -- generated fields and norms ---------------------------------------------------------------
 
 
@@ -408,6 +442,9 @@ def _build() -> dict[str, tuple]:
     for diff in (Diff.SPE, Diff.FD2, Diff.FD4, Diff.FD6):
         out[f"solve_rotational_{diff.name.lower()}"] = _rotational(diff, "pencil" if diff != Diff.FD4 else "slab")
     out["solve_hourly"] = (_hourly, _HOURLY_SQL)
+    out["events_by_minute_modes"] = (_minutes, _MINUTES_SQL)
+    out["field_raw_round_trip"] = (_raw_round_trip, f"WITH f AS ({_lineitem_sql()}) SELECT CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2, {_sql_round('coalesce(v, 0)', 4)} AS v FROM range({N}) x(a) CROSS JOIN range({N}) y(b) CROSS JOIN range({N}) z(c) LEFT JOIN f ON i0 = a AND i1 = b AND i2 = c")
+    out["solve_walls_blocks"] = (_blocks_round_trip, out["solve_walls"][1])
     out["field_rhs"], out["field_solution"] = _generated("rhs"), _generated("solution")
     out["vortex_vorticity"], out["vortex_velocity"] = _vortex("rhs"), _vortex("solution")
     out["error_norms"] = (_norms, _NORMS_SQL)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import blocks, dense, multiply, transform
 from gridloom.operators.layout import AXES, FIELD, checked, normalise
-from gridloom.plans.spec import AxisClass, Diff, Equation, GridSpec, Kernel
+from gridloom.plans.spec import Diff, Equation, GridSpec, Kernel
+from gridloom.sources.library import GreenLibrary
 
 #: points (times components) that one task solves at once
 LOCAL_POINTS = 1 << 22
@@ -22,9 +23,10 @@ class FieldSolver:
 
     ``strategy``: "local" solves each ``rhs_id`` in one task (one exchange), "slab" and "pencil"
     distribute a single field; "auto" picks by the grid's size.  Use as a context manager, or call
-    ``close``, to release the cached Green's table; with ``keep_green`` off none is cached."""
+    ``close``, to release the cached Green's table; with ``keep_green`` off none is cached.  With a ``library`` the
+    table of a solve in blocks is read from it, and stored there first if need be."""
 
-    def __init__(self, spark: SparkSession, grid: GridSpec, kernel: Kernel = Kernel.CHAT_2, equation: Equation = Equation.STD, diff: Diff = Diff.NOD, alpha: float = 2.0, strategy: str = "auto", keep_green: bool = True):
+    def __init__(self, spark: SparkSession, grid: GridSpec, kernel: Kernel = Kernel.CHAT_2, equation: Equation = Equation.STD, diff: Diff = Diff.NOD, alpha: float = 2.0, strategy: str = "auto", keep_green: bool = True, library: GreenLibrary | None = None):
         if equation == Equation.ROT and (grid.components != 3 or diff == Diff.NOD):
             raise ValueError("the rotational equation needs three components and a derivative")
         self.spark, self.grid, self.kernel, self.equation, self.diff, self.alpha = spark, grid, Kernel(kernel), equation, diff, alpha
@@ -34,7 +36,7 @@ class FieldSolver:
             strategy = "local" if padded <= LOCAL_POINTS else "slab" if a * b <= SLAB_POINTS else "pencil"
         if strategy not in ("local", "slab", "pencil"):
             raise ValueError(f"unknown strategy {strategy}")
-        self.strategy, self.keep_green = strategy, keep_green
+        self.strategy, self.keep_green, self.library = strategy, keep_green, library
         self._green: DataFrame | None = None
         self._octant: DataFrame | None = None
 
@@ -84,7 +86,9 @@ class FieldSolver:
         return out.select("rhs_id", "comp", *AXES, F.col("re").alias("v"))
 
     def octant(self) -> DataFrame | None:
-        """The folded Green's table of a solve in blocks, kept like ``green``; None where no table is needed."""
+        """The folded Green's table of a solve in blocks, kept like ``green`` or in the library; None where no table is needed."""
+        if self.library is not None:
+            return self.library.octant(self.grid, self.kernel, self.alpha, self.strategy == "slab")
         make = lambda: blocks.green_blocks(self.spark, self.grid, self.kernel, self.alpha, self.strategy == "slab")
         if not self.keep_green:
             return make()

@@ -20,3 +20,14 @@ def hourly(events: DataFrame) -> DataFrame:
     return events.groupBy(F.hour("ts").alias("i0")).agg(F.sum("value").alias("v")).select(
         F.lit(0).cast("long").alias("rhs_id"), F.lit(0).alias("comp"), "i0", F.lit(0).alias("i1"), F.lit(0).alias("i2"), "v"
     )
+
+
+def by_minute(events: DataFrame) -> tuple[DataFrame, int]:
+    """rhs_id, i, re of event values by minute since the first day's midnight, and the minutes of all days."""
+    day = F.date_trunc("day", F.col("ts"))
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return events.select(F.lit(0).cast("long").alias("rhs_id"), F.lit(0).cast("long").alias("i"), F.col("value").alias("re")).limit(0), 1440
+    minute = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(first))) / 60)
+    sums = events.where("ts is not null").groupBy(minute.alias("i")).agg(F.sum("value").alias("re"))
+    return sums.select(F.lit(0).cast("long").alias("rhs_id"), "i", "re"), 1440 * ((last - first).days + 1)
