@@ -312,3 +312,59 @@ def test_samples_are_bounded_in_rows(spark, monkeypatch):
     monkeypatch.setattr(quality_model, "fit_rules", lambda x, y: seen.append(len(y)))
     quality_model.fit(quality_model.statistics_table(docs), labels)
     assert 30 < seen[1] <= 60
+
+
+def test_language_scores_gram_by_gram():
+    """The vectorised logits against a loop over the bytes of each text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.llm import language_id as L
+    from gridloom.llm import words as W
+
+    rng = np.random.default_rng(2)
+    model = L.Model(["a", "b", "c"], rng.normal(size=(L.BUCKETS, 3)).astype(np.float32), rng.normal(size=3))
+    texts = ["", "x", "xy", "Mixed CASE été 日本", "ab" * 500, " ", None, "Z"]
+    want = []
+    for t in texts:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        total, n = np.zeros(3), 0
+        for size in (2, 3):
+            for i in range(len(raw) - size + 1):
+                g = int.from_bytes(raw[i : i + size], "big")
+                total += model.scores[(g * (0x9E3779B1 + 2 * size) % (1 << 32)) >> 16]
+                n += 1
+        want.append(total / max(n, 1) + model.bias)
+    data, off = W.flat(pa.array(texts))
+    assert np.allclose(model.logits(data, off), want, rtol=1e-5, atol=1e-6)
+    p = np.exp(want) / np.exp(want).sum(axis=1, keepdims=True)
+    assert np.allclose(model.probabilities(data, off), p, rtol=1e-5, atol=1e-6)
+
+
+def test_quality_scores_rule_by_rule(spark):
+    """The query's scores against the fitted rules, applied to one row's statistics at a time."""
+    import math
+    import random
+
+    from gridloom.llm import quality_model as M
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        good = i % 3 > 0
+        words = [f"w{rng.randrange(300 if good else 9)}" for _ in range(rng.randrange(60, 120) if good else rng.randrange(5, 60))]
+        rows.append((i, " ".join(words) + ("" if good else " !!! $$$ ### " * rng.randrange(4))))
+    docs = spark.createDataFrame([*rows, (400, None), (401, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    stats = M.statistics_table(docs)
+    model = M.fit(stats, labels)
+    assert model.rules
+    of = {r["doc_id"]: [r[c] for c in M.STATISTICS] for r in stats.collect()}
+    got = M.score(docs, labels).collect()
+    assert len(got) == 402
+    for r in got:
+        z = model.bias
+        for rule, weight in model.rules:
+            if all(of[r["doc_id"]][k] > cut if greater else of[r["doc_id"]][k] <= cut for k, greater, cut in rule):
+                z += weight
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7)
