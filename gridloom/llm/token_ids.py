@@ -38,8 +38,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: a pair is frequent, so that its rule (12 bytes) pays, from this number of occurrences on
 MIN_PAIRS = 8
 #: text of a shard, and text encoded at once
-SHARD_BYTES = 2 << 20
-CHUNK_BYTES = 1 << 20
+SHARD_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: distinct pieces a worker remembers (bounds its memory); beyond it, those not seen again are forgotten
 MEMO = 600_000
 
