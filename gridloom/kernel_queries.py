@@ -21,6 +21,7 @@ from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
 from gridloom.sources.generate import field_frame, gaussian_blob, gaussian_line, shear_waves, vortex_tube, wall_waves
 from gridloom.sources.gridded import lineitem_grid
+from gridloom.sources.library import GreenLibrary
 
 N, H, EPS = Q.N, 1 / Q.N, 2 / Q.N
 HEJ = (Kernel.HEJ_2, Kernel.HEJ_4, Kernel.HEJ_6, Kernel.HEJ_8, Kernel.HEJ_10)
@@ -607,6 +608,14 @@ def _wall_curl(diff: Diff, strategy: str):
     return run, sql
 
 
+def _stored_table(spark, sf):
+    """A solve whose Green's table is stored on the shared folder first and read from there."""
+    library = GreenLibrary(spark, Q._shared(spark, "green"))
+    library.octant(GridSpec.of("444433", N), Kernel.HEJ_4, slabs=True)
+    s = FieldSolver(spark, GridSpec.of("444433", N), Kernel.HEJ_4, strategy="slab", library=library)
+    return s.solve(Q._gridded(spark, sf)).select(*AXES, Q._round("v", 3).alias("v"))
+
+
 def _shear_solve():
     """The measures of the table on top of generated shear waves: one solve of both."""
     two = "2 * pi()"
@@ -661,6 +670,7 @@ def build() -> dict[str, tuple]:
         out[f"lattice_plane_{name}"] = _residual("444499", kernel)
         out[f"lattice_line_{name}"] = _residual("443300", kernel)
         out[f"lattice_far_{name}"] = _far_field(kernel)
+    out["solve_with_stored_table"] = (_stored_table, _mixed_sql(Kernel.HEJ_4))
     out["special_functions"] = (_special, _SPECIAL_SQL)
     for name, code, kernel, strategy in (("walls", "001101", Kernel.CHAT_2, "pencil"), ("mixed_walls", "330010", Kernel.LGF_4, "slab"), ("periodic", "333333", Kernel.CHAT_2, "slab"), ("compact", "113333", Kernel.MEHR_6F, "pencil")):
         out[f"solve_{name}_node"] = _node_solve(code, kernel, strategy)

@@ -27,9 +27,9 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """The field itself; a value that is not a number fails the job that reads it."""
+    """The field itself; a value that is null or not a number fails the job that reads it."""
     bad = [c for c in ("v", "re", "im") if c in df.columns]
-    return df.withColumns({c: F.when(F.isnan(F.col(c).cast("double")), F.raise_error(F.lit(f"{c} holds NaN")).cast("double")).otherwise(F.col(c)) for c in bad})
+    return df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.raise_error(F.lit(f"{c} holds NaN or null")).cast("double")).otherwise(F.col(c)) for c in bad})
 
 
 def sym_id(e: Column, symstart: float, signed: bool = True) -> Column:

@@ -16,7 +16,7 @@ from gridloom.operators.layout import AXES
 from gridloom.plans.spec import Center, Diff, Equation, GridSpec, Kernel
 from gridloom.solver import FieldSolver
 from gridloom.sources.generate import field_frame, vortex_tube
-from gridloom.sources import raw
+from gridloom.sources import files, raw
 from gridloom.sources.gridded import by_minute, hourly, lineitem_grid
 
 LINE = 64  # length of an embedding
@@ -208,19 +208,21 @@ def _lineitem_sql(measures=("l_quantity",)) -> str:
     )
 
 
-def _expansion_sql(code: str, kernel: Kernel, factor: str = "1.0") -> str:
+def _expansion_sql(code: str, kernel: Kernel, factor: str = "1.0", source: str | None = None, key: str = "") -> str:
+    """``source`` gives i0, i1, i2, v and perhaps a ``key`` column of several fields."""
     b = [_basis_sql(int(code[2 * d]), int(code[2 * d + 1]), N) for d in range(3)]
+    k = f"{key}, " if key else ""
     return f"""
-WITH f AS ({_lineitem_sql()}), b0 AS ({b[0]}), b1 AS ({b[1]}), b2 AS ({b[2]}),
-c0 AS (SELECT m AS m0, i1, i2, sum(v * w) AS v FROM f JOIN b0 ON i0 = i GROUP BY ALL),
-c1 AS (SELECT m0, m AS m1, i2, sum(v * w) AS v FROM c0 JOIN b1 ON i1 = i GROUP BY ALL),
-c2 AS (SELECT m0, m1, m AS m2, sum(v * w) AS v FROM c1 JOIN b2 ON i2 = i GROUP BY ALL),
+WITH f AS ({source or _lineitem_sql()}), b0 AS ({b[0]}), b1 AS ({b[1]}), b2 AS ({b[2]}),
+c0 AS (SELECT {k}m AS m0, i1, i2, sum(v * w) AS v FROM f JOIN b0 ON i0 = i GROUP BY ALL),
+c1 AS (SELECT {k}m0, m AS m1, i2, sum(v * w) AS v FROM c0 JOIN b1 ON i1 = i GROUP BY ALL),
+c2 AS (SELECT {k}m0, m1, m AS m2, sum(v * w) AS v FROM c1 JOIN b2 ON i2 = i GROUP BY ALL),
 k0 AS (SELECT DISTINCT m AS m0, k AS k0, s AS s0 FROM b0), k1 AS (SELECT DISTINCT m AS m1, k AS k1, s AS s1 FROM b1), k2 AS (SELECT DISTINCT m AS m2, k AS k2, s AS s2 FROM b2),
-u AS (SELECT m0, m1, m2, CASE WHEN k0 = 0 AND k1 = 0 AND k2 = 0 THEN 0.0 ELSE v * s0 * s1 * s2 * ({factor}) * ({_green_sql(kernel, 1 / N)}) END AS v FROM c2 JOIN k0 USING (m0) JOIN k1 USING (m1) JOIN k2 USING (m2)),
-d2 AS (SELECT m0, m1, i AS i2, sum(v * w) AS v FROM u JOIN b2 ON m2 = m GROUP BY ALL),
-d1 AS (SELECT m0, i AS i1, i2, sum(v * w) AS v FROM d2 JOIN b1 ON m1 = m GROUP BY ALL),
-d0 AS (SELECT i AS i0, i1, i2, sum(v * w) AS v FROM d1 JOIN b0 ON m0 = m GROUP BY ALL)
-SELECT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, {_sql_round('v', 5)} AS v FROM d0
+u AS (SELECT {k}m0, m1, m2, CASE WHEN k0 = 0 AND k1 = 0 AND k2 = 0 THEN 0.0 ELSE v * s0 * s1 * s2 * ({factor}) * ({_green_sql(kernel, 1 / N)}) END AS v FROM c2 JOIN k0 USING (m0) JOIN k1 USING (m1) JOIN k2 USING (m2)),
+d2 AS (SELECT {k}m0, m1, i AS i2, sum(v * w) AS v FROM u JOIN b2 ON m2 = m GROUP BY ALL),
+d1 AS (SELECT {k}m0, i AS i1, i2, sum(v * w) AS v FROM d2 JOIN b1 ON m1 = m GROUP BY ALL),
+d0 AS (SELECT {k}i AS i0, i1, i2, sum(v * w) AS v FROM d1 JOIN b0 ON m0 = m GROUP BY ALL)
+SELECT {k}CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, {_sql_round('v', 5)} AS v FROM d0
 """
 
 
@@ -321,14 +323,48 @@ SELECT k, {_sql_round('sum(v * cos(t))', 3)} AS re, {_sql_round('-sum(v * sin(t)
 """
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A fresh path on the folder that all executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    return f"{folder.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _raw_round_trip(spark, sf):
     """The gridded table in a raw file of parts on the shared folder, and read back in byte ranges."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    path = f"{folder.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/raw-{uuid.uuid4().hex}"
+    path = _shared(spark, "raw")
     raw.write(_gridded(spark, sf), path, (N, N, N), part_bytes=N * N * 16)
     return raw.read(spark, path, split_bytes=1000).select(*AXES, _round("v", 4).alias("v"))
 
 
+def _stored_round_trip(spark, sf):
+    """Three measures of the gridded table, stored and read back."""
+    path = _shared(spark, "field")
+    files.write_field(_gridded(spark, sf, MEASURES), path)
+    return files.read_field(spark, path).select("comp", *AXES, _round("v", 4).alias("v"))
+
+
+def _checked(spark, sf):
+    """A solve that refuses values that are not numbers."""
+    s = FieldSolver(spark, GridSpec.of("333311", N), Kernel.CHAT_2, strategy="slab")
+    return s.solve(_gridded(spark, sf), check=True).select(*AXES, _round("v", 5).alias("v"))
+
+
+def _gathered(spark, sf):
+    """A solve of lines that are gathered along its first axis already."""
+    grid = GridSpec.of("003311", N)
+    lines = layout.to_lines(layout.normalise(_gridded(spark, sf)), grid.order[0])
+    return FieldSolver(spark, grid, Kernel.CHAT_2, strategy="pencil").solve(lines).select(*AXES, _round("v", 5).alias("v"))
+
+
+def _many(spark, sf):
+    """A field for each line number of an order, all solved in one job, each in a task of its own."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cells = [F.pmod(F.col(c), F.lit(N)).cast("int").alias(a) for a, c in zip(AXES, ("l_partkey", "l_suppkey", "l_orderkey"))]
+    fields = items.groupBy(F.col("l_linenumber").cast("long").alias("rhs_id"), *cells).agg(F.sum("l_quantity").alias("v"))
+    s = FieldSolver(spark, GridSpec.of("001133", N), Kernel.HEJ_6, strategy="local")
+    return s.solve(fields).select("rhs_id", *AXES, _round("v", 5).alias("v"))
+
+
 def _blocks_round_trip(spark, sf):
     """A solve from blocks to blocks."""
     grid = GridSpec.of("001101", N)
@@ -380,8 +416,9 @@ FROM range(3) r(comp), range({N}) r0(a), range({N}) r1(b), range({N}) r2(c), {im
 
 
 def _norms(spark, sf):
-    grid = GridSpec.of("333333", N)
-    f = _gridded(spark, sf)
+    grid, path = GridSpec.of("333333", N), _shared(spark, "field")
+    files.write_field(_gridded(spark, sf), path)  # read three times
+    f = files.read_field(spark, path)
     u = FieldSolver(spark, grid, Kernel.CHAT_2, strategy="pencil").solve(f)
     e = analysis.error_norms(f, f.withColumn("v", F.col("v") * 2), grid)
     s = analysis.summary(u, grid)
@@ -444,6 +481,11 @@ def _build() -> dict[str, tuple]:
     out["solve_hourly"] = (_hourly, _HOURLY_SQL)
     out["events_by_minute_modes"] = (_minutes, _MINUTES_SQL)
     out["field_raw_round_trip"] = (_raw_round_trip, f"WITH f AS ({_lineitem_sql()}) SELECT CAST(a AS INTEGER) AS i0, CAST(b AS INTEGER) AS i1, CAST(c AS INTEGER) AS i2, {_sql_round('coalesce(v, 0)', 4)} AS v FROM range({N}) x(a) CROSS JOIN range({N}) y(b) CROSS JOIN range({N}) z(c) LEFT JOIN f ON i0 = a AND i1 = b AND i2 = c")
+    out["field_stored_round_trip"] = (_stored_round_trip, f"SELECT CAST(comp AS INTEGER) AS comp, CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, {_sql_round('v', 4)} AS v FROM ({_lineitem_sql(MEASURES)})")
+    out["solve_checked"] = (_checked, _expansion_sql("333311", Kernel.CHAT_2))
+    out["solve_gathered_lines"] = (_gathered, _expansion_sql("003311", Kernel.CHAT_2))
+    many = f"SELECT CAST(l_linenumber AS BIGINT) AS rhs_id, l_partkey % {N} AS i0, l_suppkey % {N} AS i1, l_orderkey % {N} AS i2, sum(l_quantity) AS v FROM lineitem GROUP BY ALL"
+    out["solve_each_line_number"] = (_many, _expansion_sql("001133", Kernel.HEJ_6, source=many, key="rhs_id"))
     out["solve_walls_blocks"] = (_blocks_round_trip, out["solve_walls"][1])
     out["field_rhs"], out["field_solution"] = _generated("rhs"), _generated("solution")
     out["vortex_vorticity"], out["vortex_velocity"] = _vortex("rhs"), _vortex("solution")

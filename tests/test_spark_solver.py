@@ -136,6 +136,11 @@ def test_not_a_number_is_refused_where_asked(spark):
     with pytest.raises(Exception, match="holds NaN"):
         FieldSolver(spark, g).solve(df, check=True).collect()
     assert FieldSolver(spark, g).solve(df.where("i0 = 1"), check=True).count() == 64
+    empty = spark.createDataFrame([(0, 0, 0, None)], "i0 int, i1 int, i2 int, v double")
+    for strategy in ("local", "pencil"):
+        with pytest.raises(Exception, match="or null"):
+            FieldSolver(spark, g, strategy=strategy).solve(empty, check=True).collect()
+        assert FieldSolver(spark, g, strategy=strategy).solve(empty).count() == 64
 
 
 def test_profile_and_exchanges(spark):
