@@ -324,8 +324,12 @@ SELECT k, {_sql_round('sum(v * cos(t))', 3)} AS re, {_sql_round('-sum(v * sin(t)
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh path on the folder that all executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    """A fresh path on the folder that all executors share; a temporary one only where there is a single machine."""
+    folder, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not folder:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return f"{folder.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
