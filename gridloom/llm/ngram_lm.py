@@ -1,11 +1,13 @@
 """Language-model scoring with an Elias-Fano n-gram trie (order 3).
 
 Training reads the text twice.  The first pass counts words; a word's id is its rank in hash order.  The second counts
-triples by their middle word, so the task that owns a word sees all its successors: it sums the pairs, gives each
-successor its rank within that context, and passes every triple on to the owner of its first word, with the rank in
-place of the third word and with its counts of counts, from which each owner derives the same discounts.  Every level
-is split by the hash of the first word into shards; a shard is a file in the shared folder, memory-mapped by the
-workers that score: monotone child pointers and child ids as Elias-Fano sequences, 8-bit quantised discounted
+triples by their middle word.  A shard of words whose middle words are frequent is dealt, by third and first word, to
+parts of about ``TASK_TOKENS`` tokens; a part merges and stores its triples, and its pairs' counts meet in the shard,
+which gives each successor of a word its rank within that context.  Then every part passes its triples on, with the
+rank in place of the third word, to the range of pairs that holds their first two words; a range is again about
+``TASK_TOKENS`` tokens.  So no task's work grows with how often a word or pair occurs; a shard's pairs and a pair's
+successors are bounded by the vocabulary.  The shards of words and pairs, and the ranges of triples, are files in the
+shared folder, memory-mapped by the workers that score: monotone child pointers and child ids as Elias-Fano sequences, 8-bit quantised discounted
 probabilities, 16-bit backoff weights.  A query goes down by successor search, the third word as its rank among the
 successors of the second.
 
@@ -13,7 +15,7 @@ successors of the second.
     p(w | h) = q(h w) + backoff(h) * p(w | shorter h),   backoff(h) = 1 - sum of q(h .)
 
 with q the quantised (c - D) / c(h), so every conditional distribution sums to one.  D is n1 / (n1 + 2 n2) of the
-whole level, so scores do not depend on the number of shards.
+whole level, so scores do not depend on the number of shards, parts or ranges.
 
 Defined results
 ---------------
@@ -32,18 +34,22 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import elias_fano as EF
 from gridloom.llm import words as W
 from gridloom.llm.arrays import HELD_BYTES, load, save
 from gridloom.llm.language_id import held_out
-from gridloom.llm.runtime import released, scratch
+from gridloom.llm.runtime import discard, released, scratch
 
 #: least count of the pairs and triples that ``train`` keeps unless told otherwise: all of them
 MIN_COUNT = 1
 #: tokens a task gathers before it passes their counts on, and text scored at once
 GATHER = 1_000_000
 SCORE_BYTES = 2 << 20
+#: tokens whose counts one task merges, and the bytes of text they are taken to have
+TASK_TOKENS = 4_000_000
+TOKEN_BYTES = 6
 #: 8-bit codes are logarithms of probabilities from 1 down to 10 ** -DECADES
 DECADES = 8.0
 
@@ -209,7 +215,7 @@ class Trie:
     def __init__(self, uri: str, meta: dict):
         self.uri, self.meta = uri, meta
         self.shift = _u64(64 - int(meta["shards"]).bit_length() + 1)
-        self.starts = {k: np.asarray(meta[k], np.int64) for k in ("words", "pairs") if k in meta}
+        self.starts = {k: np.asarray(meta[k], np.int64) for k in ("words", "pairs", "ranges") if k in meta}
         self._open: dict[str, object] = {}
         self._held = 0
 
@@ -314,7 +320,7 @@ class Trie:
             pair[pos], order[pos] = index, rank
             pos = np.flatnonzero(~head[1:] & (pair[:-1] >= 0)) + 1
             if len(pos):
-                self._step(3, self.starts["pairs"], pair[pos - 1], order[pos], p, pos)
+                self._step(3, self.starts["ranges"], pair[pos - 1], order[pos], p, pos)
         return np.log10(p), np.log10(first), counts
 
 
@@ -369,18 +375,40 @@ def _merge_words(uri: str):
     return merge
 
 
+def _mix(a: np.ndarray) -> np.ndarray:
+    return ((a.astype(_u64) * _u64(0x9E3779B97F4A7C15)) >> _u64(33)).astype(np.int64)
+
+
+def _owner(starts, at) -> np.ndarray:
+    """Which of the ranges that begin at ``starts`` holds each place."""
+    return np.searchsorted(starts, at, "right") - 1
+
+
+_PAIRS = "shard int, b binary, c binary, counts binary, one long, two long"
+_TREES = "shard int, n long, one2 long, two2 long, one3 long, two3 long, cut array<long>, first array<long>, second array<long>"
+_TRIPLES = "part long, b binary, c binary, many binary, before binary, counts binary"
+_PASSED = "range long, source int, first binary, second binary, rank binary, counts binary"
+
+
+def _read(table: pa.Table, name: str, rising: bool = False) -> list[np.ndarray]:
+    return [_expand(x, rising) for x in _by_shard(table, name) if x is not None]
+
+
 def _count_triples(uri: str, meta: dict):
-    """Triples by middle word, third word, first word (plus one; 0 before the text), with their counts."""
+    """Triples by middle word, third word, first word (plus one; 0 before the text), with their counts, for the parts
+    of the middle words' shards: a shard of k * k parts is dealt by the third word and by the first."""
 
     def count(batches):
         trie = opened(uri, meta)
-        starts = trie.starts["words"]
+        starts, parts, sides = trie.starts["words"], np.asarray(meta["parts"]), np.asarray(meta["sides"])
         for h, heads in _gathered(batches):
             own, _, back = W.distinct(h)
             ids = trie.lookup(own)[0][back]
             head = np.zeros(len(h), bool)
             head[heads] = True
             pos = np.flatnonzero(~head)
+            if not len(pos):
+                continue
             before = np.where(head[pos - 1], 0, ids[pos - 2] + 1)
             b, c = ids[pos - 1], ids[pos]
             order = _order(b, c)
@@ -392,138 +420,201 @@ def _count_triples(uri: str, meta: dict):
             at = np.flatnonzero(_heads(group, before))
             n = np.diff(np.append(at, len(group)))
             group, before, b, c = group[at], before[at], b.compress(pair), c.compress(pair)
-            many = np.bincount(group, minlength=len(b))
-            cut, ends = np.searchsorted(b, starts), np.concatenate([[0], np.cumsum(many)])
-            live = np.flatnonzero(np.diff(cut)).tolist()
-            rows = {"shard": live, "b": [], "c": [], "many": [], "before": [], "counts": []}
-            for s in live:
-                i, j = cut[s], cut[s + 1]
+            shard = _owner(starts, b)
+            side = sides[shard]
+            part = (parts[shard] + _mix(c) % side * side)[group] + _mix(before) % side[group]
+            order = np.argsort(part, kind="stable")
+            part, group, before, n = part[order], group[order], before[order], n[order]
+            pair = np.flatnonzero(_heads(part, group))
+            ends, own, group = np.append(pair, len(part)), part[pair], group[pair]
+            b, c, many = b[group] - starts[shard[group]], c[group], np.diff(ends)
+            cut = np.append(np.flatnonzero(_heads(own)), len(own))
+            rows = {"part": own[cut[:-1]], "b": [], "c": [], "many": [], "before": [], "counts": []}
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 x, y = ends[i], ends[j]
-                for name, blob in (("b", _squeeze(b[i:j] - starts[s], True)), ("c", _squeeze(c[i:j])), ("many", _squeeze(many[i:j])), ("before", _squeeze(before[x:y])), ("counts", _squeeze(n[x:y]))):
+                for name, blob in (("b", _squeeze(b[i:j], True)), ("c", _squeeze(c[i:j])), ("many", _squeeze(many[i:j])), ("before", _squeeze(before[x:y])), ("counts", _squeeze(n[x:y]))):
                     rows[name].append(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("b", "c", "many", "before", "counts"))], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in ("b", "c", "many", "before", "counts"))], names=list(rows))
 
     return count
 
 
-_TRIPLES = "shard int, b binary, c binary, many binary, before binary, counts binary"
-_PASSED = "shard int, source int, one2 long, two2 long, one3 long, two3 long, first binary, second binary, rank binary, counts binary, pairs binary, sizes binary"
-
-
-def _merge_by_middle(uri: str, meta: dict, least: int):
-    """The shard of words ``s``: its pairs as a tree, and its triples passed on to the shards of their first words."""
+def _merge_part(uri: str, meta: dict):
+    """One part: stores its triples, each of which is in no other part, and returns its share of the pairs' counts."""
 
     def merge(key, table):
-        s = key[0].as_py()
-        trie = opened(uri, meta)
-        starts, shards = trie.starts["words"], trie.meta["shards"]
-        n_words = int(starts[s + 1] - starts[s])
-        read = lambda name, rising=False: _joined([_expand(x, rising) for x in _by_shard(table, name) if x is not None])
-        b, c, many = read("b", True), read("c"), read("many")
+        part = key[0].as_py()
+        b, c, many = _joined(_read(table, "b", True)), _joined(_read(table, "c")), _joined(_read(table, "many"))
         order = _order(b, c)
         head = _heads(b[order], c[order])
         group = np.empty(len(b), np.uint32)
         group[order] = W.ranks(head)
         b, c = b[order].compress(head), c[order].compress(head)
-        group, before = np.repeat(group, many), read("before")
+        group, before = np.repeat(group, many), _joined(_read(table, "before"))
         order = _order(group, before)
-        n = read("counts")[order].astype(np.int64)
+        n = _joined(_read(table, "counts"))[order].astype(np.int64)
         group, before = group[order], before[order]
         del order, many, head
         at = np.flatnonzero(_heads(group, before))
         n = np.add.reduceat(n, at) if len(at) else n
         group, before = group[at], before[at]
         pairs = np.add.reduceat(n, np.flatnonzero(_heads(group))) if len(at) else n
-        inside = before > 0
-        del at
-        stats = [int((x == k).sum()) for x, k in ((pairs, 1), (pairs, 2), (n[inside], 1), (n[inside], 2))]
-        if least > 1:
-            keep = pairs >= least
-            inside &= (n >= least) & keep[group]
-            group = np.maximum(np.cumsum(keep) - 1, 0).astype(np.uint32)[group]
-            b, c, pairs = b[keep], c[keep], pairs[keep]
-        save(f"{uri}/tree2-{s}.bin", _tree(b, c, n_words))
-        sizes = np.bincount(b, minlength=n_words)
-        rank = _narrow(np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-        group, first, n = group.compress(inside), before.compress(inside) - 1, n.compress(inside)
-        order = _order(first, np.arange(len(first), dtype=np.uint32))
-        group, first, n = group[order], first[order], n[order]
-        del order, inside, before
-        cut = np.searchsorted(first, starts)
-        blobs = {k: [] for k in ("first", "second", "rank", "counts")}
-        for t in range(shards):
-            i, j = cut[t], cut[t + 1]
-            g = group[i:j]
-            for name, blob in (("first", _squeeze(first[i:j] - starts[t], True)), ("second", _squeeze(b[g])), ("rank", _squeeze(rank[g])), ("counts", _squeeze(n[i:j]))):
-                blobs[name].append(blob)
-        own = [None] * shards
-        out = {"shard": pa.array(range(shards), pa.int32()), "source": pa.array([s] * shards, pa.int32())}
-        out |= {k: pa.array([x] * shards, pa.int64()) for k, x in zip(("one2", "two2", "one3", "two3"), stats)}
-        out |= {k: pa.array(v, pa.binary()) for k, v in blobs.items()}
-        for name, a in (("pairs", pairs), ("sizes", sizes)):
-            out[name] = pa.array([*own[:s], _squeeze(a), *own[s + 1 :]], pa.binary())
-        return pa.table(out)
+        own = n[before > 0]
+        blobs = {"b": _squeeze(b, True), "c": _squeeze(c), "many": _squeeze(np.bincount(group, minlength=len(b))), "before": _squeeze(before), "counts": _squeeze(n)}
+        save(f"{uri}/counted/{part}.bin", {k: np.frombuffer(v, np.uint8) for k, v in blobs.items()})
+        cols = {"shard": pa.array([int(_owner(meta["parts"], part))], pa.int32())}
+        cols |= {k: pa.array([v], pa.binary()) for k, v in (("b", blobs["b"]), ("c", blobs["c"]), ("counts", _squeeze(pairs)))}
+        return pa.table(cols | {k: pa.array([int((own == m).sum())]) for k, m in (("one", 1), ("two", 2))})
 
     return merge
 
 
-def _merge_by_first(uri: str, meta: dict):
-    """The weights of the pairs of shard ``s`` and its part of the level of triples."""
+def _merge_pairs(uri: str, meta: dict, least: int):
+    """The pairs of shard ``s`` as a tree, cut into ranges of about as many tokens as a task shall hold."""
 
     def merge(key, table):
         s = key[0].as_py()
-        trie = opened(uri, meta)
-        starts = trie.starts["words"]
-        seen = {r["source"]: r for r in table.select(["source", "one2", "two2", "one3", "two3", "pairs", "sizes"]).to_pylist()}
-        discounts = [_discount(sum(r[a] for r in seen.values()), sum(r[b] for r in seen.values())) for a, b in (("one2", "two2"), ("one3", "two3"))]
-        n_words = int(starts[s + 1] - starts[s])
-        mine = seen[s]
-        pairs, sizes = (_expand(mine[k]).astype(np.int64) for k in ("pairs", "sizes"))
-        parent = np.repeat(np.arange(n_words), sizes)
-        context = trie.words(s)["count"] if n_words else np.zeros(0, np.int64)
-        save(f"{uri}/weights2-{s}.bin", _weights(parent, pairs, context, discounts[0]))
-        read = lambda name, rising=False: [_expand(x, rising) for x in _by_shard(table, name)]
-        # each triple's pair: its place among the pairs of this shard
-        first = _joined(read("first", True))
-        second = _joined([_narrow(x + starts[k]) for x, k in zip(read("second"), _by_shard(table, "source"))])
+        starts = opened(uri, meta).starts["words"]
+        b, c, n = _joined(_read(table, "b", True)), _joined(_read(table, "c")), _joined(_read(table, "counts")).astype(np.int64)
+        order = _order(b, c)
+        b, c, n = b[order], c[order], n[order]
+        at = np.flatnonzero(_heads(b, c))
+        b, c, n = b[at], c[at], np.add.reduceat(n, at) if len(at) else n
+        stats = {"one2": int((n == 1).sum()), "two2": int((n == 2).sum()), "one3": sum(_by_shard(table, "one")), "two3": sum(_by_shard(table, "two"))}
+        keep = n >= least
+        b, c, n = b.compress(keep), c.compress(keep), n.compress(keep)
+        save(f"{uri}/tree2-{s}.bin", _tree(b, c, int(starts[s + 1] - starts[s])))
+        save(f"{uri}/counted/pairs-{s}.bin", {"b": b, "n": n})
+        cut = np.flatnonzero(_heads((np.cumsum(n) - n) // meta["task_tokens"]))
+        lists = {"cut": cut, "first": b[cut].astype(np.int64) + starts[s], "second": c[cut]}
+        cols = {"shard": pa.array([s], pa.int32()), "n": pa.array([len(n)])} | {k: pa.array([v], pa.int64()) for k, v in stats.items()}
+        return pa.table(cols | {k: pa.array([v.tolist()], pa.list_(pa.int64())) for k, v in lists.items()})
+
+    return merge
+
+
+def _pass_on(uri: str, meta: dict, least: int):
+    """The triples of each part, with the rank of their third word in place of it, for the ranges of their first two."""
+
+    def run(batches):
+        starts = np.asarray(meta["words"])
+        cuts = [np.asarray(meta[k], np.int64) for k in ("first", "second")]
+        for part in (x for batch in batches for x in batch.column(0).to_pylist()):
+            s = int(_owner(meta["parts"], part))
+            t = {k: _expand(v.tobytes(), k == "b") for k, v in load(f"{uri}/counted/{part}.bin")[0].items()}
+            at, lo = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(t["b"].astype(np.int64), t["c"].astype(np.int64)) if len(t["b"]) else (t["b"], t["b"])
+            group = np.repeat(np.arange(len(t["b"]), dtype=np.uint32), t["many"])
+            keep = (t["before"] > 0) & (at[group] >= 0) & (t["counts"] >= least)
+            group, first, n = group.compress(keep), t["before"].compress(keep) - 1, t["counts"].compress(keep)
+            if not len(n):
+                continue
+            # a triple's range is that of the last cut not after its first two words: both are sorted together, cuts first
+            second = t["b"][group].astype(np.int64) + starts[s]
+            order = _order(np.concatenate([cuts[0], first]), np.concatenate([2 * cuts[1], 2 * second + 1]))
+            place = np.cumsum(order < len(cuts[0])) - 1
+            rows = order >= len(cuts[0])
+            owner, order = place.compress(rows), order.compress(rows) - len(cuts[0])
+            group, first, second, n = group[order], first[order], second[order] - starts[s], n[order]
+            rank = (at - lo)[group]
+            cut = np.append(np.flatnonzero(_heads(owner)), len(owner))
+            blobs = {"first": [], "second": [], "rank": [], "counts": []}
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                for name, blob in (("first", _squeeze(first[i:j], True)), ("second", _squeeze(second[i:j])), ("rank", _squeeze(rank[i:j])), ("counts", _squeeze(n[i:j]))):
+                    blobs[name].append(blob)
+            head = [pa.array(owner[cut[:-1]], pa.int64()), pa.array([s] * (len(cut) - 1), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array(v, pa.binary()) for v in blobs.values())], names=["range", "source", *blobs])
+
+    return run
+
+
+def _merge_range(uri: str, meta: dict):
+    """One range of pairs: its triples as a tree with weights."""
+
+    def merge(key, table):
+        r = key[0].as_py()
+        starts = np.asarray(meta["words"])
+        s = int(_owner(meta["pairs"], meta["ranges"][r]))
+        begin, end = (meta["ranges"][x] - meta["pairs"][s] for x in (r, r + 1))
+        table = table.filter(table.column("source").is_valid())
+        first = _joined(_read(table, "first", True)).astype(np.int64) - starts[s]
+        second = _joined([_narrow(x + starts[k]) for x, k in zip(_read(table, "second"), _by_shard(table, "source"))])
         order = _order(first, second)
         a, b = first[order], second[order]
         del first, second
-        head = _heads(a, b)
-        place = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(a.compress(head).astype(np.int64), b.compress(head).astype(np.int64))[0]
-        index = np.empty(len(order), np.uint32 if len(pairs) < 1 << 32 else np.int64)
-        index[order] = place[W.ranks(head)]
-        del a, b, head, place
-        rank = _joined(read("rank"))
+        index = np.empty(len(order), np.int64)
+        if len(order):
+            head = _heads(a, b)
+            place = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(a.compress(head), b.compress(head).astype(np.int64))[0]
+            index[order] = place[W.ranks(head)] - begin
+            del head, place
+        del a, b
+        rank = _joined(_read(table, "rank"))
         order = _order(index, rank)
         index, rank = index[order], rank[order]
-        save(f"{uri}/tree3-{s}.bin", _tree(index, rank, len(pairs)))
+        save(f"{uri}/tree3-{r}.bin", _tree(index, rank, end - begin))
         del rank
-        n = _joined(read("counts"))[order]
-        save(f"{uri}/weights3-{s}.bin", _weights(index, n, pairs, discounts[1]))
-        return pa.table({"shard": pa.array([s], pa.int32()), "pairs": pa.array([len(pairs)]), "triples": pa.array([len(index)])})
+        n = _joined(_read(table, "counts"))[order]
+        context = load(f"{uri}/counted/pairs-{s}.bin")[0]["n"][begin:end]
+        save(f"{uri}/weights3-{r}.bin", _weights(index, n, context, meta["discounts"][1]))
+        return pa.table({"range": pa.array([r], pa.int64()), "triples": pa.array([len(index)])})
 
     return merge
 
 
-def train(docs: DataFrame, least: int = MIN_COUNT) -> tuple[str, dict]:
+def _weigh_pairs(uri: str, meta: dict):
+    """The weights of the pairs of each shard."""
+
+    def run(batches):
+        trie = opened(uri, meta)
+        for s in (x for batch in batches for x in batch.column(0).to_pylist()):
+            pairs = load(f"{uri}/counted/pairs-{s}.bin")[0]
+            some = meta["words"][s + 1] > meta["words"][s]
+            context = trie.words(s)["count"] if some else np.zeros(0, np.int64)
+            save(f"{uri}/weights2-{s}.bin", _weights(pairs["b"].astype(np.int64), pairs["n"], context, meta["discounts"][0]))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64())})
+
+    return run
+
+
+def train(docs: DataFrame, least: int = MIN_COUNT, task_tokens: int = TASK_TOKENS) -> tuple[str, dict]:
     """Build the trie over all rows of ``docs(text)``, without pairs and triples of fewer than ``least``
-    occurrences (the query keeps them all); returns its folder and directory."""
+    occurrences (the query keeps them all); returns its folder and directory.  Groups hold about ``task_tokens``
+    tokens, however often a word or pair occurs."""
     spark = docs.sparkSession
     uri = scratch(spark, "ngram-trie")
     text = docs.select("text")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meta: dict = {"shards": 1 << math.ceil(math.log2(width))}
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    meta: dict = {"shards": 1 << math.ceil(math.log2(max(width, size / (TOKEN_BYTES * task_tokens)))), "task_tokens": task_tokens}
     rows = text.mapInArrow(released(_count_words(uri, meta)), "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(_merge_words(uri), "shard int, n long, total long").collect()
     meta |= {"words": _starts(rows, meta["shards"], "n"), "types": sum(r["n"] for r in rows), "tokens": sum(r["total"] for r in rows)}
     if not rows:
         return uri, meta
-    # every shard gets its files, with or without triples
-    every = spark.range(meta["shards"]).selectExpr("cast(id as int) as shard", *(f"cast(null as binary) as {k}" for k in ("b", "c", "many", "before", "counts")))
-    counted = text.mapInArrow(released(_count_triples(uri, dict(meta))), _TRIPLES).unionByName(every)
-    passed = counted.groupBy("shard").applyInArrow(_merge_by_middle(uri, dict(meta), least), _PASSED)
-    rows = passed.groupBy("shard").applyInArrow(_merge_by_first(uri, dict(meta)), "shard int, pairs long, triples long").collect()
-    return uri, meta | {k: _starts(rows, meta["shards"], k) for k in ("pairs", "triples")}
+    total = np.diff(_starts(rows, meta["shards"], "total"))
+    sides = np.maximum(1, np.ceil(np.sqrt(total / task_tokens))).astype(np.int64)
+    meta |= {"sides": sides.tolist(), "parts": np.concatenate([[0], np.cumsum(sides**2)]).tolist()}
+
+    def every(n: int) -> DataFrame:
+        return spark.range(0, n, 1, min(n, 4 * width))
+
+    # every part and range gets its files, with or without triples
+    none = [F.lit(None).cast("binary").alias(k) for k in ("b", "c", "many", "before", "counts")]
+    counted = text.mapInArrow(released(_count_triples(uri, dict(meta))), _TRIPLES).unionByName(every(meta["parts"][-1]).select(F.col("id").alias("part"), *none))
+    pairs = counted.groupBy("part").applyInArrow(_merge_part(uri, dict(meta)), _PAIRS)
+    rows = sorted(pairs.groupBy("shard").applyInArrow(_merge_pairs(uri, dict(meta), least), _TREES).collect(), key=lambda r: r["shard"])
+    meta["pairs"] = _starts(rows, meta["shards"], "n")
+    meta["discounts"] = [_discount(sum(r[a] for r in rows), sum(r[b] for r in rows)) for a, b in (("one2", "two2"), ("one3", "two3"))]
+    meta["ranges"] = [meta["pairs"][r["shard"]] + x for r in rows for x in r["cut"]] + [meta["pairs"][-1]]
+    meta |= {k: [x for r in rows for x in r[k]] for k in ("first", "second")}
+    every(meta["shards"]).mapInArrow(released(_weigh_pairs(uri, dict(meta))), "shard long").count()
+    ranges = len(meta["ranges"]) - 1
+    if ranges:
+        none = [F.lit(None).cast("int").alias("source"), *(F.lit(None).cast("binary").alias(k) for k in ("first", "second", "rank", "counts"))]
+        passed = every(meta["parts"][-1]).mapInArrow(released(_pass_on(uri, dict(meta), least)), _PASSED).unionByName(every(ranges).select(F.col("id").alias("range"), *none))
+        rows = passed.groupBy("range").applyInArrow(_merge_range(uri, dict(meta)), "range long, triples long").collect()
+    meta["triples"] = np.concatenate([[0], np.cumsum([r["triples"] for r in sorted(rows, key=lambda r: r["range"])] if ranges else [], dtype=np.int64)]).tolist()
+    discard(spark, f"{uri}/counted")
+    return uri, {k: v for k, v in meta.items() if k not in ("first", "second")}
 
 
 def score(docs: DataFrame, uri: str, meta: dict) -> DataFrame:

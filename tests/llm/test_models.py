@@ -127,6 +127,38 @@ def test_scores_equal_the_brute_force_model(spark, docs, corpus, partitions):
         assert got[i][0] == pytest.approx(x, abs=1e-6 + 1e-6 * abs(x)), i
 
 
+@pytest.mark.parametrize("least", [1, 2])
+@pytest.mark.parametrize("task_tokens", [300, 10**9])
+def test_a_word_in_a_third_of_the_tokens(spark, task_tokens, least):
+    """Parts and ranges stay about as small as they shall be, and scores do not depend on them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("the" if rng.random() < 0.35 else f"w{k}" for k in rng.zipf(1.5, 60) % 400) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    uri, meta = ngram_lm.train(docs, least, task_tokens)
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, uri, meta).collect()}
+    if least == 1:
+        for i, x in enumerate(brute_scores(texts, texts)):
+            assert got[i] == pytest.approx(x, abs=1e-6 + 1e-6 * abs(x)), i
+    one, two, three = brute_model(texts)
+    assert meta["pairs"][-1] == sum(c >= least for c in two.values())
+    assert meta["triples"][-1] == sum(c >= least for c in three.values())
+    if task_tokens == 10**9:
+        assert meta["parts"][-1] == meta["shards"]
+        return
+    assert max(meta["sides"]) >= 3 and meta["shards"] >= 16
+    size = {}
+    schema = ngram_lm._TRIPLES
+    for r in docs.select("text").mapInArrow(ngram_lm._count_triples(uri, meta), schema).collect():
+        size[r["part"]] = size.get(r["part"], 0) + int(ngram_lm._expand(bytes(r["counts"])).sum())
+    shard = {}
+    for part, n in size.items():
+        s = int(ngram_lm._owner(meta["parts"], part))
+        shard[s] = shard.get(s, 0) + n
+    assert sum(size.values()) == sum(two.values())
+    assert max(shard.values()) > 0.3 * sum(two.values()) > 2 * max(size.values())
+    assert np.diff(meta["triples"]).max() <= task_tokens + max(two.values())
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(1)
     for a in (np.zeros(0), np.array([0]), np.array([2**63, 2**64 - 1], np.uint64), rng.integers(0, 300, 1000)):
