@@ -2,8 +2,8 @@
 
 Training reads the text twice.  The first pass counts words; a word's id is its rank in hash order.  The second counts
 triples by their middle word.  A shard of words whose middle words are frequent is dealt, by third and first word, to
-parts of about ``TASK_TOKENS`` tokens; a part merges and stores its triples, and its pairs' counts meet in the shard,
-which gives each successor of a word its rank within that context.  Then every part passes its triples on, with the
+parts of about ``TASK_TOKENS`` tokens; a part merges and stores its triples, and the shard sums their pairs and
+gives each successor of a word its rank within that context.  Then every part passes its triples on, with the
 rank in place of the third word, to the range of pairs that holds their first two words; a range is again about
 ``TASK_TOKENS`` tokens.  So no task's work grows with how often a word or pair occurs; a shard's pairs and a pair's
 successors are bounded by the vocabulary.  The shards of words and pairs, and the ranges of triples, are files in the
@@ -384,7 +384,7 @@ def _owner(starts, at) -> np.ndarray:
     return np.searchsorted(starts, at, "right") - 1
 
 
-_PAIRS = "shard int, b binary, c binary, counts binary, one long, two long"
+_PARTS = "shard int, one long, two long"
 _TREES = "shard int, n long, one2 long, two2 long, one3 long, two3 long, cut array<long>, first array<long>, second array<long>"
 _TRIPLES = "part long, b binary, c binary, many binary, before binary, counts binary"
 _PASSED = "range long, source int, first binary, second binary, rank binary, counts binary"
@@ -439,8 +439,13 @@ def _count_triples(uri: str, meta: dict):
     return count
 
 
+def _stored(uri: str, part: int) -> dict[str, np.ndarray]:
+    """The triples of a part."""
+    return {k: _expand(v.tobytes(), k == "b") for k, v in load(f"{uri}/counted/{part}.bin")[0].items()}
+
+
 def _merge_part(uri: str, meta: dict):
-    """One part: stores its triples, each of which is in no other part, and returns its share of the pairs' counts."""
+    """One part: stores its triples, each of which is in no other part."""
 
     def merge(key, table):
         part = key[0].as_py()
@@ -458,33 +463,37 @@ def _merge_part(uri: str, meta: dict):
         at = np.flatnonzero(_heads(group, before))
         n = np.add.reduceat(n, at) if len(at) else n
         group, before = group[at], before[at]
-        pairs = np.add.reduceat(n, np.flatnonzero(_heads(group))) if len(at) else n
         own = n[before > 0]
         blobs = {"b": _squeeze(b, True), "c": _squeeze(c), "many": _squeeze(np.bincount(group, minlength=len(b))), "before": _squeeze(before), "counts": _squeeze(n)}
         save(f"{uri}/counted/{part}.bin", {k: np.frombuffer(v, np.uint8) for k, v in blobs.items()})
         cols = {"shard": pa.array([int(_owner(meta["parts"], part))], pa.int32())}
-        cols |= {k: pa.array([v], pa.binary()) for k, v in (("b", blobs["b"]), ("c", blobs["c"]), ("counts", _squeeze(pairs)))}
         return pa.table(cols | {k: pa.array([int((own == m).sum())]) for k, m in (("one", 1), ("two", 2))})
 
     return merge
 
 
 def _merge_pairs(uri: str, meta: dict, least: int):
-    """The pairs of shard ``s`` as a tree, cut into ranges of about as many tokens as a task shall hold."""
+    """The pairs of shard ``s``, from its stored parts, as a tree cut into ranges of about as many tokens as a task shall hold."""
 
     def merge(key, table):
         s = key[0].as_py()
         starts = opened(uri, meta).starts["words"]
-        b, c, n = _joined(_read(table, "b", True)), _joined(_read(table, "c")), _joined(_read(table, "counts")).astype(np.int64)
+        held = []
+        for part in range(meta["parts"][s], meta["parts"][s + 1]):
+            t = _stored(uri, part)
+            ends = np.cumsum(t["many"], dtype=np.int64)
+            held.append((t["b"], t["c"], np.add.reduceat(t["counts"].astype(np.int64), ends - t["many"]) if len(ends) else ends))
+        b, c, n = map(_joined, zip(*held))
         order = _order(b, c)
         b, c, n = b[order], c[order], n[order]
+        del held, t, ends, order
         at = np.flatnonzero(_heads(b, c))
         b, c, n = b[at], c[at], np.add.reduceat(n, at) if len(at) else n
         stats = {"one2": int((n == 1).sum()), "two2": int((n == 2).sum()), "one3": sum(_by_shard(table, "one")), "two3": sum(_by_shard(table, "two"))}
         keep = n >= least
         b, c, n = b.compress(keep), c.compress(keep), n.compress(keep)
         save(f"{uri}/tree2-{s}.bin", _tree(b, c, int(starts[s + 1] - starts[s])))
-        save(f"{uri}/counted/pairs-{s}.bin", {"b": b, "n": n})
+        save(f"{uri}/counted/pairs-{s}.bin", {"n": np.frombuffer(_squeeze(n), np.uint8)})
         cut = np.flatnonzero(_heads((np.cumsum(n) - n) // meta["task_tokens"]))
         lists = {"cut": cut, "first": b[cut].astype(np.int64) + starts[s], "second": c[cut]}
         cols = {"shard": pa.array([s], pa.int32()), "n": pa.array([len(n)])} | {k: pa.array([v], pa.int64()) for k, v in stats.items()}
@@ -493,6 +502,10 @@ def _merge_pairs(uri: str, meta: dict, least: int):
     return merge
 
 
+def _pair_counts(uri: str, s: int) -> np.ndarray:
+    return _expand(load(f"{uri}/counted/pairs-{s}.bin")[0]["n"].tobytes()).astype(np.int64)
+
+
 def _pass_on(uri: str, meta: dict, least: int):
     """The triples of each part, with the rank of their third word in place of it, for the ranges of their first two."""
 
@@ -501,7 +514,7 @@ def _pass_on(uri: str, meta: dict, least: int):
         cuts = [np.asarray(meta[k], np.int64) for k in ("first", "second")]
         for part in (x for batch in batches for x in batch.column(0).to_pylist()):
             s = int(_owner(meta["parts"], part))
-            t = {k: _expand(v.tobytes(), k == "b") for k, v in load(f"{uri}/counted/{part}.bin")[0].items()}
+            t = _stored(uri, part)
             at, lo = _Shard(load(f"{uri}/tree2-{s}.bin")[0]).find(t["b"].astype(np.int64), t["c"].astype(np.int64)) if len(t["b"]) else (t["b"], t["b"])
             group = np.repeat(np.arange(len(t["b"]), dtype=np.uint32), t["many"])
             keep = (t["before"] > 0) & (at[group] >= 0) & (t["counts"] >= least)
@@ -554,7 +567,7 @@ def _merge_range(uri: str, meta: dict):
         save(f"{uri}/tree3-{r}.bin", _tree(index, rank, end - begin))
         del rank
         n = _joined(_read(table, "counts"))[order]
-        context = load(f"{uri}/counted/pairs-{s}.bin")[0]["n"][begin:end]
+        context = _pair_counts(uri, s)[begin:end]
         save(f"{uri}/weights3-{r}.bin", _weights(index, n, context, meta["discounts"][1]))
         return pa.table({"range": pa.array([r], pa.int64()), "triples": pa.array([len(index)])})
 
@@ -567,10 +580,10 @@ def _weigh_pairs(uri: str, meta: dict):
     def run(batches):
         trie = opened(uri, meta)
         for s in (x for batch in batches for x in batch.column(0).to_pylist()):
-            pairs = load(f"{uri}/counted/pairs-{s}.bin")[0]
+            sizes = np.diff(_Shard(load(f"{uri}/tree2-{s}.bin")[0]).pointer.all().astype(np.int64))
             some = meta["words"][s + 1] > meta["words"][s]
             context = trie.words(s)["count"] if some else np.zeros(0, np.int64)
-            save(f"{uri}/weights2-{s}.bin", _weights(pairs["b"].astype(np.int64), pairs["n"], context, meta["discounts"][0]))
+            save(f"{uri}/weights2-{s}.bin", _weights(np.repeat(np.arange(len(sizes)), sizes), _pair_counts(uri, s), context, meta["discounts"][0]))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64())})
 
     return run
@@ -600,8 +613,8 @@ def train(docs: DataFrame, least: int = MIN_COUNT, task_tokens: int = TASK_TOKEN
     # every part and range gets its files, with or without triples
     none = [F.lit(None).cast("binary").alias(k) for k in ("b", "c", "many", "before", "counts")]
     counted = text.mapInArrow(released(_count_triples(uri, dict(meta))), _TRIPLES).unionByName(every(meta["parts"][-1]).select(F.col("id").alias("part"), *none))
-    pairs = counted.groupBy("part").applyInArrow(_merge_part(uri, dict(meta)), _PAIRS)
-    rows = sorted(pairs.groupBy("shard").applyInArrow(_merge_pairs(uri, dict(meta), least), _TREES).collect(), key=lambda r: r["shard"])
+    parts = counted.groupBy("part").applyInArrow(_merge_part(uri, dict(meta)), _PARTS)
+    rows = sorted(parts.groupBy("shard").applyInArrow(_merge_pairs(uri, dict(meta), least), _TREES).collect(), key=lambda r: r["shard"])
     meta["pairs"] = _starts(rows, meta["shards"], "n")
     meta["discounts"] = [_discount(sum(r[a] for r in rows), sum(r[b] for r in rows)) for a, b in (("one2", "two2"), ("one3", "two3"))]
     meta["ranges"] = [meta["pairs"][r["shard"]] + x for r in rows for x in r["cut"]] + [meta["pairs"][-1]]
