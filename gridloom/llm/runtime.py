@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1_000
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: whether Parquet reads whole column chunks at once: on a file system of the machine each chunk then passes through a
+#: buffer outside the heap, which its thread keeps
+_VECTORED = "parquet.hadoop.vectored.io.enabled"
 _shipped: set[str] = set()
 
 
@@ -137,6 +140,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(_BATCH) == "10000":  # the default: many long texts at once would fill a worker
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_VECTORED, None) is None and sc._jsc.hadoopConfiguration().get(_VECTORED) is None:
+        spark.conf.set(_VECTORED, "false")
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -228,6 +228,25 @@ def test_memo_forgets_within_its_bound(encoder, corpus, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == reference(encoder, texts[k : k + 4])
 
 
+def test_forgetting_takes_little_memory():
+    """Long pieces that all stay: what is copied is a few times their text, not a place of 24 bytes for each byte."""
+    import tracemalloc
+
+    memo, n = token_ids._Memo(), 60_000
+    text = np.random.default_rng(1).integers(97, 123, 100 * n, np.uint8).tobytes()
+    slots = memo.add(text, np.full(n, 100), np.arange(2 * n), np.full(n, 2))
+    memo.index(np.arange(n, dtype=np.uint64), slots)
+    memo.again[:n:2] = True
+    tracemalloc.start()
+    memo.forget()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert memo.n == n // 2 and peak < 10 * len(text) // 2
+    at = memo.find(np.arange(0, n, 2, dtype=np.uint64))
+    assert token_ids._gather(memo.text, memo.begin[at], memo.length[at]).tobytes() == b"".join(text[100 * k : 100 * k + 100] for k in range(0, n, 2))
+    assert token_ids._gather(memo.ids, memo.start[at], memo.size[at]).tolist() == [x for k in range(0, n, 2) for x in (2 * k, 2 * k + 1)]
+
+
 def test_runs_of_one_symbol():
     ids = np.array([5] * 100 + [6] + [5] * 9 + [7, 7, 7] * 9, np.uint32)
     s = token_ids.Shard(token_ids.compress(ids))

@@ -166,3 +166,30 @@ def test_run_on_nulls_ties_and_long_texts(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = p.decontaminate_stage(spark, p.near_dedup_stage(spark, p.quality(spark, docs, sf), sf), sf)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "4", "7", "None"]
+
+
+def test_reads_leave_no_buffers_outside_the_heap(spark, tmp_path):
+    """A column chunk of 26 MB, read in a prepared session: no thread keeps a buffer of its size."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.runtime import ship
+
+    vectored = "parquet.hadoop.vectored.io.enabled"
+
+    def direct():
+        jvm = spark.sparkContext._jvm
+        pools = jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+        return next(b.getMemoryUsed() for b in pools if b.getName() == "direct")
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.option("compression", "none").parquet(path)
+    ship(spark)
+    before = direct()
+    assert spark.read.parquet(path).agg(F.sum(F.length("text"))).first()[0] == 64 * 400_000
+    assert direct() - before < 8 << 20
+    spark.conf.set(vectored, "true")  # a session's own choice stays
+    ship(spark)
+    assert spark.conf.get(vectored) == "true"
+    spark.conf.unset(vectored)
+    ship(spark)
+    assert spark.conf.get(vectored) == "false"
