@@ -158,48 +158,50 @@ def _agreement(prefix: str, other: str) -> Column:
     return total
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose signatures agree well enough to be worth comparing sets."""
-    a = signatures.select(F.col("node").alias("u"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(BANDS)))
-    b = signatures.select(F.col("node").alias("v"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(BANDS)))
-    # made distinct only after it is stored: an aggregation on top would keep a hub's join from being split
-    return materialise(pairs.join(a, "u").join(b, "v").where(_agreement("x", "y") >= AGREE).select("u", "v"), "verified").distinct()
-
-
 def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose signatures agree and whose full sets reach the threshold, some of them repeated; stored."""
-    pairs = materialise(_verified(pairs, signatures), "candidates")
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    """Links (u, v) of the distinct pairs (u, fu, v, fv) of sets, each a node and its ``fp1``, whose signatures agree and
+    whose full sets reach the threshold; stored, some of them repeated."""
+    a = signatures.select(F.col("node").alias("u"), F.col("fp1").alias("fu"), *(F.col(f"g{k}").alias(f"x{k}") for k in range(BANDS)))
+    b = signatures.select(F.col("node").alias("v"), F.col("fp1").alias("fv"), *(F.col(f"g{k}").alias(f"y{k}") for k in range(BANDS)))
+    # by u and by v in turn: each join has an exchange of its own below it, so that a hub's can be split
+    agreed = pairs.join(a, ["u", "fu"]).join(b, ["v", "fv"]).where(_agreement("x", "y") >= AGREE).select("u", "fu", "v", "fv")
+    a = sets.select(F.col("node").alias("u"), F.col("fp1").alias("fu"), F.col("shingles").alias("su"))
+    b = sets.select(F.col("node").alias("v"), F.col("fp1").alias("fv"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    found = pairs.join(a, "u").join(b, "v").where(100 * both >= THRESHOLD * (F.size("su") + F.size("sv") - both))
+    found = agreed.join(a, ["u", "fu"]).join(b, ["v", "fv"]).where(100 * both >= THRESHOLD * (F.size("su") + F.size("sv") - both))
     return materialise(found.select("u", "v"), "links")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components, one of them astray, that can still reach the threshold.
+    """Pairs (u, fu, v, fv) of sets of different components, one of them astray, that can still reach the threshold.
 
     Shingles are ordered by frequency, rare first.  At the first shingle two sets share, at places i and j,
     they have at most ``min(n1 - i, n2 - j)`` in common; a pair that links has 85 of 185 parts of ``n1 + n2``.
     So only the front of each set is compared, and a pair is emitted only where its bound still holds."""
-    rows = sets.join(nodes.select("node", "fp1"), ["node", "fp1"]).select("node", "fp1", F.explode("shingles").alias("s"))
+    key = ["node", "fp1", "n", "component", "astray"]
+    rows = sets.join(nodes, ["node", "fp1"]).select(*key, F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    ordered = rows.join(often, "s").groupBy("node", "fp1").agg(F.sort_array(F.collect_set(F.struct("k", "s"))).alias("all"))
+    ordered = rows.join(often, "s").groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("k", "s"))).alias("all"))
     front = F.size("all") - F.ceil(F.size("all") * THRESHOLD / 100.0).cast("int") + 1
-    front = ordered.select("node", "fp1", F.posexplode(F.slice("all", F.lit(1), front)).alias("at", "x")).where("x.k > 1")
-    front = materialise(front.select("node", "fp1", "at", "x.s").join(nodes, ["node", "fp1"]), "fronts")
-    left = front.where("astray").select("s", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("at").alias("i"), F.col("component").alias("c1"))
-    right = front.select("s", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("at").alias("j"), F.col("component").alias("c2"))
+    front = ordered.select(*key, F.posexplode(F.slice("all", F.lit(1), front)).alias("at", "x")).where("x.k > 1")
+    front = materialise(front.select(*key, "at", "x.s"), "fronts")
+    end = F.struct("node", "fp1")
+    left = front.where("astray").select("s", end.alias("a"), F.col("n").alias("n1"), F.col("at").alias("i"), F.col("component").alias("c1"))
+    right = front.select("s", end.alias("b"), F.col("n").alias("n2"), F.col("at").alias("j"), F.col("component").alias("c2"))
     reach = F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j"))
     found = left.join(right, (left["s"] == right["s"]) & (F.col("c1") != F.col("c2")) & ((100 + THRESHOLD) * reach >= THRESHOLD * (F.col("n1") + F.col("n2"))))
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return found.select(F.col("a.node").alias("u"), F.col("a.fp1").alias("fu"), F.col("b.node").alias("v"), F.col("b.fp1").alias("fv"))
 
 
-def _ties(linked: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Edges (u, v) from each ``doc_id`` that has several sets to the node of each of them; stored."""
+def _ties(linked: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame | None:
+    """Edges (u, v) from each ``doc_id`` that has several sets to the node of each of them, stored; None if no id has."""
     ends = linked.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi")
     # plain sides, so that the join of an id with many rows can be split
     several = materialise(ends.select("doc_id"), "several")
+    if several.isEmpty():
+        remove(several)
+        return None
     held = materialise(linked.select("doc_id", *key).join(several, "doc_id"), "sets-of-several").distinct()
     ties = materialise(held.join(nodes.select(*key, "node"), key).select(F.col("doc_id").alias("u"), F.col("node").alias("v")), "ties")
     for table in (several, held):
@@ -208,32 +210,35 @@ def _ties(linked: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of an undirected edge table (u, v); component is the
-    smallest node reachable.  Alternates large-star and small-star until the edges form stars;
-    each round is written to the shared folder."""
-    state = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    """(node, component) for the nodes of an edge table (u, v) of any direction, repeats and loops; component is the
+    smallest node reachable.  Alternates large-star and small-star until the edges form stars; each step is written to
+    the shared folder.  ``edges`` is read more than once.
+
+    The edges are stars once each node has only greater neighbours, or only one: then nothing is left to do, and the
+    table of lowest neighbours is the result.  No step makes more edges than it has got."""
+    state = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    stored: list[DataFrame] = []
     while True:
         both = state.union(state.select("v", "u"))
         # stored before it is joined: a join of two plain exchanges can be split where a node has most edges
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large-star")
-        remove(low)
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        small = large.join(low, "u").select("v", F.col("m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialise(small, "small-star")
-        now = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        for old in (state, large, low):
-            remove(old)
-        state = after
-        if (now["n"], now["h"]) == before:
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "lowest")
+        if low.where("lo < u and lo < hi").isEmpty():
             break
-        before = (now["n"], now["h"])
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        stored.append(low)
+        low = low.select("u", F.least("lo", "u").alias("m"))
+        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("hi")), "lowest")
+        after = large
+        if not low.where("m < hi").isEmpty():  # else small-star changes nothing
+            small = large.join(low.drop("hi"), "u").select("u", "v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            after = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+            stored.append(large)
+        for old in (*stored, low):
+            remove(old)
+        state, stored = after, [after]
+    for old in stored:
+        remove(old)
+    return low.select(F.col("u").alias("node"), F.least("lo", "u").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,42 +271,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     private = (
         sets.select("node", "fp1", F.explode("shingles").alias("s"))
         .groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"), F.min("fp1").alias("fp1"))
-        .where("k = 1").groupBy("node", "fp1").agg(F.count(F.lit(1)).alias("p"))
+        .where("k = 1").select("node", "fp1", F.lit(1).alias("p"))
+        .union(sets.select("node", "fp1", F.lit(0))).groupBy("node", "fp1").agg(F.sum("p").alias("p"))
     )
+    # with their signatures
     hopeful = (
-        member.select("node", "fp1", "n").distinct().join(private, ["node", "fp1"], "left")
-        .select("node", "fp1", "n", F.coalesce("p", F.lit(0)).alias("p"))
+        nodes.select("node", "fp1", F.col("n_shingles").alias("n"), *(f"g{k}" for k in range(BANDS))).join(private, ["node", "fp1"])
         .where(100 * (F.col("n") - F.col("p")) >= THRESHOLD * F.col("n"))
     )
     hopeful = store(hopeful, "hopeful")
-    # some texts of a node may be hopeful and others not: the signatures of all of them count
-    signatures = store(nodes.join(hopeful.select("node").hint("merge"), "node", "left_semi").select("node", *(f"g{k}" for k in range(BANDS))), "hopeful-signatures")
-    member = store(member.drop("n").join(hopeful, ["node", "fp1"]), "members")
-    centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    centre = store(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
+    member = store(member.drop("n").join(hopeful.select("node", "fp1", "n", "p"), ["node", "fp1"]), "members")
+    centre = member.groupBy("bucket").agg(F.min(F.struct("p", "n", "node", "fp1")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    centre = store(centre.select("bucket", F.col("c.node").alias("cu"), F.col("c.fp1").alias("cf"), F.col("c.n").alias("cn"), F.col("c.p").alias("cp")), "centres")
     star = (
         member.join(centre, "bucket").where(F.col("node") != F.col("cu"))
         .where(_may_link(F.col("n"), F.col("p"), F.col("cn"), F.col("cp")))
-        .select(F.col("node").alias("u"), F.col("cu").alias("v")).distinct()
+        .select(F.col("node").alias("u"), F.col("fp1").alias("fu"), F.col("cu").alias("v"), F.col("cf").alias("fv")).distinct()
     )
-    links = _confirm(star, signatures, sets)
-    ties = _ties(linked, nodes, key)
-    spent += [links, ties]
-    comp = components(links.unionByName(ties))
+    links = _confirm(star, hopeful, sets)
+    spent.append(links)
+    if (ties := _ties(linked, nodes, key)) is not None:
+        spent.append(ties)
+        links = links.unionByName(ties)
+    comp = components(links)
+    spent.append(comp)
 
     placed = member.join(comp, "node", "left").select("bucket", "node", "fp1", "n", F.coalesce("component", "node").alias("component"))
-    placed = store(placed, "placed")
-    main = placed.select("bucket", "node", "component").join(centre, "bucket").where("node = cu").select("bucket", F.col("component").alias("home"))
-    main = store(main, "homes")
-    # what a centre did not gather, against everything in its bucket that lies in another component
-    astray = store(placed.join(main, "bucket").where("component <> home").select("bucket", "node"), "astray")
+    home = centre.join(comp, F.col("cu") == F.col("node"), "left").select("bucket", F.coalesce("component", "cu").alias("home"))
+    # astray: what a centre did not gather, against everything in its bucket that lies in another component
+    placed = store(placed.join(home, "bucket").withColumn("astray", F.col("component") != F.col("home")).drop("home"), "placed")
+    astray = placed.where("astray")
     if not astray.isEmpty():
-        mixed = placed.join(store(astray.select("bucket").distinct(), "mixed-buckets"), "bucket").select("node", "fp1", "n", "component").distinct()
-        mixed = mixed.join(astray.select("node", F.lit(True).alias("astray")).distinct(), "node", "left")
-        more = _prefix_pairs(store(mixed, "mixed"), sets)
-        spent.append(_confirm(more, signatures, sets))
+        mixed = placed.join(store(astray.select("bucket").distinct(), "mixed-buckets"), "bucket")
+        mixed = store(mixed.groupBy("node", "fp1", "n", "component").agg(F.max("astray").alias("astray")), "mixed")
+        spent.append(_confirm(_prefix_pairs(mixed, sets), hopeful, sets))
         if not spent[-1].isEmpty():  # the components so far are stars: only they and the new links are joined up
             comp = components(spent[-1].unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            spent.append(comp)
 
     named = nodes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     named = materialise(named, "components")  # a plain side, so that the join of many exact copies can be split

@@ -1,10 +1,11 @@
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from gridloom.llm import near_dedup
+from gridloom.llm import near_dedup, runtime
 
 
 def brute(rows):
@@ -57,6 +58,24 @@ def test_dense_group_of_near_copies(spark):
     assert 1 < len(set(want.values())) < 120
 
 
+def test_number_of_stored_tables(spark):
+    """What a run costs at any size: every stored table is a few rounds of tasks, one for each shuffle partition."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        t = [f"w{k}" for k in range(150)]
+        for _ in range(rng.randrange(0, 7)):
+            del t[rng.choice(range(0, 60, 6))]
+        rows.append((i, " ".join(t)))
+    want, _ = brute(rows)
+    with runtime.noted() as paths:
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    names = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in paths]
+    assert "fronts" in names  # both phases ran
+    assert len(names) <= 32, names
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_ids_of_several_texts(spark, seed):
     """The texts of one id are one document, whatever the smallest id of each text's copies."""
@@ -96,6 +115,34 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == want
 
 
+def test_components_of_stars_take_one_step(spark):
+    edges = [(0, k) for k in range(1, 9)] + [(k, 20) for k in range(21, 24)] + [(0, 3), (3, 0), (5, 5)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    with runtime.noted() as paths:
+        got = {r["node"]: r["component"] for r in near_dedup.components(df).collect()}
+    assert got == {k: 0 for k in range(9)} | {k: 20 for k in range(20, 24)}
+    assert len(paths) == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_edges(spark, seed):
+    """Any direction, repeats and loops; one row for each node, and nothing left behind but the result."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    edges += [rng.choice(edges)[::-1] for _ in range(10)] + [(70, 70)]
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    with runtime.noted() as paths:
+        out = near_dedup.components(spark.createDataFrame(edges, "u long, v long"))
+    got = [(r["node"], r["component"]) for r in out.collect()]
+    ends = {k for a, b in edges if a != b for k in (a, b)}
+    assert sorted(got) == sorted((k, r) for k, r in root.items() if k in ends)
+    left = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
+    assert {f.rsplit("/", 2)[-2] for f in out.inputFiles()} == {p.rsplit("/", 1)[-1] for p in left}
+
+
 def test_shingles_match_a_loop():
     rng = np.random.default_rng(0)
     rows = np.array([0, 0, 3, 9, 13, 13, 18, 19])
